@@ -85,7 +85,7 @@ VIEWS: dict[str, str] = {
   FROM customer""",
     "scrape_log": r"""
   SELECT o_orderkey AS id, o_custkey AS scraper_config_id, st AS status,
-         CASE WHEN st = 'failed' THEN 0 ELSE CAST(o_totalprice / 1000 AS INTEGER) END AS items_found,
+         CASE WHEN st = 'failed' THEN 0 ELSE CAST(trunc(o_totalprice / 1000) AS INTEGER) END AS items_found,
          CASE WHEN st = 'failed' THEN 'timeout on order ' || CAST(o_orderkey AS VARCHAR) END AS error_message,
          o_orderdate + to_seconds(o_orderkey % 86400) AS started_at,
          o_totalprice / 10000 AS duration_seconds
