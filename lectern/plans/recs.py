@@ -1,3 +1,184 @@
-"""Queries: recs."""
+"""Vector and recommendation queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from lectern.functions.text import WS
+from lectern.functions.vectors import embedding_text, hash_embedding
+from lectern.operators import recs as R
+from lectern.plans.catalog import query
+from lectern.session import AS_OF
+from lectern.sources import tables as T
+
+
+def _duck_strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _duck_hash_embedding(text_expr: str, dim: int = 384) -> str:
+    hexes = [f"sha256({text_expr})"]
+    for _ in range((dim + 31) // 32 - 1):
+        hexes.append(f"sha256({hexes[-1]})")
+    pairs = f"regexp_extract_all({' || '.join(hexes)}, '[0-9a-f]{{2}}')"
+    vals = f"list_transform({pairs}[1:{dim}], lambda x: ('0x' || x)::INTEGER / 255.0 - 0.5)"
+    return vals
+
+
+def _duck_normalized(vals: str) -> str:
+    return (f"list_transform({vals}, lambda x: x / sqrt(list_reduce(list_transform({vals}, lambda y: y * y), "
+            f"lambda a, b: a + b)))")
+
+
+DOC_TEXT = _duck_strip("title || '. ' || title || '. ' || coalesce(abstract, '')")
+
+
+def content_vectors(spark, sf_dir):
+    """Hash embeddings (T26) of all content, the vector space of text queries (M1/M7)."""
+    u = T.content_union(spark, sf_dir)
+    return u.select("external_id", hash_embedding(embedding_text(F.col("title"), F.col("abstract")))
+                    .alias("embedding"))
+
+
+@query("hash_embedding", views=("content_union",), sql=f"""
+WITH v AS (SELECT external_id, {_duck_hash_embedding(DOC_TEXT)} AS vals FROM content_union),
+n AS (SELECT external_id, {_duck_normalized('vals')} AS emb FROM v)
+SELECT external_id, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS value
+FROM (SELECT external_id, unnest(emb) AS x, generate_subscripts(emb, 1) AS d FROM n)
+""")
+def hash_embedding_q(spark, sf_dir):
+    """384-dim hash embedding of every content item's "title. title. abstract"."""
+    v = content_vectors(spark, sf_dir)
+    return v.select("external_id", F.posexplode("embedding").alias("dim", "x")).select(
+        "external_id", "dim", F.round("x", 6).alias("value"))
+
+
+@query("similar_items", views=("nlp_profile",), sql="""
+SELECT query_id, external_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, external_id) AS rank
+  FROM (SELECT q.external_id AS query_id, p.external_id,
+               list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score
+        FROM nlp_profile q JOIN nlp_profile p
+          ON q.external_id <> p.external_id AND len(q.embedding) = len(p.embedding)
+        WHERE len(p.embedding) > 0))
+WHERE rank <= 10
+""")
+def similar_items(spark, sf_dir):
+    """M2 for every profiled item: its 10 nearest items by dot product (exact, blocked)."""
+    out = R.similar(T.nlp_profile(spark, sf_dir), k=10)
+    return out.select("query_id", "external_id", F.round("score", 6).alias("score"), "rank")
+
+
+_USER_VEC = f"""
+act AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn
+        FROM user_activity WHERE activity_type IN ('save', 'view')),
+a AS (SELECT * FROM act WHERE rn <= 200 AND coalesce(content_id, '') <> ''),
+j AS (SELECT a.user_id,
+             (CASE WHEN a.activity_type = 'save' THEN 3.0 ELSE 1.0 END)
+             * exp(-0.693 * floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(a.created_at)) / 86400000000) / 30.0)
+             * (CASE WHEN s.external_id IS NOT NULL THEN 1.5 ELSE 1.0 END) AS w,
+             p.embedding
+      FROM a JOIN nlp_profile p ON p.external_id = a.content_id AND len(p.embedding) > 0
+      LEFT JOIN saved_article s ON s.user_id = a.user_id AND s.external_id = a.content_id),
+e AS (SELECT user_id, w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM j),
+sm AS (SELECT user_id, d, sum(w * x) AS v FROM e GROUP BY 1, 2),
+nm AS (SELECT user_id, sqrt(sum(v * v)) AS n FROM sm GROUP BY 1),
+uv AS (SELECT user_id, d, CASE WHEN n > 0 THEN v / n ELSE v END AS x FROM sm JOIN nm USING (user_id))
+"""
+
+
+@query("user_vectors", views=("user_activity", "saved_article", "nlp_profile"), sql=f"""
+WITH {_USER_VEC}
+SELECT user_id, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS value FROM uv
+""")
+def user_vectors(spark, sf_dir):
+    """M3 for all users: decayed, weighted, normalised mean of their items' embeddings."""
+    uv = R.user_vectors(T.user_activity(spark, sf_dir), T.saved_article(spark, sf_dir),
+                        T.nlp_profile(spark, sf_dir))
+    return uv.select("user_id", F.posexplode("user_vec").alias("dim", "x")).select(
+        "user_id", "dim", F.round("x", 6).alias("value"))
+
+
+@query("content_recs", views=("user_activity", "saved_article", "nlp_profile"), sql=f"""
+WITH {_USER_VEC},
+vec AS (SELECT user_id, list(x ORDER BY d) AS v FROM uv GROUP BY 1),
+seen AS (SELECT DISTINCT user_id, content_id AS external_id FROM user_activity
+         WHERE activity_type IN ('save', 'view') AND content_id IS NOT NULL),
+sc AS (SELECT vec.user_id, p.external_id, list_dot_product(vec.v, p.embedding::DOUBLE[]) AS score
+       FROM vec JOIN nlp_profile p ON len(p.embedding) = len(vec.v)
+       WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = vec.user_id AND seen.external_id = p.external_id))
+SELECT user_id, external_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, external_id) AS rank FROM sc)
+WHERE rank <= 100
+""")
+def content_recs(spark, sf_dir):
+    """M4 for all users: top-100 unseen items by user vector . item embedding."""
+    act = T.user_activity(spark, sf_dir)
+    prof = T.nlp_profile(spark, sf_dir)
+    uv = R.user_vectors(act, T.saved_article(spark, sf_dir), prof)
+    out = R.content_recs(uv, prof, act, k=100)
+    return out.select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("cold_start_recs", views=("user_activity", "user_profile", "saved_article", "content_union"), sql=f"""
+WITH cnt AS (SELECT user_id, count(*) AS n FROM user_activity WHERE activity_type IN ('save', 'view') GROUP BY 1),
+cold AS (SELECT p.user_id, array_to_string(list_concat(p.interests, p.research_areas), ' ') AS qtext
+         FROM user_profile p LEFT JOIN cnt USING (user_id) WHERE coalesce(cnt.n, 0) < 3),
+qt AS (SELECT DISTINCT qtext FROM cold WHERE trim(qtext) <> ''),
+qv AS (SELECT qtext, {_duck_normalized(_duck_hash_embedding(_duck_strip("qtext || '. ' || qtext || '. '")))} AS v
+       FROM qt),
+dv AS (SELECT external_id, {_duck_normalized(_duck_hash_embedding(DOC_TEXT))} AS v FROM content_union),
+sc AS (SELECT qtext, external_id, score, rank FROM (
+         SELECT qv.qtext, dv.external_id, list_dot_product(qv.v, dv.v) AS score,
+                row_number() OVER (PARTITION BY qv.qtext ORDER BY round(list_dot_product(qv.v, dv.v), 9) DESC,
+                                   dv.external_id) AS rank
+         FROM qv JOIN dv ON len(qv.v) = len(dv.v)) WHERE rank <= 20),
+pop AS (SELECT external_id, CAST(count(*) AS DOUBLE) AS score FROM saved_article GROUP BY 1
+        ORDER BY score DESC, external_id LIMIT 20),
+popr AS (SELECT *, row_number() OVER (ORDER BY score DESC, external_id) AS rank FROM pop)
+SELECT c.user_id, sc.external_id, round(sc.score, 6) AS score, sc.rank FROM cold c JOIN sc USING (qtext)
+UNION ALL
+SELECT c.user_id, popr.external_id, popr.score, popr.rank
+FROM cold c, popr WHERE trim(c.qtext) = ''
+""")
+def cold_start_recs(spark, sf_dir):
+    """M7 for every cold user (< 3 interactions): interest-text top-20 over content hash
+    embeddings, else the 20 most saved items."""
+    act = T.user_activity(spark, sf_dir)
+    tiers = R.interaction_tiers(act, T.user_profile(spark, sf_dir))
+    cold = T.user_profile(spark, sf_dir).join(tiers.filter(F.col("tier") == "cold").select("user_id"), "user_id")
+    out = R.cold_start(cold, content_vectors(spark, sf_dir), T.saved_article(spark, sf_dir), k=20)
+    return out.select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("collab_recs")
+def collab_recs(spark, sf_dir):
+    """M5 + M6: rank-50 truncated SVD of the interaction matrix; top-100 unseen items per
+    user by reconstructed score.  (SVD is checked against numpy in tests/.)"""
+    act = T.user_activity(spark, sf_dir)
+    factors = R.fit_svd(R.interaction_matrix(act), k=50)
+    out = R.collab_recs(factors, act, k=100)
+    return out.select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
+
+
+def hybrid(spark, sf_dir, top_k: int = 20):
+    act = T.user_activity(spark, sf_dir)
+    prof = T.nlp_profile(spark, sf_dir)
+    saved = T.saved_article(spark, sf_dir)
+    users = T.user_profile(spark, sf_dir)
+    tiers = R.interaction_tiers(act, users)
+    content = R.content_recs(R.user_vectors(act, saved, prof), prof, act, k=100)
+    collab = R.collab_recs(R.fit_svd(R.interaction_matrix(act), k=50), act, k=100)
+    scored = R.hybrid_scores(content, collab, tiers)
+    warm = R.mmr(scored, prof, lam=0.7, top_k=top_k)
+    cold = users.join(tiers.filter(F.col("tier") == "cold").select("user_id"), "user_id")
+    cold_recs = R.cold_start(cold, content_vectors(spark, sf_dir), saved, k=top_k)
+    return warm.unionByName(cold_recs.select("user_id", "external_id", "score", F.col("rank").cast("long")))
+
+
+@query("hybrid_recs")
+def hybrid_recs(spark, sf_dir):
+    """M8 + M9 + M7 for every user: adaptive content/collaborative blend with MMR
+    diversity for warm users, cold start for the rest; 20 per user."""
+    return hybrid(spark, sf_dir, 20).select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
