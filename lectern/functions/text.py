@@ -87,9 +87,10 @@ def sentences(c: Column) -> Column:
 def bigrams(toks: Column) -> Column:
     """Bigrams of adjacent tokens ("a b"), in order."""
     n = F.size(toks)
+    m = F.greatest(n - 1, F.lit(0))
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.slice(toks, 1, F.greatest(n - 1, F.lit(1))),
-                    lambda x, i: F.concat(x, F.lit(" "), F.element_at(toks, i + 2))))
+        F.zip_with(F.slice(toks, 1, F.greatest(m, F.lit(1))), F.slice(toks, 2, F.greatest(m, F.lit(1))),
+                   lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def org_entities(c: Column) -> Column:

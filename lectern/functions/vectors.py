@@ -26,9 +26,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Divide by the L2 norm (sequential sum of squares); zero vectors stay as they are."""
+    """Divide by the L2 norm (sequential sum of squares); a zero vector stays as it is.
+
+    The norm is evaluated once per row (array_repeat outside the lambda), never
+    inside the per-element lambda.
+    """
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    safe = F.when(norm > 0, norm).otherwise(F.lit(1.0))
+    return F.zip_with(v, F.array_repeat(safe, F.size(v)), lambda x, n: x / n)
 
 
 def hash_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:

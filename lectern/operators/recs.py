@@ -267,13 +267,14 @@ def cold_start(users: DataFrame, profiles: DataFrame, saved: DataFrame, k: int =
     """M7: interests + research areas as query text -> hash embedding -> top-k profiles of
     equal width; users without such text (or without matching profiles) get the
     popular items.  Identical texts are scored once (a group of copies costs one query)."""
-    from lectern.functions.vectors import hash_embedding, EMBEDDING_DIM
+    from lectern.functions.vectors import hash_embedding, embedding_text, EMBEDDING_DIM
     dim = dim or EMBEDDING_DIM
     text = F.concat_ws(" ", F.concat(F.coalesce("interests", F.array().cast("array<string>")),
                                      F.coalesce("research_areas", F.array().cast("array<string>"))))
     u = users.select("user_id", text.alias("qtext"))
     has = u.filter(F.trim("qtext") != "")
-    texts = has.select("qtext").distinct().select("qtext", hash_embedding(F.col("qtext"), dim).alias("qvec"))
+    texts = has.select("qtext").distinct().select(
+        "qtext", hash_embedding(embedding_text(F.col("qtext"), F.lit("")), dim).alias("qvec"))
     items = profiles.filter(F.size("embedding") > 0).select("external_id", "embedding")
     scored = block_top_k(texts, items, k, "qtext", "external_id", "qvec", "embedding")
     by_text = has.join(scored, "qtext").select("user_id", "external_id", "score", "rank")
