@@ -42,9 +42,30 @@ ORG_PATTERNS = [
 TOKEN_STOPS = sorted(set(BASIC_STOPWORDS) | set(ACADEMIC_STOPWORDS))
 KEYWORD_STOPS = sorted(set(BASIC_STOPWORDS) | set(KEYWORD_EXTRA_STOPWORDS) | set(ACADEMIC_STOPWORDS))
 
-# Unicode whitespace as Python's str.split()/\s sees it.
-WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NON_WS = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Unicode whitespace as Python's \s sees it (Java's and RE2's \s are ASCII only).
+WS_BODY = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{WS_BODY}]"
+NON_WS = f"[^{WS_BODY}]"
+
+
+def unicode_ws(pattern: str) -> str:
+    """Rewrite a Python pattern's \\s for Java/RE2: inside a class add the Unicode
+    whitespace body, outside use the class."""
+    out, in_class, i = [], False, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            pair = pattern[i:i + 2]
+            out.append((WS_BODY if in_class else WS) if pair == "\\s" else pair)
+            i += 2
+            continue
+        if ch == "[":
+            in_class = True
+        elif ch == "]":
+            in_class = False
+        out.append(ch)
+        i += 1
+    return "".join(out)
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
@@ -97,7 +118,7 @@ def org_entities(c: Column) -> Column:
     """Organisation mentions by three patterns, findall order, stripped, no dedupe.
     Texts shorter than 10 stripped chars give an empty list."""
     t = F.coalesce(c, F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), 0) for p in ORG_PATTERNS])
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(unicode_ws(p)), 0) for p in ORG_PATTERNS])
     found = F.transform(found, lambda m: strip_ws(m))
     return F.when(F.length(strip_ws(t)) < 10, F.array().cast("array<string>")).otherwise(found)
 
@@ -109,7 +130,7 @@ def truncate_words(c: Column, n: int = 1500) -> Column:
         .otherwise(c)
 
 
-_KW = r"(?i)keywords?\s*:\s*(.+?)(?:\.|$)"
+_KW = unicode_ws(r"(?i)keywords?\s*:\s*(.+?)(?:\.|$)")
 
 
 def inline_keywords(c: Column) -> Column:
@@ -122,7 +143,7 @@ def inline_keywords(c: Column) -> Column:
 
 def strip_inline_keywords(c: Column) -> Column:
     """Remove every `keywords: ...` span, then strip."""
-    return strip_ws(F.regexp_replace(c, r"(?i)\s*keywords?\s*:\s*.+?(?:\.|$)", ""))
+    return strip_ws(F.regexp_replace(c, unicode_ws(r"(?i)\s*keywords?\s*:\s*.+?(?:\.|$)"), ""))
 
 
 def bare_doi(c: Column) -> Column:

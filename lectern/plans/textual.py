@@ -1,3 +1,169 @@
-"""Queries: textual."""
+"""Text queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import text as X
+from lectern.operators import enrich as E
+from lectern.operators import search as S
+from lectern.plans.catalog import query
+from lectern.sources import tables as T
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def duck_clean(expr: str) -> str:
+    t = f"coalesce({expr}, '')"
+    t = f"regexp_replace({t}, '{_q('http' + X.NON_WS + '+|www[.]' + X.NON_WS + '+')}', '', 'g')"
+    t = f"regexp_replace({t}, '{_q(X.NON_WS + '+@' + X.NON_WS + '+')}', '', 'g')"
+    t = f"regexp_replace({t}, '{_q('10[.]\\p{Nd}{4,}/' + X.NON_WS + '+')}', '', 'g')"
+    t = f"regexp_replace({t}, '[$][^$]+[$]', ' ', 'g')"
+    t = f"regexp_replace({t}, '{_q(r'\\[a-zA-Z]+\{[^}]*\}')}', '', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', '', 'g')"
+    t = f"regexp_replace({t}, '{_q(X.WS + '+')}', ' ', 'g')"
+    return f"trim({t})"
+
+
+def duck_strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '{_q('^' + X.WS + '+|' + X.WS + '+$')}', '', 'g')"
+
+
+def duck_words(expr: str) -> str:
+    return (f"list_filter(regexp_split_to_array(lower({expr}), '{X.WORD_SPLIT}'), "
+            f"lambda x: regexp_full_match(x, '[a-z]{{3,}}'))")
+
+
+def duck_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def duck_tokens(expr: str, stops: list[str]) -> str:
+    return f"list_filter({duck_words(duck_clean(expr))}, lambda x: NOT list_contains({duck_list(stops)}, x))"
+
+
+DOC_FULL_TEXT = "CASE WHEN coalesce(abstract, '') <> '' THEN title || '. ' || abstract ELSE title END"
+
+
+@query("clean_text", sql=f"""
+SELECT doc_id, {duck_clean('text')} AS cleaned FROM documents
+""")
+def clean_text(spark, sf_dir):
+    """T1 over every document's whole text."""
+    d = T.read(spark, sf_dir, "documents")
+    return d.select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("tokens", sql=f"""
+SELECT doc_id, len(t) AS token_count, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, {duck_tokens('text', X.TOKEN_STOPS)} AS t FROM documents)
+""")
+def tokens(spark, sf_dir):
+    """T2 over every document: stop-word-free ASCII tokens and their count."""
+    d = T.read(spark, sf_dir, "documents")
+    t = X.tokens(F.col("text"))
+    return d.select("doc_id", F.size(t).alias("token_count"), F.array_join(t, " ").alias("tokens"))
+
+
+@query("sentences", sql=f"""
+SELECT doc_id, len(s) AS n_sentences, array_to_string(s, ' | ') AS sentences
+FROM (SELECT doc_id, list_filter(list_transform(string_split_regex({duck_clean('text')}, '[.!?]+'),
+                                                lambda x: {duck_strip('x')}), lambda x: x <> '') AS s
+      FROM documents)
+""")
+def sentences(spark, sf_dir):
+    """T3 over every document."""
+    d = T.read(spark, sf_dir, "documents")
+    s = X.sentences(F.col("text"))
+    return d.select("doc_id", F.size(s).alias("n_sentences"), F.array_join(s, " | ").alias("sentences"))
+
+
+@query("keywords", views=("content_union",), sql=f"""
+WITH b AS (SELECT external_id, {duck_tokens(DOC_FULL_TEXT, X.KEYWORD_STOPS)} AS toks FROM content_union
+           WHERE length({duck_strip(DOC_FULL_TEXT)}) >= 20),
+b2 AS (SELECT external_id, toks, greatest(len(toks), 1) AS total FROM b),
+u AS (SELECT external_id, term, 0 AS kind, min(pos) AS first_pos,
+             count(*) / any_value(total) * (1.0 + least(length(term) / 10.0, 1.0)) AS raw
+      FROM (SELECT external_id, total, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM b2)
+      GROUP BY external_id, term),
+g AS (SELECT external_id, total, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) AS bg
+      FROM b2 WHERE len(toks) >= 2),
+bi AS (SELECT external_id, term, 1 AS kind, min(pos) AS first_pos, count(*) * 1.5 / any_value(total) AS raw
+       FROM (SELECT external_id, total, unnest(bg) AS term, generate_subscripts(bg, 1) - 1 AS pos FROM g)
+       GROUP BY external_id, term),
+r AS (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY raw DESC, kind, first_pos) AS rank
+      FROM (SELECT * FROM u UNION ALL SELECT * FROM bi))
+SELECT external_id, rank, term AS keyword,
+       round(raw / max(raw) OVER (PARTITION BY external_id), 4) AS score
+FROM r WHERE rank <= 10
+""")
+def keywords(spark, sf_dir):
+    """T4 over all content ("title. abstract"): top-10 keywords per item."""
+    u = T.content_union(spark, sf_dir).withColumn("_text", E.full_text(F.col("title"), F.col("abstract")))
+    return E.keywords(u, "external_id", "_text", 10)
+
+
+def _duck_orgs(expr: str) -> str:
+    parts = [f"regexp_extract_all({expr}, '{_q(X.unicode_ws(p))}')" for p in X.ORG_PATTERNS]
+    return f"list_transform(list_concat({', '.join(parts)}), lambda m: {duck_strip('m')})"
+
+
+@query("org_entities", sql=f"""
+SELECT doc_id, len(o) AS n_orgs, array_to_string(o, '|') AS organizations
+FROM (SELECT doc_id, CASE WHEN length({duck_strip("coalesce(text, '')")}) < 10 THEN []::VARCHAR[]
+                          ELSE {_duck_orgs('text')} END AS o FROM documents)
+""")
+def org_entities(spark, sf_dir):
+    """T6 over every document: organisation mentions in findall order."""
+    d = T.read(spark, sf_dir, "documents")
+    o = X.org_entities(F.col("text"))
+    return d.select("doc_id", F.size(o).alias("n_orgs"), F.array_join(o, "|").alias("organizations"))
+
+
+_KWX = X._KW.replace("'", "''")
+_KWS = X.unicode_ws(r"(?i)\s*keywords?\s*:\s*.+?(?:\.|$)").replace("'", "''")
+
+
+@query("live_clean", views=("content_union",), sql=f"""
+WITH c AS (
+  SELECT id, trim(coalesce(title, '')) AS title,
+         CASE WHEN coalesce(url, '') <> '' THEN url
+              WHEN coalesce(doi, '') <> '' THEN 'https://doi.org/' || replace(replace(doi, 'https://doi.org/', ''), 'http://doi.org/', '')
+              WHEN starts_with(coalesce(external_id, ''), 'http') THEN external_id ELSE '' END AS url,
+         {duck_strip(f"regexp_replace(coalesce(abstract, ''), '{_KWS}', '', 'g')")} AS ab,
+         CASE WHEN regexp_matches(coalesce(abstract, ''), '{_KWX}')
+              THEN list_filter(list_transform(string_split(regexp_extract(coalesce(abstract, ''), '{_KWX}', 1), ','),
+                                              lambda x: {duck_strip('x')}), lambda x: x <> '')
+              ELSE []::VARCHAR[] END AS kws,
+         published_date
+  FROM content_union)
+SELECT id, title, url,
+       CASE WHEN length(ab) > 1500 THEN regexp_replace(substring(ab, 1, 1500), ' [^ ]*$', '') || '...' ELSE ab END
+         AS abstract,
+       len(kws) AS n_inline_keywords
+FROM c WHERE title <> '' AND (published_date IS NULL OR published_date <= DATE '2024-01-31') AND url <> ''
+""")
+def live_clean(spark, sf_dir):
+    """F8 + T8-T10 over all content as live-search results: drop empty titles, future
+    dates and URL-less rows; split inline keywords; truncate abstracts at 1500."""
+    u = T.content_union(spark, sf_dir).withColumn("keywords", F.array().cast("array<string>")) \
+        .withColumn("authors", F.array().cast("array<struct<name:string>>"))
+    from lectern.functions.text import inline_keywords
+    out = S.clean_live(u.withColumn("n_inline_keywords",
+                                    F.size(inline_keywords(F.coalesce(F.col("abstract"), F.lit(""))))))
+    return out.select("id", "title", "url", "abstract", "n_inline_keywords")
+
+
+@query("enrich_profiles", views=("content_union",), sql=f"""
+SELECT external_id, type AS source_table, len({duck_tokens(DOC_FULL_TEXT, X.TOKEN_STOPS)}) AS token_count,
+       'en' AS language
+FROM content_union
+""")
+def enrich_profiles(spark, sf_dir):
+    """M10 for all content: token count, keywords, entities, embedding -> profile rows
+    (the scalar columns are compared; keywords/embedding are checked by their own queries)."""
+    u = T.content_union(spark, sf_dir)
+    p = E.enrich(u, "external_id", F.col("type"))
+    return p.select("external_id", "source_table", "token_count", "language")
