@@ -51,6 +51,22 @@ def hash_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     return l2_normalize(vals)
 
 
+def with_hash_embedding(df: DataFrame, text: Column, out_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
+    """T26 as staged projections: the text and each digest of the chain are columns of
+    their own, so the (regex-cleaned) text is hashed once and each digest once, instead
+    of once per use inside one nested expression."""
+    blocks = (dim + 31) // 32
+    out = df.withColumn("_he_t", text).withColumn("_he_h0", F.sha2(F.col("_he_t"), 256))
+    for i in range(1, blocks):
+        out = out.withColumn(f"_he_h{i}", F.sha2(F.col(f"_he_h{i - 1}"), 256))
+    pairs = F.regexp_extract_all(F.concat(*[F.col(f"_he_h{i}") for i in range(blocks)]),
+                                 F.lit("[0-9a-f]{2}"), 0)
+    out = out.withColumn("_he_v", F.transform(F.slice(pairs, 1, dim),
+                                              lambda x: F.conv(x, 16, 10).cast("double") / 255.0 - 0.5))
+    out = out.withColumn(out_col, l2_normalize(F.col("_he_v")))
+    return out.drop("_he_t", "_he_v", *[f"_he_h{i}" for i in range(blocks)])
+
+
 def embedding_text(title: Column, abstract: Column) -> Column:
     """M1 input: "{title}. {title}. {abstract}" stripped."""
     from lectern.functions.text import strip_ws

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 
 from lectern.functions.text import (KEYWORD_STOPS, bigrams, clean_text, org_entities, strip_ws,
                                     tokens, words)
-from lectern.functions.vectors import embedding_text, hash_embedding
+from lectern.functions.vectors import embedding_text, with_hash_embedding
 
 MIN_KEYWORD_TEXT = 20   # fixed value: shorter stripped texts get no keywords
 MIN_ENTITY_TEXT = 10    # fixed value: shorter stripped texts get no entities
@@ -103,9 +103,11 @@ def enrich(content: DataFrame, id_col: str = "external_id", source_table: Column
                              lambda m: F.struct(m.alias("text"), F.lit("ORG").alias("label"))).alias("organizations"),
                  F.array().cast("array<struct<text:string,label:string>>").alias("locations"),
                  F.array().cast("array<struct<text:string,label:string>>").alias("misc")).alias("entities"),
-        hash_embedding(embedding_text(F.col("title"), F.col("abstract"))).alias("embedding"),
+        "title", "abstract",
         F.lit("hash-384").alias("embedding_model"),
         F.lit("en").alias("language"))
+    prof = with_hash_embedding(prof, embedding_text(F.col("title"), F.col("abstract")), "embedding") \
+        .drop("title", "abstract")
     # the top-n list per item is at most n entries (bounded), so collect_list is safe
     return (prof.join(kw, id_col, "left")
             .withColumn("keywords", F.transform(F.coalesce("_kw", F.array().cast(

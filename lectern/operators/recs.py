@@ -130,16 +130,22 @@ def similar(profiles: DataFrame, k: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- collaborative
 
-def fit_svd(matrix: DataFrame, k: int = SVD_RANK):
-    """M5: truncated SVD of the interaction matrix (mllib IndexedRowMatrix.computeSVD).
+def fit_svd(matrix: DataFrame, k: int = SVD_RANK, local_max_items: int = 4096):
+    """M5: truncated SVD of the interaction matrix A (users x items).
 
     Skips (returns None) with fewer than 10 non-zeros or when min(shape) - 1 < 2.
-    Returns (user_factors, item_factors) DataFrames with `uf` = U*S rows and
-    `vf` = V rows, so score(u, i) = uf . vf.  V is derived distributedly as
-    A^T U S^-1 (an aggregation per item), never collected.
+    Returns (user_factors, item_factors) DataFrames with `uf` = (U S) rows and
+    `vf` = V rows, so score(u, i) = uf . vf (the rank-k reconstruction of A).
+
+    Up to `local_max_items` items: one distributed pass builds the Gramian A^T A
+    (mllib RowMatrix.computeGramianMatrix, a treeAggregate of per-row outer
+    products), its n x n eigen-decomposition gives V and S, and U S = A V is a
+    distributed weighted sum per user.  Beyond that, mllib's computeSVD runs the
+    distributed ARPACK iteration and V = A^T U S^-1 is aggregated per item.
     """
+    from pyspark import StorageLevel
     from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix, RowMatrix
 
     spark = matrix.sparkSession
     stats = matrix.agg(F.count(F.lit(1)).alias("nnz"), F.countDistinct("user_id").alias("nu"),
@@ -149,17 +155,32 @@ def fit_svd(matrix: DataFrame, k: int = SVD_RANK):
     rank = min(k, min(stats["nu"], stats["ni"]) - 1)
     if rank < 2:
         return None
-    # column index per item: zipWithIndex is a distributed numbering (no single-task sort);
-    # rows are indexed by user_id itself (IndexedRowMatrix accepts any long index)
+    n_items = stats["ni"]
+    # column index per item: zipWithIndex is a distributed numbering (no single-task sort)
     items = spark.createDataFrame(
         matrix.select("external_id").distinct().rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])),
         "external_id string, j long")
     m = matrix.join(items, "external_id")
-    n_items = stats["ni"]
     rows = (m.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("e")).rdd
-            .map(lambda r: IndexedRow(r["user_id"], MV.sparse(n_items, [x["j"] for x in r["e"]],
-                                                               [x["w"] for x in r["e"]]))))
-    svd = IndexedRowMatrix(rows).computeSVD(rank, computeU=True)
+            .map(lambda r: (r["user_id"], MV.sparse(n_items, [x["j"] for x in r["e"]],
+                                                    [x["w"] for x in r["e"]]))))
+    if n_items <= local_max_items:
+        g = RowMatrix(rows.map(lambda t: t[1])).computeGramianMatrix().toArray()
+        evals, evecs = np.linalg.eigh(g)
+        order = np.argsort(evals)[::-1][:rank]
+        sv = np.sqrt(np.clip(evals[order], 0.0, None))
+        keep = sv > 1e-9 * max(sv.max(), 1e-300)
+        V = evecs[:, order][:, keep]
+        # V is n_items x rank with n_items bounded by local_max_items
+        vdf = spark.createDataFrame([(int(j), [float(x) for x in V[j]]) for j in range(n_items)],
+                                    "j long, vf array<double>")
+        item_f = items.join(vdf, "j").select("external_id", "vf")
+        user_f = (m.join(vdf, "j")
+                  .groupBy("user_id").agg(Summarizer.sum(array_to_vector("vf"), F.col("w")).alias("av"))
+                  .select("user_id", vector_to_array("av").alias("uf")))
+        return user_f, item_f
+    irows = rows.map(lambda t: IndexedRow(t[0], t[1])).persist(StorageLevel.MEMORY_AND_DISK)
+    svd = IndexedRowMatrix(irows).computeSVD(rank, computeU=True)
     s = [float(x) for x in svd.s.toArray()]
     u_rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
     U = spark.createDataFrame(u_rows, "user_id long, urow array<double>")
@@ -267,15 +288,15 @@ def cold_start(users: DataFrame, profiles: DataFrame, saved: DataFrame, k: int =
     """M7: interests + research areas as query text -> hash embedding -> top-k profiles of
     equal width; users without such text (or without matching profiles) get the
     popular items.  Identical texts are scored once (a group of copies costs one query)."""
-    from lectern.functions.vectors import hash_embedding, embedding_text, EMBEDDING_DIM
+    from lectern.functions.vectors import with_hash_embedding, embedding_text, EMBEDDING_DIM
     dim = dim or EMBEDDING_DIM
     text = F.concat_ws(" ", F.concat(F.coalesce("interests", F.array().cast("array<string>")),
                                      F.coalesce("research_areas", F.array().cast("array<string>"))))
     u = users.select("user_id", text.alias("qtext"))
     has = u.filter(F.trim("qtext") != "")
-    texts = has.select("qtext").distinct().select(
-        "qtext", hash_embedding(embedding_text(F.col("qtext"), F.lit("")), dim).alias("qvec"))
-    items = profiles.filter(F.size("embedding") > 0).select("external_id", "embedding")
+    texts = with_hash_embedding(has.select("qtext").distinct(),
+                                embedding_text(F.col("qtext"), F.lit("")), "qvec", dim)
+    items = profiles.select("external_id", "embedding")
     scored = block_top_k(texts, items, k, "qtext", "external_id", "qvec", "embedding")
     by_text = has.join(scored, "qtext").select("user_id", "external_id", "score", "rank")
     # users whose interest path produced nothing fall back to popularity

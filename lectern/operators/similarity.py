@@ -79,7 +79,8 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: s
     """
     spark = queries.sparkSession
     par = spark.sparkContext.defaultParallelism
-    nq, ni = queries.count(), items.count()
+    # sizes only choose the block counts; counting the ids lets Catalyst prune the vectors
+    nq, ni = queries.select(q_id).count(), items.select(i_id).count()
     side = max(1, int(math.sqrt(par)))
     bq, bi = _blocks(nq, block_rows, side), _blocks(ni, block_rows, side)
     q_type = dict(queries.dtypes)[q_id]

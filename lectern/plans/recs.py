@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lectern.functions.text import WS
-from lectern.functions.vectors import embedding_text, hash_embedding
+from lectern.functions.vectors import embedding_text, with_hash_embedding
 from lectern.operators import recs as R
 from lectern.plans.catalog import query
 from lectern.session import AS_OF
@@ -36,9 +36,9 @@ DOC_TEXT = _duck_strip("title || '. ' || title || '. ' || coalesce(abstract, '')
 
 def content_vectors(spark, sf_dir):
     """Hash embeddings (T26) of all content, the vector space of text queries (M1/M7)."""
-    u = T.content_union(spark, sf_dir)
-    return u.select("external_id", hash_embedding(embedding_text(F.col("title"), F.col("abstract")))
-                    .alias("embedding"))
+    u = T.content_union(spark, sf_dir).select("external_id", "title", "abstract")
+    return with_hash_embedding(u, embedding_text(F.col("title"), F.col("abstract")), "embedding").select(
+        "external_id", "embedding")
 
 
 @query("hash_embedding", views=("content_union",), sql=f"""
