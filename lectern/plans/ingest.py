@@ -1,3 +1,142 @@
-"""Queries: ingest."""
+"""Ingestion queries: landed payloads -> normalised articles -> upsert."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.operators import store as ST
+from lectern.plans.catalog import query
+from lectern.sources import normalizers as N
+from lectern.sources import payloads as P
+from lectern.sources import tables as T
+
+
+@query("openalex_normalize", views=("article",), sql="""
+SELECT 'openalex:W' || CAST(id AS VARCHAR) AS external_id, title, abstract, doi, published_date,
+       source_name AS journal, CAST(id % 90 + 1 AS VARCHAR) || '-' || CAST(id % 90 + 9 AS VARCHAR) AS pages,
+       array_to_string(categories, '|') AS categories, citation_count, authors[1].name AS first_author
+FROM article
+""")
+def openalex_normalize(spark, sf_dir):
+    """S1 + S6 + T14: OpenAlex pages landed from every article, parsed and normalised
+    (abstracts rebuilt from the inverted index)."""
+    landed = P.land_openalex(T.article(spark, sf_dir))
+    items = P.read_json_payloads(landed, P.OPENALEX_SCHEMA, ["results"])
+    a = N.normalize_openalex(items)
+    return a.select("external_id", "title", "abstract", "doi", "published_date", "journal", "pages",
+                    F.array_join("categories", "|").alias("categories"), "citation_count",
+                    F.element_at("authors", 1)["name"].alias("first_author"))
+
+
+@query("crossref_normalize", views=("article",), sql="""
+SELECT 'crossref:' || coalesce(doi, '10.9999/x.' || CAST(id AS VARCHAR)) AS external_id, title, abstract,
+       CASE WHEN id % 3 = 0 THEN CAST(date_trunc('month', published_date) AS DATE) ELSE published_date END
+         AS published_date,
+       source_name AS journal, array_to_string(categories, '|') AS categories, authors[1].name AS first_author
+FROM article
+""")
+def crossref_normalize(spark, sf_dir):
+    """S1 + S7: CrossRef pages (date-parts with and without day) parsed and normalised."""
+    landed = P.land_crossref(T.article(spark, sf_dir))
+    items = P.read_json_payloads(landed, P.CROSSREF_SCHEMA, ["message", "items"])
+    a = N.normalize_crossref(items)
+    return a.select("external_id", "title", "abstract", "published_date", "journal",
+                    F.array_join("categories", "|").alias("categories"),
+                    F.element_at("authors", 1)["name"].alias("first_author"))
+
+
+@query("arxiv_normalize", views=("article",), sql="""
+SELECT 'arxiv:' || CAST(id AS VARCHAR) || 'v1' AS external_id, published_date,
+       'http://arxiv.org/pdf/' || CAST(id AS VARCHAR) || 'v1' AS pdf_url,
+       array_to_string(categories, '|') AS categories, len(authors) AS n_authors
+FROM article
+""")
+def arxiv_normalize(spark, sf_dir):
+    """S2 + S5: namespaced Atom feed pages parsed with from_xml and normalised."""
+    landed = P.land_arxiv(T.article(spark, sf_dir))
+    items = P.read_xml_payloads(landed, "entry", P.ARXIV_ENTRY_SCHEMA)
+    a = N.normalize_arxiv(items)
+    return a.select("external_id", "published_date", "pdf_url",
+                    F.array_join("categories", "|").alias("categories"), F.size("authors").alias("n_authors"))
+
+
+_PLAIN = ("trim(regexp_replace(replace(replace(replace(replace(replace(replace("
+          "regexp_replace(title, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
+          "'&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\r\\n]+', ' ', 'g'))")
+
+
+@query("generic_normalize", views=("article",), sql=f"""
+SELECT 'https://openalex.org/W' || CAST(id AS VARCHAR) AS external_id, {_PLAIN} AS title,
+       published_date, CASE WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END AS doi, source
+FROM (SELECT *, 'generic' AS source FROM article) WHERE {_PLAIN} <> ''
+""")
+def generic_normalize(spark, sf_dir):
+    """S4 + R3 + T13: a configured source (dot-path field mapping) over the OpenAlex pages."""
+    landed = P.land_openalex(T.article(spark, sf_dir))
+    items = P.read_json_payloads(landed, P.OPENALEX_SCHEMA, ["results"])
+    mapping = {"external_id": "id", "title": "title", "published_date": "publication_date", "doi": "doi",
+               "url": "id"}
+    return N.normalize(items, mapping, "generic").select("external_id", "title", "published_date", "doi",
+                                                         "source")
+
+
+def _batch(spark, sf_dir):
+    """An incoming batch over all content: every item once, items with id % 7 = 0 twice
+    (a later revision); titles revised for id % 5 = 0; articles send no abstract."""
+    u = T.content_union(spark, sf_dir)
+    b = u.withColumn("seq", F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 7 == 0, 2).otherwise(1))))
+    title = (F.when(F.col("seq") == 2, F.concat(F.col("title"), F.lit(" [rev 2]")))
+             .when(F.col("id") % 5 == 0, F.concat(F.col("title"), F.lit(" [rev 1]"))))
+    return b.select("external_id", "seq", title.alias("title"),
+                    F.when(F.col("type") == "scraped", F.col("abstract")).alias("abstract"),
+                    "doi", "published_date")
+
+
+_UPSERT_SQL = """
+WITH b AS (
+  SELECT external_id, seq,
+         CASE WHEN seq = 2 THEN title || ' [rev 2]' WHEN id % 5 = 0 THEN title || ' [rev 1]' END AS title,
+         CASE WHEN type = 'scraped' THEN abstract END AS abstract, doi, published_date
+  FROM content_union, unnest(range(1, CASE WHEN id % 7 = 0 THEN 3 ELSE 2 END)) AS t(seq)),
+r AS (SELECT external_id, count(*) AS n_rows,
+             arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title,
+             arg_max(abstract, seq) FILTER (WHERE abstract IS NOT NULL) AS abstract,
+             arg_max(doi, seq) FILTER (WHERE doi IS NOT NULL) AS doi,
+             arg_max(published_date, seq) FILTER (WHERE published_date IS NOT NULL) AS published_date
+      FROM b GROUP BY external_id),
+m AS (SELECT coalesce(o.external_id, r.external_id) AS external_id,
+             coalesce(r.title, o.title) AS title,
+             CASE WHEN o.external_id IS NULL THEN coalesce(r.abstract, '') ELSE coalesce(r.abstract, o.abstract) END
+               AS abstract,
+             coalesce(r.doi, o.doi) AS doi, coalesce(r.published_date, o.published_date) AS published_date,
+             CASE WHEN o.external_id IS NULL THEN 'saved' WHEN r.external_id IS NOT NULL THEN 'updated'
+                  ELSE 'unchanged' END AS op, coalesce(r.n_rows, 0) AS n_rows
+      FROM (SELECT external_id, title, abstract, doi, published_date FROM article) o
+      FULL JOIN r ON o.external_id = r.external_id)
+"""
+
+
+@query("upsert_articles", views=("article", "content_union"), sql=_UPSERT_SQL + """
+SELECT external_id, title, abstract, doi, published_date, op FROM m
+""")
+def upsert_articles(spark, sf_dir):
+    """Merge a batch over all content into the article table (not-null fields win,
+    later rows win, new rows get abstract '')."""
+    base = T.article(spark, sf_dir).select("external_id", "title", "abstract", "doi", "published_date")
+    table, _ = ST.upsert(base, _batch(spark, sf_dir), ["external_id"], "seq", "not_null",
+                         insert_defaults={"abstract": F.lit("")})
+    return table
+
+
+@query("upsert_counts", views=("article", "content_union"), sql=_UPSERT_SQL + """
+SELECT CAST(sum(CASE WHEN op = 'saved' THEN 1 ELSE 0 END) AS BIGINT) AS saved,
+       CAST(sum(CASE WHEN op = 'saved' THEN n_rows - 1 ELSE n_rows END) AS BIGINT) AS updated,
+       CAST(0 AS BIGINT) AS skipped
+FROM m
+""")
+def upsert_counts(spark, sf_dir):
+    """Saved / updated / skipped counts of the same merge (the run-log numbers)."""
+    base = T.article(spark, sf_dir).select("external_id", "title", "abstract", "doi", "published_date")
+    _, counts = ST.upsert(base, _batch(spark, sf_dir), ["external_id"], "seq", "not_null",
+                          insert_defaults={"abstract": F.lit("")})
+    return counts
