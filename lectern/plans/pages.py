@@ -1,3 +1,146 @@
-"""Queries: pages."""
+"""Page queries (S12, S14, S16, A14, T28, T29) over the whole `pages` table."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions.text import WS
+from lectern.operators import pages as PG
+from lectern.plans.catalog import query
+from lectern.sources import tables as T
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def duck_unescape(expr: str) -> str:
+    for k, v in PG.ENTITIES:
+        expr = f"replace({expr}, '{_q(k)}', '{_q(v)}')"
+    return expr
+
+
+def duck_text_of(expr: str) -> str:
+    t = f"regexp_replace({expr}, '(?s)<!--.*?-->', '', 'g')"
+    t = duck_unescape(f"regexp_replace({t}, '<[^>]+>', ' ', 'g')")
+    t = f"regexp_replace({t}, '{WS}+', ' ', 'g')"
+    return f"regexp_replace({t}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query("page_items", sql=f"""
+WITH b AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<article\\b[^>]*>(.*?)</article>', 1)) AS blk,
+                  generate_subscripts(regexp_extract_all(html, '(?s)<article\\b[^>]*>(.*?)</article>', 1), 1) - 1
+                    AS item_index
+           FROM pages)
+SELECT page_id, item_index,
+       {duck_text_of("regexp_extract_all(blk, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1)[1]")} AS title,
+       {duck_text_of("regexp_extract_all(blk, '(?s)<p\\b[^>]*>(.*?)</p>', 1)[1]")} AS abstract,
+       len(regexp_extract_all(blk, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS n_links
+FROM b
+""")
+def page_items(spark, sf_dir):
+    """Items of every page: <article> containers, title = first h1, abstract = first p,
+    all link targets (absolute)."""
+    items = PG.extract_items(T.pages(spark, sf_dir), ("article", None),
+                             {"title": ("h1", None, False), "abstract": ("p", None, False),
+                              "links": ("a", "href", True)})
+    return items.select("page_id", "item_index", "title", "abstract", F.size("links").alias("n_links"))
+
+
+@query("container_candidates", sql="""
+WITH c AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<body\\b[^>]*>(.*)</body>', 1),
+                                                     '<\\w+\\b[^>]*\\bclass="([^"]*)"', 1)) AS c FROM pages),
+n AS (SELECT page_id, replace(trim(regexp_replace(c, '\\s+', ' ', 'g')), ' ', '.') AS cls FROM c)
+SELECT page_id, cls, count(*) AS n, '.' || cls AS selector FROM n WHERE cls <> ''
+GROUP BY page_id, cls HAVING count(*) BETWEEN 3 AND 60
+""")
+def container_candidates(spark, sf_dir):
+    """Repeating class combinations (3..60 per page) of every page."""
+    return PG.container_candidates(T.pages(spark, sf_dir))
+
+
+def _duck_body_len() -> str:
+    body = "regexp_replace(regexp_extract(html, '(?s)<body\\b[^>]*>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g')"
+    node = f"regexp_replace({duck_unescape('s')}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"length(array_to_string(list_transform(string_split_regex({body}, '<[^>]+>'), lambda s: {node}), ''))"
+
+
+_MARK = " OR ".join(f"contains(html, '{_q(m)}')" for m in PG.SPA_MARKERS)
+
+
+@query("page_render_check", sql=f"""
+SELECT page_id, bl AS body_text_len,
+       CASE WHEN bl < 200 OR {_MARK} THEN 'script_rendered' ELSE 'static' END AS render_class
+FROM (SELECT page_id, html, {_duck_body_len()} AS bl FROM pages)
+""")
+def page_render_check(spark, sf_dir):
+    """Static vs script-rendered classification of every page."""
+    p = T.pages(spark, sf_dir)
+    return p.select("page_id", PG.body_text_length(F.col("html")).alias("body_text_len"),
+                    PG.render_class(F.col("html")).alias("render_class"))
+
+
+def _duck_is_next() -> str:
+    inner = duck_text_of("regexp_extract(e, '(?s)^<[^>]*>(.*)</\\w+>$', 1)")
+    cls = "regexp_extract(e, '^<[^>]*\\bclass=\"([^\"]*)\"', 1)"
+    aria = "regexp_extract(e, '^<[^>]*\\baria-label=\"([^\"]*)\"', 1)"
+    conds = []
+    for w in PG.NEXT_WORDS:
+        conds += [f"contains({inner}, '{_q(w)}')", f"contains({cls}, '{_q(w)}')", f"contains({aria}, '{_q(w)}')"]
+    return " OR ".join(conds)
+
+
+@query("pagination_detect", sql=f"""
+WITH e AS (SELECT page_id, url,
+                  list_bool_or(list_transform(
+                      regexp_extract_all(html, '(?s)<(?:a|button)\\b[^>]*>.*?</(?:a|button)>'),
+                      lambda e: {_duck_is_next()})) AS has_next
+           FROM pages)
+SELECT page_id,
+       CASE WHEN coalesce(has_next, false) THEN 'NEXT_BUTTON'
+            WHEN contains(url, 'page=') OR contains(url, 'p=') THEN 'QUERY_PARAM' ELSE 'NONE' END AS type,
+       CASE WHEN coalesce(has_next, false) THEN ''
+            WHEN contains(url, 'page=') OR contains(url, 'p=')
+              THEN regexp_replace(url, '^(.*?[?&](?:page|p)=)\\d+', '\\1{{page}}') ELSE '' END AS template
+FROM e
+""")
+def pagination_detect(spark, sf_dir):
+    """How to reach the next page of every page."""
+    p = T.pages(spark, sf_dir)
+    r = PG.pagination(F.col("url"), F.col("html"))
+    return p.select("page_id", r["type"].alias("type"), r["template"].alias("template"))
+
+
+@query("page_frontier", sql="""
+SELECT page_id, page_no, replace(tpl, '{page}', CAST(page_no AS VARCHAR)) AS page_url
+FROM (SELECT page_id, regexp_replace(url, '^(.*?[?&](?:page|p)=)\\d+', '\\1{page}') AS tpl FROM pages
+      WHERE regexp_matches(url, '[?&](page|p)=\\d+')), range(1, 6) AS t(page_no)
+""")
+def page_frontier(spark, sf_dir):
+    """Pages 1..5 of every paginated URL, from its {page} template."""
+    p = T.pages(spark, sf_dir).filter(F.col("url").rlike(r"[?&](page|p)=\d+"))
+    cfg = p.select("page_id", F.regexp_replace("url", r"^(.*?[?&](?:page|p)=)\d+", "$1{page}").alias("tpl"))
+    return PG.page_frontier(cfg, "tpl", 5).select("page_id", "page_no", "page_url")
+
+
+@query("crawl_two_stage", sql="""
+WITH l AS (SELECT page_id, url AS list_url, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href,
+                  generate_subscripts(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1), 1) - 1 AS pos
+           FROM pages),
+a AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
+                     WHEN starts_with(href, '//') THEN regexp_extract(list_url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || href
+                     WHEN starts_with(href, '/') THEN regexp_extract(list_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href
+                     ELSE NULL END AS detail_url FROM l),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, detail_url ORDER BY pos) AS r1 FROM a),
+s AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS step_rank FROM d WHERE r1 = 1)
+SELECT s.page_id, s.step_rank, s.detail_url, p.page_id IS NOT NULL AS landed
+FROM s LEFT JOIN pages p ON p.url = s.detail_url WHERE s.step_rank <= 9
+""")
+def crawl_two_stage(spark, sf_dir):
+    """Every page as a list page: absolute, de-duplicated links capped at 9 detail
+    pages, matched to the landed pages (unmatched = the error list)."""
+    p = T.pages(spark, sf_dir)
+    links = PG.discover_links(p, "a", 10)
+    landed = p.select(F.col("url").alias("detail_url"), F.lit(True).alias("landed")).dropDuplicates(["detail_url"])
+    return (links.join(landed, "detail_url", "left")
+            .select("page_id", "step_rank", "detail_url", F.coalesce("landed", F.lit(False)).alias("landed")))
