@@ -167,3 +167,111 @@ def enrich_profiles(spark, sf_dir):
     u = T.content_union(spark, sf_dir)
     p = E.enrich(u, "external_id", F.col("type"))
     return p.select("external_id", "source_table", "token_count", "language")
+
+
+# ---------------------------------------------------------------- dates and ids
+
+from lectern.functions import dates as D  # noqa: E402
+from lectern.functions.urls import record_id  # noqa: E402
+from lectern.session import AS_OF  # noqa: E402
+
+# month names of the generated test strings (language facts, in calendar order)
+_MONTHS = {
+    "fr": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre",
+           "novembre", "décembre"],
+    "de": ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober",
+           "november", "dezember"],
+    "es": ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre",
+           "noviembre", "diciembre"],
+}
+
+
+def _spark_date_text():
+    d = F.col("published_date")
+    mon = F.month(d)
+    foreign = F.coalesce(*[F.when(F.col("lang") == lang, F.element_at(F.array(*[F.lit(m) for m in names]), mon))
+                           for lang, names in _MONTHS.items()], F.date_format(d, "MMMM"))
+    k = F.col("doc_id") % 10
+    days = F.datediff(F.to_date(F.lit(AS_OF)), d)
+    return (F.when(d.isNull(), F.lit(""))
+            .when(k == 0, F.date_format(d, "yyyy-MM-dd"))
+            .when(k == 1, F.date_format(d, "MM/dd/yyyy"))
+            .when(k == 2, F.date_format(d, "dd.MM.yyyy"))
+            .when(k == 3, F.date_format(d, "MMMM d, yyyy"))
+            .when(k == 4, F.concat_ws(" ", F.dayofmonth(d).cast("string"), foreign, F.year(d).cast("string")))
+            .when(k == 5, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .when(k == 6, F.date_format(d, "yyyy/MM/dd"))
+            .when(k == 7, F.concat(F.lit("published "), F.year(d).cast("string")))
+            .when(k == 8, F.concat(days.cast("string"), F.lit(" days ago")))
+            .otherwise(F.date_format(d, "MMM d yyyy")))
+
+
+def _duck_date_text() -> str:
+    foreign = "CASE lang " + " ".join(
+        f"WHEN '{lang}' THEN ({'[' + ', '.join(repr(m) for m in names) + ']'})[month(published_date)]"
+        for lang, names in _MONTHS.items()) + " ELSE strftime(published_date, '%B') END"
+    return f"""CASE WHEN published_date IS NULL THEN ''
+  WHEN doc_id % 10 = 0 THEN strftime(published_date, '%Y-%m-%d')
+  WHEN doc_id % 10 = 1 THEN strftime(published_date, '%m/%d/%Y')
+  WHEN doc_id % 10 = 2 THEN strftime(published_date, '%d.%m.%Y')
+  WHEN doc_id % 10 = 3 THEN strftime(published_date, '%B %-d, %Y')
+  WHEN doc_id % 10 = 4 THEN CAST(day(published_date) AS VARCHAR) || ' ' || {foreign} || ' ' || CAST(year(published_date) AS VARCHAR)
+  WHEN doc_id % 10 = 5 THEN strftime(published_date, '%Y-%m-%dT%H:%M:%SZ')
+  WHEN doc_id % 10 = 6 THEN strftime(published_date, '%Y/%m/%d')
+  WHEN doc_id % 10 = 7 THEN 'published ' || CAST(year(published_date) AS VARCHAR)
+  WHEN doc_id % 10 = 8 THEN CAST(DATE '{AS_OF[:10]}' - published_date AS VARCHAR) || ' days ago'
+  ELSE strftime(published_date, '%b %-d %Y') END"""
+
+
+@query("parse_dates", views=("content_base",), sql=f"""
+SELECT doc_id, {_duck_date_text()} AS date_text,
+       CASE WHEN doc_id % 10 = 7 THEN make_date(year(published_date), 1, 1) ELSE published_date END AS parsed
+FROM content_base
+""")
+def parse_dates(spark, sf_dir):
+    """Every content date rendered in ten styles (ISO, US, European, English and
+    foreign month names, RFC-like, year-only, 'N days ago') and parsed back."""
+    d = T.read(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("date"))
+        .otherwise(F.date_sub(F.lit("2024-01-30").cast("date"), (F.col("doc_id") * 37 % 500).cast("int")))
+        .alias("published_date"))
+    t = d.select("doc_id", _spark_date_text().alias("date_text"))
+    return D.with_parsed_date(t, F.col("date_text"), "parsed")
+
+
+@query("relative_dates", sql=f"""
+WITH e AS (SELECT event_id, CAST(DATE '{AS_OF[:10]}' - CAST(ts AS DATE) AS BIGINT) AS d FROM events)
+SELECT event_id,
+       CASE event_id % 8 WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' WHEN 2 THEN CAST(d AS VARCHAR) || ' days ago'
+            WHEN 3 THEN CAST(d // 7 AS VARCHAR) || ' weeks ago' WHEN 4 THEN 'bugün' WHEN 5 THEN 'dün'
+            WHEN 6 THEN CAST(d AS VARCHAR) || ' gün ago' ELSE CAST(d // 30 AS VARCHAR) || ' months ago' END AS date_text,
+       CAST(DATE '{AS_OF[:10]}' - CAST(CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN d
+            WHEN 3 THEN (d // 7) * 7 WHEN 4 THEN 0 WHEN 5 THEN 1 WHEN 6 THEN d ELSE (d // 30) * 30 END AS INTEGER)
+            AS DATE) AS parsed
+FROM e
+""")
+def relative_dates(spark, sf_dir):
+    """T19 over every event: relative phrases (en/tr) resolved against as_of."""
+    e = T.read(spark, sf_dir, "events")
+    d = F.datediff(F.to_date(F.lit(AS_OF)), F.to_date("ts")).cast("bigint")
+    k = F.col("event_id") % 8
+    txt = (F.when(k == 0, "today").when(k == 1, "yesterday")
+           .when(k == 2, F.concat(d.cast("string"), F.lit(" days ago")))
+           .when(k == 3, F.concat(F.floor(d / 7).cast("string"), F.lit(" weeks ago")))
+           .when(k == 4, "bugün").when(k == 5, "dün")
+           .when(k == 6, F.concat(d.cast("string"), F.lit(" gün ago")))
+           .otherwise(F.concat(F.floor(d / 30).cast("string"), F.lit(" months ago"))))
+    t = e.select("event_id", txt.alias("date_text"))
+    return D.with_parsed_date(t, F.col("date_text"), "parsed")
+
+
+@query("record_ids", sql="""
+SELECT page_id, 'web:' || substring(md5(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) || ':' || url), 1, 16)
+         AS external_id
+FROM pages
+""")
+def record_ids(spark, sf_dir):
+    """Stable record id of every page (source type 'web', name = host)."""
+    p = T.pages(spark, sf_dir)
+    host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)
+    return p.select("page_id", record_id(F.lit("web"), host, F.col("url")).alias("external_id"))
