@@ -66,24 +66,43 @@ def unicode_ws(pattern: str) -> str:
         out.append(ch)
         i += 1
     return "".join(out)
+
+
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
+# Python whitespace that Java's ASCII \s does not know; mapped to ' ' before the regexes
+_EXOTIC_WS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
+    "\u2028\u2029\u202f\u205f\u3000"
+PY_WS_CHARS = " \t\n\x0b\x0c\r" + _EXOTIC_WS
+
+
+def ascii_ws(c: Column) -> Column:
+    """Map every Python-whitespace character outside Java's \\s to a plain space."""
+    return F.translate(c, _EXOTIC_WS, " " * len(_EXOTIC_WS))
+
+
 def strip_ws(c: Column) -> Column:
     """Python str.strip(): trim Unicode whitespace on both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(PY_WS_CHARS))
 
 
 def clean_text(c: Column) -> Column:
-    """Remove URLs, emails, DOIs, $math$ (-> space), LaTeX commands, tags; collapse whitespace."""
-    t = F.coalesce(c, F.lit(""))
-    t = F.regexp_replace(t, rf"http{NON_WS}+|www\.{NON_WS}+", "")
-    t = F.regexp_replace(t, rf"{NON_WS}+@{NON_WS}+", "")
-    t = F.regexp_replace(t, rf"10\.\p{{Nd}}{{4,}}/{NON_WS}+", "")
+    """Remove URLs, emails, DOIs, $math$ (-> space), LaTeX commands, tags; collapse whitespace.
+
+    Exotic whitespace is first mapped to ' ' (a char translation), so Java's fast ASCII
+    \\s/\\S classes see exactly Python's whitespace; every run collapses to ' ' at the
+    end anyway, so the mapping does not change the result.
+    """
+    t = ascii_ws(F.coalesce(c, F.lit("")))
+    t = F.regexp_replace(t, r"http\S+|www\.\S+", "")
+    # same matches as \S+@\S+, anchored at token starts so the scan stays linear
+    t = F.regexp_replace(t, r"(?<!\S)\S+@\S+", "")
+    t = F.regexp_replace(t, r"10\.\p{Nd}{4,}/\S+", "")
     t = F.regexp_replace(t, r"\$[^$]+\$", " ")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+\{[^}]*\}", "")
     t = F.regexp_replace(t, r"<[^>]+>", "")
-    t = F.regexp_replace(t, rf"{WS}+", " ")
+    t = F.regexp_replace(t, r"\s+", " ")
     return F.trim(t)
 
 

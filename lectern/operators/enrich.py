@@ -30,23 +30,32 @@ def keyword_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     map-side partial counts.
     """
     stop = F.array(*[F.lit(s) for s in KEYWORD_STOPS])
-    base = (df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    # Shuffle the documents (one row each) by id once; every later grouping/window is by
+    # id too, so the token rows never cross the network (no exchange after the explode).
+    base = (df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).repartition("_id")
             .filter(F.length(strip_ws(F.coalesce(F.col("_t"), F.lit("")))) >= MIN_KEYWORD_TEXT)
-            .select("_id", F.filter(words(clean_text(F.col("_t"))), lambda x: ~F.array_contains(stop, x))
-                    .alias("toks")))
-    base = base.select("_id", "toks", F.greatest(F.size("toks"), F.lit(1)).alias("total"))
-    uni = (base.select("_id", "total", F.posexplode("toks").alias("pos", "term"))
-           .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"),
-                                       F.first("total").alias("total"))
-           .select("_id", "term", F.lit(0).alias("kind"), "first_pos",
-                   (F.col("cnt") / F.col("total")
-                    * (F.lit(1.0) + F.least(F.length("term") / F.lit(10.0), F.lit(1.0)))).alias("raw")))
-    bi = (base.select("_id", "total", F.posexplode(bigrams(F.col("toks"))).alias("pos", "term"))
-          .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"),
-                                      F.first("total").alias("total"))
-          .select("_id", "term", F.lit(1).alias("kind"), "first_pos",
-                  (F.col("cnt") * F.lit(1.5) / F.col("total")).alias("raw")))
-    return uni.unionByName(bi).withColumnRenamed("_id", id_col)
+            # explode(array(x)) is a Generate: the token array is computed once per row and
+            # the projections below refer to it instead of re-running the regex pipeline
+            .select("_id", F.explode(F.array(F.filter(words(clean_text(F.col("_t"))),
+                                                      lambda x: ~F.array_contains(stop, x)))).alias("toks")))
+    n = F.size("toks")
+    nxt = F.concat(F.slice("toks", 2, F.greatest(n, F.lit(1))), F.array(F.lit(None).cast("string")))
+    base = base.select("_id", F.greatest(n, F.lit(1)).alias("total"),
+                       F.zip_with("toks", nxt, lambda w, x: F.struct(w.alias("w"), x.alias("x"))).alias("pairs"))
+    # one row per (position, unigram) and (position, bigram): a single pass, one shuffle
+    terms = (base.select("_id", "total", F.posexplode("pairs").alias("pos", "p"))
+             .select("_id", "total", "pos", F.explode(F.array(
+                 F.struct(F.col("p.w").alias("term"), F.lit(0).alias("kind")),
+                 F.struct(F.concat(F.col("p.w"), F.lit(" "), F.col("p.x")).alias("term"), F.lit(1).alias("kind"))
+             )).alias("t"))
+             .filter(F.col("t.term").isNotNull())
+             .select("_id", "total", "pos", "t.term", "t.kind"))
+    g = terms.groupBy("_id", "term", "kind").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"),
+                                                 F.first("total").alias("total"))
+    raw = F.when(F.col("kind") == 0,
+                 F.col("cnt") / F.col("total") * (F.lit(1.0) + F.least(F.length("term") / F.lit(10.0), F.lit(1.0))))\
+        .otherwise(F.col("cnt") * F.lit(1.5) / F.col("total"))
+    return g.select(F.col("_id").alias(id_col), "term", "kind", "first_pos", raw.alias("raw"))
 
 
 def keywords(df: DataFrame, id_col: str, text_col: str, n: int = 10) -> DataFrame:
