@@ -140,3 +140,19 @@ def upsert_counts(spark, sf_dir):
     _, counts = ST.upsert(base, _batch(spark, sf_dir), ["external_id"], "seq", "not_null",
                           insert_defaults={"abstract": F.lit("")})
     return counts
+
+
+@query("semantic_scholar_normalize", views=("article",), sql="""
+SELECT 's2:p' || CAST(id AS VARCHAR) AS external_id, title, abstract,
+       CASE WHEN id % 4 <> 0 THEN published_date WHEN published_date IS NOT NULL
+            THEN make_date(year(published_date), 1, 1) END AS published_date,
+       url || '.pdf' AS pdf_url, citation_count, array_to_string(categories, '|') AS categories
+FROM article
+""")
+def semantic_scholar_normalize(spark, sf_dir):
+    """S1 + S8: Semantic Scholar pages (date or year only) parsed and normalised."""
+    landed = P.land_semantic_scholar(T.article(spark, sf_dir))
+    items = P.read_json_payloads(landed, P.SEMANTIC_SCHOLAR_SCHEMA, ["data"])
+    a = N.normalize_semantic_scholar(items)
+    return a.select("external_id", "title", "abstract", "published_date", "pdf_url", "citation_count",
+                    F.array_join("categories", "|").alias("categories"))

@@ -175,3 +175,24 @@ FROM content_union WHERE published_date IS NOT NULL GROUP BY 1
 def date_drilldown(spark, sf_dir):
     """Month drill-down of published dates."""
     return agg.date_drilldown(T.content_union(spark, sf_dir), "published_date", "month")
+
+
+@query("client_filter_page", views=("content_union",), sql="""
+WITH f AS (SELECT * FROM content_union
+           WHERE list_bool_or([contains(lower(c), 'fr') OR contains(lower(c), 'de') for c in categories])
+             AND source_name IN ('src1', 'src12', 'src5')
+             AND (published_date IS NULL OR published_date >= DATE '2024-01-31' - INTERVAL 3 MONTH)),
+i AS (SELECT id, source_name,
+             row_number() OVER (PARTITION BY source_name ORDER BY id) AS rn,
+             count(*) OVER (PARTITION BY source_name) AS src_size,
+             min(id) OVER (PARTITION BY source_name) AS first_pos FROM f)
+SELECT * FROM i ORDER BY rn, src_size DESC, first_pos LIMIT 20
+""")
+def client_filter_page(spark, sf_dir):
+    """F11 + W2 + L5: client filters (any category, exact sources, 3-month cutoff with null
+    dates passing), size-ordered interleave, first page of 20."""
+    u = T.content_union(spark, sf_dir)
+    f = S.client_filter(u, ["fr", "de"], ["src1", "src12", "src5"], "last_3_months")
+    i = S.interleave_by_size(f, "source_name", "id")
+    return (i.orderBy("rn", F.col("src_size").desc(), "first_pos").limit(20)
+            .select("id", "source_name", "rn", "src_size", "first_pos"))

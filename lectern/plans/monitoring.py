@@ -190,3 +190,17 @@ def nlp_coverage(spark, sf_dir):
     """NLP coverage of all content."""
     return M.nlp_coverage(T.article(spark, sf_dir), T.scraped_content(spark, sf_dir),
                           T.nlp_profile(spark, sf_dir))
+
+
+@query("source_rate_bands", views=("scrape_log",), sql="""
+SELECT scraper_config_id, success_rate,
+       CASE WHEN success_rate >= 90 THEN 'good' WHEN success_rate >= 70 THEN 'warning' ELSE 'poor' END AS band
+FROM (SELECT scraper_config_id,
+             sum(CASE WHEN status <> 'failed' THEN 1 ELSE 0 END) / count(*) * 100 AS success_rate
+      FROM scrape_log GROUP BY 1)
+""")
+def source_rate_bands(spark, sf_dir):
+    """A8 + T34: success rate and display band of every scraper."""
+    from lectern.functions.display import rate_band
+    st = M.run_stats(T.scrape_log(spark, sf_dir))
+    return st.select("scraper_config_id", "success_rate", rate_band(F.col("success_rate")).alias("band"))

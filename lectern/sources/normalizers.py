@@ -128,6 +128,28 @@ def normalize_crossref(items: DataFrame) -> DataFrame:
         F.lit("crossref").alias("source"))
 
 
+def normalize_semantic_scholar(items: DataFrame) -> DataFrame:
+    """Semantic Scholar paper -> article (publicationDate, else Jan 1 of year; nulls -> '')."""
+    i = F.col("item")
+    pub = F.try_to_timestamp(i["publicationDate"], F.lit("yyyy-MM-dd")).cast("date")
+    date = F.when(F.coalesce(i["publicationDate"], F.lit("")) != "", pub) \
+        .when(i["year"].isNotNull(), F.make_date(i["year"], F.lit(1), F.lit(1)))
+    fos = F.coalesce(i["fieldsOfStudy"], F.array().cast("array<string>"))
+    return items.select(
+        F.concat(F.lit("s2:"), F.coalesce(i["paperId"], F.lit(""))).alias("external_id"),
+        F.coalesce(i["title"], F.lit("")).alias("title"),
+        F.coalesce(i["abstract"], F.lit("")).alias("abstract"),
+        author_names(F.transform(F.coalesce(i["authors"], F.array()), lambda a: F.coalesce(a["name"], F.lit(""))))
+        .alias("authors"),
+        date.alias("published_date"), F.lit(None).cast("string").alias("doi"),
+        F.coalesce(i["url"], F.lit("")).alias("url"),
+        F.coalesce(i["openAccessPdf"]["url"], F.lit("")).alias("pdf_url"),
+        F.lit("").alias("journal"), F.lit("").alias("volume"), F.lit("").alias("issue"), F.lit("").alias("pages"),
+        fos.alias("categories"), fos.alias("keywords"),
+        F.coalesce(i["citationCount"], F.lit(0)).alias("citation_count"),
+        F.lit("semantic_scholar").alias("source"))
+
+
 def normalize_arxiv(items: DataFrame) -> DataFrame:
     """arXiv Atom entry -> article (id after /abs/, categories double as keywords,
     pdf link by title, date = first 10 chars)."""
@@ -183,3 +205,4 @@ def normalize(items: DataFrame, mapping: dict[str, str], source: str, date_forma
 register_normalizer("openalex", normalize_openalex)
 register_normalizer("crossref", normalize_crossref)
 register_normalizer("arxiv", normalize_arxiv)
+register_normalizer("semantic_scholar", normalize_semantic_scholar)

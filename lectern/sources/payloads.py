@@ -81,6 +81,24 @@ def land_crossref(articles: DataFrame) -> DataFrame:
                    F.to_json(F.struct(F.struct(F.col("items").alias("items")).alias("message"))))
 
 
+def land_semantic_scholar(articles: DataFrame) -> DataFrame:
+    """Semantic Scholar `data` pages; every fourth item carries only the year."""
+    d = F.col("published_date")
+    item = F.struct(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("paperId"),
+        F.col("title").alias("title"),
+        F.col("abstract").alias("abstract"),
+        F.transform("authors", lambda x: F.struct(x["name"].alias("name"))).alias("authors"),
+        F.year(d).alias("year"),
+        F.when(F.col("id") % 4 != 0, F.date_format(d, "yyyy-MM-dd")).alias("publicationDate"),
+        F.col("url").alias("url"),
+        F.struct(F.concat(F.col("url"), F.lit(".pdf")).alias("url")).alias("openAccessPdf"),
+        F.col("citation_count").alias("citationCount"),
+        F.col("categories").alias("fieldsOfStudy"))
+    return _landed(articles.select(F.col("id").alias("doc_id"), "source_name", item.alias("item")),
+                   F.to_json(F.struct(F.col("items").alias("data"))))
+
+
 def land_arxiv(articles: DataFrame) -> DataFrame:
     """Atom feed pages (namespaced XML) of the articles."""
     def esc(c: Column) -> Column:
@@ -142,6 +160,11 @@ CROSSREF_SCHEMA = """message struct<items:array<struct<
   published:struct<`date-parts`:array<array<int>>>, URL:string, `container-title`:array<string>,
   volume:string, issue:string, page:string, `is-referenced-by-count`:int, subject:array<string>>>>"""
 
+SEMANTIC_SCHOLAR_SCHEMA = """data array<struct<
+  paperId:string, title:string, abstract:string, authors:array<struct<name:string>>, year:int,
+  publicationDate:string, url:string, openAccessPdf:struct<url:string>, citationCount:int,
+  fieldsOfStudy:array<string>>>"""
+
 ARXIV_ENTRY_SCHEMA = """id string, title string, summary string, published string,
   author array<struct<name:string>>, category array<struct<_term:string>>,
   link array<struct<_title:string,_href:string>>, doi string"""
