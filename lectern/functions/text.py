@@ -186,5 +186,5 @@ def plain_text(c: Column) -> Column:
 def split_name(c: Column) -> Column:
     """first/last name split on the first space -> struct(first_name, last_name)."""
     parts = F.split(c, " ", 2)
-    return F.struct(F.element_at(parts, 1).alias("first_name"),
-                    F.coalesce(F.element_at(parts, 2), F.lit("")).alias("last_name"))
+    return F.struct(F.try_element_at(parts, F.lit(1)).alias("first_name"),
+                    F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("last_name"))

@@ -71,7 +71,7 @@ def extract_items(pages: DataFrame, container: tuple[str, str | None],
             vals = F.transform(vals, lambda v: unescape(v))
         if attr in ("href", "src") or ftag == "img":
             vals = F.transform(vals, lambda v: absolute_url(base, v))
-        cols.append(vals.alias(name) if multi else F.element_at(vals, 1).alias(name))
+        cols.append(vals.alias(name) if multi else F.try_element_at(vals, F.lit(1)).alias(name))
     return rows.select(*cols)
 
 

@@ -278,7 +278,7 @@ def clean_live(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
     from lectern.functions.urls import article_url
     today = F.to_date(F.lit(as_of))
     title = F.trim(F.coalesce(F.col("title"), F.lit("")))
-    pd = F.to_date(F.substring(F.col("published_date").cast("string"), 1, 10), "yyyy-MM-dd")
+    pd = F.try_to_timestamp(F.substring(F.col("published_date").cast("string"), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
     url = article_url(F.col("url"), F.col("doi"), F.col("external_id"))
     abstract = F.coalesce(F.col("abstract"), F.lit(""))
     kws = inline_keywords(abstract)

@@ -7,11 +7,13 @@ tables, prefixed with the logical views it needs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.plans.oracle_views import with_views
+from lectern.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +26,13 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)  # UTC session time zone, AQE; cluster-set values win
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(sql, *views) if views else sql.strip()
         return fn

@@ -25,7 +25,7 @@ def openalex_normalize(spark, sf_dir):
     a = N.normalize_openalex(items)
     return a.select("external_id", "title", "abstract", "doi", "published_date", "journal", "pages",
                     F.array_join("categories", "|").alias("categories"), "citation_count",
-                    F.element_at("authors", 1)["name"].alias("first_author"))
+                    F.try_element_at("authors", F.lit(1))["name"].alias("first_author"))
 
 
 @query("crossref_normalize", views=("article",), sql="""
@@ -42,7 +42,7 @@ def crossref_normalize(spark, sf_dir):
     a = N.normalize_crossref(items)
     return a.select("external_id", "title", "abstract", "published_date", "journal",
                     F.array_join("categories", "|").alias("categories"),
-                    F.element_at("authors", 1)["name"].alias("first_author"))
+                    F.try_element_at("authors", F.lit(1))["name"].alias("first_author"))
 
 
 @query("arxiv_normalize", views=("article",), sql="""

@@ -164,7 +164,7 @@ GROUP BY GROUPING SETS ((type), (lang), (source_name), ())
 """)
 def facet_counts(spark, sf_dir):
     """Counts for every facet (type, language, source) in one grouping-sets pass."""
-    u = T.content_union(spark, sf_dir).withColumn("lang", F.element_at("categories", 1))
+    u = T.content_union(spark, sf_dir).withColumn("lang", F.try_element_at("categories", F.lit(1)))
     return agg.facet_counts(u, ["type", "lang", "source_name"])
 
 

@@ -53,7 +53,7 @@ def ensure_list(c: Column) -> Column:
 
 def date_from_parts(parts: Column) -> Column:
     """[y, m, d] / [y, m] / [y] -> date, month and day default 1."""
-    y, mo, d = (F.element_at(parts, 1), F.element_at(parts, 2), F.element_at(parts, 3))
+    y, mo, d = (F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3)))
     return F.when(F.size(parts) >= 1, F.try_make_timestamp(
         y, F.coalesce(mo, F.lit(1)), F.coalesce(d, F.lit(1)), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
 
@@ -89,7 +89,7 @@ def normalize_openalex(items: DataFrame) -> DataFrame:
         from_inverted_index(i["abstract_inverted_index"]).alias("abstract"),
         F.transform(F.coalesce(i["authorships"], F.array()), lambda a: F.struct(
             a["author"]["display_name"].alias("name"), a["author"]["orcid"].alias("orcid"),
-            F.element_at(a["institutions"], 1)["display_name"].alias("institution"))).alias("authors"),
+            F.try_element_at(a["institutions"], F.lit(1))["display_name"].alias("institution"))).alias("authors"),
         F.try_to_timestamp(i["publication_date"], F.lit("yyyy-MM-dd")).cast("date").alias("published_date"),
         F.nullif(doi, F.lit("")).alias("doi"),
         F.coalesce(i["id"], F.lit("")).alias("url"),
@@ -105,10 +105,10 @@ def normalize_openalex(items: DataFrame) -> DataFrame:
 def normalize_crossref(items: DataFrame) -> DataFrame:
     """CrossRef item -> article ('given family' names, date-parts, first title)."""
     i = F.col("item")
-    parts = F.element_at(i["published"]["date-parts"], 1)
+    parts = F.try_element_at(i["published"]["date-parts"], F.lit(1))
     return items.select(
         F.concat(F.lit("crossref:"), F.coalesce(i["DOI"], F.lit(""))).alias("external_id"),
-        F.coalesce(F.element_at(i["title"], 1), F.lit("")).alias("title"),
+        F.coalesce(F.try_element_at(i["title"], F.lit(1)), F.lit("")).alias("title"),
         F.coalesce(i["abstract"], F.lit("")).alias("abstract"),
         F.transform(F.coalesce(i["author"], F.array()), lambda a: F.struct(
             F.trim(F.concat(F.coalesce(a["given"], F.lit("")), F.lit(" "), F.coalesce(a["family"], F.lit(""))))
@@ -118,7 +118,7 @@ def normalize_crossref(items: DataFrame) -> DataFrame:
         i["DOI"].alias("doi"),
         F.coalesce(i["URL"], F.lit("")).alias("url"),
         F.lit("").alias("pdf_url"),
-        F.coalesce(F.element_at(i["container-title"], 1), F.lit("")).alias("journal"),
+        F.coalesce(F.try_element_at(i["container-title"], F.lit(1)), F.lit("")).alias("journal"),
         F.coalesce(i["volume"], F.lit("")).alias("volume"),
         F.coalesce(i["issue"], F.lit("")).alias("issue"),
         F.coalesce(i["page"], F.lit("")).alias("pages"),
@@ -156,7 +156,7 @@ def normalize_arxiv(items: DataFrame) -> DataFrame:
     i = F.col("item")
     aid = F.regexp_extract(F.coalesce(i["id"], F.lit("")), r"/abs/(.+)$", 1)
     cats = F.transform(F.coalesce(i["category"], F.array()), lambda c: c["_term"])
-    pdf = F.element_at(F.filter(F.coalesce(i["link"], F.array()), lambda l: l["_title"] == "pdf"), 1)["_href"]
+    pdf = F.try_element_at(F.filter(F.coalesce(i["link"], F.array()), lambda l: l["_title"] == "pdf"), F.lit(1))["_href"]
     return items.select(
         F.concat(F.lit("arxiv:"), aid).alias("external_id"),
         F.trim(F.regexp_replace(F.coalesce(i["title"], F.lit("")), r"\s*\n\s*", " ")).alias("title"),
@@ -179,7 +179,7 @@ def compile_mapping(mapping: dict[str, str], item: str = "item") -> dict[str, Co
     for target, path in mapping.items():
         c = F.col(item)
         for seg in path.split("."):
-            c = F.element_at(c, int(seg) + 1) if seg.isdigit() else c.getField(seg)
+            c = F.try_element_at(c, F.lit(int(seg) + 1)) if seg.isdigit() else c.getField(seg)
         out[target] = c
     return out
 

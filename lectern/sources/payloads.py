@@ -66,8 +66,8 @@ def land_crossref(articles: DataFrame) -> DataFrame:
         F.coalesce(F.col("doi"), F.concat(F.lit("10.9999/x."), F.col("id").cast("string"))).alias("DOI"),
         F.array(F.col("title")).alias("title"),
         F.col("abstract").alias("abstract"),
-        F.transform("authors", lambda x: F.struct(F.split(x["name"], " ").getItem(0).alias("given"),
-                                                  F.split(x["name"], " ").getItem(1).alias("family"),
+        F.transform("authors", lambda x: F.struct(F.try_element_at(F.split(x["name"], " "), F.lit(1)).alias("given"),
+                                                  F.try_element_at(F.split(x["name"], " "), F.lit(2)).alias("family"),
                                                   x["orcid"].alias("ORCID"))).alias("author"),
         F.struct(F.when(d.isNull(), F.array(F.array().cast("array<int>")))
                  .when(F.col("id") % 3 == 0, F.array(F.array(F.year(d), F.month(d))))
