@@ -156,3 +156,84 @@ def semantic_scholar_normalize(spark, sf_dir):
     a = N.normalize_semantic_scholar(items)
     return a.select("external_id", "title", "abstract", "published_date", "pdf_url", "citation_count",
                     F.array_join("categories", "|").alias("categories"))
+
+
+def _normalized_sources(spark, sf_dir):
+    """The same articles as three API sources would answer (OpenAlex, CrossRef, Semantic Scholar)."""
+    arts = T.article(spark, sf_dir)
+    cols = ["external_id", "title", "abstract", "authors", "published_date", "doi", "url", "keywords", "source"]
+    oa = N.normalize_openalex(P.read_json_payloads(P.land_openalex(arts), P.OPENALEX_SCHEMA, ["results"]))
+    cr = N.normalize_crossref(P.read_json_payloads(P.land_crossref(arts), P.CROSSREF_SCHEMA, ["message", "items"]))
+    s2 = N.normalize_semantic_scholar(
+        P.read_json_payloads(P.land_semantic_scholar(arts), P.SEMANTIC_SCHOLAR_SCHEMA, ["data"]))
+    return oa.select(*cols).unionByName(cr.select(*cols)).unionByName(s2.select(*cols))
+
+
+_LIVE_SRC = """
+src AS (
+  SELECT 'openalex:W' || CAST(id AS VARCHAR) AS external_id, title, abstract, authors, published_date, doi,
+         'openalex' AS source FROM article
+  UNION ALL
+  SELECT 'crossref:' || coalesce(doi, '10.9999/x.' || CAST(id AS VARCHAR)), title, abstract, authors,
+         CASE WHEN id % 3 = 0 THEN CAST(date_trunc('month', published_date) AS DATE) ELSE published_date END,
+         coalesce(doi, '10.9999/x.' || CAST(id AS VARCHAR)), 'crossref' FROM article
+  UNION ALL
+  SELECT 's2:p' || CAST(id AS VARCHAR), title, abstract, authors,
+         CASE WHEN id % 4 <> 0 THEN published_date WHEN published_date IS NOT NULL
+              THEN make_date(year(published_date), 1, 1) END, NULL, 'semantic_scholar' FROM article)
+"""
+
+
+@query("live_search", views=("article",), sql=f"""
+WITH {_LIVE_SRC},
+m AS (SELECT * FROM src
+      WHERE contains(lower(title), 'ent') OR contains(lower(abstract), 'ent')
+         OR contains(lower(array_to_string([a.name for a in authors], ' ')), 'ent')),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_date DESC NULLS LAST, external_id) AS rn,
+             coalesce(nullif(doi, ''), nullif(external_id, ''), nullif(trim(title), '')) AS dkey
+      FROM m WHERE trim(title) <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY rn, source) AS r1 FROM c WHERE dkey IS NOT NULL)
+SELECT external_id, source, rn, dkey FROM d WHERE r1 = 1
+""")
+def live_search(spark, sf_dir):
+    """One query ('ent', F9) over the results of three sources: clean (F8/T8-T10),
+    round-robin interleave (W1, sources in name order), de-duplicate by doi, id, title (W3).
+    The order keys (rn, source) are the result order; the API's max_results is a limit on it."""
+    from lectern.operators import search as S
+    m = _normalized_sources(spark, sf_dir).filter(S.matches_query("ent"))
+    c = S.clean_live(m)
+    il = S.interleave(c, "source", [F.col("published_date").desc_nulls_last(), F.col("external_id")])
+    d = S.dedupe_first(il, S.dedupe_key(), [F.col("rn"), F.col("src_rank")])
+    return d.select("external_id", "source", "rn", F.col("_k").alias("dkey"))
+
+
+@query("source_run", views=("article",), sql="""
+WITH items AS (SELECT 'openalex:W' || CAST(id AS VARCHAR) AS external_id, source_name AS source, published_date
+               FROM article),
+base AS (SELECT external_id FROM items WHERE published_date < DATE '2023-07-01'),
+r AS (SELECT i.source, CASE WHEN b.external_id IS NULL THEN 1 ELSE 0 END AS is_new FROM items i
+      LEFT JOIN base b USING (external_id))
+SELECT source, CAST(count(*) AS BIGINT) AS articles_found, CAST(sum(is_new) AS BIGINT) AS articles_saved,
+       CAST(sum(1 - is_new) AS BIGINT) AS articles_updated, CAST(0 AS BIGINT) AS articles_skipped,
+       'success' AS status
+FROM r GROUP BY source
+""")
+def source_run(spark, sf_dir):
+    """M13 + S21: one fetch run per source over landed OpenAlex pages: parse, normalise,
+    upsert into the article store (items published before 2023-07 were fetched by an
+    earlier run), and one run-log row per source with saved / updated / skipped."""
+    landed = P.land_openalex(T.article(spark, sf_dir))
+    items = P.read_json_payloads(landed, P.OPENALEX_SCHEMA, ["results"])
+    arts = N.normalize_openalex(items.select(F.col("source").alias("landing_source"), "item"),
+                                keep=("landing_source",))
+    cols = ["external_id", "title", "published_date", "doi"]
+    base = arts.filter(F.col("published_date") < F.lit("2023-07-01").cast("date")).select(*cols)
+    batch = arts.select(*cols, "landing_source").withColumn("seq", F.lit(1))
+    table, _ = ST.upsert(base, batch.drop("landing_source"), ["external_id"], "seq", "not_null")
+    per_item = batch.select("external_id", "landing_source").join(table.select("external_id", "op"), "external_id")
+    counts = per_item.groupBy(F.col("landing_source").alias("source")).agg(
+        F.count(F.lit(1)).alias("articles_found"),
+        F.sum(F.when(F.col("op") == "saved", 1).otherwise(0)).cast("bigint").alias("articles_saved"),
+        F.sum(F.when(F.col("op") == "updated", 1).otherwise(0)).cast("bigint").alias("articles_updated"))
+    return counts.select("source", "articles_found", "articles_saved", "articles_updated",
+                         F.lit(0).cast("bigint").alias("articles_skipped"), F.lit("success").alias("status"))

@@ -73,8 +73,8 @@ def author_names(names: Column) -> Column:
 
 # ---------------------------------------------------------------- normalisers
 
-def normalize_openalex(items: DataFrame) -> DataFrame:
-    """OpenAlex work -> article."""
+def normalize_openalex(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """OpenAlex work -> article (plus the `keep` columns of the item rows)."""
     i = F.col("item")
     oid = F.replace(F.coalesce(i["id"], F.lit("")), F.lit("https://openalex.org/"), F.lit(""))
     bib = i["biblio"]
@@ -84,6 +84,7 @@ def normalize_openalex(items: DataFrame) -> DataFrame:
     cats = F.transform(F.slice(F.coalesce(i["concepts"], F.array()), 1, 5),
                        lambda c: F.coalesce(c["display_name"], F.lit("")))
     return items.select(
+        *keep,
         F.concat(F.lit("openalex:"), oid).alias("external_id"),
         F.coalesce(i["title"], F.lit("")).alias("title"),
         from_inverted_index(i["abstract_inverted_index"]).alias("abstract"),
