@@ -237,3 +237,46 @@ def source_run(spark, sf_dir):
         F.sum(F.when(F.col("op") == "updated", 1).otherwise(0)).cast("bigint").alias("articles_updated"))
     return counts.select("source", "articles_found", "articles_saved", "articles_updated",
                          F.lit(0).cast("bigint").alias("articles_skipped"), F.lit("success").alias("status"))
+
+
+@query("core_normalize", views=("article",), sql="""
+SELECT 'core:c' || CAST(id AS VARCHAR) AS external_id, title, published_date, doi,
+       CASE WHEN id % 2 = 0 THEN url || '.pdf' ELSE url END AS url, source_name AS journal,
+       authors[1].name AS first_author
+FROM article
+""")
+def core_normalize(spark, sf_dir):
+    """S1 + S10: CORE pages parsed and normalised."""
+    items = P.read_json_payloads(P.land_core(T.article(spark, sf_dir)), P.CORE_SCHEMA, ["results"])
+    a = N.normalize_core(items)
+    return a.select("external_id", "title", "published_date", "doi", "url", "journal",
+                    F.try_element_at("authors", F.lit(1))["name"].alias("first_author"))
+
+
+@query("doaj_normalize", views=("article",), sql="""
+SELECT 'doaj:d' || CAST(id AS VARCHAR) AS external_id, title, abstract,
+       CASE WHEN published_date IS NOT NULL THEN make_date(year(published_date), 1, 1) END AS published_date,
+       doi, url, source_name AS journal, array_to_string(categories, '|') AS categories
+FROM article
+""")
+def doaj_normalize(spark, sf_dir):
+    """S1 + S11: DOAJ pages (bibjson, year only) parsed and normalised."""
+    items = P.read_json_payloads(P.land_doaj(T.article(spark, sf_dir)), P.DOAJ_SCHEMA, ["results"])
+    a = N.normalize_doaj(items)
+    return a.select("external_id", "title", "abstract", "published_date", "doi", "url", "journal",
+                    F.array_join("categories", "|").alias("categories"))
+
+
+@query("pubmed_normalize", views=("article",), sql="""
+SELECT 'pubmed:' || CAST(id AS VARCHAR) AS external_id,
+       CASE WHEN id % 2 = 0 AND published_date IS NOT NULL THEN make_date(year(published_date), 1, day(published_date))
+            ELSE published_date END AS published_date,
+       doi, source_name AS journal, len(authors) AS n_authors, authors[1].name AS first_author
+FROM article
+""")
+def pubmed_normalize(spark, sf_dir):
+    """S2 + S9: PubMed XML pages parsed with from_xml and normalised (named months -> 1)."""
+    items = P.read_xml_payloads(P.land_pubmed(T.article(spark, sf_dir)), "PubmedArticle", P.PUBMED_SCHEMA)
+    a = N.normalize_pubmed(items)
+    return a.select("external_id", "published_date", "doi", "journal", F.size("authors").alias("n_authors"),
+                    F.try_element_at("authors", F.lit(1))["name"].alias("first_author"))

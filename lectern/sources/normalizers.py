@@ -151,6 +151,73 @@ def normalize_semantic_scholar(items: DataFrame) -> DataFrame:
         F.lit("semantic_scholar").alias("source"))
 
 
+def _article(items: DataFrame, **cols: Column) -> DataFrame:
+    """Select ARTICLE_COLUMNS, defaulting the ones a source does not provide."""
+    empty = F.array().cast("array<string>")
+    defaults = {"abstract": F.lit(""), "doi": F.lit(None).cast("string"), "url": F.lit(""), "pdf_url": F.lit(""),
+                "journal": F.lit(""), "volume": F.lit(""), "issue": F.lit(""), "pages": F.lit(""),
+                "categories": empty, "keywords": empty, "citation_count": F.lit(0),
+                "authors": author_names(empty), "published_date": F.lit(None).cast("date")}
+    return items.select(*[cols.get(c, defaults.get(c)).alias(c) for c in ARTICLE_COLUMNS])
+
+
+def normalize_core(items: DataFrame) -> DataFrame:
+    """CORE result -> article (date = first 10 chars; url = download url, else the
+    first full-text url, only when full-text urls exist)."""
+    i = F.col("item")
+    urls = F.coalesce(i["sourceFulltextUrls"], F.array().cast("array<string>"))
+    dl = F.coalesce(i["downloadUrl"], F.lit(""))
+    url = F.when(F.size(urls) > 0, F.when(dl != "", dl).otherwise(F.try_element_at(urls, F.lit(1)))).otherwise("")
+    return _article(
+        items,
+        external_id=F.concat(F.lit("core:"), F.coalesce(i["id"], F.lit(""))),
+        title=F.coalesce(i["title"], F.lit("")), abstract=F.coalesce(i["abstract"], F.lit("")),
+        authors=author_names(F.coalesce(i["authors"], F.array().cast("array<string>"))),
+        published_date=F.try_to_timestamp(F.substring(i["publishedDate"], 1, 10), F.lit("yyyy-MM-dd")).cast("date"),
+        doi=i["doi"], url=url, pdf_url=dl, journal=F.coalesce(i["publisher"], F.lit("")), source=F.lit("core"))
+
+
+def normalize_doaj(items: DataFrame) -> DataFrame:
+    """DOAJ result -> article (bibjson; year -> Jan 1; first identifier / link)."""
+    b = F.col("item")["bibjson"]
+    year = F.try_cast(b["year"], "int") if hasattr(F, "try_cast") else b["year"].cast("int")
+    return _article(
+        items,
+        external_id=F.concat(F.lit("doaj:"), F.coalesce(F.col("item")["id"], F.lit(""))),
+        title=F.coalesce(b["title"], F.lit("")), abstract=F.coalesce(b["abstract"], F.lit("")),
+        authors=author_names(F.transform(F.coalesce(b["author"], F.array()), lambda a: F.coalesce(a["name"], F.lit("")))),
+        published_date=F.when(year.isNotNull(), F.make_date(year, F.lit(1), F.lit(1))),
+        doi=F.try_element_at(b["identifier"], F.lit(1))["id"],
+        url=F.coalesce(F.try_element_at(b["link"], F.lit(1))["url"], F.lit("")),
+        journal=F.coalesce(b["journal"]["title"], F.lit("")),
+        categories=F.coalesce(b["subject"], F.array().cast("array<string>")),
+        keywords=F.coalesce(b["keywords"], F.array().cast("array<string>")), source=F.lit("doaj"))
+
+
+def normalize_pubmed(items: DataFrame) -> DataFrame:
+    """PubmedArticle -> article (ForeName LastName; a non-numeric month counts as 1;
+    DOI from the ArticleId of IdType doi)."""
+    m = F.col("item")["MedlineCitation"]
+    a = m["Article"]
+    pd_ = a["Journal"]["JournalIssue"]["PubDate"]
+    month = F.when(pd_["Month"].rlike(r"^\d+$"), pd_["Month"].cast("int")).otherwise(F.lit(1))
+    day = F.coalesce(pd_["Day"].cast("int"), F.lit(1))
+    date = F.when(pd_["Year"].isNotNull(), F.try_make_timestamp(
+        pd_["Year"].cast("int"), month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+    ids = F.coalesce(F.col("item")["PubmedData"]["ArticleIdList"]["ArticleId"], F.array())
+    doi = F.try_element_at(F.filter(ids, lambda x: x["_IdType"] == "doi"), F.lit(1))["_VALUE"]
+    names = F.transform(F.filter(F.coalesce(a["AuthorList"]["Author"], F.array()), lambda x: x["LastName"].isNotNull()),
+                        lambda x: F.trim(F.concat(F.coalesce(x["ForeName"], F.lit("")), F.lit(" "), x["LastName"])))
+    pmid = F.coalesce(m["PMID"], F.lit(""))
+    return _article(
+        items,
+        external_id=F.concat(F.lit("pubmed:"), pmid),
+        title=F.coalesce(a["ArticleTitle"], F.lit("")), abstract=F.coalesce(a["Abstract"]["AbstractText"], F.lit("")),
+        authors=author_names(names), published_date=date, doi=F.nullif(doi, F.lit("")),
+        url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")),
+        journal=F.coalesce(a["Journal"]["Title"], F.lit("")), source=F.lit("pubmed"))
+
+
 def normalize_arxiv(items: DataFrame) -> DataFrame:
     """arXiv Atom entry -> article (id after /abs/, categories double as keywords,
     pdf link by title, date = first 10 chars)."""
@@ -207,3 +274,6 @@ register_normalizer("openalex", normalize_openalex)
 register_normalizer("crossref", normalize_crossref)
 register_normalizer("arxiv", normalize_arxiv)
 register_normalizer("semantic_scholar", normalize_semantic_scholar)
+register_normalizer("core", normalize_core)
+register_normalizer("doaj", normalize_doaj)
+register_normalizer("pubmed", normalize_pubmed)

@@ -99,6 +99,68 @@ def land_semantic_scholar(articles: DataFrame) -> DataFrame:
                    F.to_json(F.struct(F.col("items").alias("data"))))
 
 
+def land_core(articles: DataFrame) -> DataFrame:
+    """CORE `results` pages; every other item has a download URL."""
+    item = F.struct(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"),
+        F.col("title").alias("title"), F.col("abstract").alias("abstract"),
+        F.transform("authors", lambda x: x["name"]).alias("authors"),
+        F.date_format("published_date", "yyyy-MM-dd'T'00:00:00").alias("publishedDate"),
+        F.col("doi").alias("doi"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.col("url"), F.lit(".pdf"))).alias("downloadUrl"),
+        F.array(F.col("url")).alias("sourceFulltextUrls"),
+        F.col("source_name").alias("publisher"))
+    return _landed(articles.select(F.col("id").alias("doc_id"), "source_name", item.alias("item")),
+                   F.to_json(F.struct(F.col("items").alias("results"))))
+
+
+def land_doaj(articles: DataFrame) -> DataFrame:
+    """DOAJ `results` pages with `bibjson` records (year only, identifiers, links)."""
+    bib = F.struct(
+        F.col("title").alias("title"), F.col("abstract").alias("abstract"),
+        F.transform("authors", lambda x: F.struct(x["name"].alias("name"))).alias("author"),
+        F.year("published_date").cast("string").alias("year"),
+        F.when(F.col("doi").isNotNull(), F.array(F.struct(F.col("doi").alias("id"), F.lit("doi").alias("type"))))
+        .otherwise(F.array().cast("array<struct<id:string,type:string>>")).alias("identifier"),
+        F.array(F.struct(F.col("url").alias("url"))).alias("link"),
+        F.struct(F.col("source_name").alias("title")).alias("journal"),
+        F.col("categories").alias("subject"), F.col("keywords").alias("keywords"))
+    item = F.struct(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), bib.alias("bibjson"))
+    return _landed(articles.select(F.col("id").alias("doc_id"), "source_name", item.alias("item")),
+                   F.to_json(F.struct(F.col("items").alias("results"))))
+
+
+def _xml_text(c: Column) -> Column:
+    c = F.replace(c, F.lit("&"), F.lit("&amp;"))
+    c = F.replace(c, F.lit("<"), F.lit("&lt;"))
+    return F.replace(c, F.lit(">"), F.lit("&gt;"))
+
+
+def land_pubmed(articles: DataFrame) -> DataFrame:
+    """PubMed XML pages (PubmedArticle records); every other item names its month."""
+    d = F.col("published_date")
+    month = F.when(F.col("id") % 2 == 0, F.date_format(d, "MMM")).otherwise(F.month(d).cast("string"))
+    pub = F.when(d.isNull(), F.lit("")).otherwise(F.concat(
+        F.lit("<PubDate><Year>"), F.year(d).cast("string"), F.lit("</Year><Month>"), month,
+        F.lit("</Month><Day>"), F.dayofmonth(d).cast("string"), F.lit("</Day></PubDate>")))
+    auth = F.array_join(F.transform("authors", lambda x: F.concat(
+        F.lit("<Author><LastName>"), _xml_text(F.try_element_at(F.split(x["name"], " "), F.lit(2))),
+        F.lit("</LastName><ForeName>"), _xml_text(F.try_element_at(F.split(x["name"], " "), F.lit(1))),
+        F.lit("</ForeName></Author>"))), "")
+    ids = F.concat(F.lit('<ArticleId IdType="pubmed">'), F.col("id").cast("string"), F.lit("</ArticleId>"),
+                   F.when(F.col("doi").isNotNull(), F.concat(F.lit('<ArticleId IdType="doi">'), F.col("doi"),
+                                                             F.lit("</ArticleId>"))).otherwise(F.lit("")))
+    rec = F.concat(
+        F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("id").cast("string"), F.lit("</PMID><Article>"),
+        F.lit("<Journal><Title>"), _xml_text(F.col("source_name")), F.lit("</Title><JournalIssue>"), pub,
+        F.lit("</JournalIssue></Journal><ArticleTitle>"), _xml_text(F.col("title")), F.lit("</ArticleTitle>"),
+        F.lit("<Abstract><AbstractText>"), _xml_text(F.col("abstract")), F.lit("</AbstractText></Abstract>"),
+        F.lit("<AuthorList>"), auth, F.lit("</AuthorList></Article></MedlineCitation>"),
+        F.lit("<PubmedData><ArticleIdList>"), ids, F.lit("</ArticleIdList></PubmedData></PubmedArticle>"))
+    return _landed(articles.select(F.col("id").alias("doc_id"), "source_name", rec.alias("item")),
+                   F.concat(F.lit("<PubmedArticleSet>"), F.array_join("items", ""), F.lit("</PubmedArticleSet>")))
+
+
 def land_arxiv(articles: DataFrame) -> DataFrame:
     """Atom feed pages (namespaced XML) of the articles."""
     def esc(c: Column) -> Column:
@@ -165,6 +227,21 @@ SEMANTIC_SCHOLAR_SCHEMA = """data array<struct<
   publicationDate:string, url:string, openAccessPdf:struct<url:string>, citationCount:int,
   fieldsOfStudy:array<string>>>"""
 
+CORE_SCHEMA = """results array<struct<
+  id:string, title:string, abstract:string, authors:array<string>, publishedDate:string, doi:string,
+  downloadUrl:string, sourceFulltextUrls:array<string>, publisher:string>>"""
+
+DOAJ_SCHEMA = """results array<struct<id:string, bibjson:struct<
+  title:string, abstract:string, author:array<struct<name:string>>, year:string,
+  identifier:array<struct<id:string,type:string>>, link:array<struct<url:string>>,
+  journal:struct<title:string>, subject:array<string>, keywords:array<string>>>>"""
+
+PUBMED_SCHEMA = """MedlineCitation struct<PMID:string, Article:struct<
+    Journal:struct<Title:string, JournalIssue:struct<PubDate:struct<Year:string,Month:string,Day:string>>>,
+    ArticleTitle:string, Abstract:struct<AbstractText:string>,
+    AuthorList:struct<Author:array<struct<LastName:string,ForeName:string>>>>>,
+  PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_VALUE:string,_IdType:string>>>>"""
+
 ARXIV_ENTRY_SCHEMA = """id string, title string, summary string, published string,
   author array<struct<name:string>>, category array<struct<_term:string>>,
   link array<struct<_title:string,_href:string>>, doi string"""
