@@ -280,3 +280,15 @@ def pubmed_normalize(spark, sf_dir):
     a = N.normalize_pubmed(items)
     return a.select("external_id", "published_date", "doi", "journal", F.size("authors").alias("n_authors"),
                     F.try_element_at("authors", F.lit(1))["name"].alias("first_author"))
+
+
+@query("rss_normalize", views=("article",), sql=f"""
+SELECT external_id, {_PLAIN} AS title, published_date, url
+FROM article WHERE {_PLAIN} <> ''
+""")
+def rss_normalize(spark, sf_dir):
+    """S3 + S4: RSS feed pages read at item level and normalised by a configured mapping."""
+    landed = P.land_rss(T.article(spark, sf_dir))
+    items = P.read_rss_payloads(landed)
+    mapping = {"external_id": "guid", "title": "title", "published_date": "pubDate", "url": "link"}
+    return N.normalize(items, mapping, "rss").select("external_id", "title", "published_date", "url")

@@ -161,6 +161,18 @@ def land_pubmed(articles: DataFrame) -> DataFrame:
                    F.concat(F.lit("<PubmedArticleSet>"), F.array_join("items", ""), F.lit("</PubmedArticleSet>")))
 
 
+def land_rss(articles: DataFrame) -> DataFrame:
+    """RSS 2.0 channel pages of the articles (item: title, link, description, pubDate, guid)."""
+    item = F.concat(
+        F.lit("<item><title>"), _xml_text(F.col("title")), F.lit("</title><link>"), F.col("url"),
+        F.lit("</link><description>"), _xml_text(F.col("source_name")), F.lit("</description><pubDate>"),
+        F.coalesce(F.date_format("published_date", "yyyy-MM-dd"), F.lit("")), F.lit("</pubDate><guid>"),
+        F.col("external_id"), F.lit("</guid></item>"))
+    return _landed(articles.select(F.col("id").alias("doc_id"), "source_name", item.alias("item")),
+                   F.concat(F.lit('<rss version="2.0"><channel><title>feed</title>'), F.array_join("items", ""),
+                            F.lit("</channel></rss>")))
+
+
 def land_arxiv(articles: DataFrame) -> DataFrame:
     """Atom feed pages (namespaced XML) of the articles."""
     def esc(c: Column) -> Column:
@@ -196,6 +208,11 @@ def read_json_payloads(landed: DataFrame, schema: T.StructType | str, path: list
     return landed.select("source", "page", "fetched_at", F.explode(node).alias("item"))
 
 
+def read_rss_payloads(landed: DataFrame) -> DataFrame:
+    """S3: RSS items (rowTag item) with the common RSS fields."""
+    return read_xml_payloads(landed, "item", RSS_ITEM_SCHEMA)
+
+
 def read_xml_payloads(landed: DataFrame, row_tag: str, schema: str) -> DataFrame:
     """Namespaces stripped, each <row_tag> element parsed with `schema`
     (attributes as _name).  Malformed payloads yield no rows."""
@@ -242,6 +259,8 @@ PUBMED_SCHEMA = """MedlineCitation struct<PMID:string, Article:struct<
     AuthorList:struct<Author:array<struct<LastName:string,ForeName:string>>>>>,
   PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_VALUE:string,_IdType:string>>>>"""
 
+RSS_ITEM_SCHEMA = "title string, link string, description string, pubDate string, guid string, category array<string>"
+
 ARXIV_ENTRY_SCHEMA = """id string, title string, summary string, published string,
   author array<struct<name:string>>, category array<struct<_term:string>>,
   link array<struct<_title:string,_href:string>>, doi string"""
