@@ -257,16 +257,17 @@ def dedupe_key() -> Column:
 
 
 def dedupe_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """Keep the first row per key in the given order; rows with no key drop.
+    """Keep the first row per key in the given (ascending) order; rows with no key drop.
 
-    Shuffles once on the key.  A hot key (a third of all rows) still lands in one
-    task, but the window only streams it in sorted order (spillable), it never
-    collects the group.
+    An aggregation, not a window: `min_by(row, order)` is combined map-side, so a hot
+    key (say a third of all rows are copies of one item) is reduced inside every
+    input partition before the shuffle and never lands whole in one task.
     """
-    w = Window.partitionBy("_k").orderBy(*order)
-    return (df.withColumn("_k", key).filter(F.col("_k").isNotNull())
-            .withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") == 1).drop("_rn"))
+    cols = df.columns
+    k = df.withColumn("_k", key).filter(F.col("_k").isNotNull())
+    first = (k.groupBy("_k")
+             .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order)).alias("_row")))
+    return first.select(*[F.col("_row")[c].alias(c) for c in cols], "_k")
 
 
 # ---------------------------------------------------------------- live result cleaning
