@@ -170,3 +170,28 @@ def discover_links(pages: DataFrame, link_tag: str = "a", max_pages_per_step: in
     return (first.withColumn("step_rank", F.row_number().over(w2))
             .filter(F.col("step_rank") <= max_pages_per_step - 1)
             .select("page_id", "list_url", "detail_url", "step_rank"))
+
+
+def category_crawl(category_pages: DataFrame, landed: DataFrame, link_pattern: str,
+                   limit_categories: int = 2, max_pages: int = 10) -> DataFrame:
+    """Category links of each category page (first `limit_categories`, in page order,
+    de-duplicated), each expanded to pages 1..max_pages (S14) and matched to the landed
+    pages; consumption stops at a category's first page that was not landed (S15)."""
+    hrefs = F.regexp_extract_all(F.col("html"), F.lit(r"<a\b[^>]*\bhref=\"([^\"]*)\""), 1)
+    links = (category_pages.select("page_id", F.col("url").alias("list_url"), F.posexplode(hrefs).alias("pos", "href"))
+             .filter(F.col("href").rlike(link_pattern))
+             .withColumn("category", absolute_url(F.col("list_url"), unescape(F.col("href")))))
+    w1 = Window.partitionBy("page_id", "category").orderBy("pos")
+    w2 = Window.partitionBy("page_id").orderBy("pos")
+    cats = (links.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == 1)
+            .withColumn("cat_rank", F.row_number().over(w2)).filter(F.col("cat_rank") <= limit_categories)
+            .withColumn("tpl", F.concat(F.col("category"),
+                                        F.when(F.col("category").contains("?"), F.lit("&page={page}"))
+                                        .otherwise(F.lit("?page={page}")))))
+    frontier = page_frontier(cats, "tpl", max_pages)
+    got = landed.select(F.col("url").alias("page_url"), F.lit(1).alias("n_items")).dropDuplicates(["page_url"])
+    pages = frontier.join(got, "page_url", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    w3 = Window.partitionBy("page_id", "category").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    return (pages.withColumn("_missing_before", F.coalesce(F.max((F.col("n_items") == 0).cast("int")).over(w3), F.lit(0)))
+            .withColumn("consumed", (F.col("_missing_before") == 0) & (F.col("n_items") > 0))
+            .select("page_id", "category", "cat_rank", "page_no", "page_url", "consumed"))

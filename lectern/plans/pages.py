@@ -144,3 +144,23 @@ def crawl_two_stage(spark, sf_dir):
     landed = p.select(F.col("url").alias("detail_url"), F.lit(True).alias("landed")).dropDuplicates(["detail_url"])
     return (links.join(landed, "detail_url", "left")
             .select("page_id", "step_rank", "detail_url", F.coalesce("landed", F.lit(False)).alias("landed")))
+
+
+@query("category_crawl", sql="""
+WITH l AS (SELECT page_id, url AS list_url,
+                  unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href,
+                  generate_subscripts(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1), 1) - 1 AS pos
+           FROM pages),
+a AS (SELECT *, regexp_extract(list_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href AS category
+      FROM l WHERE regexp_matches(href, '^/[A-Za-z]')),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, category ORDER BY pos) AS r1 FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS cat_rank FROM d WHERE r1 = 1),
+f AS (SELECT page_id, category, cat_rank, page_no, category || '?page=' || CAST(page_no AS VARCHAR) AS page_url
+      FROM c, range(1, 11) AS t(page_no) WHERE cat_rank <= 2)
+SELECT f.*, false AS consumed FROM f
+""")
+def category_crawl(spark, sf_dir):
+    """Every page as a category page: its first two category links (relative links
+    starting with a letter), pages 1..10 of each, matched to the landed pages."""
+    p = T.pages(spark, sf_dir)
+    return PG.category_crawl(p, p, r"^/[A-Za-z]", 2, 10)

@@ -182,3 +182,21 @@ def hybrid_recs(spark, sf_dir):
     """M8 + M9 + M7 for every user: adaptive content/collaborative blend with MMR
     diversity for warm users, cold start for the rest; 20 per user."""
     return hybrid(spark, sf_dir, 20).select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("recommendation_summary")
+def recommendation_summary(spark, sf_dir):
+    """The response of every user: strategy (hybrid / cold_start / popular, or no_data
+    when nothing is recommended) and the number of items."""
+    recs = hybrid(spark, sf_dir, 20)
+    users = T.user_profile(spark, sf_dir).select("user_id")
+    tiers = R.interaction_tiers(T.user_activity(spark, sf_dir), T.user_profile(spark, sf_dir))
+    n = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    prof = T.user_profile(spark, sf_dir).select(
+        "user_id", (F.size("interests") + F.size("research_areas") > 0).alias("has_interests"))
+    s = (users.join(tiers.select("user_id", "tier"), "user_id", "left").join(n, "user_id", "left")
+         .join(prof, "user_id", "left"))
+    strategy = (F.when(F.coalesce("n", F.lit(0)) == 0, "no_data")
+                .when(F.col("tier") != "cold", "hybrid")
+                .when(F.col("has_interests"), "cold_start").otherwise("popular"))
+    return s.select("user_id", strategy.alias("strategy"), F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
