@@ -228,33 +228,35 @@ def merge_scores(content: DataFrame, collab: DataFrame) -> DataFrame:
 def _mmr_fn(lam: float, top_k: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "order_key"], ascending=[False, True], kind="mergesort")
-        if len(pdf) <= top_k:
-            sel = list(range(len(pdf)))
+        n = len(pdf)
+        embs = list(pdf["embedding"])
+        have = np.array([e is not None and len(e) > 0 for e in embs])
+        if n <= top_k:
+            sel = list(range(n))
+        elif not have.any():
+            sel = list(range(top_k))
         else:
-            embs = list(pdf["embedding"])
-            have = [e is not None and len(e) > 0 for e in embs]
-            if not any(have):
-                sel = list(range(top_k))
-            else:
-                vec = [np.asarray(e, dtype=np.float64) if h else None for e, h in zip(embs, have)]
-                rel = pdf["score"].to_numpy()
-                remaining = list(range(len(pdf)))
-                sel = [remaining.pop(0)]
-                # running max similarity of each candidate to the selected set (>= 0)
-                max_sim = np.zeros(len(pdf))
-                while len(sel) < top_k and remaining:
-                    last = vec[sel[-1]]
-                    if last is not None:
-                        for i in remaining:
-                            v = vec[i]
-                            if v is not None and len(v) == len(last):
-                                max_sim[i] = max(max_sim[i], float(np.dot(v, last)))
-                    best, best_score = 0, -np.inf
-                    for pos, i in enumerate(remaining):
-                        mmr = lam * rel[i] - (1 - lam) * max_sim[i]
-                        if mmr > best_score:
-                            best, best_score = pos, mmr
-                    sel.append(remaining.pop(best))
+            # similarity of every candidate pair with equal widths, clipped at 0 (max_sim starts at 0);
+            # candidates without a vector have similarity 0 to everything
+            sim = np.zeros((n, n))
+            dims = np.array([len(e) if h else -1 for e, h in zip(embs, have)])
+            for d in set(dims[have].tolist()):
+                idx = np.nonzero(dims == d)[0]
+                m = np.stack([np.asarray(embs[i], dtype=np.float64) for i in idx])
+                sim[np.ix_(idx, idx)] = m @ m.T
+            np.maximum(sim, 0.0, out=sim)
+            rel = pdf["score"].to_numpy(dtype=np.float64)
+            remaining = np.ones(n, dtype=bool)
+            remaining[0] = False
+            sel = [0]
+            max_sim = sim[:, 0].copy()
+            while len(sel) < top_k and remaining.any():
+                mmr_v = lam * rel - (1 - lam) * max_sim
+                mmr_v[~remaining] = -np.inf
+                best = int(np.argmax(mmr_v))          # first index wins ties, as the greedy loop
+                sel.append(best)
+                remaining[best] = False
+                np.maximum(max_sim, sim[:, best], out=max_sim)
         out = pdf.iloc[sel][["user_id", "external_id", "score"]].copy()
         out["rank"] = np.arange(1, len(out) + 1)
         return out
