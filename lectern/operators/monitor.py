@@ -157,14 +157,15 @@ def run_log(counts: DataFrame, source_col: str, started_at: Column, error: Colum
 
 def nlp_coverage(articles: DataFrame, scraped: DataFrame, profiles: DataFrame) -> DataFrame:
     """Processed, total, unprocessed (>= 0), coverage % (1 dp, 0 when empty)."""
-    a = articles.agg(F.count(F.lit(1)).alias("total_articles"))
-    s = scraped.agg(F.count(F.lit(1)).alias("total_scraped"))
-    p = profiles.agg(F.count(F.lit(1)).alias("nlp_processed"))
-    # three one-row aggregates; joined on a constant key (no cross product of data)
-    one = F.lit(1).alias("_one")
-    j = a.select("*", one).join(s.select("*", one), "_one").join(p.select("*", one), "_one").drop("_one")
+    # one aggregation over the tagged union of the three tables (no join of the counts)
+    tagged = (articles.select(F.lit("a").alias("_t"))
+              .unionByName(scraped.select(F.lit("s").alias("_t")))
+              .unionByName(profiles.select(F.lit("p").alias("_t"))))
+    c = tagged.agg(F.count(F.when(F.col("_t") == "a", 1)).alias("total_articles"),
+                   F.count(F.when(F.col("_t") == "s", 1)).alias("total_scraped"),
+                   F.count(F.when(F.col("_t") == "p", 1)).alias("nlp_processed"))
     total = F.col("total_articles") + F.col("total_scraped")
-    return j.select(
+    return c.select(
         F.col("nlp_processed"), total.alias("total_content"),
         F.greatest(F.lit(0), total - F.col("nlp_processed")).alias("unprocessed"),
         F.when(total > 0, F.round(F.col("nlp_processed") / total * 100, 1)).otherwise(0.0).alias("coverage"))

@@ -306,9 +306,9 @@ def cold_start(users: DataFrame, profiles: DataFrame, saved: DataFrame, k: int =
     rest = u.join(got, "user_id", "left_anti")
     pop = popular_fallback(saved, k).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("external_id"))))
-    # `pop` is a top-k (at most k rows, a proven bound), broadcast to every fallback user:
-    # the result is, by definition, the same k items for each such user.
-    fallback = (rest.withColumn("_fb", F.lit(True))
-                .join(F.broadcast(pop.withColumn("_fb", F.lit(True))), "_fb")
+    # `pop` is a top-k (at most k rows, a proven bound, broadcast).  Each fallback user is
+    # expanded to ranks 1..k and equi-joined with `pop` on the rank.
+    fallback = (rest.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+                .join(F.broadcast(pop.withColumn("rank", F.col("rank").cast("int"))), "rank")
                 .select("user_id", "external_id", "score", "rank"))
     return by_text.unionByName(fallback)

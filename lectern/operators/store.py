@@ -67,14 +67,14 @@ def upsert(base: DataFrame, batch: DataFrame, key: list[str], seq: str, mode: st
     op = (F.when(F.col("o._in_base").isNull(), "saved")
           .when(F.col("n._rows").isNotNull(), "updated").otherwise("unchanged"))
     table = j.select(*key, *out_cols, op.alias("op"), F.coalesce(F.col("n._rows"), F.lit(0)).alias("_rows"))
-    # three one-row aggregates side by side (joined on a constant key of one row each)
-    c1 = table.agg(
+    # one aggregation over the merged rows and the batch rows tagged apart (no join of counts)
+    merged_rows = table.select(F.col("op"), F.col("_rows"), F.lit(True).alias("_has_key"))
+    batch_rows = batch.select(F.lit("batch").alias("op"), F.lit(0).alias("_rows"), has_key.alias("_has_key"))
+    counts = merged_rows.unionByName(batch_rows).agg(
         F.sum(F.when(F.col("op") == "saved", 1).otherwise(0)).cast("bigint").alias("saved"),
-        F.sum(F.when(F.col("op") == "saved", F.col("_rows") - 1).otherwise(F.col("_rows"))).cast("bigint")
-        .alias("updated"))
-    c2 = batch.agg(F.sum(F.when(has_key, 0).otherwise(1)).cast("bigint").alias("skipped"))
-    counts = (c1.withColumn("_one", F.lit(1)).join(c2.withColumn("_one", F.lit(1)), "_one")
-              .select("saved", "updated", F.coalesce("skipped", F.lit(0)).cast("bigint").alias("skipped")))
+        F.sum(F.when(F.col("op") == "saved", F.col("_rows") - 1).when(F.col("op") == "batch", 0)
+              .otherwise(F.col("_rows"))).cast("bigint").alias("updated"),
+        F.sum(F.when((F.col("op") == "batch") & ~F.col("_has_key"), 1).otherwise(0)).cast("bigint").alias("skipped"))
     return table.drop("_rows"), counts
 
 
