@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lectern.functions.text import (KEYWORD_STOPS, bigrams, clean_text, org_entities, strip_ws,
-                                    tokens, words)
+from lectern.functions.text import KEYWORD_STOPS, clean_text, org_entities, strip_ws, tokens, words
 from lectern.functions.vectors import embedding_text, with_hash_embedding
 
 MIN_KEYWORD_TEXT = 20   # fixed value: shorter stripped texts get no keywords

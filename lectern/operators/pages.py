@@ -140,7 +140,6 @@ def consume_pages(page_items: DataFrame, key: str, page_no: str, n_items: str, m
     """Pages in order per source; stop at the first empty page, at most max_pages
     pages and max_results items.  Running windows per source (no collect)."""
     w = Window.partitionBy(key).orderBy(page_no)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     df = page_items.withColumn("_rank", F.row_number().over(w))
     if stop_when_empty:
@@ -153,7 +152,6 @@ def consume_pages(page_items: DataFrame, key: str, page_no: str, n_items: str, m
               .withColumn("take", F.least(F.col(n_items), F.lit(max_results) - F.col("_items_before"))))
     else:
         df = df.withColumn("take", F.col(n_items))
-    del run
     return df.drop("_rank", "_empty_before", "_items_before")
 
 

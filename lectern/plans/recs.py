@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lectern.functions.text import WS
 from lectern.functions.vectors import embedding_text, with_hash_embedding

@@ -3,8 +3,6 @@ input (availableNow) and returns the table it wrote; the oracle is the batch res
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lectern.plans.catalog import query
 from lectern.sources import payloads as P
 from lectern.sources import tables as T

@@ -3,7 +3,7 @@
 Every view is a lazy DataFrame over the whole input table: no row is dropped,
 sampled or capped here.  Attribute derivations (dates, flags, ids) are fixed
 rules so that the DuckDB oracle can rebuild the same views in SQL
-(``lectern.plans.oracle.VIEWS_SQL``).
+(``lectern.plans.oracle_views.VIEWS``).
 
 Mapping (fixed rules):
   article          documents of sources src0..src9   (API-collected content)
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
