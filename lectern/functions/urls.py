@@ -32,17 +32,24 @@ def raw_id(name: Column, raw: Column) -> Column:
 def absolute_url(base: Column, url: Column) -> Column:
     """Resolve url against base (absolute, //host, /path, ?query, #frag, relative path).
 
-    Covers the urljoin cases a scraper meets; dot segments in relative paths are
-    resolved one level ("../").
+    Matches urllib's urljoin on the cases a scraper meets; dot segments ('./', up
+    to four '../') are resolved inside the path, never into the host.
     """
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     no_frag = F.regexp_replace(base, r"#.*$", "")
     no_query = F.regexp_replace(no_frag, r"\?.*$", "")
     path = F.regexp_extract(no_query, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/.*)?$", 1)
-    dir_ = F.concat(origin, F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), r"[^/]*$", ""))
-    rel = F.concat(dir_, F.regexp_replace(url, r"^\./", ""))
-    rel = F.regexp_replace(rel, r"/[^/]+/\.\./", "/")
+    dir_path = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), r"[^/]*$", "")
+    # resolve dot segments inside the path only (never into the host)
+    p = F.concat(dir_path, url)
+    for _ in range(2):
+        p = F.regexp_replace(p, r"/\./", "/")
+    for _ in range(4):
+        p = F.regexp_replace(p, r"/(?!\.\./)[^/?#]+/\.\./", "/")
+    p = F.regexp_replace(p, r"^(/\.\.)+/", "/")
+    p = F.regexp_replace(F.regexp_replace(p, r"/(?!\.\.$)[^/?#]+/\.\.$", "/"), r"/\.$", "/")
+    rel = F.concat(origin, p)
     return (F.when(url.isNull() | (url == ""), url)
             .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), url)
             .when(url.startswith("//"), F.concat(scheme, F.lit(":"), url))
