@@ -228,16 +228,35 @@ def page_count(n: Column, size: int) -> Column:
 
 # ---------------------------------------------------------------- interleave / dedupe
 
+def position_within(df: DataFrame, key: str, order: list[Column], out: str = "rn",
+                    partitions: int | None = None) -> DataFrame:
+    """row_number() over (partition by key order by `order`), computed so that no task
+    sorts a whole key: a hot key (a third of all rows) is spread by range partitioning
+    on (key, order) over many tasks, each numbers its slice, and a small table of
+    per-slice counts (one row per key and slice) turns local numbers into global ones.
+    `order` must be a total order (end it with a unique column)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(key)] + list(order)
+    r = df.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
+    local = r.withColumn("_lrn", F.row_number().over(Window.partitionBy("_slice", key).orderBy(*order)))
+    counts = local.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    return (local.join(offsets, [key, "_slice"])
+            .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("int"))
+            .drop("_slice", "_lrn", "_off"))
+
+
 def interleave(df: DataFrame, source: str, order: list[Column],
                source_rank: Column | None = None) -> DataFrame:
     """Round-robin over per-source lists.
 
     Adds `rn` (1-based position inside its source list, in `order`) and `src_rank`;
-    the interleaved order is (rn, src_rank).  Partitioned by source: producing the
-    order keys needs no global sort.
+    the interleaved order is (rn, src_rank).  Positions come from `position_within`,
+    so a hot source is numbered by many tasks; no global sort is needed either.
     """
-    w = Window.partitionBy(source).orderBy(*order)
-    out = df.withColumn("rn", F.row_number().over(w))
+    out = position_within(df, source, order)
     return out.withColumn("src_rank", F.col(source) if source_rank is None else source_rank)
 
 

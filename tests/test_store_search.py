@@ -96,3 +96,17 @@ def test_page_extraction(spark):
     assert [(r.cls, r.n) for r in cc] == [("item.card", 3)]
     p = pages.select(PG.pagination(F.col("url"), F.col("html")).alias("p")).collect()[0].p
     assert p.type == "NEXT_BUTTON"
+
+
+def test_position_within_hot_key_equals_row_number(spark):
+    from pyspark.sql import Window
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}", (i * 37) % 101) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, src string, v int")
+    order = [F.col("v").desc(), F.col("id")]
+    got = S.position_within(df, "src", order, partitions=8).select("id", "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(*order))).select("id", "rn")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # the hot source is spread over several slices (tasks)
+    slices = df.repartitionByRange(8, "src", *order).withColumn("p", F.spark_partition_id()) \
+        .filter("src = 'hot'").select("p").distinct().count()
+    assert slices > 1
