@@ -211,12 +211,12 @@ def library_page(saved: DataFrame, user_id: int | None = None, search: str = "",
         saved = saved.filter(F.col("user_id") == user_id)
     if search.strip():
         saved = saved.filter(text_match(search, ["title", "abstract"]))
-    w = Window.partitionBy("user_id")
-    wo = w.orderBy(F.col("saved_at").desc(), F.col("external_id").asc())
+    # positions without sorting a whole (possibly hot) user in one task; totals by aggregation
+    ranked = position_within(saved, "user_id", [F.col("saved_at").desc(), F.col("external_id").asc()], "pos")
+    totals = saved.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     start = (page - 1) * page_size
-    return (saved.withColumn("pos", F.row_number().over(wo))
-            .withColumn("total", F.count(F.lit(1)).over(w))
-            .filter((F.col("pos") > start) & (F.col("pos") <= start + page_size))
+    return (ranked.filter((F.col("pos") > start) & (F.col("pos") <= start + page_size))
+            .join(totals, "user_id")
             .withColumn("total_pages",
                         F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(page_size))).cast("bigint")))
 
@@ -262,11 +262,9 @@ def interleave(df: DataFrame, source: str, order: list[Column],
 
 def interleave_by_size(df: DataFrame, source: str, pos: str) -> DataFrame:
     """Sources ordered by bucket size desc, then first appearance; order key
-    (rn, src_size desc, first_pos)."""
-    w = Window.partitionBy(source)
-    return (df.withColumn("rn", F.row_number().over(w.orderBy(F.col(pos))))
-            .withColumn("src_size", F.count(F.lit(1)).over(w))
-            .withColumn("first_pos", F.min(pos).over(w)))
+    (rn, src_size desc, first_pos).  Sizes and first positions are one aggregation."""
+    stats = df.groupBy(source).agg(F.count(F.lit(1)).alias("src_size"), F.min(pos).alias("first_pos"))
+    return position_within(df, source, [F.col(pos)]).join(stats, source)
 
 
 def dedupe_key() -> Column:
