@@ -189,9 +189,24 @@ def quota_session(requests: DataFrame, key: str, limit: int, gap_seconds: int =
                     F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining")))
 
 
-def quota_sliding(requests: DataFrame, key: str, limit: int, seconds: int = 60) -> DataFrame:
-    """At each request, requests of the same source in (ts - seconds, ts]."""
-    w = (Window.partitionBy(key).orderBy(F.unix_micros(F.col("started_at").cast("timestamp")))
-         .rangeBetween(-seconds * 1_000_000 + 1, 0))
-    return (requests.withColumn("used", F.count(F.lit(1)).over(w))
-            .withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used"))))
+def quota_sliding(requests: DataFrame, key: str, limit: int, seconds: int = 60,
+                  bucket_seconds: int = 86400) -> DataFrame:
+    """At each request, requests of the same source in (ts - seconds, ts].
+
+    A hot source is split by time buckets: the range window runs per (source, bucket),
+    and the requests of a bucket's last `seconds` are copied into the next bucket as
+    context rows (counted, not emitted), so every window is complete and exact.
+    """
+    assert bucket_seconds >= seconds
+    us, b_us = seconds * 1_000_000, bucket_seconds * 1_000_000
+    own = (requests.withColumn("_ts", F.unix_micros(F.col("started_at").cast("timestamp")))
+           .withColumn("_b", F.floor(F.col("_ts") / F.lit(b_us)))
+           .withColumn("_own", F.lit(True)))
+    ctx = (own.filter(F.col("_ts") > (F.col("_b") + 1) * F.lit(b_us) - F.lit(us))
+           .withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_b").orderBy("_ts").rangeBetween(-us + 1, 0)
+    return (own.unionByName(ctx)
+            .withColumn("used", F.count(F.lit(1)).over(w))
+            .filter(F.col("_own"))
+            .withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
+            .drop("_ts", "_b", "_own"))

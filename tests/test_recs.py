@@ -115,3 +115,15 @@ def test_success_ema_equals_sequential_fold(spark):
     got = {r.scraper_config_id: r.success_rate for r in M.success_ema(runs).collect()}
     for k, v in expected.items():
         assert abs(got[k] - v) < 1e-9, (k, got[k], v)
+
+
+def test_quota_sliding_buckets_are_exact(spark):
+    rng = np.random.default_rng(9)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, int(rng.integers(0, 3)), base + dt.timedelta(seconds=float(rng.uniform(0, 1000))))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, src long, started_at timestamp")
+    got = {r.id: r.used for r in M.quota_sliding(df, "src", 30, seconds=60, bucket_seconds=100).collect()}
+    for i, s, t in rows:
+        want = sum(1 for _, s2, t2 in rows if s2 == s and t - dt.timedelta(seconds=60) < t2 <= t)
+        assert got[i] == want
