@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import simhash
+from lectern.llm import decontaminate, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,19 @@ def _documents(build: Callable[[DataFrame], DataFrame]) -> QueryFn:
     return run
 
 
+def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.op10_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_simhash": _documents(simhash.op1_simhash),
+        "op10_decontaminate": _decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_decontaminate": decontaminate.SQL,
+    }
