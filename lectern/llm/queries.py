@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, simhash
+from lectern.llm import decontaminate, mixing, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +27,13 @@ def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_simhash": _documents(simhash.op1_simhash),
+        "op2_mix": _documents(mixing.op2_mix),
         "op10_decontaminate": _decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mix": mixing.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
