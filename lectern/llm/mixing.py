@@ -73,28 +73,28 @@ def _odds(p: Column) -> Column:
     return p / (1 - p)
 
 
-def _expected(rows: DataFrame, weighted: bool, max_copies: int) -> DataFrame:
-    """Adds e, the expected copies of each document, with sum(e * size) = target per source.
+def _levels(sized: DataFrame, targets: DataFrame, weighted: bool, max_copies: int) -> DataFrame:
+    """Adds c to `targets`: a document is expected min(max_copies, c * dw) times, dw its relative weight.
 
-    Without document weights e is the same for a source.  With weights dw it is
-    min(max_copies, c * dw): c rises until the documents below the cap carry what
-    is left; each pass is an aggregate by source, and it ends when no further
-    document reaches the cap.
+    Without document weights (dw = 1) c is target / source_size.  With them c
+    rises until the documents below the cap carry what is left; each pass is an
+    aggregate by source, and it ends when no further document reaches the cap.
+    A source whose documents all weigh nothing gives nothing.
     """
     if not weighted:
-        return rows.withColumn("e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rows = stored(rows.withColumn("dw", F.greatest(F.coalesce(F.col("dw").cast("double"), F.lit(0.0)), F.lit(0.0))), "weighted")
-    level, capped = rows.select("source").distinct().withColumn("c", F.lit(0.0)), -1
+        return targets.withColumn("c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    level, capped = targets.withColumn("c", F.lit(0.0)), -1
     while True:
-        at = _with(rows, level)
+        at = _with(sized, level)
         full = F.col("c") * F.col("dw") >= max_copies
         now = at.where(full).count()
         if now == capped:
-            return at.withColumn("e", F.least(F.lit(float(max_copies)), F.col("c") * F.col("dw")))
+            return level
         capped = now
         held = F.sum(F.when(full, F.col("size") * max_copies).otherwise(0))
         free = F.sum(F.when(~full, F.col("size") * F.col("dw")).otherwise(0.0))
-        level = stored(at.groupBy("source").agg(F.when(free > 0, (F.max("target") - held) / free).otherwise(F.max("c")).alias("c")), "levels")
+        c = at.groupBy("source").agg(F.when(free > 0, (F.max("target") - held) / free).otherwise(F.max("c")).alias("c"))
+        level = stored(_with(targets, c), "levels")
 
 
 def _cut(sums: DataFrame, left: DataFrame) -> DataFrame:
@@ -112,29 +112,39 @@ def _with(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFra
     return rows.join(right, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, max_copies: int = MAX_COPIES,
-        weight: str | None = None, seed: int = SEED) -> DataFrame:
-    """Per row of `docs`: doc_id, th (text hash), source, size, source_size, target, copies, taken (words)."""
-    prepare(docs.sparkSession)
-    extra = [F.col(weight).alias("dw")] if weight else []
-    sized = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), "source", word_count(F.col("text")).alias("size"), *extra), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    targets = stored(source_targets(totals, weights, factor, max_copies), "targets")
-    rows = _expected(_with(sized, targets), weight is not None, max_copies)
-    rows = rows.withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.col("whole"))
+def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
+    dw = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "source", word_count(F.col("text")).alias("size"), dw.alias("dw"))
+
+
+def _ranked(sized: DataFrame, per_source: DataFrame, max_copies: int, seed: int) -> DataFrame:
+    """Adds the source's columns, whole (certain copies), rank (in (0, 1); null: not drawn) and slice."""
+    rows = _with(sized, per_source)
+    e = F.least(F.lit(float(max_copies)), F.col("c") * F.col("dw"))
+    rows = rows.withColumn("whole", F.floor(e)).withColumn("p", e - F.floor(e))
     # q is taken relative to the source's mean odds, so that q / (1 + q) spreads over (0, 1)
-    flat = F.col("target") / F.greatest("source_size", F.lit(1))
+    flat = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mean = F.greatest(F.least(flat - F.floor(flat), F.lit(0.999)), F.lit(0.001))
-    u = uniform(F.col("doc_id"), seed)
-    q = _odds(u) / _odds(F.col("p")) * _odds(mean)
+    q = _odds(uniform(F.col("doc_id"), seed)) / _odds(F.col("p")) * _odds(mean)
     slices = SIDE * F.least(F.ceil(F.col("n_docs") / (SIDE * 32)), F.lit(SIDE))
     draws = (F.col("p") > 1e-12) & (F.col("size") > 0)
-    rows = rows.withColumn("rank", F.when(draws, q / (1 + q)))
-    rows = stored(rows.withColumn("slice", F.floor(F.col("rank") * slices))
-                  .select("doc_id", "th", "source", "size", "source_size", "target", "whole", "rank", "slice"), "ranked")
+    return rows.withColumn("rank", F.when(draws, q / (1 + q))).withColumn("slice", F.floor(F.col("rank") * slices)).drop("p")
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, max_copies: int = MAX_COPIES,
+         weight: str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What decides the mix: (source rows with targets and cuts, the documents picked at the cuts, all sizes); stored."""
+    prepare(docs.sparkSession)
+    sized = stored(_sized(docs, weight), "sizes")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    targets = stored(source_targets(totals, weights, factor, max_copies), "targets")
+    targets = stored(_levels(sized, targets, weight is not None, max_copies), "expected")
+    rows = _ranked(sized, targets, max_copies, seed)
     # what certain copies leave of each target, and the slice in which the order reaches it: by SIDE slices, then within
-    left = stored(rows.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("left")), "left")
-    sums = stored(rows.where("rank is not null").groupBy("source", "slice").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "slices")
+    sums = stored(rows.groupBy("source", "slice").agg(
+        F.sum("size").alias("words"), F.count("*").alias("n"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.max("target").alias("target")), "slices")
+    left = stored(sums.groupBy("source").agg((F.max("target") - F.sum("certain")).alias("left")), "left")
+    sums = sums.where("slice is not null").select("source", "slice", "words", "n")
     side = F.floor(F.col("slice") / SIDE)
     coarse = stored(_cut(sums.groupBy("source", side.alias("k")).agg(F.sum("words").alias("words")), left), "coarse")
     fine = _with(sums, coarse).where(side == F.col("k")).select("source", F.col("slice").alias("k"), "words")
@@ -142,9 +152,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FAC
     # the slices after it that hold the next FILL documents of the order
     after = _with(sums, cut).where("slice > k and slice <= k + %d" % SIDE).withColumn(
         "upto", F.sum("n").over(Window.partitionBy("source").orderBy("slice"))).where(F.col("upto") - F.col("n") < FILL)
-    last = after.groupBy("source").agg(F.max("slice").alias("last"))
-    cut = stored(_with(cut, last, "left").select("source", "k", "room", F.coalesce("last", "k").alias("last")), "bounds")
-    return _result(_with(rows, cut, "left"))
+    cut = _with(cut, after.groupBy("source").agg(F.max("slice").alias("last")), "left")
+    per_source = stored(_with(targets, cut.select("source", "k", "room", F.coalesce("last", "k").alias("last")), "left"), "bounds")
+    return per_source, _picked(_ranked(sized, per_source, max_copies, seed)), sized
 
 
 def _fill(rest: DataFrame) -> DataFrame:
@@ -155,34 +165,48 @@ def _fill(rest: DataFrame) -> DataFrame:
     step = lambda acc, i: F.when(F.get("next", i)["size"] <= acc["room"], F.struct(
         (acc["room"] - F.get("next", i)["size"]).alias("room"), F.concat(acc["got"], F.array(i)).alias("got"))).otherwise(acc)
     taken = F.aggregate(F.sequence(F.lit(0), F.size("next") - 1), zero, step)["got"]
-    return nexts.select("source", F.explode(F.transform(taken, lambda i: F.get("next", i))).alias("g")).select("source", "g.rank", "g.doc_id", "g.th")
+    return nexts.select("source", F.explode(F.transform(taken, lambda i: F.get("next", i))).alias("g")).select("source", "g.doc_id", "g.th")
 
 
-def _result(placed: DataFrame) -> DataFrame:
-    """Certain copies, and one more for what comes before the cut, fits into it, or fills the gap."""
+def _picked(rows: DataFrame) -> DataFrame:
+    """(source, doc_id, th) of the documents that fit before the cut or fill the gap, from the slices around it."""
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "th")
-    near = placed.where("slice >= k and slice <= last").withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    near = rows.where("slice >= k and slice <= last").withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     near = stored(near.select("source", "rank", "doc_id", "th", "size", "room", "run"), "near")
     head = near.where("run <= room")
     used = head.groupBy("source").agg(F.max("run").alias("used"))
     rest = near.where("run > room").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FILL)
     rest = _with(rest, used, "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
-    picked = stored(head.select("source", "rank", "doc_id", "th").unionAll(_fill(rest)).distinct(), "picked")
-    p = small(picked.select(F.col("source").alias("ps"), F.col("rank").alias("pr"), F.col("doc_id").alias("pd"), F.col("th").alias("pt"), F.lit(True).alias("hit")), MANY_SOURCES)
-    same = F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("rank") == F.col("pr")) & (F.col("th") == F.col("pt"))
+    return stored(head.select("source", "doc_id", "th").unionAll(_fill(rest)).distinct(), "picked")
+
+
+def _copies(sized: DataFrame, per_source: DataFrame, picked: DataFrame, max_copies: int, seed: int) -> DataFrame:
+    """Adds copies: the certain ones, and one more for what comes before the cut or was picked at it."""
+    rows = _ranked(sized, per_source, max_copies, seed)
+    p = small(picked.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), F.col("th").alias("pt"), F.lit(True).alias("hit")), MANY_SOURCES)
+    same = F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt"))
     more = F.col("rank").isNotNull() & (F.col("k").isNull() | (F.col("slice") < F.col("k")) | F.coalesce("hit", F.lit(False)))
-    copies = (F.col("whole") + more.cast("long")).alias("copies")
-    return placed.join(p, same, "left").select("doc_id", "th", "source", "size", "source_size", "target", copies) \
-        .withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: each row of `docs` as many times as it is taken."""
-    copies = mix(docs, **options).groupBy("doc_id", "th", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    c = copies.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("source").alias("_s"), "copies")
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_t"))
-    rows = docs.withColumn("_th", F.xxhash64("text")).join(c, on).drop("_d", "_t", "_s", "_th")
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, int(copies))"))).select(*docs.columns)
+    return rows.join(p, same, "left").drop("ps", "pd", "pt").withColumn("copies", F.col("whole") + more.cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, max_copies: int = MAX_COPIES,
+        weight: str | None = None, seed: int = SEED) -> DataFrame:
+    """Per row of `docs`: doc_id, source, size, source_size, target, copies, taken (words)."""
+    per_source, picked, sized = plan(docs, weights, factor, max_copies, weight, seed)
+    return _copies(sized, per_source, picked, max_copies, seed).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, max_copies: int = MAX_COPIES,
+          weight: str | None = None, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken.  The texts are not shuffled."""
+    per_source, picked, _ = plan(docs, weights, factor, max_copies, weight, seed)
+    # every column of the row travels in one struct, so that no name can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    parts = whole.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("th"), F.col("row.source").alias("source"),
+                         word_count(F.col("row.text")).alias("size"), (F.col(f"row.{weight}") if weight else F.lit(1.0)).alias("dw"))
+    rows = _copies(parts, per_source, picked, max_copies, seed).where("copies > 0")
+    return rows.select("row", F.explode(F.expr("sequence(1, int(copies))"))).select("row.*")
 
 
 def op2_mix(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, mixing, simhash
+import corpus_pipeline
+
+from lectern.llm import decontaminate, language, mixing, packing, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +30,16 @@ def queries() -> dict[str, QueryFn]:
     return {
         "op1_simhash": _documents(simhash.op1_simhash),
         "op2_mix": _documents(mixing.op2_mix),
+        "op4_pack": _documents(packing.op4_pack),
+        "op7_language": _documents(language.op7_language),
         "op10_decontaminate": _decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "op2_mix": mixing.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
