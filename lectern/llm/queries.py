@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lectern.llm import decontaminate, language, mixing, packing, simhash
+from lectern.llm import decontaminate, language, mixing, packing, quality, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,7 @@ def queries() -> dict[str, QueryFn]:
         "op1_simhash": _documents(simhash.op1_simhash),
         "op2_mix": _documents(mixing.op2_mix),
         "op4_pack": _documents(packing.op4_pack),
+        "op6_quality": _documents(quality.op6_quality),
         "op7_language": _documents(language.op7_language),
         "op10_decontaminate": _decontaminate,
         "pipeline": corpus_pipeline.run,
@@ -40,6 +41,7 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     out = {
         "op2_mix": mixing.SQL,
+        "op6_quality": quality.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
