@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lectern.llm import decontaminate, language, mixing, packing, quality, simhash
+from lectern.llm import decontaminate, language, mixing, packing, quality, secrets, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def queries() -> dict[str, QueryFn]:
     return {
         "op1_simhash": _documents(simhash.op1_simhash),
         "op2_mix": _documents(mixing.op2_mix),
+        "op3_secrets": _documents(secrets.op3_secrets),
         "op4_pack": _documents(packing.op4_pack),
         "op6_quality": _documents(quality.op6_quality),
         "op7_language": _documents(language.op7_language),
