@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lectern.llm import decontaminate, language, mixing, packing, quality, secrets, simhash
+from lectern.llm import decontaminate, language, mixing, packing, pii, quality, secrets, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ def queries() -> dict[str, QueryFn]:
         "op4_pack": _documents(packing.op4_pack),
         "op6_quality": _documents(quality.op6_quality),
         "op7_language": _documents(language.op7_language),
+        "op9_pii": _documents(pii.op9_pii),
         "op10_decontaminate": _decontaminate,
         "pipeline": corpus_pipeline.run,
     }
