@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lectern.session import configure, ensure_checkpoint_dir
 
-WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
@@ -41,6 +40,20 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def collapsed(text: Column, separators: str, upper: str = "", lower: str = "") -> Column:
+    """`text` (null: empty) with every separator turned into a space, runs of them into one, none at the ends.
+
+    `upper` is mapped to `lower` on the way.  The regular expression only has work at doubled spaces.
+    """
+    spaced = F.translate(F.coalesce(text, F.lit("")), upper + separators, lower + " " * len(separators))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
+
+
+def spaces_plus_one(line: Column) -> Column:
+    """Words of a collapsed text."""
+    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def word_count(text: Column) -> Column:
     """Number of words split at ASCII white space; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return spaces_plus_one(collapsed(text, "\t\n\x0b\f\r "))

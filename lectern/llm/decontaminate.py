@@ -5,8 +5,8 @@ test term in the training documents; it is stored once and gives the corpus
 frequency of each term.  A test phrase is looked up from its rarest term: that
 term's posting list, shifted by the term's offset in the phrase, gives candidate
 starts; they are intersected with the shifted list of the next rarest term, and
-what is left is held against all terms of the phrase in the documents that still
-have candidates.
+then, in the documents that still have candidates, with the lists of all terms of
+the phrase.  The texts are read once and never shuffled.
 
 Defined results: null text has no words and is clean; an item without words has
 no window, one of fewer words than `window` is a single window; rows with equal
@@ -23,19 +23,20 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prepare, small, stored
+from lectern.llm.common import collapsed, prepare, small, spaces_plus_one, stored
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-IN_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
+#: ASCII but letters and digits; A-Z are lower-cased before they could separate.
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 WINDOW = 10
 #: Test-side tables (terms, windows, anchors) of at most so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+FILTER_BITS = 1 << 26  # 8 MB
 DOC = ["did", "th"]
 
 
-def _words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.split(lowered, SEPARATORS)
+def _line(text: Column) -> Column:
+    """The words of a text, lower-cased (A-Z), joined by single spaces."""
+    return collapsed(text, SEPARATORS, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,12 +47,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _tokens(keyed: DataFrame) -> DataFrame:
     """One row per word: document key, pos, term (positions of a text count alike wherever it is tokenised)."""
-    return keyed.select(*DOC, F.posexplode(_words(F.col("text"))).alias("pos", "term")).where("term <> ''")
+    return keyed.select(*DOC, F.posexplode(F.split(_line(F.col("text")), " ")).alias("pos", "term"))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(wid, win) of distinct windows, and (wid, item_id) of the items that have them."""
-    words = items.select("item_id", F.filter(_words(F.col("text")), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    words = items.select("item_id", F.split(_line(F.col("text")), " ").alias("w")).where("w[0] <> ''")
     each = words.select("item_id", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))).alias("i"), "w") \
         .select("item_id", F.slice("w", F.col("i"), F.lit(window)).alias("win"))
     each = stored(each.distinct(), "item-windows")
@@ -74,7 +75,25 @@ def _anchors(wins: DataFrame, index: DataFrame) -> DataFrame:
                                 F.get("r", F.lit(1))["off"].alias("o2"), F.get("r", F.lit(1))["term"].alias("t2")), "anchors")
 
 
-def phrase_matches(docs: DataFrame, wins: DataFrame, index: DataFrame) -> DataFrame:
+def _in_documents(index: DataFrame, left: DataFrame) -> DataFrame:
+    """The postings of the documents in `left`, and a few others.
+
+    The documents are marked in a bitmap of FILTER_BITS by their hash.  It is
+    broadcast: its size is fixed, whatever the tables' sizes; the fuller it is,
+    the more postings of other documents pass and are dropped by the join.
+    """
+    place = F.pmod(F.col("th"), F.lit(FILTER_BITS))
+    marks = left.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).distinct() \
+        .repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    marks = stored(marks, "bitmap")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, (at % 8).cast("int")) == 1
+    rows = index.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket")
+    return rows.where(marked).select(*DOC, "pos", "term")
+
+
+def phrase_matches(wins: DataFrame, index: DataFrame) -> DataFrame:
     """Exact occurrences (did, th, start, wid, len) of the windows in the documents; stored."""
     anchors = _anchors(wins, index)
     first = index.withColumnRenamed("term", "t1").join(small(anchors, BROADCAST_ROWS), "t1") \
@@ -87,12 +106,11 @@ def phrase_matches(docs: DataFrame, wins: DataFrame, index: DataFrame) -> DataFr
         .join(second, [*DOC, "pos", "t2"], "left_semi").select(*DOC, "start", "wid", "len")
     single = first.where("t2 is null").select(*DOC, "start", "wid", "len")
     left = stored(both.unionAll(single).distinct(), "intersected")
-    # all terms of what is left, against the texts of the documents that have candidates
-    texts = _tokens(_keyed(docs).join(left.select(*DOC).distinct(), DOC, "left_semi"))
+    # the lists of all terms, shifted alike, in the documents that still have candidates
     wanted = left.join(small(wins, BROADCAST_ROWS), "wid") \
         .select(*DOC, "start", "wid", "len", F.posexplode("win").alias("off", "term")) \
         .withColumn("pos", F.col("start") + F.col("off"))
-    found = wanted.join(texts, [*DOC, "pos", "term"], "left_semi").groupBy(*DOC, "start", "wid", "len") \
+    found = wanted.join(_in_documents(index, left), [*DOC, "pos", "term"], "left_semi").groupBy(*DOC, "start", "wid", "len") \
         .agg(F.count("*").alias("n")).where("n = len")
     return stored(found.drop("n"), "matches")
 
@@ -119,13 +137,13 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     prepare(docs.sparkSession)
     wins, owners = windows_of(items, window)
     terms = stored(wins.select(F.explode("win").alias("term")).distinct(), "terms")
-    matches = phrase_matches(docs, wins, build_index(docs, terms))
+    matches = phrase_matches(wins, build_index(docs, terms))
     hit = matches.select(*DOC, F.explode(F.expr("sequence(start, start + len - 1)")).alias("pos")).distinct() \
         .groupBy(*DOC).agg(F.count("*").alias("n_hit"))
     named = matches.select(*DOC, "wid").distinct().join(small(stored(owners, "owners"), BROADCAST_ROWS), "wid") \
         .where("item_id is not null").select(*DOC, F.col("item_id").cast("string").alias("item")).distinct() \
         .groupBy(*DOC).agg(F.count("*").alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
-    rows = _keyed(docs).select("doc_id", *DOC, F.coalesce(F.regexp_count("text", F.lit(IN_WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    rows = _keyed(docs).select("doc_id", *DOC, spaces_plus_one(_line(F.col("text"))).alias("n_words"))
     return rows.join(hit.join(named, DOC, "left"), DOC, "left").select(
         "doc_id", *DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -138,7 +156,7 @@ def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     prepare(docs.sparkSession)
     wins, _ = windows_of(items, window)
     terms = stored(wins.select(F.explode("win").alias("term")).distinct(), "terms")
-    hit = phrase_matches(docs, wins, build_index(docs, terms)).select(*DOC).distinct()
+    hit = phrase_matches(wins, build_index(docs, terms)).select(*DOC).distinct()
     keys = {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "th": F.xxhash64("doc_id", "text")}
     return docs.withColumns({f"_{k}": c for k, c in keys.items()}) \
         .join(hit.select(*[F.col(k).alias(f"_{k}") for k in DOC]), ["_did", "_th"], "left_anti").select(*docs.columns)
