@@ -124,7 +124,7 @@ def classify(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN) -> D
                 second = min((x for k, x in enumerate(got) if k != best), default=None)
                 margin = 1.0 if second is None else (second - got[best]) / second
                 out.append((names[best], margin, margin < min_margin))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"]).astype({"lang_pred": object})
 
     return docs.withColumn("_lang", predict(F.col("text")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lectern.llm import decontaminate, language, mixing, packing, pii, quality, secrets, simhash
+from lectern.llm import decontaminate, html_text, language, mixing, packing, pii, quality, secrets, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_text.op8_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_simhash": _documents(simhash.op1_simhash),
@@ -34,6 +39,7 @@ def queries() -> dict[str, QueryFn]:
         "op4_pack": _documents(packing.op4_pack),
         "op6_quality": _documents(quality.op6_quality),
         "op7_language": _documents(language.op7_language),
+        "op8_main_text": _main_text,
         "op9_pii": _documents(pii.op9_pii),
         "op10_decontaminate": _decontaminate,
         "pipeline": corpus_pipeline.run,
