@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lectern.llm import decontaminate, html_text, language, mixing, packing, pii, quality, secrets, simhash
+from lectern.llm import decontaminate, html_text, language, lines, mixing, packing, pii, quality, secrets, simhash
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,7 @@ def queries() -> dict[str, QueryFn]:
         "op2_mix": _documents(mixing.op2_mix),
         "op3_secrets": _documents(secrets.op3_secrets),
         "op4_pack": _documents(packing.op4_pack),
+        "op5_lines": _documents(lines.op5_lines),
         "op6_quality": _documents(quality.op6_quality),
         "op7_language": _documents(language.op7_language),
         "op8_main_text": _main_text,
