@@ -1,17 +1,20 @@
 """Search, listing, interleave and de-duplication.
 
-All predicates are Catalyst expressions; limits are the feature of the
-listing (the reference caps each side at 200 rows) and stay parameters.
+All predicates are Catalyst expressions.  Limits are arguments of the caller:
+nothing is cut unless a call says so.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lectern.session import AS_OF
+from lectern.session import AS_OF, cut_lineage
 
+#: The named date filters, in days.
 DATE_RANGES = {"last_30_days": 30, "last_3_months": 90, "last_year": 365}
 
 
@@ -149,12 +152,13 @@ def union_content(articles: DataFrame, scraped: DataFrame) -> DataFrame:
 
 def unified_listing(articles: DataFrame, scraped: DataFrame, search: str = "", categories: str = "",
                     source: str = "", date_range: str = "", page: int = 1, page_size: int = 20,
-                    cap: int = 200, as_of: str = AS_OF) -> DataFrame:
-    """L1: per-side filters, each side date-desc top `cap`, union, date-desc sort, one page.
+                    cap: int | None = None, as_of: str = AS_OF) -> DataFrame:
+    """L1: per-side filters, union, date-desc sort, one page.
 
-    Output adds `pos` (1-based rank in the merged list), `total` (rows in the merged,
-    capped list) and `total_pages` (min 1).  The cap is the reference's feature: the
-    per-side top-k is a TakeOrderedAndProject, so no full sort of the tables happens.
+    Output adds `pos` (1-based rank in the merged list), `total` (rows in the merged
+    list) and `total_pages` (min 1).  The page is reached by a top-(offset + page size),
+    never by sorting the tables.  With `cap`, each side is first cut to its newest `cap`
+    rows, as a caller may want for a quick first page.
     """
     if search.strip():
         articles = articles.filter(text_match(search, ["title", "abstract"], ("keywords",),
@@ -171,17 +175,17 @@ def unified_listing(articles: DataFrame, scraped: DataFrame, search: str = "", c
         scraped = scraped.filter(in_date_range(date_range, as_of))
     u = union_content(articles, scraped)
     order = [F.col("published_date").desc_nulls_last(), F.col("id").asc()]
-    a_top = u.filter(F.col("type") == "article").orderBy(*order).limit(cap)
-    s_top = u.filter(F.col("type") == "scraped").orderBy(*order).limit(cap)
-    both = a_top.unionByName(s_top)
-    # The merged list is bounded by 2*cap rows, so one window over it is bounded too.
-    w_all = Window.partitionBy(F.lit(1))
-    w_ord = w_all.orderBy(F.col("published_date").desc_nulls_last(),
-                          F.when(F.col("type") == "article", 0).otherwise(1), F.col("id"))
-    ranked = (both.withColumn("pos", F.row_number().over(w_ord))
-              .withColumn("total", F.count(F.lit(1)).over(w_all)))
+    if cap is not None:
+        u = (u.filter(F.col("type") == "article").orderBy(*order).limit(cap)
+             .unionByName(u.filter(F.col("type") == "scraped").orderBy(*order).limit(cap)))
+    merged = [F.col("published_date").desc_nulls_last(), F.when(F.col("type") == "article", 0).otherwise(1), F.col("id")]
     start = (page - 1) * page_size
-    return (ranked.filter((F.col("pos") > start) & (F.col("pos") <= start + page_size))
+    top = u.orderBy(*merged).limit(start + page_size)
+    # at most start + page_size rows come to this window
+    ranked = top.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*merged))).filter(F.col("pos") > start)
+    # the total, once for every place of the page, so that it joins on equal keys
+    total = u.agg(F.count(F.lit(1)).alias("total")).select("total", F.explode(F.sequence(F.lit(start + 1), F.lit(start + page_size))).alias("pos"))
+    return (ranked.join(total, "pos")
             .withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(page_size)))
                         .cast("bigint"))
             .select("pos", "id", "external_id", "title", "published_date", "type", "source_name",
@@ -212,7 +216,7 @@ def library_page(saved: DataFrame, user_id: int | None = None, search: str = "",
     if search.strip():
         saved = saved.filter(text_match(search, ["title", "abstract"]))
     # positions without sorting a whole (possibly hot) user in one task; totals by aggregation
-    ranked = position_within(saved, "user_id", [F.col("saved_at").desc(), F.col("external_id").asc()], "pos")
+    ranked = position_within(saved, "user_id", [("saved_at", False), ("external_id", True)], "pos")
     totals = saved.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     start = (page - 1) * page_size
     return (ranked.filter((F.col("pos") > start) & (F.col("pos") <= start + page_size))
@@ -228,31 +232,40 @@ def page_count(n: Column, size: int) -> Column:
 
 # ---------------------------------------------------------------- interleave / dedupe
 
-def position_within(df: DataFrame, key: str, order: list[Column], out: str = "rn",
-                    partitions: int | None = None) -> DataFrame:
-    """row_number() over (partition by key order by `order`), computed so that no task
-    sorts a whole key: a hot key (a third of all rows) is spread by range partitioning
-    on (key, order) over many tasks, each numbers its slice, and a small table of
-    per-slice counts (one row per key and slice) turns local numbers into global ones.
-    `order` must be a total order (end it with a unique column)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(key)] + list(order)
-    r = df.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
-    local = r.withColumn("_lrn", F.row_number().over(Window.partitionBy("_slice", key).orderBy(*order)))
-    counts = local.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    return (local.join(offsets, [key, "_slice"])
-            .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("int"))
-            .drop("_slice", "_lrn", "_off"))
-
-
-def interleave(df: DataFrame, source: str, order: list[Column],
+def position_within(df: DataFrame, key: str, order: list[tuple[str, bool]], out: str = "rn") -> DataFrame:
+    """row_number() over (partition by key order by `order`), without one task sorting a whole key.
+
+    `order` lists (column, ascending), nulls last, and must be total; rows that tie on
+    all of it share a position.  Only the key and the order columns are numbered: they
+    are range-partitioned, sorted and stored in the checkpoint folder with a running
+    number, so that everything below reads the same slices whatever the number of
+    partitions.  A position is the running number's distance from the first row of its
+    key and slice, plus the rows of the key in earlier slices (one small row per key and
+    slice).  The rows of `df` are joined to their positions once.
+    """
+    sorts = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    cols = list(dict.fromkeys([key, *[c for c, _ in order]]))
+    by = [F.col(key).asc_nulls_last(), *sorts]
+    numbered = cut_lineage(df.select(*cols).distinct().repartitionByRange(*by).sortWithinPartitions(*by)
+                           .withColumn("_n", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn("_slice", F.shiftright("_n", 33))
+    slices = numbered.groupBy(F.col(key).alias("_key"), F.col("_slice").alias("_at")).agg(
+        F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    placed = numbered.join(slices, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at")))
+    placed = placed.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)],
+                           (F.col("_before") + F.col("_n") - F.col("_first") + 1).cast("int").alias(out))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(cols)])
+    return df.join(placed, same).drop(*[f"_c{i}" for i in range(len(cols))])
+
+
+def interleave(df: DataFrame, source: str, order: list[tuple[str, bool]],
                source_rank: Column | None = None) -> DataFrame:
     """Round-robin over per-source lists.
 
-    Adds `rn` (1-based position inside its source list, in `order`) and `src_rank`;
+    Adds `rn` (1-based position inside its source list, in `order`: (column, ascending)
+    pairs, nulls last) and `src_rank`;
     the interleaved order is (rn, src_rank).  Positions come from `position_within`,
     so a hot source is numbered by many tasks; no global sort is needed either.
     """
@@ -264,7 +277,7 @@ def interleave_by_size(df: DataFrame, source: str, pos: str) -> DataFrame:
     """Sources ordered by bucket size desc, then first appearance; order key
     (rn, src_size desc, first_pos).  Sizes and first positions are one aggregation."""
     stats = df.groupBy(source).agg(F.count(F.lit(1)).alias("src_size"), F.min(pos).alias("first_pos"))
-    return position_within(df, source, [F.col(pos)]).join(stats, source)
+    return position_within(df, source, [(pos, True)]).join(stats, source)
 
 
 def dedupe_key() -> Column:
@@ -289,9 +302,9 @@ def dedupe_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
 
 # ---------------------------------------------------------------- live result cleaning
 
-def clean_live(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
+def clean_live(df: DataFrame, as_of: str = AS_OF, max_abstract: int | None = None) -> DataFrame:
     """F8 + T8-T10: drop empty titles, future dates, rows without a URL; keep named authors;
-    split an inline `keywords:` tail off the abstract; truncate abstracts over 1500 chars."""
+    split an inline `keywords:` tail off the abstract; cut abstracts to `max_abstract` characters if that is given."""
     from lectern.functions.text import inline_keywords, strip_inline_keywords, truncate_words
     from lectern.functions.urls import article_url
     today = F.to_date(F.lit(as_of))
@@ -300,13 +313,14 @@ def clean_live(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
     url = article_url(F.col("url"), F.col("doi"), F.col("external_id"))
     abstract = F.coalesce(F.col("abstract"), F.lit(""))
     kws = inline_keywords(abstract)
+    stripped = strip_inline_keywords(abstract)
     merged = F.when(F.size(kws) > 0,
                     F.array_sort(F.array_union(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), kws))) \
         .otherwise(F.coalesce(F.col("keywords"), F.array().cast("array<string>")))
     out = (df.withColumn("title", title)
            .withColumn("url", url)
            .withColumn("keywords", merged)
-           .withColumn("abstract", truncate_words(strip_inline_keywords(abstract), 1500))
+           .withColumn("abstract", stripped if max_abstract is None else truncate_words(stripped, max_abstract))
            .withColumn("authors", F.filter(F.coalesce(F.col("authors"), F.array()),
                                            lambda a: F.length(F.trim(F.coalesce(a["name"], F.lit("")))) > 0)))
     return out.filter((F.col("title") != "") & (pd.isNull() | (pd <= today))

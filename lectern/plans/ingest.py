@@ -202,7 +202,7 @@ def live_search(spark, sf_dir):
     from lectern.operators import search as S
     m = _normalized_sources(spark, sf_dir).filter(S.matches_query("ent"))
     c = S.clean_live(m)
-    il = S.interleave(c, "source", [F.col("published_date").desc_nulls_last(), F.col("external_id")])
+    il = S.interleave(c, "source", [("published_date", False), ("external_id", True)])
     d = S.dedupe_first(il, S.dedupe_key(), [F.col("rn"), F.col("src_rank")])
     return d.select("external_id", "source", "rn", F.col("_k").alias("dkey"))
 

@@ -11,10 +11,8 @@ from lectern.sources import tables as T
 
 
 @query("article_listing", views=("content_union",), sql="""
-WITH a AS (SELECT * FROM content_union WHERE type = 'article'
-           ORDER BY published_date DESC NULLS LAST, id LIMIT 200),
-     s AS (SELECT * FROM content_union WHERE type = 'scraped'
-           ORDER BY published_date DESC NULLS LAST, id LIMIT 200),
+WITH a AS (SELECT * FROM content_union WHERE type = 'article'),
+     s AS (SELECT * FROM content_union WHERE type = 'scraped'),
      b AS (SELECT * FROM a UNION ALL SELECT * FROM s),
      r AS (SELECT *, row_number() OVER (ORDER BY published_date DESC NULLS LAST,
                                         CASE WHEN type = 'article' THEN 0 ELSE 1 END, id) AS pos,
@@ -41,10 +39,8 @@ WITH a0 AS (SELECT * FROM article
             WHERE (contains(lower(title), 'ent') OR contains(lower(abstract), 'ent'))
               AND list_bool_or([contains(lower(c), 'fr') for c in categories])
               AND published_date >= DATE '2024-01-31' - 365),
-     a AS (SELECT id, external_id, title, published_date, 'article' AS type, source_name FROM a0
-           ORDER BY published_date DESC NULLS LAST, id LIMIT 200),
-     s AS (SELECT id + 1000000 AS id, external_id, title, published_date, 'scraped' AS type, source_name FROM s0
-           ORDER BY published_date DESC NULLS LAST, id LIMIT 200),
+     a AS (SELECT id, external_id, title, published_date, 'article' AS type, source_name FROM a0),
+     s AS (SELECT id + 1000000 AS id, external_id, title, published_date, 'scraped' AS type, source_name FROM s0),
      b AS (SELECT * FROM a UNION ALL SELECT * FROM s),
      r AS (SELECT *, row_number() OVER (ORDER BY published_date DESC NULLS LAST,
                                         CASE WHEN type = 'article' THEN 0 ELSE 1 END, id) AS pos,
@@ -63,11 +59,9 @@ def article_search(spark, sf_dir):
 
 @query("source_listing", views=("content_union",), sql="""
 WITH a AS (SELECT * FROM content_union WHERE type = 'article'
-             AND (contains(lower(source_name), '7') OR source_id = 7)
-           ORDER BY published_date DESC NULLS LAST, id LIMIT 200),
+             AND (contains(lower(source_name), '7') OR source_id = 7)),
      s AS (SELECT * FROM content_union WHERE type = 'scraped'
-             AND (contains(lower(source_name), '7') OR source_id - 1000 = 7)
-           ORDER BY published_date DESC NULLS LAST, id LIMIT 200),
+             AND (contains(lower(source_name), '7') OR source_id - 1000 = 7)),
      b AS (SELECT * FROM a UNION ALL SELECT * FROM s),
      r AS (SELECT *, row_number() OVER (ORDER BY published_date DESC NULLS LAST,
                                         CASE WHEN type = 'article' THEN 0 ELSE 1 END, id) AS pos,
@@ -105,7 +99,7 @@ FROM content_union
 def interleave_sources(spark, sf_dir):
     """W1 over the whole content union: per-source position by recency; order key (rn, src_rank)."""
     u = T.content_union(spark, sf_dir)
-    order = [F.col("published_date").desc_nulls_last(), F.col("id")]
+    order = [("published_date", False), ("id", True)]
     return S.interleave(u, "source_name", order).select("id", "source_name", "rn", "src_rank")
 
 
@@ -141,7 +135,7 @@ def dedupe_first(spark, sf_dir):
     key = F.coalesce(F.nullif(F.col("doi"), F.lit("")),
                      F.concat(F.lit("raw:"), F.sha2(F.col("abstract"), 256)),
                      F.nullif(F.col("title"), F.lit("")))
-    il = S.interleave(u, "source_name", [F.col("published_date").desc_nulls_last(), F.col("id")])
+    il = S.interleave(u, "source_name", [("published_date", False), ("id", True)])
     out = S.dedupe_first(il, key, [F.col("rn"), F.col("source_name")])
     return out.select("id", F.col("_k").alias("dkey"))
 

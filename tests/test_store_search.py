@@ -1,6 +1,7 @@
 """Upsert modes, listing, interleave, dedupe, dates, pages: small hand-computed cases."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import dates as D
@@ -45,9 +46,9 @@ def test_upsert_idempotent(spark):
 def test_interleave_and_dedupe(spark):
     rows = [(i, s, f"t{i % 4}") for i, s in enumerate("aaabbc")]
     df = spark.createDataFrame(rows, "pos int, src string, title string")
-    il = S.interleave(df, "src", [F.col("pos")]).orderBy("rn", "src_rank").collect()
+    il = S.interleave(df, "src", [("pos", True)]).orderBy("rn", "src_rank").collect()
     assert [r.pos for r in il] == [0, 3, 5, 1, 4, 2]   # round robin, a permutation
-    d = S.dedupe_first(S.interleave(df, "src", [F.col("pos")]), F.col("title"), [F.col("rn"), F.col("src")])
+    d = S.dedupe_first(S.interleave(df, "src", [("pos", True)]), F.col("title"), [F.col("rn"), F.col("src")])
     got = sorted((r._k, r.pos) for r in d.collect())
     assert got == [("t0", 0), ("t1", 5), ("t2", 2), ("t3", 3)]
 
@@ -98,15 +99,19 @@ def test_page_extraction(spark):
     assert p.type == "NEXT_BUTTON"
 
 
-def test_position_within_hot_key_equals_row_number(spark):
-    from pyspark.sql import Window
-    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}", (i * 37) % 101) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id long, src string, v int")
-    order = [F.col("v").desc(), F.col("id")]
-    got = S.position_within(df, "src", order, partitions=8).select("id", "rn")
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(*order))).select("id", "rn")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    # the hot source is spread over several slices (tasks)
-    slices = df.repartitionByRange(8, "src", *order).withColumn("p", F.spark_partition_id()) \
-        .filter("src = 'hot'").select("p").distinct().count()
-    assert slices > 1
+@pytest.mark.parametrize("parts", [1, 4, 16, 200])
+def test_positions_do_not_depend_on_partitions(spark, parts):
+    """A key with a third of the rows, null keys, tied leading values and a payload column."""
+    from lectern.operators.search import position_within
+    n = 100_000 if parts == 16 else 4_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(n).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then null else concat('k', id % 50) end as key",
+                                       "(id * 7919) % 97 as day", "repeat('x', 20) as payload").repartition(7)
+        got = position_within(df, "key", [("day", False), ("id", True)])
+        want = df.selectExpr("id", "row_number() over (partition by key order by day desc, id) as want")
+        both = got.join(want, "id")
+        assert got.columns == ["id", "key", "day", "payload", "rn"] and both.count() == n and both.where("rn <> want").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
