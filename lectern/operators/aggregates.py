@@ -24,11 +24,8 @@ def popular(saved: DataFrame, k: int | None = None, by: tuple[str, ...] = ("exte
 
 def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     """Counts for each facet and the grand total in one GROUPING SETS pass."""
-    sets = ", ".join(f"({f})" for f in facets) + ", ()"
-    df.createOrReplaceTempView("_facet_src")
-    cols = ", ".join(facets)
-    return df.sparkSession.sql(
-        f"SELECT {cols}, count(*) AS n FROM _facet_src GROUP BY GROUPING SETS ({sets})")
+    sets = [[F.col(f)] for f in facets] + [[]]
+    return df.groupingSets(sets, *[F.col(f) for f in facets]).agg(F.count(F.lit(1)).alias("n")).select(*facets, "n")
 
 
 def date_drilldown(df: DataFrame, col: str, unit: str = "month") -> DataFrame:

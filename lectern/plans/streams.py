@@ -3,7 +3,9 @@ input (availableNow) and returns the table it wrote; the oracle is the batch res
 
 from __future__ import annotations
 
-from lectern.plans.catalog import query
+from lectern.plans import monitoring  # noqa: F401  (registers api_health, whose SQL the streamed form shares)
+from lectern.plans.catalog import ORACLES, query
+from lectern.session import AS_OF
 from lectern.sources import payloads as P
 from lectern.sources import tables as T
 from lectern.streaming import streams as X
@@ -24,10 +26,16 @@ SELECT api_config_id, time_bucket(INTERVAL 1 HOUR, started_at) AS window_start,
 FROM api_fetch_log GROUP BY 1, 2
 """)
 def stream_run_health(spark, sf_dir):
-    """Watermarked hourly run / failure counts per source."""
+    """Hourly run / failure counts per source."""
     return X.stream_run_health(spark, f"{sf_dir}/events.parquet")
 
 
+@query("stream_api_health", sql=ORACLES["api_health"])
+def stream_api_health(spark, sf_dir):
+    """X5 with A10: health issues of all active API sources over the streamed fetch log."""
+    return X.stream_api_health(spark, f"{sf_dir}/events.parquet", T.api_source_config(spark, sf_dir), AS_OF)
+
+
 @query("stream_quota", views=("api_fetch_log",), sql="""
 SELECT api_config_id, time_bucket(INTERVAL 1 HOUR, started_at) AS window_start, count(*) AS used,
        greatest(0, 500 - count(*)) AS remaining
@@ -42,7 +50,7 @@ def stream_quota(spark, sf_dir):
 SELECT user_id, external_id, saved_at FROM saved_article
 """)
 def stream_library(spark, sf_dir):
-    """Library state kept as keyed streaming state; equals the batch W8 result."""
+    """Library state from micro-batches; equals the batch W8 result."""
     return X.stream_library(spark, f"{sf_dir}/events.parquet")
 
 

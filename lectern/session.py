@@ -1,8 +1,9 @@
 """Session construction and cluster-facing helpers.
 
 Everything here is plain SparkSession configuration.  On a cluster the
-session is created by the platform; ``get_session`` only fills in the
-settings that are unset, so cluster values always win.
+session is created by the platform; ``get_session`` and ``configure`` only
+fill in the settings that are unset, so cluster values win, with one exception:
+the tables' times are UTC, so ``configure`` sets the session time zone to UTC.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def get_session(master: str | None = None, cpus: int | None = None,
 
 
 def configure(spark: SparkSession) -> None:
-    """Apply engine defaults that a cluster session left unset."""
+    """Apply engine defaults that a cluster session left unset, and the UTC time zone."""
     for k, v in _DEFAULTS.items():
         if k == "spark.ui.enabled":
             continue
@@ -67,12 +68,14 @@ def configure(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint directory from ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local
-    tests) do we create a scratch folder of our own.
+    A cluster names a shared folder there.  Only in local mode (tests), where the driver's
+    disk is every task's disk, is a scratch folder made when it is unset.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
+    if not d and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lectern-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

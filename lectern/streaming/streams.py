@@ -1,29 +1,30 @@
 """Structured Streaming forms of the periodic jobs.
 
-Every stream reads a file source (new files of a landing folder), keeps its
-state in the checkpoint location, and writes through `foreachBatch` into a
-table path, so a restarted or re-executed micro-batch is idempotent (each batch
-overwrites by key, or appends with a batch-id guard).  `run_available` drives a
-stream with `trigger(availableNow=True)`: everything landed so far is processed
-in bounded micro-batches, then the query stops - the scheduler's periodic job.
-
-Late data (ours): watermark 1 hour on event time; rows later than that are
-dropped by the stateful operators and counted in the query progress.
+Every stream reads a file source (new files of a landing folder) and writes each
+micro-batch through `foreachBatch` into a folder of its own, `batch=<id>`.  A batch
+that is executed again replaces its own folder and nothing else, and no batch reads
+what it wrote itself, so replays and crashes between writes change nothing.  The
+table is what the folders give when they are merged on reading: by key for upserts,
+by sum for counts.  Batches hold what they add, reduced by key in the JVM; there is
+no streaming state to grow, no complete-mode rewrite, and a late row counts whenever
+it comes.  `max_files` bounds a micro-batch (None: all files that are there).
+
+`run_available` drives a stream with `trigger(availableNow=True)`: everything landed
+so far is processed, then the query stops - the scheduler's periodic job.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from lectern.session import ensure_checkpoint_dir
 
-WATERMARK = "1 hour"
-
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (spark.checkpoint.dir)."""
@@ -45,162 +46,176 @@ def file_glob(path: str) -> str:
     return path if any(ch in path for ch in "*?[") else path[:-1] + "[" + path[-1] + "]"
 
 
-def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(file_glob(path))
-    # event time must be TIMESTAMP (session time zone UTC) for watermarks
-    return ev.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.fieldNames() else ev
+def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(file_glob(path))
 
 
-def _overwrite_sink(out: str):
-    def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(out)
-    return sink
+def events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    ev = file_stream(spark, path, max_files)
+    return ev.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in ev.columns else ev
+
 
+def batch_folder(out: str, batch_id: int) -> str:
+    return f"{out}/batch={batch_id}"
 
-def _append_sink(out: str):
+
+def batch_sink(out: str, reduce: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes `reduce(batch)` to the batch's own folder."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        # one folder per batch id: a re-executed batch replaces its own output only
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        reduce(df).write.mode("overwrite").parquet(batch_folder(out, batch_id))
     return sink
 
 
+def landed(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """All batches written to `out`, with their `batch` number; empty if there is none yet."""
+    whole = StructType(list(schema)).add("batch", "long")
+    try:
+        return spark.read.schema(whole).parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
+
+
+def _run(df: DataFrame, sink: Callable[[DataFrame, int], None], folder: str) -> None:
+    run_available(df.writeStream.foreachBatch(sink), f"{folder}/ckpt")
+
+
 # ---------------------------------------------------------------- X1
 
-def stream_activity(spark: SparkSession, events_path: str) -> DataFrame:
-    """Events -> validated activity rows (user and type required), duplicates of an
-    event id dropped within the watermark.  Returns the written table."""
+def stream_activity(spark: SparkSession, events_path: str, max_files: int | None = None) -> DataFrame:
+    """Events -> validated activity rows (user and type required), one row per event id
+    however often it is delivered.  Returns the table."""
     from lectern.sources.tables import _ACT
     d = work_dir(spark, "activity")
-    ev = events_stream(spark, events_path)
+    ev = events_stream(spark, events_path, max_files)
     k = F.get_json_object("props", "$.k").cast("bigint")
     atype = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in _ACT.items()])
-    act = (ev.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
-           .select(F.col("event_id").alias("id"), "user_id", atype.alias("activity_type"),
-                   F.when(atype == "search", F.lit(None).cast("string"))
-                   .otherwise(F.concat(F.lit("doc:"), k.cast("string"))).alias("content_id"),
-                   F.col("ts").alias("created_at"))
+    act = (ev.select(F.col("event_id").alias("id"), "user_id", atype.alias("activity_type"),
+                     F.when(atype == "search", F.lit(None).cast("string"))
+                     .otherwise(F.concat(F.lit("doc:"), k.cast("string"))).alias("content_id"),
+                     F.col("ts").alias("created_at"))
            .filter(F.col("user_id").isNotNull() & F.col("activity_type").isNotNull()))
-    run_available(act.writeStream.foreachBatch(_append_sink(f"{d}/out")), f"{d}/ckpt")
-    return spark.read.parquet(f"{d}/out")
+    _run(act, batch_sink(f"{d}/out", lambda b: b.dropDuplicates(["id"])), d)
+    cols = act.columns
+    return (landed(spark, f"{d}/out", act.schema).groupBy("id")
+            .agg(F.min_by(F.struct(*cols), "batch").alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in cols]))
 
 
 # ---------------------------------------------------------------- X3 / X5
 
-def stream_run_health(spark: SparkSession, events_path: str, window: str = "1 hour") -> DataFrame:
-    """Failed runs per source per event-time window (watermarked), complete table."""
-    d = work_dir(spark, "run-health")
-    ev = events_stream(spark, events_path)
-    runs = ev.select(F.col("user_id").alias("api_config_id"), F.col("ts").alias("started_at"),
+def _fetch_log(ev: DataFrame) -> DataFrame:
+    """Events as runs of the fetch log (see sources.tables.api_fetch_log)."""
+    return ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("api_config_id"), F.col("ts").alias("started_at"),
                      F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
-    agg = (runs.withWatermark("started_at", WATERMARK)
-           .groupBy("api_config_id", F.window("started_at", window).alias("w"))
-           .agg(F.count(F.lit(1)).alias("runs"),
-                F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).cast("bigint").alias("failed"))
-           .select("api_config_id", F.col("w.start").alias("window_start"), "runs", "failed"))
-    run_available(agg.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(f"{d}/out")), f"{d}/ckpt")
-    return spark.read.parquet(f"{d}/out")
 
 
-def stream_quota(spark: SparkSession, events_path: str, limit: int = 500, window: str = "1 hour") -> DataFrame:
+def _windowed(runs: DataFrame, window: str) -> DataFrame:
+    return (runs.groupBy("api_config_id", F.window("started_at", window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("runs"),
+                 F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).cast("bigint").alias("failed"))
+            .select("api_config_id", F.col("w.start").alias("window_start"), "runs", "failed"))
+
+
+def run_counts(spark: SparkSession, events_path: str, name: str, window: str, max_files: int | None) -> DataFrame:
+    """Runs and failures per source and event-time window: each batch adds its own counts."""
+    d = work_dir(spark, name)
+    runs = _fetch_log(events_stream(spark, events_path, max_files))
+    _run(runs, batch_sink(f"{d}/out", lambda b: _windowed(b, window)), d)
+    schema = _windowed(spark.createDataFrame([], runs.schema), window).schema
+    return (landed(spark, f"{d}/out", schema).groupBy("api_config_id", "window_start")
+            .agg(F.sum("runs").alias("runs"), F.sum("failed").alias("failed")))
+
+
+def stream_run_health(spark: SparkSession, events_path: str, window: str = "1 hour", max_files: int | None = None) -> DataFrame:
+    """Runs and failed runs per source per event-time window."""
+    return run_counts(spark, events_path, "run-health", window, max_files)
+
+
+def stream_api_health(spark: SparkSession, events_path: str, cfg: DataFrame, as_of: str, max_files: int | None = None) -> DataFrame:
+    """X5 with the health rules (A10): the fetch log grows by micro-batches, each run once, and the
+    rules are evaluated over it."""
+    from lectern.operators.monitor import api_health
+    d = work_dir(spark, "api-health")
+    ev = events_stream(spark, events_path, max_files)
+    runs = _fetch_log(ev).withColumn("articles_saved", F.when(F.col("status") == "success", F.lit(0)).otherwise(0))
+    _run(runs, batch_sink(f"{d}/out"), d)
+    log = landed(spark, f"{d}/out", runs.schema).drop("batch").dropDuplicates(["id"])
+    return api_health(cfg, log, as_of)
+
+
+def stream_quota(spark: SparkSession, events_path: str, limit: int = 500, window: str = "1 hour", max_files: int | None = None) -> DataFrame:
     """X3a as a stream: requests per source per tumbling window and the remaining quota."""
-    d = work_dir(spark, "quota")
-    ev = events_stream(spark, events_path)
-    agg = (ev.withWatermark("ts", WATERMARK)
-           .groupBy(F.col("user_id").alias("api_config_id"), F.window("ts", window).alias("w"))
-           .agg(F.count(F.lit(1)).alias("used"))
-           .select("api_config_id", F.col("w.start").alias("window_start"), "used",
-                   F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining")))
-    run_available(agg.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(f"{d}/out")), f"{d}/ckpt")
-    return spark.read.parquet(f"{d}/out")
+    c = run_counts(spark, events_path, "quota", window, max_files)
+    return c.select("api_config_id", "window_start", F.col("runs").alias("used"),
+                    F.greatest(F.lit(0), F.lit(limit) - F.col("runs")).alias("remaining"))
 
 
 # ---------------------------------------------------------------- X4
 
-def _library_state_fn(key, pdfs, state):
-    """Keyed state per (user, item): the latest save/remove_save event (ts, id, type)."""
-    last = state.get if state.exists else None
-    best = last
-    for pdf in pdfs:
-        for ts, eid, typ in zip(pdf["created_at"], pdf["id"], pdf["activity_type"]):
-            cand = (pd.Timestamp(ts), int(eid), typ)
-            if best is None or (cand[0], cand[1]) > (pd.Timestamp(best[0]), int(best[1])):
-                best = cand
-    if best is not None:
-        state.update((pd.Timestamp(best[0]).to_pydatetime(), int(best[1]), best[2]))
-        yield pd.DataFrame({"user_id": [key[0]], "external_id": [key[1]], "last_type": [best[2]],
-                            "last_at": [pd.Timestamp(best[0])]})
-
-
-def stream_library(spark: SparkSession, events_path: str) -> DataFrame:
-    """Library state as keyed streaming state (applyInPandasWithState, update mode);
-    each batch's changed keys are merged into the table by key."""
+def _latest(rows: DataFrame) -> DataFrame:
+    """The latest save / remove event of each (user, item): max_by, combined map-side."""
+    return (rows.groupBy("user_id", "external_id")
+            .agg(F.max(F.struct("last_at", "last_id", "last_type")).alias("m")).select("user_id", "external_id", "m.*"))
+
+
+def stream_library(spark: SparkSession, events_path: str, max_files: int | None = None) -> DataFrame:
+    """Library state.  A batch is reduced to its latest event per (user, item); reading
+    reduces the batches alike, so events may come in any order."""
     d = work_dir(spark, "library")
-    ev = events_stream(spark, events_path)
+    ev = events_stream(spark, events_path, max_files)
     k = F.get_json_object("props", "$.k").cast("bigint")
     typ = F.when(F.col("event_type") == "purchase", "save").when(F.col("event_type") == "error", "remove_save")
-    act = (ev.select(F.col("event_id").alias("id"), "user_id", typ.alias("activity_type"),
-                     F.concat(F.lit("doc:"), k.cast("string")).alias("content_id"), F.col("ts").alias("created_at"))
-           .filter(F.col("activity_type").isNotNull()))
-    upd = act.groupBy("user_id", "content_id").applyInPandasWithState(
-        _library_state_fn,
-        outputStructType="user_id long, external_id string, last_type string, last_at timestamp",
-        stateStructType="ts timestamp, id long, type string",
-        outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
-    out = f"{d}/out"
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        from lectern.operators.store import upsert
-        s = batch.sparkSession
-        try:
-            cur = s.read.parquet(out)
-        except Exception:  # first batch: empty table
-            cur = batch.limit(0)
-        merged, _ = upsert(cur, batch.withColumn("_seq", F.lit(batch_id)), ["user_id", "external_id"],
-                           "_seq", "replace")
-        # write the new version next to the old one, then read it as current (no in-place overwrite)
-        merged.drop("op").write.mode("overwrite").parquet(f"{out}_v{batch_id}")
-        s.read.parquet(f"{out}_v{batch_id}").write.mode("overwrite").parquet(out)
-
-    run_available(upd.writeStream.outputMode("update").foreachBatch(merge), f"{d}/ckpt")
-    return spark.read.parquet(out).filter(F.col("last_type") == "save").select(
-        "user_id", "external_id", F.col("last_at").alias("saved_at"))
+    act = (ev.select("user_id", F.concat(F.lit("doc:"), k.cast("string")).alias("external_id"),
+                     F.col("ts").alias("last_at"), F.col("event_id").alias("last_id"), typ.alias("last_type"))
+           .filter(F.col("last_type").isNotNull()))
+    _run(act, batch_sink(f"{d}/out", _latest), d)
+    return (_latest(landed(spark, f"{d}/out", act.schema)).filter(F.col("last_type") == "save")
+            .select("user_id", "external_id", F.col("last_at").alias("saved_at")))
 
 
 # ---------------------------------------------------------------- X2 / X6
 
-def stream_enrich(spark: SparkSession, documents_path: str) -> DataFrame:
-    """New content files -> profiles for items without one (anti join against the
-    profile table), upserted whole-row (S20)."""
+def enrich_sink(out: str, schema: StructType) -> Callable[[DataFrame, int], None]:
+    """Profiles of the batch's items that no earlier batch has; the batch's own folder is not
+    looked at, so that a replay makes the same profiles again."""
     from lectern.operators.enrich import enrich
-    d = work_dir(spark, "enrich")
-    schema = spark.read.parquet(documents_path).schema
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(file_glob(documents_path))
-    content = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("external_id"),
-                          F.trim(F.substring("text", 1, 60)).alias("title"), F.col("text").alias("abstract"))
-    out = f"{d}/profiles"
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        try:
-            done = s.read.parquet(out).select("external_id")
-            todo = batch.join(done, "external_id", "left_anti")
-        except Exception:
-            todo = batch
+        done = landed(batch.sparkSession, out, StructType([schema["external_id"]])).filter(F.col("batch") != batch_id)
+        todo = batch.join(done.select("external_id"), "external_id", "left_anti").dropDuplicates(["external_id"])
         prof = enrich(todo, "external_id", F.lit("article")).drop("entities")
-        prof.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        prof.write.mode("overwrite").parquet(batch_folder(out, batch_id))
+    return process
+
 
-    run_available(content.writeStream.foreachBatch(process), f"{d}/ckpt")
+def stream_enrich(spark: SparkSession, documents_path: str, max_files: int | None = None) -> DataFrame:
+    """New content files -> profiles for items without one (anti join against the
+    profile table)."""
+    d = work_dir(spark, "enrich")
+    docs = file_stream(spark, documents_path, max_files)
+    content = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("external_id"),
+                          F.trim(F.substring("text", 1, 60)).alias("title"), F.col("text").alias("abstract"))
+    out = f"{d}/profiles"
+    _run(content, enrich_sink(out, content.schema), d)
     return spark.read.parquet(out)
 
 
-def stream_ingest(spark: SparkSession, landed_dir: str) -> DataFrame:
-    """Landed OpenAlex payload files (one JSON page per line) -> S1 -> S6 -> rows."""
+def stream_ingest(spark: SparkSession, landed_dir: str, max_files: int | None = None) -> DataFrame:
+    """Landed OpenAlex payload files (one JSON page per line) -> S1 -> S6 -> S18 upsert by
+    external_id: per column the latest batch that gives a value."""
+    from lectern.operators.store import upsert
     from lectern.sources.normalizers import normalize_openalex
     from lectern.sources.payloads import OPENALEX_SCHEMA
     d = work_dir(spark, "ingest")
-    raw = spark.readStream.option("maxFilesPerTrigger", 1).text(landed_dir)
+    reader = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
+    raw = reader.text(landed_dir)
     items = raw.select(F.explode(F.from_json("value", OPENALEX_SCHEMA)["results"]).alias("item"))
     arts = normalize_openalex(items)
-    run_available(arts.writeStream.foreachBatch(_append_sink(f"{d}/out")), f"{d}/ckpt")
-    return spark.read.parquet(f"{d}/out")
+    _run(arts, batch_sink(f"{d}/out"), d)
+    rows = landed(spark, f"{d}/out", arts.schema)
+    table, _ = upsert(spark.createDataFrame([], arts.schema), rows, ["external_id"], "batch", "not_null")
+    return table.drop("op")
