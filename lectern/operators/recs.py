@@ -1,7 +1,7 @@
 """Recommendation operators for all users at once.
 
-Every operator is a DataFrame job; only M9 (greedy MMR over at most 200
-candidates per user, bounded by construction) runs Python per group.
+Every operator is a DataFrame job; only M9 (greedy MMR over the two
+engines' top-k candidates of a user) runs Python per group.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from lectern.session import AS_OF
 # ---- fixed values that must equal the reference ----
 ACTION_WEIGHTS = {"save": 3.0, "view": 1.0}
 SAVED_BOOST = 1.5
-USER_HISTORY = 200          # activities per user vector
-ENGINE_CANDIDATES = 100     # candidates per engine in the hybrid
 COLD_START_BELOW = 3
 TIERS = [(5, 0.9, 0.1), (50, 0.65, 0.35)]   # (upper bound, alpha, beta); above: 0.5/0.5
 MMR_LAMBDA = 0.7
@@ -61,12 +59,13 @@ def unprocessed(content: DataFrame, profiles: DataFrame) -> DataFrame:
             .select("external_id", F.col("type").alias("source_table")))
 
 
-def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Ids found in articles, the rest from scraped content; abstract <= 300 chars;
+def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame, max_abstract: int | None = None) -> DataFrame:
+    """Ids found in articles, the rest from scraped content; abstract whole, or its first `max_abstract` characters;
     default source 'Unknown' / 'Scraper'."""
     def shape(df, default):
+        abstract = F.coalesce("abstract", F.lit(""))
         return df.select("external_id", "title",
-                         F.substring(F.coalesce("abstract", F.lit("")), 1, 300).alias("abstract"),
+                         (abstract if max_abstract is None else F.substring(abstract, 1, max_abstract)).alias("abstract"),
                          F.coalesce(F.col("published_date").cast("string"), F.lit("")).alias("published_date"),
                          F.coalesce("source_name", F.lit(default)).alias("source"))
     a = scored.join(shape(articles, "Unknown"), "external_id")
@@ -79,17 +78,19 @@ def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame) -> DataF
 # ---------------------------------------------------------------- content-based
 
 def user_vectors(activity: DataFrame, saved: DataFrame, profiles: DataFrame, as_of: str = AS_OF,
-                 history: int = USER_HISTORY) -> DataFrame:
-    """M3 for all users: latest `history` save/view rows, weight 3/1 x decay x 1.5 when
-    saved now, weighted mean of item embeddings, L2-normalised.
+                 history: int | None = None) -> DataFrame:
+    """M3 for all users: save/view rows, weight 3/1 x decay x 1.5 when saved now, weighted
+    mean of item embeddings, L2-normalised; all of a user's rows, or the latest `history`.
 
     The weighted sum is Spark ML's Summarizer (a JVM aggregate with map-side
     combine), so a user with a huge history is summed in parallel, not collected.
     The mean's 1/n cancels in the normalisation.
     """
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    act = (_interactions(activity).withColumn("rn", F.row_number().over(w))
-           .filter((F.col("rn") <= history) & (F.coalesce(F.col("content_id"), F.lit("")) != "")))
+    act = _interactions(activity)
+    if history is not None:
+        w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+        act = act.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= history)
+    act = act.filter(F.coalesce(F.col("content_id"), F.lit("")) != "")
     s = saved.select("user_id", F.col("external_id").alias("content_id"), F.lit(True).alias("_saved"))
     p = profiles.filter(F.size("embedding") > 0).select(
         F.col("external_id").alias("content_id"), "embedding")
@@ -110,7 +111,7 @@ def seen_items(activity: DataFrame) -> DataFrame:
 
 
 def content_recs(user_vecs: DataFrame, profiles: DataFrame, activity: DataFrame,
-                 k: int = ENGINE_CANDIDATES) -> DataFrame:
+                 k: int) -> DataFrame:
     """M4: top-k items by user_vec . embedding, items the user saw excluded (exact)."""
     seen = seen_items(activity)
     n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
@@ -193,7 +194,7 @@ def fit_svd(matrix: DataFrame, k: int = SVD_RANK, local_max_items: int = 4096):
     return user_f.select("user_id", "uf"), vf
 
 
-def collab_recs(factors, activity: DataFrame, k: int = ENGINE_CANDIDATES) -> DataFrame:
+def collab_recs(factors, activity: DataFrame, k: int) -> DataFrame:
     """M6: top-k items by user factor . item factor, seen items excluded (exact)."""
     seen = seen_items(activity)
     if factors is None:
@@ -264,8 +265,8 @@ def _mmr_fn(lam: float, top_k: int):
 
 
 def mmr(cands: DataFrame, profiles: DataFrame, lam: float = MMR_LAMBDA, top_k: int = 20) -> DataFrame:
-    """M9: greedy MMR re-rank per user.  Groups are at most 2 x ENGINE_CANDIDATES rows
-    (content + collaborative candidates), so one group always fits one task."""
+    """M9: greedy MMR re-rank per user.  A group holds a user's candidates:
+    at most the two engines' `k` together, so it fits one task."""
     p = profiles.select("external_id", F.col("embedding").cast("array<double>").alias("embedding"))
     j = cands.join(p, "external_id", "left").select("user_id", "external_id", "score", "order_key", "embedding")
     return j.groupBy("user_id").applyInPandas(

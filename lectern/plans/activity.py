@@ -153,11 +153,11 @@ def unprocessed_items(spark, sf_dir):
 
 @query("hydrate", views=("saved_article", "article", "scraped_content"), sql="""
 WITH sc AS (SELECT external_id, CAST(count(*) AS DOUBLE) AS score FROM saved_article GROUP BY 1),
-a AS (SELECT sc.external_id, a.title, substring(coalesce(a.abstract, ''), 1, 300) AS abstract,
+a AS (SELECT sc.external_id, a.title, coalesce(a.abstract, '') AS abstract,
              coalesce(CAST(a.published_date AS VARCHAR), '') AS published_date,
              coalesce(a.source_name, 'Unknown') AS source, sc.score
       FROM sc JOIN article a ON sc.external_id = a.external_id),
-s AS (SELECT sc.external_id, s.title, substring(coalesce(s.abstract, ''), 1, 300),
+s AS (SELECT sc.external_id, s.title, coalesce(s.abstract, ''),
              coalesce(CAST(s.published_date AS VARCHAR), ''), coalesce(s.source_name, 'Scraper'), sc.score
       FROM sc JOIN scraped_content s ON sc.external_id = s.external_id
       WHERE sc.external_id NOT IN (SELECT external_id FROM a))

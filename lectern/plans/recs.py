@@ -70,9 +70,7 @@ def similar_items(spark, sf_dir):
 
 
 _USER_VEC = f"""
-act AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn
-        FROM user_activity WHERE activity_type IN ('save', 'view')),
-a AS (SELECT * FROM act WHERE rn <= 200 AND coalesce(content_id, '') <> ''),
+a AS (SELECT * FROM user_activity WHERE activity_type IN ('save', 'view') AND coalesce(content_id, '') <> ''),
 j AS (SELECT a.user_id,
              (CASE WHEN a.activity_type = 'save' THEN 3.0 ELSE 1.0 END)
              * exp(-0.693 * floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(a.created_at)) / 86400000000) / 30.0)

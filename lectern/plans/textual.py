@@ -139,21 +139,22 @@ WITH c AS (
               ELSE []::VARCHAR[] END AS kws,
          published_date
   FROM content_union)
-SELECT id, title, url,
+SELECT id, title, url, ab AS abstract,
        CASE WHEN length(ab) > 1500 THEN regexp_replace(substring(ab, 1, 1500), ' [^ ]*$', '') || '...' ELSE ab END
-         AS abstract,
+         AS preview,
        len(kws) AS n_inline_keywords
 FROM c WHERE title <> '' AND (published_date IS NULL OR published_date <= DATE '2024-01-31') AND url <> ''
 """)
 def live_clean(spark, sf_dir):
     """F8 + T8-T10 over all content as live-search results: drop empty titles, future
-    dates and URL-less rows; split inline keywords; truncate abstracts at 1500."""
+    dates and URL-less rows; split inline keywords; the whole abstract and its T8 preview."""
     u = T.content_union(spark, sf_dir).withColumn("keywords", F.array().cast("array<string>")) \
         .withColumn("authors", F.array().cast("array<struct<name:string>>"))
-    from lectern.functions.text import inline_keywords
+    from lectern.functions.text import inline_keywords, truncate_words
     out = S.clean_live(u.withColumn("n_inline_keywords",
                                     F.size(inline_keywords(F.coalesce(F.col("abstract"), F.lit(""))))))
-    return out.select("id", "title", "url", "abstract", "n_inline_keywords")
+    return out.select("id", "title", "url", "abstract", truncate_words(F.col("abstract"), 1500).alias("preview"),
+                      "n_inline_keywords")
 
 
 @query("enrich_profiles", views=("content_union",), sql=f"""

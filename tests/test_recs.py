@@ -26,35 +26,18 @@ def test_block_top_k_matches_brute_force(spark):
             assert got[(i, rank)] == f"i{j:03d}"
 
 
-def test_mmr_matches_greedy(spark):
-    rng = np.random.default_rng(3)
-    n = 30
-    embs = rng.normal(size=(n, 4))
-    embs /= np.linalg.norm(embs, axis=1, keepdims=True)
-    scores = np.round(rng.random(n), 4)
-    cands = spark.createDataFrame(
-        [(1, f"d{i}", float(scores[i]), i) for i in range(n)],
-        "user_id long, external_id string, score double, order_key long")
-    prof = spark.createDataFrame([(f"d{i}", embs[i].tolist()) for i in range(n) if i != 7],
+def test_mmr_by_hand(spark):
+    """Best first; then 0.7 * score - 0.3 * greatest similarity to what is chosen.
+
+    a (1.0) first.  b is like a: 0.63 - 0.3 = 0.33; c is orthogonal: 0.35; d has no vector: 0.14; e is opposite: 0.28.
+    c second.  b 0.33, e 0.28 (below 0 counts as 0), d 0.14: b third.
+    """
+    cands = spark.createDataFrame([(1, "a", 1.0, 1), (1, "b", 0.9, 2), (1, "c", 0.5, 3), (1, "d", 0.2, 4), (1, "e", 0.4, 5),
+                                   (2, "a", 0.3, 1), (2, "c", 0.4, 2)], "user_id long, external_id string, score double, order_key long")
+    prof = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("e", [-1.0, 0.0])],
                                  "external_id string, embedding array<double>")
-    got = [r.external_id for r in R.mmr(cands, prof, 0.7, 10).orderBy("rank").collect()]
-    # plain greedy as the reference states it
-    order = sorted(range(n), key=lambda i: (-scores[i], i))
-    cand = [dict(id=f"d{i}", score=scores[i], e=None if i == 7 else embs[i]) for i in order]
-    sel, rem = [cand[0]], cand[1:]
-    while len(sel) < 10 and rem:
-        best, bi = -np.inf, 0
-        for k, c in enumerate(rem):
-            ms = 0.0
-            if c["e"] is not None:
-                for s in sel:
-                    if s["e"] is not None:
-                        ms = max(ms, float(np.dot(c["e"], s["e"])))
-            v = 0.7 * c["score"] - 0.3 * ms
-            if v > best:
-                best, bi = v, k
-        sel.append(rem.pop(bi))
-    assert got == [c["id"] for c in sel]
+    got = {(r.user_id, r["rank"]): r.external_id for r in R.mmr(cands, prof, 0.7, 3).collect()}
+    assert got == {(1, 1): "a", (1, 2): "c", (1, 3): "b", (2, 1): "c", (2, 2): "a"}
 
 
 def test_svd_reconstruction(spark):
