@@ -131,6 +131,40 @@ def shorten(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+def merge_keywords(a: Column, b: Column) -> Column:
+    """Sorted union of two keyword lists."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def faceted_browse(df: DataFrame, selected: dict[str, list], q: str, search_cols: list[str], facets: list[str]) -> DataFrame:
+    """rows of the selected facet values that match the search, counted by every facet in one pass."""
+    from lectern.operators.aggregates import facet_counts
+    for col, values in selected.items():
+        df = df.filter(F.col(col).isin(values))
+    return facet_counts(df.filter(text_match(q, search_cols)) if q.strip() else df, facets)
+
+
+def with_source(content: DataFrame, sources: DataFrame, ref: str) -> DataFrame:
+    """Content with its source configuration (left join; content without one stays)."""
+    c = sources.select(F.col("id").alias(ref), F.col("name").alias("source_config"), "is_active")
+    return content.join(c, ref, "left")
+
+
+def interest_overlap(content: DataFrame, tags: DataFrame, n: int) -> DataFrame:
+    """Per user, the `n` newest items with a tag in common with (user_id, tag).
+
+    A tag common to many users and items makes many pairs, so items are cut to the `n`
+    newest of each tag first: a user's answer is among those of their tags.
+    """
+    newest = [F.col("published_date").desc_nulls_last(), F.col("id")]
+    by_tag = content.select("id", "external_id", "published_date", F.explode(F.array_distinct("categories")).alias("tag"))
+    by_tag = by_tag.withColumn("_r", F.row_number().over(Window.partitionBy("tag").orderBy(*newest))).filter(F.col("_r") <= n)
+    hits = tags.join(by_tag, "tag").select("user_id", "id", "external_id", "published_date").distinct()
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*newest)))
+    return ranked.filter(F.col("rank") <= n).select("user_id", "external_id", "rank")
+
+
 # ---------------------------------------------------------------- union / listing
 
 def union_content(articles: DataFrame, scraped: DataFrame) -> DataFrame:
@@ -314,8 +348,7 @@ def clean_live(df: DataFrame, as_of: str = AS_OF, max_abstract: int | None = Non
     abstract = F.coalesce(F.col("abstract"), F.lit(""))
     kws = inline_keywords(abstract)
     stripped = strip_inline_keywords(abstract)
-    merged = F.when(F.size(kws) > 0,
-                    F.array_sort(F.array_union(F.coalesce(F.col("keywords"), F.array().cast("array<string>")), kws))) \
+    merged = F.when(F.size(kws) > 0, merge_keywords(F.col("keywords"), kws)) \
         .otherwise(F.coalesce(F.col("keywords"), F.array().cast("array<string>")))
     out = (df.withColumn("title", title)
            .withColumn("url", url)

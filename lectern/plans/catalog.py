@@ -41,4 +41,4 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def load_all() -> None:
     from lectern.plans import (listing, activity, monitoring, textual, recs,  # noqa: F401
-                               ingest, pages, streams)
+                               ingest, pages, streams, coverage)

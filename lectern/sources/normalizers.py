@@ -277,3 +277,31 @@ register_normalizer("semantic_scholar", normalize_semantic_scholar)
 register_normalizer("core", normalize_core)
 register_normalizer("doaj", normalize_doaj)
 register_normalizer("pubmed", normalize_pubmed)
+
+
+# ---------------------------------------------------------------- S13: scraped items under alias names
+
+#: The names under which a scraped field may come, first given wins.
+ALIASES = {"title": ("title", "name"), "abstract": ("abstract", "description", "summary"), "published_date": ("published_date", "date"),
+           "url": ("url", "link"), "pdf_url": ("pdf_url", "pdf"), "image_url": ("image_url", "image", "img"),
+           "categories": ("categories", "tags")}
+
+
+def normalize_items(raw: DataFrame, base_url: Column, source_type: str) -> DataFrame:
+    """One item schema from fields under alias names; links made absolute against `base_url`,
+    dates parsed, missing ids made from title and url (T21); items without a title are dropped."""
+    from lectern.functions.dates import with_parsed_date
+    from lectern.functions.urls import absolute_url, record_id
+
+    def first(field: str) -> Column:
+        kind = "array<string>" if field == "categories" else "string"
+        given = [F.col(a) if kind != "string" else F.nullif(F.trim(F.col(a)), F.lit("")) for a in ALIASES[field] if a in raw.columns]
+        return F.coalesce(*given, F.lit(None).cast(kind)).alias(field)
+
+    own = F.nullif(F.col("external_id"), F.lit("")) if "external_id" in raw.columns else F.lit(None).cast("string")
+    items = raw.select(*[first(f) for f in ALIASES], own.alias("external_id"), base_url.alias("_base")).filter(F.col("title").isNotNull())
+    for link in ("url", "pdf_url", "image_url"):
+        items = items.withColumn(link, absolute_url(F.col("_base"), F.col(link)))
+    items = with_parsed_date(items, F.col("published_date"), "published_date")
+    made = record_id(F.lit(source_type), F.col("title"), F.coalesce("url", F.lit("")))
+    return items.withColumn("external_id", F.coalesce("external_id", made)).drop("_base")
