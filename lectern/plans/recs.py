@@ -16,18 +16,18 @@ def _duck_strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-def _duck_hash_embedding(text_expr: str, dim: int = 384) -> str:
-    hexes = [f"sha256({text_expr})"]
-    for _ in range((dim + 31) // 32 - 1):
-        hexes.append(f"sha256({hexes[-1]})")
-    pairs = f"regexp_extract_all({' || '.join(hexes)}, '[0-9a-f]{{2}}')"
-    vals = f"list_transform({pairs}[1:{dim}], lambda x: ('0x' || x)::INTEGER / 255.0 - 0.5)"
-    return vals
-
-
-def _duck_normalized(vals: str) -> str:
-    return (f"list_transform({vals}, lambda x: x / sqrt(list_reduce(list_transform({vals}, lambda y: y * y), "
-            f"lambda a, b: a + b)))")
+def _duck_vectors(name: str, source: str, keys: str, text_expr: str, dim: int = 384) -> str:
+    """CTEs that end in `name` (keys, v): hash embeddings of `text_expr`, each digest and the norm a column
+    of its own, so that DuckDB computes them once."""
+    n = (dim + 31) // 32
+    steps = [f"{name}_0 AS (SELECT {keys}, sha256({text_expr}) AS h0 FROM {source})"]
+    steps += [f"{name}_{i} AS (SELECT *, sha256(h{i - 1}) AS h{i} FROM {name}_{i - 1})" for i in range(1, n)]
+    pairs = f"regexp_extract_all({' || '.join(f'h{i}' for i in range(n))}, '[0-9a-f]{{2}}')"
+    steps.append(f"{name}_v AS (SELECT {keys}, list_transform({pairs}[1:{dim}], lambda x: ('0x' || x)::INTEGER / 255.0 - 0.5)::DOUBLE[] AS vals "
+                 f"FROM {name}_{n - 1})")
+    steps.append(f"{name}_n AS (SELECT {keys}, vals, sqrt(list_dot_product(vals, vals)) AS norm FROM {name}_v)")
+    steps.append(f"{name} AS (SELECT {keys}, list_transform(vals, lambda x: x / norm) AS v FROM {name}_n)")
+    return ",\n".join(steps)
 
 
 DOC_TEXT = _duck_strip("title || '. ' || title || '. ' || coalesce(abstract, '')")
@@ -41,10 +41,9 @@ def content_vectors(spark, sf_dir):
 
 
 @query("hash_embedding", views=("content_union",), sql=f"""
-WITH v AS (SELECT external_id, {_duck_hash_embedding(DOC_TEXT)} AS vals FROM content_union),
-n AS (SELECT external_id, {_duck_normalized('vals')} AS emb FROM v)
+WITH {_duck_vectors('n', 'content_union', 'external_id', DOC_TEXT)}
 SELECT external_id, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS value
-FROM (SELECT external_id, unnest(emb) AS x, generate_subscripts(emb, 1) AS d FROM n)
+FROM (SELECT external_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM n)
 """)
 def hash_embedding_q(spark, sf_dir):
     """384-dim hash embedding of every content item's "title. title. abstract"."""
@@ -123,14 +122,11 @@ WITH cnt AS (SELECT user_id, count(*) AS n FROM user_activity WHERE activity_typ
 cold AS (SELECT p.user_id, array_to_string(list_concat(p.interests, p.research_areas), ' ') AS qtext
          FROM user_profile p LEFT JOIN cnt USING (user_id) WHERE coalesce(cnt.n, 0) < 3),
 qt AS (SELECT DISTINCT qtext FROM cold WHERE trim(qtext) <> ''),
-qv AS (SELECT qtext, {_duck_normalized(_duck_hash_embedding(_duck_strip("qtext || '. ' || qtext || '. '")))} AS v
-       FROM qt),
-dv AS (SELECT external_id, {_duck_normalized(_duck_hash_embedding(DOC_TEXT))} AS v FROM content_union),
+{_duck_vectors('qv', 'qt', 'qtext', _duck_strip("qtext || '. ' || qtext || '. '"))},
+{_duck_vectors('dv', 'content_union', 'external_id', DOC_TEXT)},
+dots AS (SELECT qv.qtext, dv.external_id, list_dot_product(qv.v, dv.v) AS score FROM qv JOIN dv ON len(qv.v) = len(dv.v)),
 sc AS (SELECT qtext, external_id, score, rank FROM (
-         SELECT qv.qtext, dv.external_id, list_dot_product(qv.v, dv.v) AS score,
-                row_number() OVER (PARTITION BY qv.qtext ORDER BY round(list_dot_product(qv.v, dv.v), 9) DESC,
-                                   dv.external_id) AS rank
-         FROM qv JOIN dv ON len(qv.v) = len(dv.v)) WHERE rank <= 20),
+         SELECT *, row_number() OVER (PARTITION BY qtext ORDER BY round(score, 9) DESC, external_id) AS rank FROM dots) WHERE rank <= 20),
 pop AS (SELECT external_id, CAST(count(*) AS DOUBLE) AS score FROM saved_article GROUP BY 1
         ORDER BY score DESC, external_id LIMIT 20),
 popr AS (SELECT *, row_number() OVER (ORDER BY score DESC, external_id) AS rank FROM pop)

@@ -7,23 +7,24 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {n for n in E.queries() if n.startswith("stream_")}
+QUERIES = E._catalog().QUERIES
+STREAMS = {n for n in QUERIES if n.startswith("stream_")}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
 def _plan(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_no_cross_join(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["recent_activities", "keywords", "user_vectors", "similar_items"])
+@pytest.mark.parametrize("name", ["recent_activities", "keywords", "similar_items", "interest_overlap"])
 def test_top_k_is_group_limited(spark, name):
     assert "WindowGroupLimit" in _plan(spark, name)
 
