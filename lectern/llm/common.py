@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.session import configure, ensure_checkpoint_dir
 
+SPACES = " \t\n\x0b\f\r"
 BATCH_BYTES = 8 << 20
+FILTER_BITS = 1 << 25  # of a bitmap of hashes: at most half a million rows of 64 bits
 
 
 def prepare(spark: SparkSession) -> None:
@@ -50,10 +52,30 @@ def collapsed(text: Column, separators: str, upper: str = "", lower: str = "") -
 
 
 def spaces_plus_one(line: Column) -> Column:
-    """Words of a collapsed text."""
-    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Words of a collapsed text.  Without a branch, so that Spark makes `line` once."""
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + (line != "").cast("int")).cast("long")
 
 
 def word_count(text: Column) -> Column:
     """Number of words split at ASCII white space; null has none."""
-    return spaces_plus_one(collapsed(text, "\t\n\x0b\f\r "))
+    return spaces_plus_one(collapsed(text, SPACES))
+
+
+def bitmap(hashes: DataFrame, label: str) -> DataFrame:
+    """(_w, _bits): the hashes (column h) as a bitmap of FILTER_BITS, in rows of 64 bits; stored.
+
+    It has at most FILTER_BITS / 64 rows, whatever the size of `hashes`, and is
+    broadcast for that reason.  The fuller it is, the more other hashes hit it: it
+    only ever spares a shuffle, an exact join decides.
+    """
+    place = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    return stored(hashes.select(F.shiftright(place, 6).alias("_w"), bit.alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_bits")), label)
+
+
+def marked(rows: DataFrame, h: Column, marks: DataFrame) -> DataFrame:
+    """Adds _marked: whether the bitmap holds the hash h (it may hold others too)."""
+    place = F.pmod(h, F.lit(FILTER_BITS))
+    rows = rows.withColumn("_w", F.shiftright(place, 6)).withColumn("_bit", place.bitwiseAND(63).cast("int"))
+    rows = rows.join(F.broadcast(marks), "_w", "left")
+    return rows.withColumn("_marked", F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))).drop("_w", "_bit", "_bits")

@@ -23,14 +23,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import collapsed, prepare, small, spaces_plus_one, stored
+from lectern.llm.common import bitmap, collapsed, marked, prepare, small, spaces_plus_one, stored
 
 #: ASCII but letters and digits; A-Z are lower-cased before they could separate.
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 WINDOW = 10
 #: Test-side tables (terms, windows, anchors) of at most so many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
-FILTER_BITS = 1 << 26  # 8 MB
 DOC = ["did", "th"]
 
 
@@ -76,21 +75,9 @@ def _anchors(wins: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _in_documents(index: DataFrame, left: DataFrame) -> DataFrame:
-    """The postings of the documents in `left`, and a few others.
-
-    The documents are marked in a bitmap of FILTER_BITS by their hash.  It is
-    broadcast: its size is fixed, whatever the tables' sizes; the fuller it is,
-    the more postings of other documents pass and are dropped by the join.
-    """
-    place = F.pmod(F.col("th"), F.lit(FILTER_BITS))
-    marks = left.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).distinct() \
-        .repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    marks = stored(marks, "bitmap")
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = F.getbit(byte, (at % 8).cast("int")) == 1
-    rows = index.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket")
-    return rows.where(marked).select(*DOC, "pos", "term")
+    """The postings of the documents in `left`, and a few others that hit the same bits."""
+    marks = bitmap(left.select(F.col("th").alias("h")), "bitmap")
+    return marked(index, F.col("th"), marks).where("_marked").select(*DOC, "pos", "term")
 
 
 def phrase_matches(wins: DataFrame, index: DataFrame) -> DataFrame:
@@ -156,10 +143,12 @@ def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     prepare(docs.sparkSession)
     wins, _ = windows_of(items, window)
     terms = stored(wins.select(F.explode("win").alias("term")).distinct(), "terms")
-    hit = phrase_matches(wins, build_index(docs, terms)).select(*DOC).distinct()
-    keys = {"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "th": F.xxhash64("doc_id", "text")}
-    return docs.withColumns({f"_{k}": c for k, c in keys.items()}) \
-        .join(hit.select(*[F.col(k).alias(f"_{k}") for k in DOC]), ["_did", "_th"], "left_anti").select(*docs.columns)
+    hit = stored(phrase_matches(wins, build_index(docs, terms)).select(*[F.col(k).alias(f"_{k}") for k in DOC]).distinct(), "hit")
+    # only the texts of documents that may be hit go through the join
+    keys = {"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_th": F.xxhash64("doc_id", "text")}
+    rows = marked(docs.withColumns(keys), F.col("_th"), bitmap(hit.select(F.col("_th").alias("h")), "hit-bitmap"))
+    exact = rows.where("_marked").join(hit.hint("merge"), ["_did", "_th"], "left_anti")
+    return rows.where("not _marked").select(*docs.columns).unionAll(exact.select(*docs.columns))
 
 
 def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
