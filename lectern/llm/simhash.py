@@ -25,10 +25,10 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prepare, stored
+from lectern.llm.common import bitmap, marked, prepare, stored
 from lectern.llm.graph import components
 
 SEED = 42
@@ -211,16 +211,15 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     Repeated rows of that doc_id count as one document; rows without a doc_id
     cannot be named and stay.
     """
-    rows = near_duplicates(docs, shingle, max_bits)
-    keep = rows.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(_by_id())
-    kept = (docs.join(keep, "doc_id", "left_semi").withColumn("_nth", first).where("_nth = 1").drop("_nth"))
-    return kept.unionAll(docs.where("doc_id is null"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = stored(near_duplicates(docs, shingle, max_bits).select("doc_id", "component_id"), "members")
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
+    ids = stored(ids.where("n > 1 or not keep"), "looked-at")
+    # only texts that may go, or whose doc_id is there again, are shuffled
+    whole = marked(docs, F.xxhash64("doc_id"), bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "looked-at-bitmap"))
+    left = whole.where("_marked and doc_id is not null").join(ids.where("not keep").select("doc_id").hint("merge"), "doc_id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = left.withColumn("_nth", nth).where("_nth = 1")
+    return whole.where("not _marked or doc_id is null").select(*docs.columns).unionAll(left.select(*docs.columns))
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:
