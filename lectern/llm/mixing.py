@@ -12,7 +12,7 @@ p = e - floor(e), each document gets the Pareto ranking number
 and the documents with the smallest q are taken.  The sample's size is fixed in
 words: the order is taken up to the source's target, and the gap that the last
 document would overshoot is filled from the next `FILL` documents of the order,
-each taken if it still fits.
+each taken if it still fits, and one more if that comes nearer to the target.
 
 Finding the cut needs no global sort: ranking numbers fall into up to
 `SIDE * SIDE` fixed slices of (0, 1) per source, the word sums of slices give the slice in which the
@@ -158,13 +158,20 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FA
 
 
 def _fill(rest: DataFrame) -> DataFrame:
-    """Of each source's next documents (room, rank, doc_id, th, size; at most FILL), those that still fit, in order."""
+    """Of each source's next documents (room, rank, doc_id, th, size; at most FILL), those that still fit, in
+    order, and one that does not if that leaves the sum nearer to the target."""
     zero = F.struct(F.col("room").alias("room"), F.array().cast("array<int>").alias("got"))
     nexts = rest.groupBy("source").agg(F.max("room").alias("room"),
                                        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "th", "size"))).alias("next"))
     step = lambda acc, i: F.when(F.get("next", i)["size"] <= acc["room"], F.struct(
         (acc["room"] - F.get("next", i)["size"]).alias("room"), F.concat(acc["got"], F.array(i)).alias("got"))).otherwise(acc)
-    taken = F.aggregate(F.sequence(F.lit(0), F.size("next") - 1), zero, step)["got"]
+    places = F.sequence(F.lit(0), F.size("next") - 1)
+    nexts = nexts.withColumn("f", F.aggregate(places, zero, step))
+    # one more, the smallest left, if the mix then comes nearer to its target from above
+    nearer = F.array_min(F.transform(
+        F.filter(places, lambda i: (F.get("next", i)["size"] < 2 * F.col("f.room")) & ~F.array_contains("f.got", i)),
+        lambda i: F.struct(F.get("next", i)["size"].alias("size"), i.alias("i"))))["i"]
+    taken = F.when(nearer.isNull(), F.col("f.got")).otherwise(F.concat("f.got", F.array(nearer)))
     return nexts.select("source", F.explode(F.transform(taken, lambda i: F.get("next", i))).alias("g")).select("source", "g.doc_id", "g.th")
 
 
@@ -250,8 +257,14 @@ fill AS (
   UNION ALL
   SELECT f.source, t.n, CASE WHEN t.size <= f.room THEN t.doc_id END, CASE WHEN t.size <= f.room THEN f.room - t.size ELSE f.room END
   FROM fill f JOIN tail t ON t.source IS NOT DISTINCT FROM f.source AND t.n = f.n + 1),
+ends AS (SELECT source, arg_max(room, n) AS room FROM fill GROUP BY source),
+nearer AS (
+  SELECT t.doc_id FROM tail t JOIN ends e ON t.source IS NOT DISTINCT FROM e.source
+  WHERE t.size < 2 * e.room AND t.doc_id NOT IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY t.source ORDER BY t.size, t.n) = 1),
 picked AS (
-  SELECT doc_id FROM runs WHERE run <= left_over UNION SELECT doc_id FROM fill WHERE doc_id IS NOT NULL)
+  SELECT doc_id FROM runs WHERE run <= left_over UNION SELECT doc_id FROM fill WHERE doc_id IS NOT NULL
+  UNION SELECT doc_id FROM nearer)
 SELECT r.doc_id, size, source_size, target,
        CAST((whole + CASE WHEN q IS NOT NULL AND r.doc_id IN (SELECT doc_id FROM picked) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM ranked r

@@ -157,7 +157,8 @@ def pack(docs: DataFrame, path: str = VOCABULARY, row: int = ROW, eos: int = EOS
         return pd.DataFrame(out, columns=["shard", "row", "doc_ids", "pieces", "cu_seqlens", "n_tokens", "ids", "positions"])
 
     dealt = pieces(docs, path, row, eos).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(packed, SCHEMA)
+    # so many partitions that each holds a few shards, whatever the session's number of shuffle partitions
+    return dealt.repartition(max(1, shards // 8), "shard").groupBy("shard").applyInPandas(packed, SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
