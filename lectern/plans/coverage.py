@@ -13,7 +13,9 @@ from lectern.operators import pages as PG
 from lectern.operators import search as S
 from lectern.operators import store as ST
 from lectern.plans.catalog import query
+from lectern.plans.ingest import _PLAIN
 from lectern.session import AS_OF
+from lectern.sources import configured as C
 from lectern.sources import normalizers as N
 from lectern.sources import tables as T
 
@@ -258,3 +260,58 @@ def alias_items(spark, sf_dir):
         F.col("categories").alias("tags"), only(F.col("external_id"), F.col("id") % 4 != 0).alias("external_id"))
     out = N.normalize_items(raw, F.lit("https://site.example.org/list/page1"), "scr")
     return out.select("title", "abstract", "published_date", "url", "pdf_url", "categories", "external_id")
+
+
+_ALPHA = C.SourceConfig("alpha", {"external_id": "ident", "title": "meta.title", "abstract": "meta.abs", "authors": "people", "published_date": "when",
+                                  "categories": "tags", "keywords": "n", "citation_count": "n", "url": "links.1.href", "journal": "missing.path"}, "string")
+_BETA = C.SourceConfig("beta", {"external_id": "ident", "title": "meta.title", "abstract": "meta.abs", "authors": "people", "published_date": "when",
+                                "categories": "tags", "citation_count": "n", "url": "links.0.href"}, "array")
+_GAMMA = C.SourceConfig("gamma", {"external_id": "ident", "title": "meta.title", "abstract": "meta.abs", "authors": "people", "published_date": "when",
+                                  "categories": "tags.t", "keywords": "links.href", "citation_count": "n", "url": "links.5.href"}, "object_array", "full")
+
+
+def _payloads(u, cfg, people, when, tags, n):
+    """JSON items of one configured source; every ninth is cut off and cannot be parsed."""
+    s = F.struct(F.when(F.col("id") % 4 != 0, F.col("external_id")).alias("ident"),
+                 F.struct(F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), F.col("doi").alias("abs")).alias("meta"),
+                 people.alias("people"), when.alias("when"), tags.alias("tags"), n.alias("n"),
+                 F.array(F.struct(F.lit("/a").alias("href")), F.struct(F.lit("/b").alias("href"))).alias("links"))
+    rows = u.select("id", s.alias("s"))
+    kind = rows.schema["s"].dataType
+    text = F.when(F.col("id") % 9 == 0, F.substring(F.to_json("s"), 1, 20)).otherwise(F.to_json("s"))
+    return C.normalize_configured(rows.select(F.from_json(text, kind).alias("item")), cfg)
+
+
+@query("configured_sources", views=("content_union",), sql=f"""
+WITH t AS (SELECT *, {_PLAIN} AS plain, id % 3 AS k, CASE WHEN id % 4 <> 0 THEN external_id END AS own FROM content_union WHERE id % 9 <> 0)
+SELECT coalesce(own, (['alpha:', 'beta:', 'gamma:'])[k + 1]) AS external_id, plain AS title, coalesce(doi, '') AS abstract,
+       (['Ann Lee|Bob Ray', 'Ann Lee|Bob Ray', 'Full|Ann Lee|Bob Ray'])[k + 1] AS authors,
+       CASE WHEN k = 0 THEN published_date WHEN k = 1 AND id % 5 = 0 THEN NULL WHEN k = 1 THEN published_date
+            WHEN published_date IS NOT NULL THEN make_date(year(published_date), month(published_date), 1) END AS published_date,
+       CASE k WHEN 0 THEN '/b' WHEN 1 THEN '/a' END AS url, (['x|y|z', 'x|y', 'a|b|c'])[k + 1] AS categories,
+       CASE k WHEN 0 THEN CAST(citation_count AS VARCHAR) WHEN 1 THEN '' ELSE '/a|/b' END AS keywords,
+       CASE WHEN k = 1 THEN 0 ELSE citation_count END AS citation_count, (['alpha', 'beta', 'gamma'])[k + 1] AS source
+FROM t WHERE plain <> ''
+""")
+def configured_sources(spark, sf_dir):
+    """S4 + T13 + T15-T17: three configured sources whose payloads differ in form (author string, list and objects;
+    date strings, lists and date-parts; tags as string, list and nested lists; wrong types, missing fields and items that
+    cannot be parsed)."""
+    u = T.content_union(spark, sf_dir)
+    of = lambda k: u.filter(F.col("id") % 3 == k)
+    d = F.col("published_date")
+    day = F.when(F.col("id") % 2 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(d, "d/M/yyyy"))
+    parts = F.when(F.col("id") % 5 == 0, F.array(F.lit(1800), F.lit(1), F.lit(1))).when(d.isNotNull(), F.array(F.year(d), F.month(d), F.day(d)))
+    alpha = _payloads(of(0), _ALPHA, F.lit("Ann Lee, Bob Ray, ,"), day, F.lit("x, y,,z"), F.col("citation_count"))
+    beta = _payloads(of(1), _BETA, F.array(F.lit("Ann Lee"), F.lit("Bob Ray")), parts, F.array(F.lit("x"), F.lit("y")), F.lit("many"))
+    person = "array<struct<full:string,given:string,family:string,display_name:string>>"
+    people = F.from_json(F.lit('[{"full":"Full"},{"full":"","given":"Ann","family":"Lee"},{"display_name":"Bob Ray"},{}]'), person)
+    months = F.struct(F.when(d.isNotNull(), F.array(F.array(F.year(d), F.month(d)))).alias("date-parts"))
+    tags = F.array(F.struct(F.array(F.lit("a"), F.lit("b")).alias("t")), F.struct(F.array(F.lit("c")).alias("t")))
+    gamma = _payloads(of(2), _GAMMA, people, months, tags, F.col("citation_count"))
+    out = alpha.unionByName(beta).unionByName(gamma)
+    made = F.col("external_id").rlike("^(alpha|beta|gamma):[0-9a-f]{64}$") & (F.col("raw_data.source") == F.col("source"))
+    join = lambda c: F.array_join(c, "|")
+    return out.select(F.when(made, F.regexp_replace("external_id", ":.*$", ":")).otherwise(F.col("external_id")).alias("external_id"), "title", "abstract",
+                      join(F.transform("authors", lambda a: a["name"])).alias("authors"), "published_date", "url",
+                      join(F.col("categories")).alias("categories"), join(F.col("keywords")).alias("keywords"), "citation_count", "source")
