@@ -155,9 +155,9 @@ def consume_pages(page_items: DataFrame, key: str, page_no: str, n_items: str, m
     return df.drop("_rank", "_empty_before", "_items_before")
 
 
-def discover_links(pages: DataFrame, link_tag: str = "a", max_pages_per_step: int = 10) -> DataFrame:
-    """S16 step 1: links of each list page made absolute, order-preserving dedupe,
-    capped at max_pages_per_step - 1 detail pages (the list page counts as one)."""
+def discover_links(pages: DataFrame, link_tag: str = "a", max_pages_per_step: int | None = None) -> DataFrame:
+    """S16 step 1: links of each list page made absolute, order-preserving dedupe; all of
+    them, or with max_pages_per_step that many less one (the list page counts as one)."""
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(rf"<{link_tag}\b[^>]*\bhref=\"([^\"]*)\""), 1)
     links = pages.select(F.col("page_id"), F.col("url").alias("list_url"),
                          F.posexplode(hrefs).alias("pos", "href"))
@@ -165,15 +165,16 @@ def discover_links(pages: DataFrame, link_tag: str = "a", max_pages_per_step: in
     w1 = Window.partitionBy("page_id", "detail_url").orderBy("pos")
     first = links.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == 1)
     w2 = Window.partitionBy("page_id").orderBy("pos")
-    return (first.withColumn("step_rank", F.row_number().over(w2))
-            .filter(F.col("step_rank") <= max_pages_per_step - 1)
-            .select("page_id", "list_url", "detail_url", "step_rank"))
+    ranked = first.withColumn("step_rank", F.row_number().over(w2))
+    if max_pages_per_step is not None:
+        ranked = ranked.filter(F.col("step_rank") <= max_pages_per_step - 1)
+    return ranked.select("page_id", "list_url", "detail_url", "step_rank")
 
 
 def category_crawl(category_pages: DataFrame, landed: DataFrame, link_pattern: str,
-                   limit_categories: int = 2, max_pages: int = 10) -> DataFrame:
-    """Category links of each category page (first `limit_categories`, in page order,
-    de-duplicated), each expanded to pages 1..max_pages (S14) and matched to the landed
+                   max_pages: int, limit_categories: int | None = None) -> DataFrame:
+    """Category links of each category page (all, or the first `limit_categories`, in page
+    order, de-duplicated), each expanded to pages 1..max_pages (S14) and matched to the landed
     pages; consumption stops at a category's first page that was not landed (S15)."""
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(r"<a\b[^>]*\bhref=\"([^\"]*)\""), 1)
     links = (category_pages.select("page_id", F.col("url").alias("list_url"), F.posexplode(hrefs).alias("pos", "href"))
@@ -182,7 +183,8 @@ def category_crawl(category_pages: DataFrame, landed: DataFrame, link_pattern: s
     w1 = Window.partitionBy("page_id", "category").orderBy("pos")
     w2 = Window.partitionBy("page_id").orderBy("pos")
     cats = (links.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == 1)
-            .withColumn("cat_rank", F.row_number().over(w2)).filter(F.col("cat_rank") <= limit_categories)
+            .withColumn("cat_rank", F.row_number().over(w2))
+            .filter(F.lit(True) if limit_categories is None else F.col("cat_rank") <= limit_categories)
             .withColumn("tpl", F.concat(F.col("category"),
                                         F.when(F.col("category").contains("?"), F.lit("&page={page}"))
                                         .otherwise(F.lit("?page={page}")))))

@@ -131,13 +131,16 @@ def upsert_articles(spark, sf_dir):
 @query("upsert_counts", views=("article", "content_union"), sql=_UPSERT_SQL + """
 SELECT CAST(sum(CASE WHEN op = 'saved' THEN 1 ELSE 0 END) AS BIGINT) AS saved,
        CAST(sum(CASE WHEN op = 'saved' THEN n_rows - 1 ELSE n_rows END) AS BIGINT) AS updated,
-       CAST(0 AS BIGINT) AS skipped
+       (SELECT count(*) FROM content_union WHERE id % 13 = 0) AS skipped
 FROM m
 """)
 def upsert_counts(spark, sf_dir):
-    """Saved / updated / skipped counts of the same merge (the run-log numbers)."""
+    """Saved / updated / skipped counts of the same merge and of rows without a key (the run-log numbers)."""
     base = T.article(spark, sf_dir).select("external_id", "title", "abstract", "doi", "published_date")
-    _, counts = ST.upsert(base, _batch(spark, sf_dir), ["external_id"], "seq", "not_null",
+    batch = _batch(spark, sf_dir)
+    none = T.content_union(spark, sf_dir).filter(F.col("id") % 13 == 0)
+    keyless = none.select(*[(F.when(F.col("id") % 2 == 0, F.lit("")) if c == "external_id" else F.lit(None)).cast(t).alias(c) for c, t in batch.dtypes])
+    _, counts = ST.upsert(base, batch.unionByName(keyless), ["external_id"], "seq", "not_null",
                           insert_defaults={"abstract": F.lit("")})
     return counts
 
@@ -208,35 +211,40 @@ def live_search(spark, sf_dir):
 
 
 @query("source_run", views=("article",), sql="""
-WITH items AS (SELECT 'openalex:W' || CAST(id AS VARCHAR) AS external_id, source_name AS source, published_date
-               FROM article),
+WITH items AS (SELECT 'openalex:W' || CAST(id AS VARCHAR) AS external_id, source_name AS source, published_date,
+                      published_date IS NULL AND id % 2 = 0 AS keyless FROM article),
 base AS (SELECT external_id FROM items WHERE published_date < DATE '2023-07-01'),
-r AS (SELECT i.source, CASE WHEN b.external_id IS NULL THEN 1 ELSE 0 END AS is_new FROM items i
-      LEFT JOIN base b USING (external_id))
-SELECT source, CAST(count(*) AS BIGINT) AS articles_found, CAST(sum(is_new) AS BIGINT) AS articles_saved,
-       CAST(sum(1 - is_new) AS BIGINT) AS articles_updated, CAST(0 AS BIGINT) AS articles_skipped,
-       'success' AS status
-FROM r GROUP BY source
+r AS (SELECT i.source, i.keyless, b.external_id IS NULL AS is_new FROM items i LEFT JOIN base b USING (external_id)),
+c AS (SELECT source, CAST(sum(CASE WHEN is_new AND NOT keyless THEN 1 ELSE 0 END) AS BIGINT) AS articles_saved,
+             CAST(sum(CASE WHEN NOT is_new THEN 1 ELSE 0 END) AS BIGINT) AS articles_updated,
+             CAST(sum(CASE WHEN keyless THEN 1 ELSE 0 END) AS BIGINT) AS articles_skipped FROM r GROUP BY source)
+SELECT source, articles_saved + articles_updated + articles_skipped AS articles_found, articles_saved, articles_updated, articles_skipped,
+       CASE WHEN articles_skipped * 20 > articles_saved THEN 'failed' ELSE 'success' END AS status FROM c
 """)
 def source_run(spark, sf_dir):
     """M13 + S21: one fetch run per source over landed OpenAlex pages: parse, normalise,
     upsert into the article store (items published before 2023-07 were fetched by an
-    earlier run), and one run-log row per source with saved / updated / skipped."""
+    earlier run; undated items with an even id come without a key and are skipped), and
+    one run-log row per source.  A run that skips over a twentieth of what it saves has failed."""
+    from lectern.operators import monitor as M
     landed = P.land_openalex(T.article(spark, sf_dir))
     items = P.read_json_payloads(landed, P.OPENALEX_SCHEMA, ["results"])
     arts = N.normalize_openalex(items.select(F.col("source").alias("landing_source"), "item"),
                                 keep=("landing_source",))
     cols = ["external_id", "title", "published_date", "doi"]
     base = arts.filter(F.col("published_date") < F.lit("2023-07-01").cast("date")).select(*cols)
-    batch = arts.select(*cols, "landing_source").withColumn("seq", F.lit(1))
+    even = F.regexp_extract("external_id", r"(\d+)$", 1).cast("long") % 2 == 0
+    keyless = F.col("published_date").isNull() & even
+    batch = arts.select(F.when(keyless, F.lit("")).otherwise(F.col("external_id")).alias("external_id"), *cols[1:],
+                        "landing_source").withColumn("seq", F.lit(1))
     table, _ = ST.upsert(base, batch.drop("landing_source"), ["external_id"], "seq", "not_null")
-    per_item = batch.select("external_id", "landing_source").join(table.select("external_id", "op"), "external_id")
-    counts = per_item.groupBy(F.col("landing_source").alias("source")).agg(
-        F.count(F.lit(1)).alias("articles_found"),
-        F.sum(F.when(F.col("op") == "saved", 1).otherwise(0)).cast("bigint").alias("articles_saved"),
-        F.sum(F.when(F.col("op") == "updated", 1).otherwise(0)).cast("bigint").alias("articles_updated"))
-    return counts.select("source", "articles_found", "articles_saved", "articles_updated",
-                         F.lit(0).cast("bigint").alias("articles_skipped"), F.lit("success").alias("status"))
+    per_item = batch.select("external_id", F.col("landing_source").alias("source")).join(table.select("external_id", "op"), "external_id", "left")
+    flag = lambda c: c.cast("int")
+    per_item = per_item.select("source", flag(F.coalesce(F.col("op") == "saved", F.lit(False))).alias("saved"),
+                               flag(F.coalesce(F.col("op") == "updated", F.lit(False))).alias("updated"), flag(F.col("external_id") == "").alias("skipped"))
+    error = F.when(F.col("articles_skipped") * 20 > F.col("articles_saved"), F.lit("too many items without a key"))
+    return M.run_log(per_item, "source", F.lit(None).cast("timestamp"), error).select(
+        "source", "articles_found", "articles_saved", "articles_updated", "articles_skipped", "status")
 
 
 @query("core_normalize", views=("article",), sql="""

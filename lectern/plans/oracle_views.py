@@ -11,7 +11,7 @@ VIEWS: dict[str, str] = {
   SELECT doc_id, 'doc:' || CAST(doc_id AS VARCHAR) AS external_id,
          trim(substring(text, 1, 60)) AS title, text AS abstract, lang,
          source AS source_name,
-         CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) AS source_no,
+         TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) AS source_no,
          CASE WHEN doc_id % 11 = 0 THEN NULL
               ELSE CAST(DATE '2024-01-30' - CAST(doc_id * 37 % 500 AS INTEGER) AS DATE) END AS published_date,
          CASE WHEN doc_id % 3 = 0 THEN '10.5555/doc.' || CAST(doc_id AS VARCHAR) END AS doi,
@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {
          published_date, doi, 'https://papers.example.org/' || external_id AS url,
          categories, [lang] AS keywords, CAST(n_chars % 97 AS INTEGER) AS citation_count,
          source_no AS api_source_id, source_name
-  FROM content_base WHERE source_no < 10""",
+  FROM content_base WHERE coalesce(source_no, 0) < 10""",
     "scraped_content": r"""
   SELECT doc_id AS id, source_no AS scraper_config_id, external_id, title, abstract,
          (['paper', 'event', 'grant', 'news'])[doc_id % 4 + 1] AS content_type,

@@ -134,13 +134,13 @@ a AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id, detail_url ORDER BY pos) AS r1 FROM a),
 s AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS step_rank FROM d WHERE r1 = 1)
 SELECT s.page_id, s.step_rank, s.detail_url, p.page_id IS NOT NULL AS landed
-FROM s LEFT JOIN pages p ON p.url = s.detail_url WHERE s.step_rank <= 9
+FROM s LEFT JOIN (SELECT DISTINCT url AS page_id, url FROM pages) p ON p.url = s.detail_url
 """)
 def crawl_two_stage(spark, sf_dir):
-    """Every page as a list page: absolute, de-duplicated links capped at 9 detail
-    pages, matched to the landed pages (unmatched = the error list)."""
+    """Every page as a list page: all its links, absolute and de-duplicated, matched to the
+    landed pages (unmatched = the error list)."""
     p = T.pages(spark, sf_dir)
-    links = PG.discover_links(p, "a", 10)
+    links = PG.discover_links(p, "a")
     landed = p.select(F.col("url").alias("detail_url"), F.lit(True).alias("landed")).dropDuplicates(["detail_url"])
     return (links.join(landed, "detail_url", "left")
             .select("page_id", "step_rank", "detail_url", F.coalesce("landed", F.lit(False)).alias("landed")))
@@ -156,11 +156,18 @@ a AS (SELECT *, regexp_extract(list_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)',
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id, category ORDER BY pos) AS r1 FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS cat_rank FROM d WHERE r1 = 1),
 f AS (SELECT page_id, category, cat_rank, page_no, category || '?page=' || CAST(page_no AS VARCHAR) AS page_url
-      FROM c, range(1, 11) AS t(page_no) WHERE cat_rank <= 2)
-SELECT f.*, false AS consumed FROM f
+      FROM c, range(1, 5) AS t(page_no)),
+landed AS (SELECT DISTINCT category || '?page=' || CAST(n AS VARCHAR) AS url FROM c, range(1, 5) AS t(n) WHERE n <> page_id % 4),
+g AS (SELECT f.*, l.url IS NOT NULL AS got FROM f LEFT JOIN landed l ON l.url = f.page_url)
+SELECT page_id, category, cat_rank, page_no, page_url,
+       bool_and(got) OVER (PARTITION BY page_id, category ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS consumed FROM g
 """)
 def category_crawl(spark, sf_dir):
-    """Every page as a category page: its first two category links (relative links
-    starting with a letter), pages 1..10 of each, matched to the landed pages."""
+    """Every page as a category page: all its category links (relative links starting with a
+    letter), pages 1..4 of each, consumed until the first page that was not landed.  Of a
+    category found on page p, every page but number p % 4 was landed."""
     p = T.pages(spark, sf_dir)
-    return PG.category_crawl(p, p, r"^/[A-Za-z]", 2, 10)
+    links = PG.discover_links(p.withColumn("html", F.regexp_replace("html", r'<a\b[^>]*\bhref="(?!/[A-Za-z])[^"]*"', "<a>")), "a")
+    landed = links.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"), "page_id", "detail_url").filter(F.col("n") != F.col("page_id") % 4)
+    landed = landed.select(F.concat("detail_url", F.lit("?page="), F.col("n").cast("string")).alias("url"))
+    return PG.category_crawl(p, landed, r"^/[A-Za-z]", 4)

@@ -62,7 +62,7 @@ def _content_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _content_base(spark, sf_dir).filter(F.col("source_no") < 10)
+    b = _content_base(spark, sf_dir).filter(F.coalesce("source_no", F.lit(0)) < 10)
     return b.select(
         F.col("doc_id").alias("id"), "external_id", "title", "abstract",
         F.array(F.struct(
