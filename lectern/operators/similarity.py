@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lectern.session import cut_lineage
+
 TIE_EPS = 1e-9
 
 
@@ -79,8 +81,10 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: s
     """
     spark = queries.sparkSession
     par = spark.sparkContext.defaultParallelism
-    # sizes only choose the block counts; counting the ids lets Catalyst prune the vectors
-    nq, ni = queries.select(q_id).count(), items.select(i_id).count()
+    # stored once: both sides are read again by the count that chooses the blocks and by the job itself
+    cols = [q_id, q_vec] + ([extra] if extra else [])
+    queries, items = cut_lineage(queries.select(*cols)), cut_lineage(items.select(i_id, i_vec))
+    nq, ni = queries.count(), items.count()
     side = max(1, int(math.sqrt(par)))
     bq, bi = _blocks(nq, block_rows, side), _blocks(ni, block_rows, side)
     q_type = dict(queries.dtypes)[q_id]
