@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.session import configure, ensure_checkpoint_dir
 
 SPACES = " \t\n\x0b\f\r"
+WORD = "[^" + SPACES + "]+"
 BATCH_BYTES = 8 << 20
 FILTER_BITS = 1 << 25  # of a bitmap of hashes: at most half a million rows of 64 bits
 
@@ -58,7 +59,7 @@ def spaces_plus_one(line: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words split at ASCII white space; null has none."""
-    return spaces_plus_one(collapsed(text, SPACES))
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def bitmap(hashes: DataFrame, label: str) -> DataFrame:
