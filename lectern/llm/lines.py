@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, collapsed, prepare, spaces_plus_one, stored
+from lectern.llm.common import prepare, stored, word_count
 
 MIN_WORDS = 10
 DOC = ["did", "th"]
@@ -39,12 +39,9 @@ def _keys() -> dict[str, Column]:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(did, th, ln, i, a, b, words): line number, number among the lines with a word, two hashes, words."""
-    raw = docs.select(*[c.alias(k) for k, c in _keys().items()], F.split("text", "\n").alias("raw"))
-    raw = raw.withColumn("plain", F.transform("raw", lambda x: collapsed(x, SPACES)))
-    line = lambda x, j: F.struct(j.alias("ln"), F.xxhash64(F.get("raw", j)).alias("a"), F.xxhash64(F.lit(1), F.get("raw", j)).alias("b"),
-                                 spaces_plus_one(x).alias("words"))
-    lines = F.filter(F.transform("plain", line), lambda x: x["words"] > 0)
-    return raw.select(*DOC, F.posexplode(lines).alias("i", "x")).select(*DOC, "i", "x.*")
+    line = lambda x, j: F.struct(j.alias("ln"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), word_count(x).alias("words"))
+    lines = F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["words"] > 0)
+    return docs.select(*[c.alias(k) for k, c in _keys().items()], F.posexplode(lines).alias("i", "x")).select(*DOC, "i", "x.*")
 
 
 def _ranked(rows: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -100,18 +97,19 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tables = prefix_doubling(lines, 1)
     wins = stored(windows(lines, tables[0], min_words), "windows")
     tables = prefix_doubling(lines, wins.agg(F.max("n")).first()[0] or 1, tables)
-    marked = None
+    named = None
     for k, ranks in enumerate(tables):
         size = 1 << k
         own = wins.where((F.col("n") >= size) & (F.col("n") < 2 * size))
         at = ranks.distinct()
-        named = own.join(at.withColumnRenamed("r", "r1"), [*DOC, "i"]).withColumn("j", F.col("i") + F.col("n") - size) \
+        level = own.join(at.withColumnRenamed("r", "r1"), [*DOC, "i"]).withColumn("j", F.col("i") + F.col("n") - size) \
             .join(at.select(*DOC, F.col("i").alias("j"), F.col("r").alias("r2")), [*DOC, "j"]).drop("j")
-        # stored, so that the join has an exchange of its own on either side and a common run's rows can be split
-        named = stored(named, "named")
-        firsts = stored(named.groupBy("n", "r1", "r2").agg(F.min(F.struct(*DOC, "i")).alias("first")), "firsts")
-        copies = named.join(firsts, ["n", "r1", "r2"]).where(F.struct(*DOC, "i") > F.col("first")).select(*DOC, "i", "n")
-        marked = copies if marked is None else marked.unionAll(copies)
+        named = level if named is None else named.unionByName(level)
+    # n says which ranks are meant, so (n, r1, r2) names an interval; both sides are stored, so that the join has an
+    # exchange of its own on either side and the windows of a common run can be split
+    named = stored(named, "named")
+    firsts = stored(named.groupBy("n", "r1", "r2").agg(F.min(F.struct(*DOC, "i")).alias("first")), "firsts")
+    marked = named.join(firsts, ["n", "r1", "r2"]).where(F.struct(*DOC, "i") > F.col("first")).select(*DOC, "i", "n")
     covered = marked.select(*DOC, F.explode(F.expr("sequence(i, i + n - 1)")).alias("i")).distinct()
     return covered.join(lines.select(*DOC, "i", "ln").distinct(), [*DOC, "i"]).select(*DOC, "ln")
 
