@@ -139,6 +139,8 @@ def test_quality_cases(spark):
     assert (got[2].n_words, got[2].n_repeat_words, got[2].base_failed, got[2].kept) == (7, 6, True, False)
     assert not got[3].kept and "symbols to words" in got[3].broken
     assert quality.op6_quality(documents(spark, [])).count() == 0
+    few = quality.judge(documents(spark, [(1, good), (2, "a b c d a b c")])).where("size(broken) = 0 and n_repeat_words < 5")
+    assert [r.doc_id for r in few.collect()] == [1]  # a filter on the counts stays above them
 
 
 def test_native_plans_have_no_python(spark):
