@@ -7,6 +7,9 @@ article, except what stands in elements that are never article text (scripts,
 styles, navigation, forms, asides, footers, and elements whose class, id or role
 names an advert, a notice, reader comments and the like): such elements score 0
 and are passed over, so that an advert in the middle does not cut an article.
+Only whole names count, or compounds all of whose parts are such names; an
+element that holds the marked article, or most of the page's prose, is never
+passed over, whatever its tag or name.
 
 Scores are log odds of a token kind inside against outside the article, learned
 from labelled pages: those that mark their article themselves by exactly one
@@ -59,6 +62,15 @@ BOILERPLATE = frozenset(
     "comment comments commentlist reader-comments respond reply replies disqus discussion feedback "
     "share sharing social newsletter subscribe subscription signup login search tags taglist "
     "contentinfo complementary".split())
+#: Of these, names that a section of an article can carry as its subject.
+SUBJECTS = frozenset("discussion related recommended popular trending feedback notice notices alert legal copyright disclaimer search "
+                     "advertising promotion sharing subscription navigation menu tags cookies gdpr consent social".split())
+#: Names and tags that hold most of a page's prose only where there is no article: prose does not speak for them.
+CERTAIN = frozenset("ad ads advert adverts advertisement adsense nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager "
+                    "footer foot footnav copyright legal site-footer page-footer cookie cookies consent gdpr comment comments commentlist "
+                    "reader-comments respond reply replies disqus contentinfo".split())
+NO_PROSE = NEVER - frozenset(["form", "label", "dialog", "aside"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_HEADING = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|responses|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\))?:?|leave a (?:reply|comment).{0,20}", re.I)
 
 #: Prior scores: words in prose blocks speak for an article, links and structure against it.
@@ -97,6 +109,18 @@ def pieces(page: str) -> Iterator[Token]:
         yield "text", page[at:], ""
 
 
+def names_of(attrs: str) -> Iterator[tuple[str, str, list[str]]]:
+    """(attribute, name, its parts) of class, id and role; the parts leave out numbers."""
+    for attr, *values in ATTR.findall(attrs):
+        for name in "".join(values).lower().split():
+            yield attr.lower(), name, [x for x in re.split(r"[-_:]|(?<=[a-z])(?=\d)", name) if x and not x.isdigit()]
+
+
+def among(name: str, parts: list[str], names: frozenset[str]) -> bool:
+    """Whether a name is one of `names`, or made of them alone."""
+    return name in names or (bool(parts) and all(x in names for x in parts))
+
+
 def boilerplate(name: str, attrs: str, inside: bool) -> bool:
     """Whether an element is never article text; `inside`: it stands in an article or main element."""
     if name in NEVER or (name == "header" and not inside):
@@ -105,13 +129,31 @@ def boilerplate(name: str, attrs: str, inside: bool) -> bool:
         return False
     if HIDDEN.search(attrs):
         return True
-    for _, *values in ATTR.findall(attrs):
-        for word in re.split(r"\s+", "".join(values).lower()):
-            if word in BOILERPLATE or any(part in BOILERPLATE for part in re.split(r"[-_:]|(?<=[a-z])(?=\d)", word)):
-                return True
+    section = name == "section" or name in HEADINGS
+    for attr, word, parts in names_of(attrs):
+        subject = section or inside if attr == "id" else section and inside
+        if among(word, parts, BOILERPLATE) and not (subject and among(word, parts, SUBJECTS)):
+            return True
     return False
 
 
+def certain(name: str, attrs: str) -> bool:
+    """Whether a passed-over element stays so even if it holds most of the page's prose."""
+    return name in NO_PROSE or bool(HIDDEN.search(attrs)) or any(among(word, parts, CERTAIN) for _, word, parts in names_of(attrs))
+
+
+def prose_before(tokens: list[Token], ends: dict[int, int]) -> list[int]:
+    """Number of characters of prose before each token: text outside links and elements without prose."""
+    out, total, skip = [0], 0, 0
+    for i, (kind, name, _) in enumerate(tokens):
+        if kind == "text":
+            total += len(name.strip()) if i >= skip else 0
+        elif kind == "open" and (name == "a" or name in NO_PROSE):
+            skip = max(skip, ends.get(i, 0))
+        out.append(total)
+    return out
+
+
 def elements_end(tokens: list[Token]) -> dict[int, int]:
     """Index of each opening tag -> index just after its end; without a closing tag it is absent,
     unless the end is implied by the next block."""
@@ -148,6 +190,17 @@ class Page:
         self.label = None
         block, links, i = "", 0, 0
         within: list[int] = []
+        prose: list[int] = []
+
+        def holds_article(i: int) -> bool:
+            if marked is not None and i < marked < ends[i]:
+                return True
+            if certain(*tokens[i][1:]):
+                return False
+            if not prose:
+                prose.extend(prose_before(tokens, ends))
+            return 2 * (prose[ends[i]] - prose[i]) > prose[-1]
+
         while i < len(tokens):
             kind, name, attrs = tokens[i]
             if marked is not None and i == marked:
@@ -157,7 +210,7 @@ class Page:
             else:
                 while within and within[-1] <= i:
                     within.pop()
-                if kind == "open" and boilerplate(name, attrs, bool(within)) and i in ends:
+                if kind == "open" and boilerplate(name, attrs, bool(within)) and i in ends and not holds_article(i):
                     self._add("skip", None, name in BLOCKS)
                     i = ends[i]
                     continue

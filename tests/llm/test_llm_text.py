@@ -268,6 +268,28 @@ def test_pages(spark):
     assert html_text.op8_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before,after", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="content-sidebar-wrap">', "</div>"), ('<form id="aspnetForm">', "</form>"),
+    ("<dialog open>", "</dialog>"), ('<div class="widget">', "</div>"), ('<div style="display:none">', "</div>"), ('<label class="modal">', "</label>")])
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_wrappers_of_the_article_are_not_passed_over(before, after, mark):
+    if mark == "div" and "none" in before:
+        return  # hidden and not marked
+    inner = f"<{mark}><h1>Head</h1><p>{prose(1, 40)}</p><p>{prose(2, 40)}</p></{mark}>"
+    html = f'<body><nav><a href="/">{prose(3, 3)}</a></nav>{before}{inner}{after}<div class="ad">{prose(4, 9)}</div><footer>{prose(5, 4)}</footer></body>'
+    p = html_text.Page(html)
+    assert html_text.extract(html, {}) == f"Head\n{prose(1, 40)}\n{prose(2, 40)}"
+    assert (p.label is not None) == (mark != "div")
+
+
+def test_sections_of_an_article_are_kept():
+    parts = [f'<section {names}><h2>Part {k}</h2><p>{prose(k, 40)}</p></section>' for k, names in enumerate(
+        ('id="intro"', 'class="related-work"', 'id="discussion"', 'class="discussion"', 'id="legal-notice"'))]
+    advert = '<div class="ad-300"><p>Buy now</p></div><div class="cookie-banner"><p>We use cookies</p></div>'
+    html = f'<body><article>{advert.join(parts)}<div class="comments"><p>{prose(9, 300)}</p></div></article></body>'
+    assert html_text.extract(html, {}) == "\n".join(f"Part {k}\n{prose(k, 40)}" for k in range(5))
+
+
 def test_scan_finds_the_best_region():
     r = random.Random(6)
     for _ in range(200):
