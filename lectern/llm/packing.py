@@ -3,8 +3,10 @@
 Texts are encoded with a public byte-level vocabulary (a rank file, given by
 path), each document closed by the id `eos`.  A document longer than a row is
 split without loss into pieces of a row's length and a rest.  Pieces are dealt by
-a hash of document and piece number into shards of about `shard_bytes` of text,
-so that a long document or a large source spreads over many; within a shard,
+a hash of document, piece number and content into shards of about `shard_bytes` of
+text, so that a long document, a large source or rows that share a doc_id spread
+over many.  Rows equal in doc_id and text whose equal pieces make up more than 1 / `HEAVY`
+of a shard are encoded once and their copies, numbered, are dealt apart.  Within a shard,
 pieces in falling length go to the open row with the least room that is still
 enough, found by a successor search in a segment tree over capacities.
 
@@ -31,7 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import prepare
+from lectern.llm.common import bitmap, marked, prepare, small, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's text is split before merging (see the vocabulary's description).
@@ -39,6 +41,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 EOS = 50256
 ROW = 2048
 SHARD_BYTES = 1 << 20
+HEAVY = 8      # equal rows are counted and dealt copy by copy if one piece of each makes more than shard_bytes / HEAVY in all
+BLOCK = 1024   # copies of a piece made by one task at a time
+BROADCAST_ROWS = 200_000
 SCHEMA = ("shard long, row int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, n_tokens int, "
           "ids binary, positions binary")
 
@@ -108,22 +113,44 @@ def best_fit_decreasing(lengths: list[int], row: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, row: int, eos: int) -> DataFrame:
-    """(doc_id, piece, n, ids): the ids of every document in pieces of at most `row`."""
+    """(doc_id, piece, n, ids, th, copies): the ids of every document (doc_id, text, th, copies) in pieces of at most `row`."""
     kind = id_type(eos, row)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = encoding(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text, th, copies in zip(batch["doc_id"], batch["text"], batch["th"], batch["copies"]):
                 ids = np.array([*ranks.encode_ordinary(text), eos], dtype=kind)
-                out += [(doc_id, k, len(part), part.tobytes()) for k, at in enumerate(range(0, len(ids), row))
+                out += [(doc_id, k, len(part), part.tobytes(), th, copies) for k, at in enumerate(range(0, len(ids), row))
                         for part in (ids[at:at + row],)]
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "n", "ids"])
+            frame = pd.DataFrame(out, columns=["doc_id", "piece", "n", "ids", "th", "copies"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''") \
-        .mapInPandas(encode, "doc_id long, piece int, n int, ids binary")
+    return docs.select("doc_id", "text", "th", "copies") \
+        .mapInPandas(encode, "doc_id long, piece int, n int, ids binary, th long, copies long")
+
+
+def _dealt(docs: DataFrame, path: str, row: int, eos: int, shard_bytes: int) -> DataFrame:
+    """The pieces of every row, with copy: a number among rows equal in doc_id and text (0 for all where these are few)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("th")).where("text <> ''")
+    heavy = rows.groupBy("th").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")) \
+        .where((F.col("n") > 1) & (F.col("n") * F.least("size", F.lit(4 * row)) > shard_bytes / HEAVY))
+    heavy = stored(heavy.select("th"), "heavy")
+    if not heavy.take(1):
+        return pieces(rows.withColumn("copies", F.lit(1).cast("long")), path, row, eos).withColumn("copy", F.lit(0).cast("long"))
+    # only rows whose hash the bitmap holds are looked up
+    rows = marked(rows, F.col("th"), bitmap(heavy.select(F.col("th").alias("h")), "heavy-bitmap"))
+    heavy = small(heavy, BROADCAST_ROWS)
+    looked = rows.where("_marked")
+    few = rows.where("not _marked").drop("_marked").unionAll(looked.join(heavy, "th", "left_anti").select("doc_id", "text", "th"))
+    few = pieces(few.withColumn("copies", F.lit(1).cast("long")), path, row, eos).withColumn("copy", F.lit(0).cast("long"))
+    # equal rows are combined before the exchange and encoded once; the copies are made of pieces, block by block
+    many = looked.join(heavy, "th", "left_semi").groupBy("doc_id", "text", "th").agg(F.count("*").alias("copies"))
+    many = pieces(many, path, row, eos).withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {BLOCK})"))) \
+        .repartition("th", "piece", "block")
+    many = many.withColumn("copy", F.explode(F.expr(f"sequence(block * {BLOCK}, least(copies, (block + 1) * {BLOCK}) - 1)"))).drop("block")
+    return few.unionAll(many)
 
 
 def pack(docs: DataFrame, path: str = VOCABULARY, row: int = ROW, eos: int = EOS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -156,7 +183,8 @@ def pack(docs: DataFrame, path: str = VOCABULARY, row: int = ROW, eos: int = EOS
                         [numbers[i] for i in own], [0, *ends.tolist()], used, line.tobytes(), positions.tobytes()))
         return pd.DataFrame(out, columns=["shard", "row", "doc_ids", "pieces", "cu_seqlens", "n_tokens", "ids", "positions"])
 
-    dealt = pieces(docs, path, row, eos).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = _dealt(docs, path, row, eos, shard_bytes).withColumn("shard", F.pmod(F.xxhash64("th", "piece", "copy"), F.lit(shards)))
+    dealt = dealt.select("doc_id", "piece", "n", "ids", "shard")
     # so many partitions that each holds a few shards, whatever the session's number of shuffle partitions
     return dealt.repartition(max(1, shards // 8), "shard").groupBy("shard").applyInPandas(packed, SCHEMA)
 

@@ -236,6 +236,24 @@ def test_packing_is_lossless(spark):
     assert {r.d for r in odd} == {None, 3, 4, 5, 6, 7, 8, 9}
 
 
+def test_rows_that_share_a_doc_id_spread_over_shards(spark):
+    rows = [(None, prose(i, 60)) for i in range(400)] + [(7, prose(1000 + i, 60)) for i in range(400)] \
+        + [(None, prose(2000, 60))] * 3000 + [(9, prose(2001, 600))] * 300 + [(i + 10, prose(3000 + i, 60)) for i in range(100)]
+    packed = packing.pack(documents(spark, rows), row=256, shard_bytes=20_000)
+    ids = packed.selectExpr("shard", "n_tokens", "explode(doc_ids) as d")
+    assert {r.d: r["count"] for r in ids.groupBy("d").count().where("d is null or d = 7").collect()}[None] >= 3400
+    shards = [r[1] for r in packed.groupBy("shard").sum("n_tokens").collect()]
+    assert max(shards) <= 3 * sum(shards) / len(shards)
+    words = packed.selectExpr("explode(arrays_zip(doc_ids, pieces)) as s").groupBy("s.doc_ids", "s.pieces").count().collect()
+    got = {(r.doc_ids, r.pieces): r["count"] for r in words}
+    assert got[9, 0] == 300 and all(got[i + 10, 0] == 1 for i in range(100))
+    want = sum(len(packing.encoding(packing.VOCABULARY).encode_ordinary(t)) + 1 for _, t in rows)
+    assert sum(shards) == want  # every copy is there
+    order = ["shard", "row"]
+    again = packing.pack(documents(spark, rows).repartition(5), row=256, shard_bytes=20_000)
+    assert packed.orderBy(order).collect() == again.orderBy(order).collect()
+
+
 # ---- pages ---------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
