@@ -1,8 +1,9 @@
 """Secret scan by fixed patterns and a randomness test battery, in DataFrame operations only.
 
 Patterns find assignments to secret-like names, access keys and hex strings.
-Beyond them, every long token whose characters fit a known encoding is a
-candidate, and is tested for being random in that encoding's alphabet:
+Beyond them, every long token is a candidate, and so is every long part of it
+between separators (a key behind a path or a prefix).  Each is tested for being
+random in the smallest known alphabet that holds its characters:
 
 - chi-squared test of uniform use of the alphabet (Wilson-Hilferty, two-sided);
 - runs test of symbols in the lower and upper half of the alphabet;
@@ -12,7 +13,8 @@ The three p-values are combined (Bonferroni).  Benjamini-Hochberg then decides,
 within bands of token length, which candidates are not random, so that at most a
 share `FDR` of what is dismissed in a band is expected to be random; short and
 long tokens, whose tests differ in power, do not share a cut.  The others are
-reported as kind `random`, unless a pattern's span overlaps them.  The p-values
+reported as kind `random`, unless a pattern's span overlaps them; a part is not
+reported beside the longer part or token that holds it.  The p-values
 enter as counts per band and bin of -log10 p, a table of fixed size.
 
 Positions are running sums of the lengths of matches and of the parts between
@@ -42,17 +44,28 @@ ASSIGN_LENGTH = 12
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: name, pattern of the whole token, alphabet in value order; the first that fits is the token's encoding.
+#: name, pattern of the whole token, alphabet in value order, by size; the first that fits is the token's encoding, the last always does.
 ENCODINGS = (
-    ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
-    ("HEX", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
-    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
-    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER),
-    ("BASE36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UPPER),
-    ("base62", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
-    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
-    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("hex", r"^[0-9a-f]+$", DIGITS + "abcdef"),
+    ("HEX", r"^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("hex-", r"^[0-9a-f-]+$", DIGITS + "abcdef-"),
+    ("HEX-", r"^[0-9A-F-]+$", DIGITS + "ABCDEF-"),
+    ("lower", r"^[a-z]+$", LOWER),
+    ("UPPER", r"^[A-Z]+$", UPPER),
+    ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
+    ("base36", r"^[0-9a-z]+$", DIGITS + LOWER),
+    ("BASE36", r"^[0-9A-Z]+$", DIGITS + UPPER),
+    ("base36-", r"^[0-9a-z_-]+$", DIGITS + LOWER + "-_"),
+    ("BASE36-", r"^[0-9A-Z_-]+$", DIGITS + UPPER + "-_"),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER),
+    ("base62", r"^[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
+    ("base64", r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("any", r"^[0-9A-Za-z+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
+#: Single characters that may join a key to what stands before or after it; each set gives its own parts.
+SEPARATORS = ("[/]", "[/_]", "[/-]", "[+/_-]")
+LENGTH = 20  # of a candidate, as in CANDIDATE
 FDR = 0.05
 BANDS = (20, 24, 32, 40, 48, 64, 96, 160)  # least token length of each band
 BINS = 3000                                # of -log10 p, a hundredth each; smaller p fall in the last
@@ -98,9 +111,9 @@ def _two_sided(z: Column) -> Column:
 
 
 def _battery(c: DataFrame) -> DataFrame:
-    """Adds encoding and p (of being random in it) to candidate rows (token); rows that fit none are dropped."""
+    """Adds encoding and p (of being random in it) to candidate rows (token)."""
     fits = F.coalesce(*[F.when(F.col("token").rlike(p), F.struct(F.lit(n).alias("encoding"), F.lit(a).alias("alphabet"))) for n, p, a in ENCODINGS])
-    c = c.withColumn("f", fits).where("f is not null").select("*", "f.*", F.length("token").alias("n"), F.length("f.alphabet").alias("k"))
+    c = c.withColumn("f", fits).select("*", "f.*", F.length("token").alias("n"), F.length("f.alphabet").alias("k"))
     c = c.withColumn("v", F.transform(F.split("token", ""), lambda x: F.instr(F.col("alphabet"), x) - 1))
     c = c.withColumn("v", F.filter("v", lambda x: x >= 0))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -125,6 +138,22 @@ def _battery(c: DataFrame) -> DataFrame:
     return c.withColumn("p", p).drop("f", "alphabet", "v", "squares", "b", "n1", "runs", "m", "spread", "lag", "k")
 
 
+def _with_parts(tokens: DataFrame) -> DataFrame:
+    """(row, at, start, end, token): candidates `tokens` (row, c: start, end, s, hits) and their long parts that no hit overlaps; at is the token's start."""
+    t = tokens.select("row", F.col("c.start").alias("at"), F.col("c.end").alias("end"), F.col("c.s").alias("s"), F.col("c.hits").alias("hits"))
+    own = F.struct(F.col("at").alias("start"), F.col("end"), F.col("s").alias("token"))
+    t = t.withColumn("all", F.array(own)).drop("end")
+    for separators in SEPARATORS:
+        t = t.withColumn("p", F.when(F.col("s").rlike(separators), F.split("s", separators, -1)))
+        t = t.withColumn("l", F.transform("p", lambda x: F.length(x) + 1)).withColumn("o", _running(F.col("l")))
+        parts = F.filter(F.transform("p", lambda x, i: F.struct(
+            (F.col("at") + F.get("o", i)).alias("start"), (F.col("at") + F.get("o", i) + F.length(x)).alias("end"), x.alias("token"))),
+            lambda x: F.length(x["token"]) >= LENGTH)
+        t = t.withColumn("all", F.concat("all", F.coalesce(parts, F.array().cast("array<struct<start:int,end:int,token:string>>"))))
+    t = t.select("row", "at", "hits", F.explode(F.array_distinct("all")).alias("c"))
+    return t.where(~F.exists("hits", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))).select("row", "at", "c.*")
+
+
 def _band(n: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x) for x in BANDS]), lambda b: n >= b))
 
@@ -156,14 +185,19 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     of = lambda name, kind: F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
     t = t.withColumn("assign", F.filter("assign", lambda x: F.length(x["s"]) >= ASSIGN_LENGTH))
     t = t.withColumn("base", F.array_sort(F.concat(of("assign", 0), of("access", 1), of("hex", 2))))
-    clear = F.filter("candidate", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = stored(t.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", clear.alias("candidate")), "spans")
-    tested = _battery(rows.select("row", F.explode("candidate").alias("c")).select("row", "c.start", "c.end", F.col("c.s").alias("token")))
-    tested = stored(tested.select("row", "start", "end", "n", "encoding", "p"), "tested")
+    hits = lambda c: F.filter("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    tokens = F.transform("candidate", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s"), hits(c).alias("hits")))
+    rows = stored(t.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", tokens.alias("candidate")), "spans")
+    tested = _battery(_with_parts(rows.select("row", F.explode("candidate").alias("c"))))
+    tested = stored(tested.select("row", "at", "start", "end", "n", "encoding", "p"), "tested")
     cuts = dismissed(tested, fdr).withColumnRenamed("band", "b")
     random = tested.join(F.broadcast(cuts), _band(F.col("n")) == F.col("b"), "left") \
         .where(F.col("cut").isNull() | (_bin(F.col("p")) < F.col("cut")))
-    found = random.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("more"))
+    # of a token and its parts only those that no other holds
+    of_token = random.groupBy("row", "at").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("own"))
+    holds = lambda y, x: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    widest = F.filter("own", lambda x: ~F.exists("own", lambda y: holds(y, x)))
+    found = of_token.groupBy("row").agg(F.flatten(F.collect_list(widest)).alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return rows.join(found, "row", "left").select("doc_id", "base", spans.alias("spans"))
 

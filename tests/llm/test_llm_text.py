@@ -54,6 +54,24 @@ def test_battery_tells_random_from_patterned(spark):
     assert not any("random" in got[i] for i, _ in patterned)
 
 
+def test_random_tokens_of_every_alphabet_are_found(spark):
+    r = random.Random(8)
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    of = lambda chars, k: "".join(r.choices(chars, k=k))
+    kinds = [lambda: of(low + dig + "-_", 36), lambda: "-".join(of(dig + "abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: "-".join(of(up + dig, 5) for _ in range(6)),
+             lambda: of(low, 32), lambda: of(up + low, 32), lambda: of(up, 24), lambda: of(up + low + dig + "+/-_", 40)]
+    rows = [(100 * k + i, f"see {make().strip('+/-_')} end") for k, make in enumerate(kinds) for i in range(40)]
+    path = "articles/the-state-of-the-nation-and-the-rest/"
+    rows += [(1000 + i, f"see {path}{of(low + dig, 32)} end") for i in range(40)]
+    rows += [(2000 + i, f"see {path}{'-'.join(['the', 'state', 'of', 'the', 'nation'] * 3)} end") for i in range(40)]
+    got = {x.doc_id: x.spans for x in secrets.op3_secrets(documents(spark, rows)).collect()}
+    for k in range(len(kinds)):
+        assert sum(got[100 * k + i] == f"random:4:{len(rows[40 * k + i][1]) - 4}" for i in range(40)) >= 34, k
+    at = 4 + len(path)
+    assert sum(got[1000 + i] == f"random:{at}:{at + 32}" for i in range(40)) >= 34
+    assert not any(got[2000 + i] for i in range(40))
+
+
 # ---- personal data -------------------------------------------------------------------------------------------
 
 def digits(s):
