@@ -59,13 +59,13 @@ def fingerprint_bytes(raw: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) for every row of documents."""
+    """(doc_id, th, fp) for every row of documents; th: a hash of doc_id and text."""
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint_bytes(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", simhash(F.col("text").cast("binary")).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("th"), simhash(F.col("text").cast("binary")).alias("fp"))
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray, roots: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -190,7 +190,7 @@ def trie_links(fps: DataFrame, max_bits: int, leaf: int = LEAF, stride: int = ST
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, fp, root, component_id) for every row of `docs`.
+    """(doc_id, th, fp, root, component_id) for every row of `docs`; th: a hash of doc_id and text.
 
     root is the least fingerprint (as a signed number) of the component,
     component_id its least doc_id (null if it has none).
@@ -202,24 +202,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, leaf:
     roots = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(roots, "roots")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """`docs` with one document of each component: the one with the least doc_id.
+    """`docs` with one document of each component: the one with the least doc_id, of several texts of that doc_id
+    the one with the least hash.
 
-    Repeated rows of that doc_id count as one document; rows without a doc_id
-    cannot be named and stay.
+    A document is known by doc_id and text: other text under the same doc_id is a document of its own, and repeated
+    rows count as one.  Rows without a doc_id go if a document with one is kept for them; in a component of such rows
+    alone they cannot be named and stay.
     """
-    rows = stored(near_duplicates(docs, shingle, max_bits).select("doc_id", "component_id"), "members")
-    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
-    ids = stored(ids.where("n > 1 or not keep"), "looked-at")
-    # only texts that may go, or whose doc_id is there again, are shuffled
-    whole = marked(docs, F.xxhash64("doc_id"), bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "looked-at-bitmap"))
-    left = whole.where("_marked and doc_id is not null").join(ids.where("not keep").select("doc_id").hint("merge"), "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    left = left.withColumn("_nth", nth).where("_nth = 1")
-    return whole.where("not _marked or doc_id is null").select(*docs.columns).unionAll(left.select(*docs.columns))
+    rows = near_duplicates(docs, shingle, max_bits).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_did"), F.col("th").alias("_th"),
+                                                           F.col("doc_id").isNotNull().alias("named"), "root")
+    keys = stored(rows.groupBy("_did", "_th", "named").agg(F.count("*").alias("n"), F.min("root").alias("root")), "members")
+    best = keys.where("named").groupBy("root").agg(F.min(F.struct("_did", "_th")).alias("best"))
+    keep = F.when(F.col("named"), F.struct("_did", "_th") == F.col("best")).otherwise(F.col("best").isNull())
+    keys = stored(keys.join(best, "root", "left").select("_did", "_th", "named", "n", keep.alias("keep")).where("named and n > 1 or not keep"), "looked-at")
+    # only texts that may go, or that are there again, are shuffled
+    key = {"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_th": F.xxhash64("doc_id", "text")}
+    whole = marked(docs.withColumns(key), F.col("_th"), bitmap(keys.select(F.col("_th").alias("h")), "looked-at-bitmap"))
+    left = whole.where("_marked").join(keys.where("not keep").select("_did", "_th").hint("merge"), ["_did", "_th"], "left_anti")
+    named = left.where("doc_id is not null")
+    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy("_did", "_th").orderBy("_th"))).where("_nth = 1")
+    parts = (whole.where("not _marked"), named, left.where("doc_id is null"))
+    return parts[0].select(*docs.columns).unionAll(parts[1].select(*docs.columns)).unionAll(parts[2].select(*docs.columns))
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

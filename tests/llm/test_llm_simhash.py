@@ -96,6 +96,13 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_keep_one_knows_documents_by_id_and_text(spark):
+    a, b, c, d = prose(21), prose(22), prose(23), prose(24)
+    rows = [(3, a), (5, a.upper()), (5, b), (5, b), (7, b.upper()), (8, c), (8, d), (None, a), (None, b.upper()), (None, prose(25))]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(documents(spark, rows)).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (8, c), (8, d), (None, prose(25))], key=str)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
