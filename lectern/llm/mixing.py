@@ -13,6 +13,8 @@ and the documents with the smallest q are taken.  The sample's size is fixed in
 words: the order is taken up to the source's target, and the gap that the last
 document would overshoot is filled from the next `FILL` documents of the order,
 each taken if it still fits, and one more if that comes nearer to the target.
+As long as the room left then is at least the source's mean size, documents larger
+than it are set aside, and the next cut is found in the rest of the order alike.
 
 Finding the cut needs no global sort: ranking numbers fall into up to
 `SIDE * SIDE` fixed slices of (0, 1) per source, the word sums of slices give the slice in which the
@@ -145,6 +147,32 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FA
         F.sum("size").alias("words"), F.count("*").alias("n"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.max("target").alias("target")), "slices")
     left = stored(sums.groupBy("source").agg((F.max("target") - F.sum("certain")).alias("left")), "left")
     sums = sums.where("slice is not null").select("source", "slice", "words", "n")
+    cut = _bounds(sums, left)
+    base = _with(targets, cut, "left")
+    picked, later = _picked(_ranked(sized, base, max_copies, seed))
+    base = stored(base.drop("last", "room").withColumn("bands", F.lit(None).cast(_bands_type(sized))), "bounds")
+    later = stored(later, "later")
+    parts, ended = [picked], None
+    while later.take(1):
+        parts_of, later, base, done = _again(sized, base, later, max_copies, seed)
+        parts.append(parts_of)
+        ended = done if ended is None else ended.unionAll(done)
+    if ended is None:
+        return base, picked, sized
+    picked = parts[0]
+    for p in parts[1:]:
+        picked = picked.unionAll(p)
+    picked = stored(picked.distinct(), "picked")
+    # one more, the smallest left, in sources that went on
+    left = _with(_copies(sized, base, picked, max_copies, seed), ended.select("source", F.col("room").alias("gap")))
+    one = left.where("rank is not null and copies = whole and size < 2 * gap and k is not null") \
+        .groupBy("source").agg(F.min(F.struct("size", "rank", "doc_id", "th")).alias("m")).select("source", "m.doc_id", "m.th")
+    return base, stored(picked.unionAll(one), "picked"), sized
+
+
+def _bounds(sums: DataFrame, left: DataFrame) -> DataFrame:
+    """(source, k, room, last) from (source, slice, words, n) and (source, left): the slice in which the order passes
+    `left`, what is left before it, and the last slice that holds one of the next FILL documents; none if it never does."""
     side = F.floor(F.col("slice") / SIDE)
     coarse = stored(_cut(sums.groupBy("source", side.alias("k")).agg(F.sum("words").alias("words")), left), "coarse")
     fine = _with(sums, coarse).where(side == F.col("k")).select("source", F.col("slice").alias("k"), "words")
@@ -153,15 +181,52 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FA
     after = _with(sums, cut).where("slice > k and slice <= k + %d" % SIDE).withColumn(
         "upto", F.sum("n").over(Window.partitionBy("source").orderBy("slice"))).where(F.col("upto") - F.col("n") < FILL)
     cut = _with(cut, after.groupBy("source").agg(F.max("slice").alias("last")), "left")
-    per_source = stored(_with(targets, cut.select("source", "k", "room", F.coalesce("last", "k").alias("last")), "left"), "bounds")
-    return per_source, _picked(_ranked(sized, per_source, max_copies, seed)), sized
-
-
-def _fill(rest: DataFrame) -> DataFrame:
-    """Of each source's next documents (room, rank, doc_id, th, size; at most FILL), those that still fit, in
-    order, and one that does not if that leaves the sum nearer to the target."""
+    return stored(cut.select("source", "k", "room", F.coalesce("last", "k").alias("last")), "cut")
+
+
+def _bands_type(sized: DataFrame) -> str:
+    """A band: documents after a place in the order and before a slice, of at most a size, are taken."""
+    return f"array<struct<after:struct<rank:double,doc_id:{sized.schema['doc_id'].dataType.simpleString()},th:bigint>,k:bigint,most:double>>"
+
+
+PLACE = ("rank", "doc_id", "th")
+
+
+def _again(sized: DataFrame, base: DataFrame, later: DataFrame, max_copies: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Goes on in sources `later` (source, room, after) that have room left, past the place `after`, with documents of
+    at most the room: (documents picked at the new cuts, sources that still have room, source rows with the bands of
+    this round, (source, room) of those that end here); stored."""
+    rows = _with(_ranked(sized, base, max_copies, seed).drop("k"), later)
+    rows = rows.where("rank is not null and size <= room").where(F.struct(*PLACE) > F.col("after")).drop("room")
+    rows = stored(rows.select("source", "slice", "rank", "doc_id", "th", "size", "source_size", "n_docs"), "eligible")
+    sums = stored(rows.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "slices")
+    cut = _bounds(sums, later.select("source", F.col("room").alias("left")))
+    near = _with(rows, cut)
+    picked, more = _picked(near)
+    more, picked = stored(more, "later"), stored(picked, "picked-again")
+    band = F.struct(F.col("after"), F.col("bk").cast("long").alias("k"), F.col("band_room").cast("double").alias("most"))
+    new = _with(later.withColumnRenamed("room", "band_room"), cut.select("source", F.col("k").alias("bk")), "left").select("source", F.array(band).alias("new"))
+    base = _with(base, new, "left").withColumn("bands", F.when(F.col("new").isNull(), F.col("bands")).otherwise(
+        F.concat(F.coalesce("bands", F.array().cast(_bands_type(sized))), F.col("new").cast(_bands_type(sized))))).drop("new")
+    base = stored(base, "bounds")
+    # what this round took, in sources that do not go on
+    whole = _with(sums, cut.select("source", F.col("k").alias("bk")), "left").where("bk is null or slice < bk").groupBy("source").agg(F.sum("words").alias("words"))
+    at = _with(rows.select("source", "doc_id", "th", "size"), later.select("source"))
+    hit = picked.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), F.col("th").alias("pt"))
+    at = at.join(hit, F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt")), "left_semi")
+    at = at.groupBy("source").agg(F.sum("size").alias("at"))
+    done = _with(_with(later, whole, "left"), at, "left").select("source", (F.col("room") - F.coalesce("words", F.lit(0)) - F.coalesce("at", F.lit(0))).alias("room"))
+    goes_on = more.select(F.col("source").alias("_m"))
+    done = stored(done.join(goes_on, F.col("source").eqNullSafe(F.col("_m")), "left_anti"), "ended")
+    return picked, more, base, done
+
+
+def _fill(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each source's next documents (room, mean, rank, doc_id, th, size; at most FILL), those that still fit, in
+    order, and one that does not if that leaves the sum nearer to the target; and (source, room, after) of the sources
+    that go on behind their last one instead, as the room is not under the mean size."""
     zero = F.struct(F.col("room").alias("room"), F.array().cast("array<int>").alias("got"))
-    nexts = rest.groupBy("source").agg(F.max("room").alias("room"),
+    nexts = rest.groupBy("source").agg(F.max("room").alias("room"), F.max("mean").alias("mean"),
                                        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "th", "size"))).alias("next"))
     step = lambda acc, i: F.when(F.get("next", i)["size"] <= acc["room"], F.struct(
         (acc["room"] - F.get("next", i)["size"]).alias("room"), F.concat(acc["got"], F.array(i)).alias("got"))).otherwise(acc)
@@ -171,28 +236,35 @@ def _fill(rest: DataFrame) -> DataFrame:
     nearer = F.array_min(F.transform(
         F.filter(places, lambda i: (F.get("next", i)["size"] < 2 * F.col("f.room")) & ~F.array_contains("f.got", i)),
         lambda i: F.struct(F.get("next", i)["size"].alias("size"), i.alias("i"))))["i"]
-    taken = F.when(nearer.isNull(), F.col("f.got")).otherwise(F.concat("f.got", F.array(nearer)))
-    return nexts.select("source", F.explode(F.transform(taken, lambda i: F.get("next", i))).alias("g")).select("source", "g.doc_id", "g.th")
+    goes_on = (F.size("next") >= FILL) & (F.col("f.room") >= F.col("mean"))
+    last = F.element_at("next", -1)
+    later = nexts.where(goes_on).select("source", F.col("f.room").alias("room"), F.struct(*[last[c].alias(c) for c in PLACE]).alias("after"))
+    taken = F.when(goes_on | nearer.isNull(), F.col("f.got")).otherwise(F.concat("f.got", F.array(nearer)))
+    return nexts.select("source", F.explode(F.transform(taken, lambda i: F.get("next", i))).alias("g")).select("source", "g.doc_id", "g.th"), later
 
 
-def _picked(rows: DataFrame) -> DataFrame:
-    """(source, doc_id, th) of the documents that fit before the cut or fill the gap, from the slices around it."""
+def _picked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, doc_id, th) of the documents that fit before the cut or fill the gap, from the slices around it, stored;
+    and the sources that go on (see `_fill`)."""
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "th")
     near = rows.where("slice >= k and slice <= last").withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    near = stored(near.select("source", "rank", "doc_id", "th", "size", "room", "run"), "near")
+    mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0)).alias("mean")
+    near = stored(near.select("source", "rank", "doc_id", "th", "size", "room", "run", mean), "near")
     head = near.where("run <= room")
     used = head.groupBy("source").agg(F.max("run").alias("used"))
     rest = near.where("run > room").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FILL)
     rest = _with(rest, used, "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
-    return stored(head.select("source", "doc_id", "th").unionAll(_fill(rest)).distinct(), "picked")
+    filled, later = _fill(rest)
+    return stored(head.select("source", "doc_id", "th").unionAll(filled).distinct(), "picked"), later
 
 
 def _copies(sized: DataFrame, per_source: DataFrame, picked: DataFrame, max_copies: int, seed: int) -> DataFrame:
-    """Adds copies: the certain ones, and one more for what comes before the cut or was picked at it."""
+    """Adds copies: the certain ones, and one more for what comes before the cut, is in a band or was picked at a cut."""
     rows = _ranked(sized, per_source, max_copies, seed)
     p = small(picked.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), F.col("th").alias("pt"), F.lit(True).alias("hit")), MANY_SOURCES)
     same = F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt"))
-    more = F.col("rank").isNotNull() & (F.col("k").isNull() | (F.col("slice") < F.col("k")) | F.coalesce("hit", F.lit(False)))
+    band = F.exists("bands", lambda b: (F.struct(*PLACE) > b["after"]) & (b["k"].isNull() | (F.col("slice") < b["k"])) & (F.col("size") <= b["most"]))
+    more = F.col("rank").isNotNull() & (F.col("k").isNull() | (F.col("slice") < F.col("k")) | F.coalesce(band, F.lit(False)) | F.coalesce("hit", F.lit(False)))
     return rows.join(p, same, "left").drop("ps", "pd", "pt").withColumn("copies", F.col("whole") + more.cast("long"))
 
 

@@ -104,6 +104,21 @@ def test_mix_equals_sql_and_comes_near_its_targets(spark):
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {d: c for d, c in want.items() if c}
 
 
+def test_room_behind_a_very_long_document_is_filled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FILL", 4)
+    long = " ".join(["w"] * 6000)
+    rows = [(10_000 + i, prose(i, 20), "en", "a") for i in range(1200)] + [(i, long, "en", "a") for i in range(4)] + sources(2, 400, "b")
+    docs = documents(spark, rows)
+    for seed in range(2):
+        got = mixing.mix(docs, weights=(1, 3), factor=0.5, seed=seed).collect()
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * 46, (seed, s)
+            assert all(r.taken <= 2 * r["size"] for r in own)
+    mixed = mixing.mixed(docs, weights=(1, 3), factor=0.5, seed=1).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.copies for r in got if r.copies}
+
+
 def test_targets_are_shared_again_until_none_is_above(spark):
     sizes = spark.createDataFrame([("a", 1000, 1), ("b", 10, 1), ("c", 10, 1), ("d", 100, 1), (None, 0, 1)], "source string, source_size long, n_docs long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
