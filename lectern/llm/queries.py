@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from lectern.llm import decontaminate, html_text, language, lines, mixing, packing, pii, quality, secrets, simhash
+from lectern.llm import (decontaminate, divergence, html_text, language, lines, minhash, mixing, packing, pii, quality, secrets, simhash,
+                         whitening)
 from lectern.llm.common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,11 @@ def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op8_main_text(table(spark, sf_dir, "pages"))
 
 
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.op12_whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "op1_simhash": _documents(simhash.op1_simhash),
@@ -43,6 +49,9 @@ def queries() -> dict[str, QueryFn]:
         "op8_main_text": _main_text,
         "op9_pii": _documents(pii.op9_pii),
         "op10_decontaminate": _decontaminate,
+        "op11_divergence": _documents(divergence.op11_divergence),
+        "op12_whitening": _whitening,
+        "op13_fingerprints": _documents(minhash.op13_fingerprints),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -52,5 +61,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mix": mixing.SQL,
         "op6_quality": quality.SQL,
         "op10_decontaminate": decontaminate.SQL,
+        "op11_divergence": divergence.SQL,
     }
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
