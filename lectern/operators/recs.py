@@ -16,6 +16,7 @@ from pyspark.sql import Window
 
 from lectern.functions.vectors import decay, l2_normalize
 from lectern.operators.similarity import block_top_k, top_k_per
+from lectern.operators.svd import Svd, truncated_svd
 from lectern.session import AS_OF
 
 # ---- fixed values that must equal the reference ----
@@ -131,76 +132,27 @@ def similar(profiles: DataFrame, k: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- collaborative
 
-def fit_svd(matrix: DataFrame, k: int = SVD_RANK, local_max_items: int = 4096):
-    """M5: truncated SVD of the interaction matrix A (users x items).
+def fit_svd(matrix: DataFrame, k: int = SVD_RANK) -> Svd | None:
+    """M5: truncated SVD of the interaction matrix (users x items), explained variance included.
 
-    Skips (returns None) with fewer than 10 non-zeros or when min(shape) - 1 < 2.
-    Returns (user_factors, item_factors) DataFrames with `uf` = (U S) rows and
-    `vf` = V rows, so score(u, i) = uf . vf (the rank-k reconstruction of A).
-
-    Up to `local_max_items` items: one distributed pass builds the Gramian A^T A
-    (mllib RowMatrix.computeGramianMatrix, a treeAggregate of per-row outer
-    products), its n x n eigen-decomposition gives V and S, and U S = A V is a
-    distributed weighted sum per user.  Beyond that, mllib's computeSVD runs the
-    distributed ARPACK iteration and V = A^T U S^-1 is aggregated per item.
+    Skips (returns None) with fewer than 10 non-zeros or when min(shape) - 1 < 2.  The factors are U S by user and V
+    by item, so score(u, i) = uf . vf (the rank-k reconstruction).
     """
-    from pyspark import StorageLevel
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix, RowMatrix
-
-    spark = matrix.sparkSession
     stats = matrix.agg(F.count(F.lit(1)).alias("nnz"), F.countDistinct("user_id").alias("nu"),
                        F.countDistinct("external_id").alias("ni")).first()
-    if stats["nnz"] < 10:
-        return None
     rank = min(k, min(stats["nu"], stats["ni"]) - 1)
-    if rank < 2:
+    if stats["nnz"] < 10 or rank < 2:
         return None
-    n_items = stats["ni"]
-    # column index per item: zipWithIndex is a distributed numbering (no single-task sort)
-    items = spark.createDataFrame(
-        matrix.select("external_id").distinct().rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])),
-        "external_id string, j long")
-    m = matrix.join(items, "external_id")
-    rows = (m.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("e")).rdd
-            .map(lambda r: (r["user_id"], MV.sparse(n_items, [x["j"] for x in r["e"]],
-                                                    [x["w"] for x in r["e"]]))))
-    if n_items <= local_max_items:
-        g = RowMatrix(rows.map(lambda t: t[1])).computeGramianMatrix().toArray()
-        evals, evecs = np.linalg.eigh(g)
-        order = np.argsort(evals)[::-1][:rank]
-        sv = np.sqrt(np.clip(evals[order], 0.0, None))
-        keep = sv > 1e-9 * max(sv.max(), 1e-300)
-        V = evecs[:, order][:, keep]
-        # V is n_items x rank with n_items bounded by local_max_items
-        vdf = spark.createDataFrame([(int(j), [float(x) for x in V[j]]) for j in range(n_items)],
-                                    "j long, vf array<double>")
-        item_f = items.join(vdf, "j").select("external_id", "vf")
-        user_f = (m.join(vdf, "j")
-                  .groupBy("user_id").agg(Summarizer.sum(array_to_vector("vf"), F.col("w")).alias("av"))
-                  .select("user_id", vector_to_array("av").alias("uf")))
-        return user_f, item_f
-    irows = rows.map(lambda t: IndexedRow(t[0], t[1])).persist(StorageLevel.MEMORY_AND_DISK)
-    svd = IndexedRowMatrix(irows).computeSVD(rank, computeU=True)
-    s = [float(x) for x in svd.s.toArray()]
-    u_rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    U = spark.createDataFrame(u_rows, "user_id long, urow array<double>")
-    s_arr = F.array(*[F.lit(x) for x in s])
-    user_f = U.select("user_id", F.zip_with("urow", s_arr, lambda a, b: a * b).alias("uf"), "urow")
-    inv = F.array(*[F.lit(1.0 / x) for x in s])
-    vf = (m.join(user_f, "user_id")
-          .groupBy("external_id").agg(Summarizer.sum(array_to_vector("urow"), F.col("w")).alias("atu"))
-          .select("external_id", F.zip_with(vector_to_array("atu"), inv, lambda a, b: a * b).alias("vf")))
-    return user_f.select("user_id", "uf"), vf
-
-
-def collab_recs(factors, activity: DataFrame, k: int) -> DataFrame:
+    return truncated_svd(matrix, "user_id", "external_id", rank)
+
+
+def collab_recs(factors: Svd | None, activity: DataFrame, k: int) -> DataFrame:
     """M6: top-k items by user factor . item factor, seen items excluded (exact)."""
     seen = seen_items(activity)
     if factors is None:
         return seen.limit(0).select("user_id", "external_id", F.lit(0.0).alias("score"),
                                     F.lit(0).alias("rank"))
-    user_f, item_f = factors
+    user_f, item_f = factors.rows.withColumnRenamed("x", "uf"), factors.columns.withColumnRenamed("x", "vf")
     n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
     q = user_f.join(n_seen, "user_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
     cands = block_top_k(q, item_f, k, "user_id", "external_id", "uf", "vf", extra="n_seen", final=False)

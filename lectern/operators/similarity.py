@@ -1,16 +1,22 @@
-"""Exact blocked top-k scoring of query vectors against item vectors.
+"""Exact top-k items per query by dot product, pruned by bounds.
 
-The reference scans every profile for every query (a dot product per pair).
-Here both sides are cut into blocks by a hash of their id; a block pair
-(qb, ib) is one cogroup whose task multiplies the two small matrices with numpy
-and emits only each query's best candidates of that block.  A final window keeps
-the global top k per query.  No cross join and no all-pairs row output: every
-group holds at most `block_rows` vectors per side, whatever the skew of the data.
+The reference scans every profile for every query.  Here the items are put into
+cells around centroids (k-means over a bounded selection of items; every item is
+assigned).  A cell keeps its radius, so that by Cauchy-Schwarz no item x of it can score above
+
+    q . x  <=  q . centroid + |q| * radius.
+
+A query's running threshold is the (k + extra)-th best score among the selected
+items, which are items like all others: no true candidate lies below it.  A query
+is sent only to the cells whose bound reaches its threshold; there the exact
+scores are numpy products of small blocks, and only scores that reach the threshold
+leave a task.  Where vectors are clustered most cells are never met; where they point in all
+directions alike (then no exact bound helps) every cell is, in blocks of
+`block_rows` items.  No cross join, and no rows but surviving candidates.
 
 Exactness: a query row may carry `extra` = number of candidates a later
-filter can remove (e.g. items the user already saw); the block emits
-k + extra candidates (plus score ties within 1e-9), so filtering afterwards still
-leaves the exact top k.
+filter can remove (e.g. items the user already saw); k + extra candidates are kept
+(plus score ties within 1e-9), so filtering afterwards still leaves the exact top k.
 """
 
 from __future__ import annotations
@@ -18,55 +24,155 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lectern.session import cut_lineage
+from lectern.session import stored
 
 TIE_EPS = 1e-9
-
-
-def _blocks(n: int, block_rows: int, min_blocks: int) -> int:
-    return max(1, min(max(math.ceil(n / block_rows), min_blocks), max(n, 1)))
-
-
-def _score_fn(k: int, q_id: str, i_id: str, exclude_same: bool):
-    def fn(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({q_id: [], i_id: [], "score": []})
-        if len(qdf) == 0 or len(idf) == 0:
-            return empty
-        Q = np.stack(qdf["_qv"].to_numpy()).astype(np.float64)
-        I = np.stack(idf["_iv"].to_numpy()).astype(np.float64)
-        S = Q @ I.T
-        qids = qdf[q_id].to_numpy()
-        iids = idf[i_id].to_numpy()
-        if exclude_same:
-            S[qids[:, None] == iids[None, :]] = -np.inf
-        extra = qdf["_extra"].to_numpy() if "_extra" in qdf.columns else np.zeros(len(qdf), dtype=np.int64)
-        n = S.shape[1]
-        out_q, out_i, out_s = [], [], []
-        for r in range(S.shape[0]):
-            row = S[r]
-            t = int(min(n, k + int(extra[r])))
-            if t <= 0:
-                continue
-            if t < n:
-                part = np.argpartition(-row, t - 1)[:t]
-                kth = row[part].min()
-                sel = np.nonzero(row >= kth - TIE_EPS)[0]
-            else:
-                sel = np.arange(n)
-            sel = sel[np.isfinite(row[sel])]
-            out_q.append(np.repeat(qids[r], len(sel)))
-            out_i.append(iids[sel])
-            out_s.append(row[sel])
-        if not out_q:
-            return empty
-        return pd.DataFrame({q_id: np.concatenate(out_q), i_id: np.concatenate(out_i),
-                             "score": np.concatenate(out_s)})
-    return fn
+MAX_CELLS = 1024     # centroids held by every task
+PER_CELL = 8         # selected items for each centroid
+SELECTED = 1024      # selected items that give a query its threshold
+LLOYD = 5            # k-means steps over the selected items
+
+
+def _centroids(x: np.ndarray, c: int) -> np.ndarray:
+    """c centroids of the selected vectors x."""
+    mu = x[:c].copy()
+    for _ in range(LLOYD if c > 1 else 1):
+        near = ((mu * mu).sum(axis=1) - 2 * x @ mu.T).argmin(axis=1)
+        for j in range(c):
+            if (own := near == j).any():
+                mu[j] = x[own].mean(axis=0)
+    return mu
+
+
+def _rows(column: pa.Array, at: np.ndarray) -> np.ndarray:
+    """The vectors of the rows `at`, all of one length, as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+    d = int(ends[at[0] + 1] - ends[at[0]])
+    return flat[ends[at][:, None] + np.arange(d)]
+
+
+def _by_length(column: pa.Array):
+    """(length, rows) of each length of vector in a batch; empty and null vectors meet nothing."""
+    n = np.diff(column.offsets.to_numpy())
+    for d in np.unique(n[n > 0]):
+        yield int(d), np.flatnonzero(n == d)
+
+
+class Cells:
+    """Centroids, radii and sizes of the cells of each vector length, and the selected items."""
+
+    def __init__(self, selected: list[list[float]], n: int, block_rows: int):
+        self.block_rows = block_rows
+        self.selected: dict[int, np.ndarray] = {}
+        self.centroids: dict[int, np.ndarray] = {}
+        self.sizes: dict[int, np.ndarray] = {}
+        self.radii: dict[int, np.ndarray] = {}
+        for d in {len(v) for v in selected if v}:
+            x = np.array([v for v in selected if len(v) == d])
+            c = max(1, min(MAX_CELLS, len(x), math.ceil(n * len(x) / len(selected) / block_rows)))
+            self.centroids[d], self.selected[d] = _centroids(x, c), x[:SELECTED]
+
+    def centroids_of(self, d: int) -> np.ndarray:
+        return self.centroids.get(d, np.zeros((1, d)))
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its centroid) of every vector."""
+        mu = self.centroids_of(x.shape[1])
+        near = ((mu * mu).sum(axis=1) - 2 * x @ mu.T).argmin(axis=1)
+        return near, np.sqrt(((x - mu[near]) ** 2).sum(axis=1))
+
+    def learn(self, stats: list) -> None:
+        for d in {r["_dim"] for r in stats}:
+            c = len(self.centroids_of(d))
+            self.sizes[d], self.radii[d] = np.zeros(c, np.int64), np.zeros(c)
+        for r in stats:
+            self.sizes[r["_dim"]][r["_cell"]], self.radii[r["_dim"]][r["_cell"]] = r["n"], r["radius"]
+
+    def parts(self, d: int) -> np.ndarray:
+        """Blocks in each cell."""
+        return -(-self.sizes[d] // self.block_rows)
+
+    def thresholds(self, q: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The need-th best score among the selected items; minus infinity where there are not so many."""
+        out = np.full(len(q), -np.inf)
+        x = self.selected.get(q.shape[1])
+        if x is not None and (some := np.flatnonzero(need <= len(x))).size:
+            best = np.sort(q[some] @ x.T, axis=1)
+            out[some] = best[np.arange(len(some)), len(x) - need[some]]
+        return out
+
+    def met(self, q: np.ndarray, tau: np.ndarray) -> np.ndarray:
+        """Which cells each query must meet."""
+        mu, radii = self.centroids_of(q.shape[1]), self.radii[q.shape[1]]
+        bound = q @ mu.T + np.sqrt((q * q).sum(axis=1))[:, None] * radii * (1 + 1e-9)
+        return (bound >= tau[:, None] - TIE_EPS * (1 + np.abs(bound))) & (self.sizes[q.shape[1]] > 0)
+
+
+def plan_cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, q_vec: str, i_vec: str,
+               extra: str | None = None, exclude_same_id: bool = False, block_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(item rows, query rows), dealt to blocks (_dim, _cell, _part): what must meet for the exact top k."""
+    items = stored(items.select(F.col(i_id).alias("_iid"), F.col(i_vec).cast("array<double>").alias("_vec")), "items")
+    n = items.count()  # from the table's footers
+    wanted = max(SELECTED, PER_CELL * min(MAX_CELLS, math.ceil(n / block_rows)))
+    selected = items.orderBy(F.xxhash64("_iid"), "_iid").limit(wanted).collect()
+    cells = Cells([r["_vec"] for r in selected if r["_vec"] is not None and None not in r["_vec"]], n, block_rows)
+    i_type, q_type = dict(items.dtypes)["_iid"], dict(queries.dtypes)[q_id]
+
+    def assign(batches):
+        for b in batches:
+            for d, at in _by_length(b.column(1)):
+                cell, far = cells.assign(_rows(b.column(1), at))
+                own = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(at), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(far)],
+                                                 names=["_iid", "_vec", "_dim", "_cell", "_far"])
+
+    whole = items.where(F.forall("_vec", lambda v: v.isNotNull()))
+    put = stored(whole.mapInArrow(assign, f"_iid {i_type}, _vec array<double>, _dim int, _cell int, _far double"), "cells")
+    cells.learn(put.groupBy("_dim", "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect())  # a row per cell
+    sizes = put.groupBy("_dim", "_cell").agg(F.ceil(F.count("*") / block_rows).alias("_parts"))
+    item_rows = put.join(F.broadcast(sizes), ["_dim", "_cell"]).select(  # at most MAX_CELLS rows for each length
+        "_dim", "_cell", F.pmod(F.xxhash64("_iid"), F.col("_parts")).cast("int").alias("_part"), "_iid", "_vec")
+    more = F.col(extra).cast("long") if extra else F.lit(0).cast("long")
+
+    def deal(batches):
+        for b in batches:
+            for d, at in _by_length(b.column(1)):
+                if d not in cells.sizes:
+                    continue
+                q = _rows(b.column(1), at)
+                need = b.column(2).take(pa.array(at)).to_numpy(zero_copy_only=False) + k
+                tau = cells.thresholds(q, need + exclude_same_id)
+                row, cell = np.nonzero(cells.met(q, tau))
+                many = cells.parts(d)[cell]
+                row, cell = np.repeat(row, many), np.repeat(cell, many)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                own = b.take(pa.array(at[row]))
+                cols = [pa.array(np.full(len(row), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), own.column(0), own.column(1),
+                        pa.array(need[row].astype(np.int64)), pa.array(tau[row])]
+                yield pa.RecordBatch.from_arrays(cols, names=["_dim", "_cell", "_part", "_qid", "_vec", "_need", "_tau"])
+
+    asked = queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).cast("array<double>").alias("_vec"), F.greatest(more, F.lit(0)).alias("_need"))
+    query_rows = asked.mapInArrow(deal, f"_dim int, _cell int, _part int, _qid {q_type}, _vec array<double>, _need long, _tau double")
+    return item_rows, query_rows
+
+
+def _best(s: np.ndarray, need: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores that are among a row's `need` best and reach its threshold; ties included."""
+    n, rows, cols = s.shape[1], [], []
+    for r, row in enumerate(s):
+        floor = tau[r]
+        if need[r] < n:
+            floor = max(floor, np.partition(row, n - need[r])[n - need[r]])
+        sel = np.flatnonzero((row >= floor - TIE_EPS) & np.isfinite(row))
+        rows.append(np.full(len(sel), r))
+        cols.append(sel)
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def block_top_k(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str,
@@ -77,35 +183,42 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: s
     Returns (q_id, i_id, score) - when `final`, only the k best per query (rank by
     score rounded to 9 dp desc, then item id); otherwise the per-block candidates
     (a superset that a caller filters before ranking).
-    Vectors of unequal length never meet (the block key includes the length).
+    Vectors of unequal length never meet.
     """
-    spark = queries.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    # stored once: both sides are read again by the count that chooses the blocks and by the job itself
-    cols = [q_id, q_vec] + ([extra] if extra else [])
-    queries, items = cut_lineage(queries.select(*cols)), cut_lineage(items.select(i_id, i_vec))
-    nq, ni = queries.count(), items.count()
-    side = max(1, int(math.sqrt(par)))
-    bq, bi = _blocks(nq, block_rows, side), _blocks(ni, block_rows, side)
-    q_type = dict(queries.dtypes)[q_id]
-    i_type = dict(items.dtypes)[i_id]
-    qcols = [F.col(q_id), F.col(q_vec).cast("array<double>").alias("_qv")]
-    if extra:
-        qcols.append(F.col(extra).cast("long").alias("_extra"))
-    qx = (queries.select(*qcols)
-          .withColumn("_dim", F.size("_qv"))
-          .withColumn("_qb", F.pmod(F.xxhash64(F.col(q_id)), F.lit(bq)))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bi - 1).cast("long")))))
-    ix = (items.select(F.col(i_id), F.col(i_vec).cast("array<double>").alias("_iv"))
-          .withColumn("_dim", F.size("_iv"))
-          .withColumn("_ib", F.pmod(F.xxhash64(F.col(i_id)), F.lit(bi)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long")))))
-    schema = f"{q_id} {q_type}, {i_id} {i_type}, score double"
-    cands = (qx.groupBy("_qb", "_ib", "_dim").cogroup(ix.groupBy("_qb", "_ib", "_dim"))
-             .applyInPandas(_score_fn(k, q_id, i_id, exclude_same_id), schema))
-    if not final:
-        return cands
-    return top_k_per(cands, q_id, i_id, k)
+    item_rows, query_rows = plan_cells(queries, items, k, q_id, i_id, q_vec, i_vec, extra, exclude_same_id, block_rows)
+    i_type, q_type = dict(items.dtypes)[i_id], dict(queries.dtypes)[q_id]
+    key = ["_dim", "_cell", "_part"]
+    none = lambda kind: F.lit(None).cast(kind)
+    both = item_rows.select(*key, F.lit(0).alias("_kind"), "_iid", none(q_type).alias("_qid"), "_vec", none("long").alias("_need"), none("double").alias("_tau")) \
+        .unionAll(query_rows.select(*key, F.lit(1), none(i_type), "_qid", "_vec", "_need", "_tau"))
+    # a task reads a block's items, then its queries as a stream: memory does not depend on their number
+    both = both.repartition(*key).sortWithinPartitions(*key, "_kind")
+
+    def score(batches):
+        block, ids, at = [], [], None
+        for b in batches:
+            keys = np.column_stack([b.column(j).to_numpy() for j in range(4)])
+            edge = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(keys)]):
+                if hi == lo:
+                    continue
+                part, rows = b.slice(lo, hi - lo), np.arange(hi - lo)
+                if tuple(keys[lo, :3]) != at:
+                    block, ids, at = [], [], tuple(keys[lo, :3])
+                x = _rows(part.column(6), rows)
+                if keys[lo, 3] == 0:
+                    block.append(x)
+                    ids.append(part.column(4))
+                elif block:
+                    own = pa.concat_arrays(ids)
+                    s = x @ np.concatenate(block).T
+                    if exclude_same_id:
+                        s[np.array(part.column(5).to_pylist(), object)[:, None] == np.array(own.to_pylist(), object)[None, :]] = -np.inf
+                    r, c = _best(s, part.column(7).to_numpy(), part.column(8).to_numpy())
+                    yield pa.RecordBatch.from_arrays([part.column(5).take(pa.array(r)), own.take(pa.array(c)), pa.array(s[r, c])], names=[q_id, i_id, "score"])
+
+    cands = both.mapInArrow(score, f"`{q_id}` {q_type}, `{i_id}` {i_type}, score double")
+    return top_k_per(cands, q_id, i_id, k) if final else cands
 
 
 def top_k_per(df: DataFrame, key: str, item: str, k: int, score: str = "score") -> DataFrame:

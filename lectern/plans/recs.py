@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import WS
 from lectern.functions.vectors import embedding_text, with_hash_embedding
 from lectern.operators import recs as R
+from lectern.operators.svd import truncated_svd
 from lectern.plans.catalog import query
 from lectern.session import AS_OF
 from lectern.sources import tables as T
@@ -145,6 +146,29 @@ def cold_start_recs(spark, sf_dir):
     return out.select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("svd_spectrum", views=("user_activity",), sql="""
+WITH m AS (SELECT user_id, content_id AS item, sum(CASE WHEN activity_type = 'save' THEN 3.0 ELSE 1.0 END)::DOUBLE AS w FROM user_activity
+           WHERE activity_type IN ('save', 'view') AND coalesce(content_id, '') <> '' GROUP BY 1, 2),
+g AS (SELECT a.item AS i, b.item AS j, sum(a.w * b.w) AS v FROM m a JOIN m b USING (user_id) GROUP BY 1, 2),
+g2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT user_id) AS users, count(DISTINCT item) AS items, sum(w * w) AS trace FROM m)
+SELECT users, items, round(trace, 3) AS trace1,
+       round((SELECT sum(v * v) FROM g) / (trace * trace), 9) AS trace2,
+       round((SELECT sum(g2.v * g.v) FROM g2 JOIN g ON g2.i = g.i AND g2.j = g.j) / (trace * trace * trace), 9) AS trace3, 1.0 AS explained
+FROM n
+""")
+def svd_spectrum(spark, sf_dir):
+    """M5: every singular value s of the interaction matrix A, held against the traces of the powers of A'A
+    (the sums of s^2, s^4 and s^6), and the explained variance of all of them together."""
+    m = R.interaction_matrix(T.user_activity(spark, sf_dir))
+    n = m.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("external_id").alias("items")).first()
+    svd = truncated_svd(m, "user_id", "external_id", min(n["users"], n["items"]))
+    s2 = [v * v for v in svd.values]
+    trace = sum(s2)
+    row = (n["users"], n["items"], round(trace, 3), round(sum(v * v for v in s2) / trace ** 2, 9), round(sum(v ** 3 for v in s2) / trace ** 3, 9), round(svd.explained, 9))
+    return spark.createDataFrame([row], "users long, items long, trace1 double, trace2 double, trace3 double, explained double")
+
+
 @query("collab_recs")
 def collab_recs(spark, sf_dir):
     """M5 + M6: rank-50 truncated SVD of the interaction matrix; top-100 unseen items per

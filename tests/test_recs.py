@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import monitor as M
 from lectern.operators import recs as R
-from lectern.operators.similarity import block_top_k
+from lectern.operators.similarity import block_top_k, plan_cells
+from lectern.operators.svd import truncated_svd
 
 
 def test_block_top_k_matches_brute_force(spark):
@@ -26,6 +27,38 @@ def test_block_top_k_matches_brute_force(spark):
             assert got[(i, rank)] == f"i{j:03d}"
 
 
+def test_bounds_prune_and_stay_exact(spark):
+    """Forty clusters: few pairs are scored, and the answer is the brute-force one (extra, unequal lengths, nulls included)."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(40, 16)) * 3
+    I = np.concatenate([c + rng.normal(size=(30, 16)) * 0.05 for c in centres])
+    Q = np.concatenate([c + rng.normal(size=(4, 16)) * 0.05 for c in centres])
+    items = [(f"i{j:04d}", v.tolist()) for j, v in enumerate(I)] + [("short", [9.0, 9.0]), ("null", None), ("hole", [None] + [1.0] * 15), ("empty", [])]
+    it = spark.createDataFrame(items, "iid string, iv array<double>").repartition(5)
+    q = spark.createDataFrame([(j, v.tolist(), j % 4) for j, v in enumerate(Q)] + [(900, [1.0, 2.0], 0), (901, [], 0), (902, None, 0), (903, [1.0] * 3, 0)],
+                              "qid long, qv array<double>, extra long")
+    args = (5, "qid", "iid", "qv", "iv")
+    S = Q @ I.T
+    got = {}
+    for r in block_top_k(q, it, *args, extra="extra", block_rows=30, final=False).collect():
+        got.setdefault(r.qid, set()).add(r.iid)
+    for j in range(len(Q)):
+        best = [f"i{i:04d}" for i in sorted(range(len(I)), key=lambda i: (-round(S[j, i], 9), i))[:5 + j % 4]]
+        assert set(best) <= got[j]
+    assert got.pop(900) == {"short"} and set(got) == set(range(len(Q)))
+    item_rows, query_rows = plan_cells(q, it, *args, block_rows=30)
+    key = ["_dim", "_cell", "_part"]
+    pairs = query_rows.join(item_rows.groupBy(*key).count(), key).agg(F.sum("count")).first()[0]
+    assert pairs < 0.2 * len(Q) * len(I)
+
+
+def test_block_top_k_of_nothing(spark):
+    q = spark.createDataFrame([(1, [1.0])], "qid long, qv array<double>")
+    it = spark.createDataFrame([], "iid string, iv array<double>")
+    assert block_top_k(q, it, 3, "qid", "iid", "qv", "iv").count() == 0
+    assert block_top_k(q.limit(0), it.union(spark.createDataFrame([("a", [1.0])], "iid string, iv array<double>")), 3, "qid", "iid", "qv", "iv").count() == 0
+
+
 def test_mmr_by_hand(spark):
     """Best first; then 0.7 * score - 0.3 * greatest similarity to what is chosen.
 
@@ -47,9 +80,9 @@ def test_svd_reconstruction(spark):
         for j in rng.choice(9, size=4, replace=False):
             rows.append((u, f"doc:{j}", float(rng.choice([1.0, 3.0, 4.0]))))
     m = spark.createDataFrame(rows, "user_id long, external_id string, w double")
-    uf, vf = R.fit_svd(m, k=5)
-    U = {r.user_id: np.array(r.uf) for r in uf.collect()}
-    V = {r.external_id: np.array(r.vf) for r in vf.collect()}
+    svd = R.fit_svd(m, k=5)
+    U = {r.user_id: np.array(r.x) for r in svd.rows.collect()}
+    V = {r.external_id: np.array(r.x) for r in svd.columns.collect()}
     users = sorted(U)
     items = sorted(V)
     A = np.zeros((len(users), len(items)))
@@ -61,6 +94,37 @@ def test_svd_reconstruction(spark):
     assert np.abs(rec - mine).max() < 1e-8
 
 
+def explained(A, k):
+    u, s, _ = np.linalg.svd(A, full_matrices=False)
+    return (u[:, :k] * s[:k]).var(axis=0).sum() / A.var(axis=0).sum()
+
+
+def test_svd_by_blocks_narrower_than_the_matrix(spark):
+    """A block of k + 4 vectors against 70 columns: several cycles, with a user and an item that hold a third of all cells."""
+    rng = np.random.default_rng(12)
+    A = np.round(rng.random((90, 70)) ** 6 * 5) + np.outer(np.arange(90) % 7, np.arange(70) % 5)
+    A[3], A[:, 5] = 1 + np.arange(70) % 3, 2
+    rows = [(u, f"i{j}", float(A[u, j])) for u in range(90) for j in range(70) if A[u, j]]
+    m = spark.createDataFrame(rows, "user_id long, external_id string, w double").repartition(7)
+    got = truncated_svd(m, "user_id", "external_id", 8, oversample=4)
+    u, s, vt = np.linalg.svd(A, full_matrices=False)
+    assert got.cycles > 1 and got.residual <= 1e-7
+    assert np.allclose(got.values, s[:8], rtol=1e-9)
+    U = {r.user_id: np.array(r.x) for r in got.rows.collect()}
+    V = {r.external_id: np.array(r.x) for r in got.columns.collect()}
+    mine = np.array([[U[a] @ V[f"i{j}"] for j in range(70)] for a in range(90)])
+    assert np.abs(mine - (u[:, :8] * s[:8]) @ vt[:8]).max() < 1e-6
+    assert abs(got.explained - explained(A, 8)) < 1e-9
+
+
+def test_svd_of_low_rank_and_no_weight(spark):
+    m = spark.createDataFrame([(u, f"i{j}", float((u + 1) * (j + 2))) for u in range(6) for j in range(5)], "user_id long, external_id string, w double")
+    got = truncated_svd(m, "user_id", "external_id", 3)
+    assert len(got.values) == 1 and abs(got.explained - 1) < 1e-12
+    assert truncated_svd(m.withColumn("w", F.lit(0.0)), "user_id", "external_id", 3) is None
+    assert truncated_svd(m.limit(0), "user_id", "external_id", 3) is None
+
+
 def test_svd_skips_tiny(spark):
     m = spark.createDataFrame([(1, "a", 1.0), (2, "b", 3.0)], "user_id long, external_id string, w double")
     assert R.fit_svd(m) is None
