@@ -60,9 +60,10 @@ def unprocessed(content: DataFrame, profiles: DataFrame) -> DataFrame:
             .select("external_id", F.col("type").alias("source_table")))
 
 
-def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame, max_abstract: int | None = None) -> DataFrame:
+def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame, max_abstract: int | None = None,
+            keep: tuple[str, ...] = ()) -> DataFrame:
     """Ids found in articles, the rest from scraped content; abstract whole, or its first `max_abstract` characters;
-    default source 'Unknown' / 'Scraper'."""
+    default source 'Unknown' / 'Scraper'.  `keep` names further columns of `scored` to return."""
     def shape(df, default):
         abstract = F.coalesce("abstract", F.lit(""))
         return df.select("external_id", "title",
@@ -70,9 +71,9 @@ def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame, max_abst
                          F.coalesce(F.col("published_date").cast("string"), F.lit("")).alias("published_date"),
                          F.coalesce("source_name", F.lit(default)).alias("source"))
     a = scored.join(shape(articles, "Unknown"), "external_id")
-    rest = scored.join(a.select("external_id"), "external_id", "left_anti")
+    rest = scored.join(articles.select("external_id"), "external_id", "left_anti")
     s = rest.join(shape(scraped, "Scraper"), "external_id")
-    cols = ["external_id", "title", "abstract", "published_date", "source", "score"]
+    cols = [*keep, "external_id", "title", "abstract", "published_date", "source", "score"]
     return a.select(*cols).unionByName(s.select(*cols))
 
 

@@ -117,6 +117,8 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

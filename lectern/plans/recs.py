@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WS
@@ -9,7 +10,7 @@ from lectern.functions.vectors import embedding_text, with_hash_embedding
 from lectern.operators import recs as R
 from lectern.operators.svd import truncated_svd
 from lectern.plans.catalog import query
-from lectern.session import AS_OF
+from lectern.session import AS_OF, stored
 from lectern.sources import tables as T
 
 
@@ -179,16 +180,86 @@ def collab_recs(spark, sf_dir):
     return out.select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
 
 
+_TIERS = """
+cnt AS (SELECT user_id, count(*) AS n FROM user_activity WHERE activity_type IN ('save', 'view') GROUP BY 1),
+tier AS (SELECT user_id, CASE WHEN n < 5 THEN 0.9::DOUBLE WHEN n > 50 THEN 0.5::DOUBLE ELSE 0.65::DOUBLE END AS alpha,
+                CASE WHEN n < 5 THEN 0.1::DOUBLE WHEN n > 50 THEN 0.5::DOUBLE ELSE 0.35::DOUBLE END AS beta FROM cnt WHERE n >= 3)"""
+
+#: content engine (top 100), popularity engine (top 100 unseen items by the weight of all users) and their merge
+_MERGED = f"""{_USER_VEC},
+vec AS (SELECT user_id, list(x ORDER BY d) AS v FROM uv GROUP BY 1),
+seen AS (SELECT DISTINCT user_id, content_id AS external_id FROM user_activity
+         WHERE activity_type IN ('save', 'view') AND content_id IS NOT NULL),
+sc AS (SELECT vec.user_id, p.external_id, list_dot_product(vec.v, p.embedding::DOUBLE[]) AS score
+       FROM vec JOIN nlp_profile p ON len(p.embedding) = len(vec.v)
+       WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = vec.user_id AND seen.external_id = p.external_id)),
+content AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, external_id) AS rank FROM sc QUALIFY rank <= 100),
+wt AS (SELECT content_id AS external_id, sum(CASE WHEN activity_type = 'save' THEN 3.0 ELSE 1.0 END)::DOUBLE AS score FROM user_activity
+       WHERE activity_type IN ('save', 'view') AND coalesce(content_id, '') <> '' GROUP BY 1),
+popular AS (SELECT vec.user_id, wt.external_id, wt.score,
+                   row_number() OVER (PARTITION BY vec.user_id ORDER BY round(wt.score, 9) DESC, wt.external_id) AS rank
+            FROM vec, wt WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = vec.user_id AND seen.external_id = wt.external_id) QUALIFY rank <= 100),
+{_TIERS},
+met AS (SELECT coalesce(c.user_id, p.user_id) AS user_id, coalesce(c.external_id, p.external_id) AS external_id,
+               coalesce(c.score, 0.0) AS c, coalesce(p.score, 0.0) AS p, coalesce(c.rank, p.rank + 1000000) AS order_key
+        FROM content c FULL JOIN popular p ON c.user_id = p.user_id AND c.external_id = p.external_id),
+scaled AS (SELECT user_id, external_id, order_key,
+                  c / coalesce(nullif(max(c) OVER (PARTITION BY user_id), 0), 1) AS content,
+                  p / coalesce(nullif(max(p) OVER (PARTITION BY user_id), 0), 1) AS collab FROM met),
+merged AS (SELECT s.*, round(alpha * content + beta * collab, 4) AS score FROM scaled s JOIN tier USING (user_id))"""
+
+
+def merged(spark, sf_dir, second):
+    """Scores of the content engine and of `second` (user vectors, profiles, activity) merged for every warm user."""
+    act, prof, saved = T.user_activity(spark, sf_dir), T.nlp_profile(spark, sf_dir), T.saved_article(spark, sf_dir)
+    tiers = R.interaction_tiers(act, T.user_profile(spark, sf_dir))
+    uv = stored(R.user_vectors(act, saved, prof), "user-vectors")
+    return R.hybrid_scores(R.content_recs(uv, prof, act, k=100), second(uv, prof, act), tiers)
+
+
+def _popular(uv, prof, act):
+    weights = R.interaction_matrix(act).groupBy("external_id").agg(F.sum("w").alias("w"))
+    one = uv.select("user_id", F.array(F.lit(1.0)).alias("user_vec"))
+    return R.content_recs(one, weights.select("external_id", F.array("w").alias("embedding")), act, k=100)
+
+
+@query("merged_scores", views=("user_activity", "saved_article", "nlp_profile"), sql=f"""
+WITH {_MERGED}
+SELECT user_id, external_id, round(content, 6) AS content, round(collab, 6) AS collab, order_key, score FROM merged
+""")
+def merged_scores(spark, sf_dir):
+    """J8 + W6 + A4 for all warm users: two engines' top 100 merged, scaled to each user's best and blended by tier
+    (content, and unseen items by the weight of all users, which SQL can state)."""
+    return merged(spark, sf_dir, _popular).select(
+        "user_id", "external_id", F.round("content", 6).alias("content"), F.round("collab", 6).alias("collab"),
+        F.col("order_key").cast("bigint").alias("order_key"), "score")
+
+
+@query("mmr_rerank", views=("user_activity", "saved_article", "nlp_profile"), sql=f"""
+WITH RECURSIVE {_MERGED},
+placed AS (SELECT m.user_id, m.external_id, m.score, p.embedding::DOUBLE[] AS e,
+                  row_number() OVER (PARTITION BY m.user_id ORDER BY m.score DESC, m.order_key) AS pos FROM merged m LEFT JOIN nlp_profile p USING (external_id)),
+state AS (
+  SELECT 0 AS step, user_id, external_id, score, e, pos, 0.0::DOUBLE AS near, NULL::BIGINT AS rank FROM placed
+  UNION ALL
+  SELECT s.step + 1, s.user_id, s.external_id, s.score, s.e, s.pos, greatest(s.near, coalesce(list_dot_product(s.e, b.e), 0.0)),
+         CASE WHEN s.pos = b.pos THEN s.step + 1 ELSE s.rank END
+  FROM state s JOIN (
+    SELECT user_id, pos, e FROM state WHERE rank IS NULL
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY 0.7::DOUBLE * score - 0.3::DOUBLE * near DESC, pos) = 1) b ON b.user_id = s.user_id
+  WHERE s.step < 10)
+SELECT user_id, external_id, score, rank FROM state WHERE step = 10 AND rank IS NOT NULL
+""")
+def mmr_rerank(spark, sf_dir):
+    """M9 + W10: the merged candidates of every warm user re-ranked greedily for diversity, first 10."""
+    return R.mmr(merged(spark, sf_dir, _popular), T.nlp_profile(spark, sf_dir), top_k=10).select("user_id", "external_id", "score", "rank")
+
+
 def hybrid(spark, sf_dir, top_k: int = 20):
-    act = T.user_activity(spark, sf_dir)
-    prof = T.nlp_profile(spark, sf_dir)
-    saved = T.saved_article(spark, sf_dir)
-    users = T.user_profile(spark, sf_dir)
+    act, prof, saved, users = (f(spark, sf_dir) for f in (T.user_activity, T.nlp_profile, T.saved_article, T.user_profile))
+    second = lambda uv, prof, act: R.collab_recs(R.fit_svd(R.interaction_matrix(act)), act, k=100)
+    warm = R.mmr(merged(spark, sf_dir, second), prof, top_k=top_k)
     tiers = R.interaction_tiers(act, users)
-    content = R.content_recs(R.user_vectors(act, saved, prof), prof, act, k=100)
-    collab = R.collab_recs(R.fit_svd(R.interaction_matrix(act), k=50), act, k=100)
-    scored = R.hybrid_scores(content, collab, tiers)
-    warm = R.mmr(scored, prof, lam=0.7, top_k=top_k)
     cold = users.join(tiers.filter(F.col("tier") == "cold").select("user_id"), "user_id")
     cold_recs = R.cold_start(cold, content_vectors(spark, sf_dir), saved, k=top_k)
     return warm.unionByName(cold_recs.select("user_id", "external_id", "score", F.col("rank").cast("long")))
@@ -201,19 +272,81 @@ def hybrid_recs(spark, sf_dir):
     return hybrid(spark, sf_dir, 20).select("user_id", "external_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("recommendation_summary")
+def respond(spark, sf_dir, recs):
+    """Hydrated recommendations (title, abstract, date, source) with each user's strategy; a user without any has one row
+    of strategy no_data."""
+    users = T.user_profile(spark, sf_dir).select("user_id", (F.size("interests") + F.size("research_areas") > 0).alias("told"))
+    tiers = R.interaction_tiers(T.user_activity(spark, sf_dir), T.user_profile(spark, sf_dir))
+    found = R.hydrate(recs, T.article(spark, sf_dir), T.scraped_content(spark, sf_dir), keep=("user_id", "rank"))
+    s = tiers.select("user_id", "tier").join(users, "user_id", "left").join(found, "user_id", "left")
+    strategy = (F.when(F.col("external_id").isNull(), "no_data").when(F.col("tier") != "cold", "hybrid")
+                .when(F.col("told"), "cold_start").otherwise("popular"))
+    return s.select("user_id", strategy.alias("strategy"), "rank", "external_id", "title", "abstract", "published_date", "source", "score")
+
+
+@query("similar_response", views=("nlp_profile", "article", "scraped_content"), sql="""
+WITH top AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, external_id) AS rank
+  FROM (SELECT q.external_id AS query_id, p.external_id, list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score
+        FROM nlp_profile q JOIN nlp_profile p ON q.external_id <> p.external_id AND len(q.embedding) = len(p.embedding)
+        WHERE len(p.embedding) > 0)) WHERE rank <= 10),
+content AS (
+  SELECT external_id, title, abstract, published_date, source_name, 0 AS side FROM article
+  UNION ALL SELECT external_id, title, abstract, published_date, source_name, 1 FROM scraped_content WHERE external_id NOT IN (SELECT external_id FROM article))
+SELECT query_id, external_id, rank, title, coalesce(abstract, '') AS abstract, coalesce(CAST(published_date AS VARCHAR), '') AS published_date,
+       coalesce(source_name, CASE side WHEN 0 THEN 'Unknown' ELSE 'Scraper' END) AS source, round(score, 6) AS score
+FROM top JOIN content USING (external_id)
+""")
+def similar_response(spark, sf_dir):
+    """M2 as answered: the 10 nearest items of every profiled item, hydrated."""
+    top = R.similar(T.nlp_profile(spark, sf_dir), k=10)
+    out = R.hydrate(top, T.article(spark, sf_dir), T.scraped_content(spark, sf_dir), keep=("query_id", "rank"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("blend_response", views=("user_activity", "saved_article", "nlp_profile", "article", "scraped_content", "user_profile"), sql=f"""
+WITH {_MERGED},
+best AS (SELECT user_id, external_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, order_key) AS rank FROM merged QUALIFY rank <= 20),
+content_rows AS (
+  SELECT external_id, title, abstract, published_date, source_name, 0 AS side FROM article
+  UNION ALL SELECT external_id, title, abstract, published_date, source_name, 1 FROM scraped_content WHERE external_id NOT IN (SELECT external_id FROM article)),
+found AS (SELECT b.user_id, b.rank, b.external_id, title, coalesce(abstract, '') AS abstract, coalesce(CAST(published_date AS VARCHAR), '') AS published_date,
+                 coalesce(source_name, CASE side WHEN 0 THEN 'Unknown' ELSE 'Scraper' END) AS source, b.score FROM best b JOIN content_rows USING (external_id)),
+people AS (SELECT user_id FROM user_profile UNION SELECT user_id FROM cnt)
+SELECT user_id, CASE WHEN f.external_id IS NULL THEN 'no_data' ELSE 'hybrid' END AS strategy,
+       f.rank, f.external_id, f.title, f.abstract, f.published_date, f.source, f.score
+FROM people LEFT JOIN found f USING (user_id)
+""")
+def blend_response(spark, sf_dir):
+    """M11 as answered, over scores that SQL can state: every user's 20 best merged items hydrated, with the strategy."""
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("order_key"))
+    best = merged(spark, sf_dir, _popular).withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+    return respond(spark, sf_dir, best.select("user_id", "external_id", "score", "rank"))
+
+
+@query("recommendation_response")
+def recommendation_response(spark, sf_dir):
+    """The hydrated response of every user (hybrid, cold_start, popular or no_data)."""
+    return respond(spark, sf_dir, hybrid(spark, sf_dir, 20))
+
+
+@query("recommendation_summary", views=("user_activity", "user_profile", "nlp_profile"), sql=f"""
+WITH {_TIERS},
+seen AS (SELECT DISTINCT user_id, content_id AS external_id FROM user_activity WHERE activity_type IN ('save', 'view') AND content_id IS NOT NULL),
+known AS (SELECT external_id FROM nlp_profile WHERE len(embedding) > 0 UNION SELECT external_id FROM seen WHERE external_id <> ''),
+warm AS (SELECT t.user_id, (SELECT count(*) FROM known) - count(s.external_id) AS open FROM tier t LEFT JOIN seen s ON s.user_id = t.user_id GROUP BY 1)
+SELECT p.user_id, CASE WHEN w.user_id IS NOT NULL THEN CASE WHEN w.open > 0 THEN 'hybrid' ELSE 'no_data' END
+                       WHEN len(interests) + len(research_areas) > 0 THEN 'cold_start' ELSE 'popular' END AS strategy,
+       CASE WHEN w.user_id IS NOT NULL THEN least(20, w.open) ELSE 20 END AS count
+FROM user_profile p LEFT JOIN warm w USING (user_id)
+""")
 def recommendation_summary(spark, sf_dir):
-    """The response of every user: strategy (hybrid / cold_start / popular, or no_data
+    """The response of every user in short: strategy (hybrid / cold_start / popular, or no_data
     when nothing is recommended) and the number of items."""
-    recs = hybrid(spark, sf_dir, 20)
-    users = T.user_profile(spark, sf_dir).select("user_id")
+    recs = hybrid(spark, sf_dir, 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     tiers = R.interaction_tiers(T.user_activity(spark, sf_dir), T.user_profile(spark, sf_dir))
-    n = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    prof = T.user_profile(spark, sf_dir).select(
-        "user_id", (F.size("interests") + F.size("research_areas") > 0).alias("has_interests"))
-    s = (users.join(tiers.select("user_id", "tier"), "user_id", "left").join(n, "user_id", "left")
-         .join(prof, "user_id", "left"))
-    strategy = (F.when(F.coalesce("n", F.lit(0)) == 0, "no_data")
-                .when(F.col("tier") != "cold", "hybrid")
-                .when(F.col("has_interests"), "cold_start").otherwise("popular"))
-    return s.select("user_id", strategy.alias("strategy"), F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
+    told = (F.size("interests") + F.size("research_areas") > 0).alias("told")
+    s = T.user_profile(spark, sf_dir).select("user_id", told).join(tiers.select("user_id", "tier"), "user_id", "left").join(recs, "user_id", "left")
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    strategy = (F.when(n == 0, "no_data").when(F.col("tier") != "cold", "hybrid").when(F.col("told"), "cold_start").otherwise("popular"))
+    return s.select("user_id", strategy.alias("strategy"), n.alias("count"))
