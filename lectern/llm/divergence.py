@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP = 10
-HELD = 200_000         # distinct (group, term) counts that a task holds before it hands them on
+HELD = 100_000         # distinct (group, term) counts that a task holds before it hands them on
 TERM_BLOCK = 512       # terms in a block, about
 SOURCE_BLOCK = 128     # sources in a block
 
@@ -55,39 +56,38 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(blank("lang"), blank("source"), blank("text").cast("binary").alias("text"))
 
 
-def _counted(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term of a group, added up over what a task reads (handed on beyond `most`)."""
     terms = re.compile(TERM).findall
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
-    def rows() -> pd.DataFrame:
-        flat = [(g[0], g[1], t.decode(), n, d) for g, own in held.items() for t, (n, d) in own.items()]
-        return pd.DataFrame(flat, columns=["lang", "source", "term", "n", "docs"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, d) in held.items():
+            cols = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)),
+                    pa.array(n, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([d[t] for t in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-            own = held.setdefault((lang, source), {})
-            before = len(own)
-            for t, n in Counter(terms(bytes(text).lower())).items():  # bytes.lower() maps A-Z only
-                got = own.get(t)
-                if got is None:
-                    own[t] = [n, 1]
-                else:
-                    got[0] += n
-                    got[1] += 1
-            size += len(own) - before
-            if size > most:
-                yield rows()
-                held, size = {}, 0
-    if size:
-        yield rows()
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found = terms(text.lower())  # bytes.lower() maps A-Z only
+            if found:
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                before = len(n)
+                n.update(found)
+                d.update(set(found))
+                size += len(n) - before
+                if size > most:
+                    yield from rows()
+                    held.clear()
+                    size = 0
+    yield from rows()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that hold the term."""
     most = HELD
-    part = _read(docs).mapInPandas(lambda batches: _counted(batches, most), "lang string, source string, term string, n long, docs long")
+    part = _read(docs).mapInArrow(lambda batches: _counted(batches, most), "lang string, source string, term string, n long, docs long")
     return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
