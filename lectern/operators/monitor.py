@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lectern.session import AS_OF
+from lectern.operators.slices import numbered
+from lectern.session import AS_OF, stored
 
 
 def _ts(as_of: str) -> Column:
@@ -27,43 +28,29 @@ def run_stats(runs: DataFrame, key: str = "scraper_config_id", items: str = "ite
                            F.col("total_items") / F.col("successful_runs")).otherwise(0.0)))
 
 
-def success_ema(runs: DataFrame, key: str = "scraper_config_id", bucket: str = "1 day") -> DataFrame:
-    """The order-dependent success-rate fold, computed without collecting a group.
+def success_ema(runs: DataFrame, key: str = "scraper_config_id") -> DataFrame:
+    """The order-dependent success-rate fold, as a scan of affine maps over range slices.
 
     Fold per source in run order: success r -> (9r+100)/10 (100 when r == 0),
     failure r -> 9r/10.  Before the first success r stays 0 and the first success
-    sets 100; after it the step is affine, r' = 0.9 r + 10 s, so
-
-        r_N = 100 * 0.9^(N-k0) + sum_{j>k0} 10 s_j 0.9^(N-j).
-
-    The sum is split into time buckets (a hot source is cut into many tasks): each
-    bucket sums its rows weighted by 0.9^(rows after it inside the bucket), then a
-    small per-source window over buckets scales each bucket by 0.9^(rows in later
-    buckets).  (A rate decaying to exactly 0.0 by float underflow needs ~7000
-    consecutive failures; that reset is not modelled.)
+    sets 100; from there every run is the affine map r -> 0.9 r + 10 s.  (Failures
+    never lead back to 0: in doubles 9r/10 stops falling at 2e-323.)  A run of n
+    rows therefore is r -> 0.9^n r + c: each slice of a source (`slices.numbered`) is
+    summed up into its (n, c), and a window over a source's slices, one row each, puts the maps together.
     """
     ok = (F.col("status") != "failed").cast("int")
-    r = runs.select(F.col(key).alias("k"), "started_at", "id", ok.alias("s"))
-    first = (r.filter(F.col("s") == 1).groupBy("k")
-             .agg(F.min(F.struct("started_at", "id")).alias("f")))
-    after = (r.join(first, "k")
-             .filter(F.struct("started_at", "id") >= F.col("f"))
-             .withColumn("is_first", F.struct("started_at", "id") == F.col("f"))
-             .withColumn("b", F.window("started_at", bucket)["start"]))
-    wb = Window.partitionBy("k", "b").orderBy(F.col("started_at").desc(), F.col("id").desc())
-    contrib = F.when(F.col("is_first"), F.lit(100.0)).otherwise(F.col("s") * 10.0)
-    per_bucket = (after.withColumn("pos_from_end", F.row_number().over(wb) - 1)
-                  .groupBy("k", "b")
-                  .agg(F.sum(contrib * F.pow(F.lit(0.9), F.col("pos_from_end"))).alias("local"),
-                       F.count(F.lit(1)).alias("m")))
-    wl = Window.partitionBy("k").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    scaled = per_bucket.withColumn("later", F.coalesce(F.sum("m").over(wl), F.lit(0)))
-    rate = (scaled.groupBy("k")
-            .agg(F.sum(F.col("local") * F.pow(F.lit(0.9), F.col("later"))).alias("success_rate")))
-    keys = runs.select(F.col(key).alias("k")).distinct()
-    return (keys.join(rate, "k", "left")
-            .select(F.col("k").alias(key),
-                    F.coalesce(F.col("success_rate"), F.lit(0.0)).alias("success_rate")))
+    rows = numbered(runs.select(F.col(key).alias("k"), "started_at", "id", ok.alias("s")), ["k", "started_at", "id"])
+    own = rows.groupBy(F.col("k").alias("_k"), F.col("_slice").alias("_at")).agg(F.max("_n").alias("last"))
+    first = rows.where("s = 1").groupBy(F.col("k").alias("_f")).agg(F.min("_n").alias("first"))
+    placed = rows.join(own, F.col("k").eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_at"))).drop("_k", "_at")
+    placed = placed.join(first, F.col("k").eqNullSafe(F.col("_f"))).where(F.col("_n") >= F.col("first"))
+    gain = F.when(F.col("_n") == F.col("first"), F.lit(100.0)).otherwise(F.col("s") * 10.0)
+    maps = placed.groupBy("k", "_slice").agg(F.count(F.lit(1)).alias("n"), F.sum(gain * F.pow(F.lit(0.9), F.col("last") - F.col("_n"))).alias("c"))
+    later = Window.partitionBy("k").orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    rate = maps.groupBy(F.col("k").alias("_k")).agg(F.sum(F.col("c") * F.pow(F.lit(0.9), F.col("later"))).alias("success_rate"))
+    return (rows.select("k").distinct().join(rate, F.col("k").eqNullSafe(F.col("_k")), "left")
+            .select(F.col("k").alias(key), F.coalesce(F.col("success_rate"), F.lit(0.0)).alias("success_rate")))
 
 
 def source_totals(runs: DataFrame, cfg: DataFrame, key: str = "api_config_id") -> DataFrame:
@@ -98,14 +85,13 @@ def api_health(cfg: DataFrame, runs: DataFrame, as_of: str = AS_OF, key: str = "
     totals = source_totals(runs, cfg, key)
     s = (totals.filter(F.col("is_active")).join(latest5, key, "left")
          .withColumn("n_recent", F.coalesce("n_recent", F.lit(0))))
-    none = s.filter(F.col("n_recent") == 0).select(key, "name", F.lit("no_recent_runs").alias("issue"),
-                                                   F.lit("warning").alias("severity"))
-    crit = s.filter(F.col("n_failed") >= 3).select(
-        key, "name", F.concat(F.col("n_failed").cast("string"), F.lit("_failures_in_last_5")).alias("issue"),
-        F.lit("critical").alias("severity"))
-    overdue = s.filter((F.col("n_recent") > 0) & (F.col("next_fetch") < now - F.expr("INTERVAL 2 HOURS"))).select(
-        key, "name", F.lit("overdue").alias("issue"), F.lit("warning").alias("severity"))
-    return none.unionByName(crit).unionByName(overdue).withColumnRenamed(key, "source_id")
+    issue = lambda when, name, severity: F.when(when, F.struct(name.alias("issue"), F.lit(severity).alias("severity")))
+    issues = F.array(issue(F.col("n_recent") == 0, F.lit("no_recent_runs"), "warning"),
+                     issue(F.col("n_failed") >= 3, F.concat(F.col("n_failed").cast("string"), F.lit("_failures_in_last_5")), "critical"),
+                     issue((F.col("n_recent") > 0) & (F.col("next_fetch") < now - F.expr("INTERVAL 2 HOURS")), F.lit("overdue"), "warning"))
+    # the rules are asked of each source once, not in a pass for each rule
+    return (s.select(F.col(key).alias("source_id"), "name", F.explode(F.array_compact(issues)).alias("i"))
+            .select("source_id", "name", "i.issue", "i.severity"))
 
 
 def scraper_health(cfg: DataFrame, runs: DataFrame, as_of: str, key: str = "scraper_config_id") -> DataFrame:
@@ -182,11 +168,29 @@ def quota_tumbling(requests: DataFrame, key: str, limit: int, seconds: int = 60)
 
 
 def quota_session(requests: DataFrame, key: str, limit: int, gap_seconds: int = 60) -> DataFrame:
-    """Counter whose TTL renews on every request = session window with the gap."""
-    return (requests.groupBy(key, F.session_window("started_at", f"{gap_seconds} seconds").alias("w"))
-            .agg(F.count(F.lit(1)).alias("used"))
-            .select(key, F.col("w.start").alias("session_start"), "used",
-                    F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining")))
+    """Counter whose TTL renews on every request = session window with the gap.
+
+    Sessions are found inside each range slice of a source (`slices.numbered`).  Only a slice's first and last
+    session can go on in a neighbour; these, two rows a slice at most, are stitched where the gap between them is
+    too short to end a session.
+    """
+    gap = gap_seconds * 1_000_000
+    rows = numbered(requests.select(F.col(key).alias("k"), F.col("started_at").cast("timestamp").alias("t")), ["k", "t"])
+    us = lambda c: F.unix_micros(F.col(c))
+    inside = Window.partitionBy("k", "_slice").orderBy("_n")
+    new = F.coalesce((us("t") - F.lag(us("t")).over(inside) >= gap).cast("int"), F.lit(1))
+    found = (rows.withColumn("_new", new).withColumn("_nth", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+             .groupBy("k", "_slice", "_nth").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("used")))
+    found = stored(found.withColumn("_many", F.max("_nth").over(Window.partitionBy("k", "_slice"))), "sessions")
+    edge = (F.col("_nth") == 1) | (F.col("_nth") == F.col("_many"))
+    along = Window.partitionBy("k").orderBy("_slice", "_nth")
+    starts = F.coalesce(((F.col("_nth") > 1) | (us("start") - F.lag(us("end")).over(along) >= gap)).cast("int"), F.lit(1))
+    stitched = (found.where(edge).withColumn("_starts", starts)
+                .withColumn("_id", F.sum("_starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+                .groupBy("k", "_id").agg(F.min("start").alias("start"), F.sum("used").alias("used")))
+    whole = found.where(~edge).select("k", "start", "used").unionByName(stitched.select("k", "start", "used"))
+    return whole.select(F.col("k").alias(key), F.col("start").alias("session_start"), "used",
+                        F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining"))
 
 
 def quota_sliding(requests: DataFrame, key: str, limit: int, seconds: int = 60,

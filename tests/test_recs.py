@@ -2,6 +2,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import monitor as M
@@ -164,6 +165,58 @@ def test_success_ema_equals_sequential_fold(spark):
         assert abs(got[k] - v) < 1e-9, (k, got[k], v)
 
 
+def test_success_ema_of_a_hot_source_and_of_long_failures(spark):
+    """Source 1 holds a third of all rows over 200 slices; source 2 fails 8,000 times in a row: a double then stands at
+    2e-323, not at 0, so the next success gives 10 as in the fold."""
+    rows = spark.range(24_000).selectExpr("id", "case when id % 3 = 0 then 1 when id < 100 then 3 else 2 end as scraper_config_id",
+                                          "case when id % 3 = 0 and id % 7 < 4 or id = 100 or id = 23999 then 'success' else 'failed' end as status",
+                                          "timestamp_seconds(1700000000 + id div 5) as started_at")
+    want = {}
+    for i in range(24_000):
+        k = 1 if i % 3 == 0 else 3 if i < 100 else 2
+        ok = i % 3 == 0 and i % 7 < 4 or i in (100, 23_999)
+        r = want.get(k, 0.0)
+        want[k] = ((r * 9 + 100) / 10 if r else 100.0) if ok else (r * 9 / 10 if r else 0.0)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.scraper_config_id: r.success_rate for r in M.success_ema(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and want[3] == 0 and round(want[2], 9) == 10
+
+
+def test_sessions_stitched_over_slices(spark):
+    """A third of all requests is one source's; sessions go on over many of the 60 slices, gaps of just 60 s end them."""
+    rng = np.random.default_rng(4)
+    base = dt.datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(700):
+        t += float(rng.choice([0, 5, 59.999999, 60, 61, 300], p=[0.1, 0.55, 0.2, 0.05, 0.05, 0.05]))
+        rows.append((1, base + dt.timedelta(seconds=t)))
+    rows += [(int(k), base + dt.timedelta(seconds=int(s))) for k, s in zip(rng.integers(2, 9, 1300), rng.integers(0, 20_000, 1300))]
+    rows += [(None, base), (None, base + dt.timedelta(seconds=30))]
+    want = []
+    for k in {r[0] for r in rows}:
+        own = sorted(x for j, x in rows if j == k)
+        for i, x in enumerate(own):
+            if not i or (x - own[i - 1]).total_seconds() >= 60:
+                want.append([k, x, 0])
+            want[-1][2] += 1
+    df = spark.createDataFrame(rows, "src long, started_at timestamp")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(r.src, r.session_start, r.used) for r in M.quota_session(df, "src", 30, 60).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert sorted(got, key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_quota_sliding_buckets_are_exact(spark):
     rng = np.random.default_rng(9)
     base = dt.datetime(2024, 1, 1)
