@@ -1,17 +1,20 @@
 """Web pages as a table.
 
-HTML is handled with Catalyst regular expressions over the `pages` table: a
-tag/class container subset of selectors (a general CSS engine is out of scope).
+Items are found by balanced tags (`markup`, one Arrow-batched pass over a page) with a
+tag/class subset of selectors and the next-sibling step (a general CSS engine is out of
+scope); everything else is Catalyst regular expressions over the `pages` table.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lectern.functions.text import WS, strip_ws
 from lectern.functions.urls import absolute_url
+from lectern.operators.markup import Selector, items
 
 # ---- fixed values that must equal the reference ----
 SPA_MARKERS = ["ng-app", "data-critters-container", "__next", "__nuxt", "data-reactroot", 'id="app"']
@@ -38,39 +41,34 @@ def text_of(fragment: Column) -> Column:
     return strip_ws(F.regexp_replace(t, f"{WS}+", " "))
 
 
-def _open(tag: str, cls: str | None) -> str:
-    if cls:
-        return rf"<{tag}\b[^>]*\bclass=\"[^\"]*\b{cls}\b[^\"]*\"[^>]*>"
-    return rf"<{tag}\b[^>]*>"
-
-
 def extract_items(pages: DataFrame, container: tuple[str, str | None],
                   fields: dict[str, tuple[str, str | None, bool]], base_url: Column | None = None) -> DataFrame:
-    """One row per container element of every page.
+    """One row per container element of every page, nested ones included, in document order.
 
-    fields: name -> (tag, attribute or None for text, multi).  A field's value is the
-    first (or, multi, every) matching element inside the container; `img` fields take
-    the first present of data-src, data-lazy-src, data-original, src; `href`/`src`
-    values are made absolute against the page URL (T23).
+    container: (tag, class or None).  fields: name -> (selector, attribute or None for text, multi); a selector is a
+    tag, `.class` or `tag.class`, and with a leading `+` it looks in the container's next sibling element instead.  A
+    field's value is the first (or, multi, every) matching element; `img` fields take the first present of data-src,
+    data-lazy-src, data-original, src; `href`/`src` values are made absolute against the page URL (T23).  Elements
+    are found by balanced tags (`markup`), one pass over each page.
     """
-    tag, cls = container
-    blocks = F.regexp_extract_all(F.col("html"), F.lit(rf"(?s){_open(tag, cls)}(.*?)</{tag}>"), 1)
-    rows = pages.select("page_id", "url", F.posexplode(blocks).alias("item_index", "_block"))
+    selectors = [(Selector.of(s), LAZY_IMAGE_ATTRS if Selector.of(s).tag == "img" and a else [a] if a else None, multi) for s, a, multi in fields.values()]
+    inside = Selector.of(f"{container[0]}.{container[1]}" if container[1] else container[0])
+
+    @F.pandas_udf("array<array<array<string>>>")
+    def found(html: pd.Series) -> pd.Series:
+        return pd.Series([items(h, inside, selectors) if h else [] for h in html])
+
+    rows = pages.select("page_id", "url", F.posexplode(found("html")).alias("item_index", "_item"))
     base = base_url if base_url is not None else F.col("url")
     cols = [F.col("page_id"), F.col("url"), F.col("item_index")]
-    for name, (ftag, attr, multi) in fields.items():
+    for k, (name, (_, attr, multi)) in enumerate(fields.items()):
+        vals = F.col("_item")[k]
         if attr is None:
-            vals = F.transform(F.regexp_extract_all(F.col("_block"), F.lit(rf"(?s)<{ftag}\b[^>]*>(.*?)</{ftag}>"), 1),
-                               lambda x: text_of(x))
-        elif ftag == "img":
-            elems = F.regexp_extract_all(F.col("_block"), F.lit(r"<img\b[^>]*>"), 0)
-            vals = F.transform(elems, lambda e: F.coalesce(*[
-                F.nullif(F.regexp_extract(e, rf"\b{a}=\"([^\"]*)\"", 1), F.lit("")) for a in LAZY_IMAGE_ATTRS]))
+            vals = F.transform(vals, text_of)
+        elif attr in ("href", "src"):
+            vals = F.transform(vals, lambda v: absolute_url(base, unescape(v)))
         else:
-            vals = F.regexp_extract_all(F.col("_block"), F.lit(rf"<{ftag}\b[^>]*\b{attr}=\"([^\"]*)\""), 1)
-            vals = F.transform(vals, lambda v: unescape(v))
-        if attr in ("href", "src") or ftag == "img":
-            vals = F.transform(vals, lambda v: absolute_url(base, v))
+            vals = F.transform(vals, unescape)
         cols.append(vals.alias(name) if multi else F.try_element_at(vals, F.lit(1)).alias(name))
     return rows.select(*cols)
 
@@ -124,12 +122,17 @@ def container_candidates(pages: DataFrame, lo: int = CONTAINER_MIN, hi: int = CO
     return g.filter((F.col("n") >= lo) & (F.col("n") <= hi)).withColumn("selector", F.concat(F.lit("."), "cls"))
 
 
-def page_frontier(cfg: DataFrame, template_col: str, max_pages: Column | int, query: str = "") -> DataFrame:
-    """Expand {page} (1..max_pages), {query} (URL-encoded) and {category} templates."""
+def page_frontier(cfg: DataFrame, template_col: str, max_pages: Column | int, query: Column | str = "") -> DataFrame:
+    """Expand {page} (1..max_pages), {query} (percent-encoded) and {category} templates; a query that the template
+    has no place for is added as q=."""
     mp = F.lit(max_pages) if isinstance(max_pages, int) else max_pages
     out = cfg.withColumn("page_no", F.explode(F.sequence(F.lit(1), mp)))
-    url = F.replace(F.col(template_col), F.lit("{page}"), F.col("page_no").cast("string"))
-    url = F.replace(url, F.lit("{query}"), F.url_encode(F.lit(query)))
+    asked = F.lit(query) if isinstance(query, str) else query
+    code = F.replace(F.url_encode(asked), F.lit("+"), F.lit("%20"))
+    tpl = F.col(template_col)
+    added = F.concat(tpl, F.when(tpl.contains("?"), F.lit("&q=")).otherwise(F.lit("?q=")), code)
+    url = F.when(tpl.contains("{query}"), F.replace(tpl, F.lit("{query}"), code)).when(asked != "", added).otherwise(tpl)
+    url = F.replace(url, F.lit("{page}"), F.col("page_no").cast("string"))
     if "category" in cfg.columns:
         url = F.replace(url, F.lit("{category}"), F.coalesce(F.col("category"), F.lit("")))
     return out.withColumn("page_url", url)
@@ -171,6 +174,23 @@ def discover_links(pages: DataFrame, link_tag: str = "a", max_pages_per_step: in
     return ranked.select("page_id", "list_url", "detail_url", "step_rank")
 
 
+def crawl_details(links: DataFrame, landed: DataFrame, container: tuple[str, str | None],
+                  fields: dict[str, tuple[str, str | None, bool]]) -> DataFrame:
+    """S16 step 2: the items of the detail page behind every discovered link (`discover_links`), in one pass over the
+    landed pages (url, html); what could not be had comes as a row with an error instead of an item: `not landed`, or
+    `no items` where the page is empty or broken.
+
+    Only pages that some link names are read into items, each once however many links name it.
+    """
+    asked = links.select("detail_url").distinct()
+    found = landed.join(asked, landed["url"] == asked["detail_url"], "left_semi").dropDuplicates(["url"])
+    got = extract_items(found.select(F.col("url").alias("page_id"), "url", "html"), container, fields).drop("page_id")
+    pages = found.select(F.col("url").alias("_page")).join(got, F.col("_page") == F.col("url"), "left").drop("url")
+    out = links.join(pages, F.col("detail_url") == F.col("_page"), "left")
+    error = F.when(F.col("_page").isNull(), "not landed").when(F.col("item_index").isNull(), "no items")
+    return out.withColumn("error", error).drop("_page")
+
+
 def category_crawl(category_pages: DataFrame, landed: DataFrame, link_pattern: str,
                    max_pages: int, limit_categories: int | None = None) -> DataFrame:
     """Category links of each category page (all, or the first `limit_categories`, in page

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import WS
 from lectern.operators import pages as PG
 from lectern.plans.catalog import query
+from lectern.session import stored
 from lectern.sources import tables as T
 
 
@@ -27,6 +28,10 @@ def duck_text_of(expr: str) -> str:
     return f"regexp_replace({t}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+#: content of the first paragraph: a paragraph ends where the next one opens, too
+FIRST_P = "regexp_extract_all(blk, '(?s)<p\\b[^>]*>(.*?)(?:</p>|<p\\b|$)', 1)[1]"
+
+
 @query("page_items", sql=f"""
 WITH b AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<article\\b[^>]*>(.*?)</article>', 1)) AS blk,
                   generate_subscripts(regexp_extract_all(html, '(?s)<article\\b[^>]*>(.*?)</article>', 1), 1) - 1
@@ -34,7 +39,7 @@ WITH b AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<article\\b
            FROM pages)
 SELECT page_id, item_index,
        {duck_text_of("regexp_extract_all(blk, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1)[1]")} AS title,
-       {duck_text_of("regexp_extract_all(blk, '(?s)<p\\b[^>]*>(.*?)</p>', 1)[1]")} AS abstract,
+       {duck_text_of(FIRST_P)} AS abstract,
        len(regexp_extract_all(blk, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS n_links
 FROM b
 """)
@@ -146,6 +151,66 @@ def crawl_two_stage(spark, sf_dir):
             .select("page_id", "step_rank", "detail_url", F.coalesce("landed", F.lit(False)).alias("landed")))
 
 
+_LANDED = """
+l AS (SELECT page_id, url AS list_url, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href,
+             generate_subscripts(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1), 1) AS pos FROM pages),
+a AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
+                     WHEN starts_with(href, '//') THEN regexp_extract(list_url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || href
+                     WHEN starts_with(href, '/') THEN regexp_extract(list_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href END AS detail_url FROM l),
+s AS (SELECT page_id, detail_url, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) AS step_rank FROM a GROUP BY page_id, detail_url),
+d AS (SELECT detail_url AS url, arg_min(p.html, p.page_id) AS html, min(p.page_id) AS page_id FROM s JOIN pages p USING (page_id) WHERE step_rank = 1 GROUP BY 1),
+landed AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN substring(html, 1, 40) WHEN page_id % 11 <> 0 THEN html END AS html FROM d)"""
+
+
+@query("crawl_details", sql=f"""
+WITH {_LANDED},
+b AS (SELECT url, regexp_extract_all(html, '(?s)<article\\b[^>]*>(.*?)</article>', 1) AS blks FROM landed),
+i AS (SELECT url, unnest(blks) AS blk, generate_subscripts(blks, 1) - 1 AS item_index FROM b)
+SELECT s.page_id, s.step_rank, s.detail_url, CAST(i.item_index AS INTEGER) AS item_index,
+       CASE WHEN i.url IS NOT NULL THEN {duck_text_of("regexp_extract_all(blk, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1)[1]")} END AS title,
+       CASE WHEN i.url IS NOT NULL THEN {duck_text_of(FIRST_P)} END AS abstract,
+       len(regexp_extract_all(blk, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS n_links,
+       CASE WHEN landed.url IS NULL THEN 'not landed' WHEN i.url IS NULL THEN 'no items' END AS error
+FROM s LEFT JOIN landed ON landed.url = s.detail_url LEFT JOIN i ON i.url = s.detail_url
+""")
+def crawl_details(spark, sf_dir):
+    """S16, both stages: every page as a list page; the page behind each of its links read into items, or the error.
+    The first link of a page has been landed (as that page itself); every seventh of these is cut short and every
+    eleventh empty."""
+    p = T.pages(spark, sf_dir)
+    links = stored(PG.discover_links(p), "links")
+    first = links.where("step_rank = 1").join(p.select("page_id", "html"), "page_id")
+    first = first.groupBy(F.col("detail_url").alias("url")).agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("n"))
+    html = F.when(F.col("n") % 7 == 0, F.substring("html", 1, 40)).when(F.col("n") % 11 != 0, F.col("html"))
+    out = PG.crawl_details(links, first.select("url", html.alias("html")), ("article", None),
+                           {"title": ("h1", None, False), "abstract": ("p", None, False), "links": ("a", "href", True)})
+    return out.select("page_id", "step_rank", "detail_url", "item_index", "title", "abstract", F.when(F.col("error").isNull(), F.size("links")).alias("n_links"), "error")
+
+
+@query("frontier_queries", sql="""
+WITH c AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS site, page_id % 3 AS k,
+                  (['deep learning', 'a&b', ''])[page_id % 3 + 1] AS q, (['deep%20learning', 'a%26b', ''])[page_id % 3 + 1] AS code,
+                  CASE WHEN page_id % 5 <> 0 THEN 'cat' || CAST(page_id % 5 AS VARCHAR) END AS category FROM pages),
+t AS (SELECT *, page_id % 4 AS form FROM c)
+SELECT page_id, page_no, CASE form
+    WHEN 0 THEN 'https://' || site || '/find/' || code || '/' || CAST(page_no AS VARCHAR)
+    WHEN 1 THEN 'https://' || site || '/' || coalesce(category, '') || '?page=' || CAST(page_no AS VARCHAR) || CASE WHEN q <> '' THEN '&q=' || code ELSE '' END
+    WHEN 2 THEN 'https://' || site || '/list' || CASE WHEN q <> '' THEN '?q=' || code ELSE '' END
+    ELSE 'https://' || site || '/' || coalesce(category, '') || '/' || code END AS page_url
+FROM t, range(1, 4) AS r(page_no)
+""")
+def frontier_queries(spark, sf_dir):
+    """{page}, {query} and {category} templates of every page's site, and queries that a template has no place for (q=)."""
+    host = F.concat(F.lit("https://"), F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    forms = F.array(*[F.lit(x) for x in ("/find/{query}/{page}", "/{category}?page={page}", "/list", "/{category}/{query}")])
+    asked = F.array(F.lit("deep learning"), F.lit("a&b"), F.lit(""))
+    at = lambda a, n: F.element_at(a, (F.col("page_id") % n + 1).cast("int"))
+    cfg = T.pages(spark, sf_dir).select(
+        "page_id", F.concat(host, at(forms, 4)).alias("tpl"), at(asked, 3).alias("q"),
+        F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("cat"), (F.col("page_id") % 5).cast("string"))).alias("category"))
+    return PG.page_frontier(cfg, "tpl", 3, F.col("q")).select("page_id", "page_no", "page_url")
+
+
 @query("category_crawl", sql="""
 WITH l AS (SELECT page_id, url AS list_url,
                   unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href,
