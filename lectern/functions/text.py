@@ -7,6 +7,9 @@ Unicode classes (\\p{L}\\p{N}_) and then tested for ASCII letters.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -170,16 +173,43 @@ def bare_doi(c: Column) -> Column:
     return F.regexp_replace(c, r"^https?://(dx\.)?doi\.org/", "")
 
 
-HTML_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
+#: names that count without a semicolon too (html5 keys that lack one), the longest first
+_BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+
+
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; 128 to 159 read as windows-1252, what is no character as U+FFFD."""
+    fixed = [(c, bytes([c]).decode("cp1252", "replace")) for c in range(128, 160)]
+    point = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    odd = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    table = F.from_json(F.lit(json.dumps({str(c): t for c, t in fixed if t != "\ufffd"})), "map<string,string>")
+    return F.when(odd, F.lit("\ufffd")).when(code.between(128, 159), F.coalesce(F.try_element_at(table, code.cast("string")), point)).otherwise(point)
+
+
+def unescape_html(c: Column) -> Column:
+    """Character references decoded once, left to right: all names of HTML 5, decimal and hexadecimal numbers, the old
+    names without a semicolon; what is none stays.  Text without & is passed through."""
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def piece(p: Column) -> Column:
+        dec, hexa = F.regexp_extract(p, r"^#([0-9]{1,8})(?![0-9])", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,7})(?![0-9a-fA-F])", 1)
+        name, bare = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*;)", 1), F.regexp_extract(p, f"^({'|'.join(_BARE)})", 1)
+        by_name = F.try_element_at(table, name)
+        rest = lambda n: p.substr(n + 1, F.length(p))
+        number = F.coalesce(F.nullif(dec, F.lit("")).cast("long"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).cast("long"))
+        return (F.when(number.isNotNull(), F.concat(_character(number), F.regexp_replace(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")))
+                .when(by_name.isNotNull(), F.concat(by_name, rest(F.length(name))))
+                .when(bare != "", F.concat(F.try_element_at(table, bare), rest(F.length(bare))))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    parts = F.split(c, "&", -1)
+    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def plain_text(c: Column) -> Column:
-    """HTML -> plain text (tags -> one space, common entities decoded), newlines -> space."""
-    t = F.regexp_replace(c, r"<[^>]+>", " ")
-    for k, v in HTML_ENTITIES.items():
-        if k != "&amp;":
-            t = F.replace(t, F.lit(k), F.lit(v))
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
+    """HTML -> plain text (tags -> one space, character references decoded), newlines -> space."""
+    t = unescape_html(F.regexp_replace(c, r"<[^>]+>", " "))
     return F.trim(F.regexp_replace(t, r"[\r\n]+", " "))
 
 

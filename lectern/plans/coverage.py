@@ -15,7 +15,9 @@ from lectern.operators import store as ST
 from lectern.plans.catalog import query
 from lectern.plans.ingest import _PLAIN
 from lectern.session import AS_OF
+from lectern.functions.text import plain_text
 from lectern.sources import configured as C
+from lectern.sources.xml_items import normalize_xml, xml_items
 from lectern.sources import normalizers as N
 from lectern.sources import tables as T
 
@@ -315,3 +317,56 @@ def configured_sources(spark, sf_dir):
     return out.select(F.when(made, F.regexp_replace("external_id", ":.*$", ":")).otherwise(F.col("external_id")).alias("external_id"), "title", "abstract",
                       join(F.transform("authors", lambda a: a["name"])).alias("authors"), "published_date", "url",
                       join(F.col("categories")).alias("categories"), join(F.col("keywords")).alias("keywords"), "citation_count", "source")
+
+
+_ATOM = C.SourceConfig("atom", {"external_id": "@id", "title": "title", "abstract": "summary", "authors": "author", "published_date": "published",
+                                "categories": "category.term", "url": "link.0.@href", "pdf_url": "link.1.href", "journal": "ref.name._text", "citation_count": "n"})
+_SOLR = C.SourceConfig("solr", {"external_id": "key", "title": "head.title._text", "abstract": "head.abs", "authors": "by", "published_date": "head.day",
+                                "categories": "tag", "keywords": "head.title.@lang", "url": "link.@href", "citation_count": "n"}, "string", date_format="dd.MM.yyyy")
+
+
+@query("xml_sources", views=("article",), sql=r"""
+WITH t AS (SELECT *, trim(regexp_replace(regexp_replace(title, '[&<>]', '', 'g'), '[\r\n]+', ' ', 'g')) AS plain FROM article
+           WHERE regexp_replace(title, '[&<> ]', '', 'g') <> '')
+SELECT 'a' || CAST(id AS VARCHAR) AS external_id, plain AS title, coalesce(doi, '') AS abstract,
+       CASE WHEN id % 3 = 0 THEN '' ELSE 'Ann|Bo Ek' END AS authors, published_date,
+       CASE WHEN id % 2 = 0 THEN 'x|y' ELSE 'x' END AS categories, '' AS keywords, '/h' || CAST(id AS VARCHAR) AS url,
+       CASE WHEN id % 2 = 0 THEN '/p' END AS pdf_url, 'J & K' AS journal, citation_count, 'atom' AS source
+FROM t WHERE id % 40 <> 7
+UNION ALL
+SELECT 's' || CAST(id AS VARCHAR), plain, coalesce(doi, ''), 'Ann|Bo Ek', published_date, CASE WHEN id % 2 = 0 THEN 'x|y' ELSE 'x' END, 'en',
+       '/h' || CAST(id AS VARCHAR), NULL, NULL, citation_count, 'solr' FROM t WHERE id % 40 <> 7
+""")
+def xml_sources(spark, sf_dir):
+    """Two feed shapes of every article.  One names its items by a path whose first step is the root, so that they
+    are found by its last component, with namespaces, fields that come once or more often and values in attributes; the
+    other has the whole path and items of the same name elsewhere.  Every fortieth item comes alone in a payload that is cut off."""
+    art = T.article(spark, sf_dir)
+    art = art.select("id", F.regexp_replace("title", "[&<>]", "").alias("t"), F.coalesce("doi", F.lit("")).alias("d"), "published_date", "citation_count").where("trim(t) <> ''")
+    s = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    num, twice = F.col("id").cast("string"), F.col("id") % 2 == 0
+    day = lambda f: F.coalesce(F.date_format("published_date", f), F.lit(""))
+    atom = s('<feed xmlns="http://a" xmlns:x="http://b"><meta><title>no item</title></meta><x:entry id="a', num, '"><title>', F.col("t"), "</title><summary>", F.col("d"), "</summary>",
+             F.when(F.col("id") % 3 == 0, F.lit("<author>Solo</author>")).otherwise(F.lit("<author><name>Ann</name></author><x:author><given>Bo</given><family>Ek</family></x:author>")),
+             "<published>", day("yyyy-MM-dd'T'HH:mm:ss'Z'"), '</published><category term="x"/>', F.when(twice, F.lit('<category x:term="y"/>')).otherwise(F.lit("")),
+             '<link href="/h', num, '"/><link href="', F.when(twice, F.lit("/p")).otherwise(F.lit("")), '"/>', '<ref><name k="1">J &amp; K</name></ref><n>',
+             F.col("citation_count").cast("string"), "</n></x:entry></feed>")
+    solr = s('<r><header><doc><key>decoy</key><head><title lang="xx">decoy</title></head></doc></header><result><doc><key>s', num, '</key><head><title lang="en">', F.col("t"),
+             "</title><abs>", F.col("d"), "</abs><day>", day("dd.MM.yyyy"), "</day></head><by>Ann, Bo Ek</by><tag>x</tag>", F.when(twice, F.lit("<tag>y</tag>")).otherwise(F.lit("")),
+             '<link href="/h', num, '"/><n>', F.col("citation_count").cast("string"), "</n></doc></result></r>")
+    cut = lambda x: F.when(F.col("id") % 40 == 7, F.substring(x, 1, 200)).otherwise(x).alias("payload")
+    a = normalize_xml(xml_items(art.select(cut(atom)), "feed.entry"), _ATOM)
+    b = normalize_xml(xml_items(art.select(cut(solr)), "result.doc"), _SOLR)
+    joined = lambda c: F.array_join(F.col(c), "|").alias(c)
+    return a.unionAll(b).select("external_id", "title", "abstract", F.array_join("authors.name", "|").alias("authors"), "published_date", joined("categories"),
+                                joined("keywords"), "url", F.nullif("pdf_url", F.lit("")).alias("pdf_url"), "journal", "citation_count", "source")
+
+
+@query("entity_text", views=("content_union",), sql="""
+SELECT external_id, 'é é é < &lt; ♥ ¬it; &bogus; & b € ' || chr(65533) || ' ≂̸ © x 😀 ' || CAST(id AS VARCHAR) AS plain FROM content_union
+""")
+def entity_text(spark, sf_dir):
+    """Every kind of character reference in markup: named, decimal, hexadecimal, without a semicolon, of two
+    characters, doubly escaped, unknown."""
+    raw = F.concat(F.lit("<b>&eacute;</b>&#233;<i> &#xE9;</i> &lt; &amp;lt; &hearts; &notit; &bogus; & b &#128; &#0; &nesim; &copy x &#x1F600;\r\n"), F.col("id").cast("string"))
+    return T.content_union(spark, sf_dir).select("external_id", F.regexp_replace(plain_text(raw), " +", " ").alias("plain"))
