@@ -2,14 +2,18 @@
 
 Plain Parquet has no MERGE, so an upsert is one full outer join of the current
 table with the (per-key reduced) batch, written as a new table version
-(`write_table` writes to a path; a table format with MERGE can use `mergeInto`).
+(`write_table`; a table format with MERGE can use `mergeInto`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.files import delete, folders, read_pointer, write_pointer
+
 MODES = ("not_null", "truthy", "replace")
 
 
@@ -78,9 +82,31 @@ def upsert(base: DataFrame, batch: DataFrame, key: list[str], seq: str, mode: st
     return table.drop("_rows"), counts
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a table version (overwrite).  Readers switch to the new path atomically."""
-    w = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Write a whole new version of the table at `path` and switch to it; returns the version's name.
+
+    A version is a folder of its own, the switch an atomic replacement of the pointer file.  Readers keep the version
+    they opened; a writer that dies before the switch leaves the old table as it was.  The version before
+    the current one stays for readers that opened it, older ones are removed.
+    """
+    spark = df.sparkSession
+    pointer = f"{path}/_current"
+    old = read_pointer(spark, pointer) or {"number": 0, "version": None}
+    version = f"v{old['number'] + 1}-{uuid.uuid4().hex[:12]}"
+    w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(f"{path}/{version}")
+    write_pointer(spark, pointer, {"number": old["number"] + 1, "version": version})
+    for name in folders(spark, path):
+        if name not in (version, old["version"]):
+            delete(spark, f"{path}/{name}")
+    return version
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table's current version."""
+    now = read_pointer(spark, f"{path}/_current")
+    if now is None:
+        raise ValueError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/{now['version']}")

@@ -5,9 +5,12 @@ micro-batch through `foreachBatch` into a folder of its own, `batch=<id>`.  A ba
 that is executed again replaces its own folder and nothing else, and no batch reads
 what it wrote itself, so replays and crashes between writes change nothing.  The
 table is what the folders give when they are merged on reading: by key for upserts,
-by sum for counts.  Batches hold what they add, reduced by key in the JVM; there is
-no streaming state to grow, no complete-mode rewrite, and a late row counts whenever
-it comes.  `max_files` bounds a micro-batch (None: all files that are there).
+by sum for counts.  Every `EVERY` batches the folders are merged into one and an
+atomic pointer names it and the last batch in it (`Batches`), so a read opens a bounded
+number of folders however many batches there were; a batch that is executed again
+after that is in the merged folder already and is left out.  Batches hold what they add,
+reduced by key in the JVM; there is no streaming state to grow, no complete-mode rewrite,
+and a late row counts whenever it comes.  `max_files` bounds a micro-batch (None: all files that are there).
 
 `run_available` drives a stream with `trigger(availableNow=True)`: everything landed
 so far is processed, then the query stops - the scheduler's periodic job.
@@ -18,12 +21,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lectern.session import ensure_checkpoint_dir
+from lectern.sources.files import delete, folders, read_pointer, write_pointer
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -58,26 +61,79 @@ def events_stream(spark: SparkSession, path: str, max_files: int | None = None)
     return ev.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in ev.columns else ev
 
 
+EVERY = 16
+
+
 def batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch={batch_id}"
 
 
-def batch_sink(out: str, reduce: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes `reduce(batch)` to the batch's own folder."""
+class Batches:
+    """The folders of a stream's table.
+
+    merge: rows of any batches (with their number in `batch`) -> the rows that stand for them, same columns; merging
+    merged rows again with later ones must give what merging all at once gives.
+    """
+
+    def __init__(self, out: str, merge: Callable[[DataFrame], DataFrame], every: int | None = None):
+        self.out, self.merge, self.every = out, merge, every or EVERY
+
+    def _now(self, spark: SparkSession) -> dict:
+        return read_pointer(spark, f"{self.out}/_current") or {"upto": -1, "merged": None}
+
+    def fresh(self, spark: SparkSession, upto: int) -> list[int]:
+        """Batches behind the merged ones."""
+        return sorted(n for f in folders(spark, self.out) if f.startswith("batch=") and (n := int(f[6:])) > upto)
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        """The batch's own folder; then, if it is time, all batches before this one are merged.  (This one may come again.)"""
+        spark = df.sparkSession
+        now = self._now(spark)
+        if batch_id <= now["upto"]:
+            return
+        df.write.mode("overwrite").parquet(batch_folder(self.out, batch_id))
+        if batch_id - 1 - now["upto"] >= self.every:
+            self.compact(spark, batch_id - 1, df.schema)
+
+    def compact(self, spark: SparkSession, upto: int, schema: StructType) -> None:
+        now = self._now(spark)
+        rows = self.merge(self.read(spark, schema).where(F.col("batch") <= upto))
+        name = f"merged-{upto}-{uuid.uuid4().hex[:12]}"
+        rows.write.parquet(f"{self.out}/{name}")
+        write_pointer(spark, f"{self.out}/_current", {"upto": upto, "merged": name})
+        for f in folders(spark, self.out):  # what the pointer before this one named stays for those who read it
+            if f.startswith("merged-") and f not in (name, now["merged"]) or f.startswith("batch=") and int(f[6:]) <= now["upto"]:
+                delete(spark, f"{self.out}/{f}")
+
+    def read(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """The rows of the merged folder and of the batches behind it, with their `batch`."""
+        whole = StructType([f for f in schema if f.name != "batch"]).add("batch", "long")
+        now = self._now(spark)
+        paths = [batch_folder(self.out, n) for n in self.fresh(spark, now["upto"])]
+        df = spark.read.schema(whole).option("basePath", self.out).parquet(*paths) if paths else spark.createDataFrame([], whole)
+        return df.unionByName(spark.read.schema(whole).parquet(f"{self.out}/{now['merged']}")) if now["merged"] else df
+
+
+def first_of(key: str) -> Callable[[DataFrame], DataFrame]:
+    """Merging rule: of the rows of a key the one of the earliest batch."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), "batch").alias("r")).select("r.*")
+    return merge
+
+
+def batch_sink(out: str | Batches, reduce: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes `reduce(batch)` to the batch's own folder (and has folders merged, given `Batches`)."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        reduce(df).write.mode("overwrite").parquet(batch_folder(out, batch_id))
+        if isinstance(out, Batches):
+            out.write(reduce(df), batch_id)
+        else:
+            reduce(df).write.mode("overwrite").parquet(batch_folder(out, batch_id))
     return sink
 
 
-def landed(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+def landed(spark: SparkSession, out: str | Batches, schema: StructType) -> DataFrame:
     """All batches written to `out`, with their `batch` number; empty if there is none yet."""
-    whole = StructType(list(schema)).add("batch", "long")
-    try:
-        return spark.read.schema(whole).parquet(out)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], whole)
+    return (out if isinstance(out, Batches) else Batches(out, lambda rows: rows)).read(spark, schema)
 
 
 def _run(df: DataFrame, sink: Callable[[DataFrame, int], None], folder: str) -> None:
@@ -99,10 +155,9 @@ def stream_activity(spark: SparkSession, events_path: str, max_files: int | None
                      .otherwise(F.concat(F.lit("doc:"), k.cast("string"))).alias("content_id"),
                      F.col("ts").alias("created_at"))
            .filter(F.col("user_id").isNotNull() & F.col("activity_type").isNotNull()))
-    _run(act, batch_sink(f"{d}/out", lambda b: b.dropDuplicates(["id"])), d)
-    cols = act.columns
-    return (landed(spark, f"{d}/out", act.schema).groupBy("id")
-            .agg(F.min_by(F.struct(*cols), "batch").alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in cols]))
+    out = Batches(f"{d}/out", first_of("id"))
+    _run(act, batch_sink(out, lambda b: b.dropDuplicates(["id"])), d)
+    return first_of("id")(landed(spark, out, act.schema)).drop("batch")
 
 
 # ---------------------------------------------------------------- X3 / X5
@@ -124,10 +179,14 @@ def run_counts(spark: SparkSession, events_path: str, name: str, window: str, ma
     """Runs and failures per source and event-time window: each batch adds its own counts."""
     d = work_dir(spark, name)
     runs = _fetch_log(events_stream(spark, events_path, max_files))
-    _run(runs, batch_sink(f"{d}/out", lambda b: _windowed(b, window)), d)
-    schema = _windowed(spark.createDataFrame([], runs.schema), window).schema
-    return (landed(spark, f"{d}/out", schema).groupBy("api_config_id", "window_start")
-            .agg(F.sum("runs").alias("runs"), F.sum("failed").alias("failed")))
+
+    def added(rows: DataFrame) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("runs", "failed")]
+        return rows.groupBy("api_config_id", "window_start").agg(*sums, F.max("batch").alias("batch"))
+
+    out = Batches(f"{d}/out", added)
+    _run(runs, batch_sink(out, lambda b: _windowed(b, window)), d)
+    return added(landed(spark, out, _windowed(spark.createDataFrame([], runs.schema), window).schema)).drop("batch")
 
 
 def stream_run_health(spark: SparkSession, events_path: str, window: str = "1 hour", max_files: int | None = None) -> DataFrame:
@@ -142,8 +201,9 @@ def stream_api_health(spark: SparkSession, events_path: str, cfg: DataFrame, as_
     d = work_dir(spark, "api-health")
     ev = events_stream(spark, events_path, max_files)
     runs = _fetch_log(ev).withColumn("articles_saved", F.when(F.col("status") == "success", F.lit(0)).otherwise(0))
-    _run(runs, batch_sink(f"{d}/out"), d)
-    log = landed(spark, f"{d}/out", runs.schema).drop("batch").dropDuplicates(["id"])
+    out = Batches(f"{d}/out", first_of("id"))
+    _run(runs, batch_sink(out), d)
+    log = first_of("id")(landed(spark, out, runs.schema)).drop("batch")
     return api_health(cfg, log, as_of)
 
 
@@ -172,36 +232,38 @@ def stream_library(spark: SparkSession, events_path: str, max_files: int | None
     act = (ev.select("user_id", F.concat(F.lit("doc:"), k.cast("string")).alias("external_id"),
                      F.col("ts").alias("last_at"), F.col("event_id").alias("last_id"), typ.alias("last_type"))
            .filter(F.col("last_type").isNotNull()))
-    _run(act, batch_sink(f"{d}/out", _latest), d)
-    return (_latest(landed(spark, f"{d}/out", act.schema)).filter(F.col("last_type") == "save")
+    out = Batches(f"{d}/out", lambda rows: _latest(rows).withColumn("batch", F.lit(0).cast("long")))
+    _run(act, batch_sink(out, _latest), d)
+    return (_latest(landed(spark, out, act.schema)).filter(F.col("last_type") == "save")
             .select("user_id", "external_id", F.col("last_at").alias("saved_at")))
 
 
 # ---------------------------------------------------------------- X2 / X6
 
-def enrich_sink(out: str, schema: StructType) -> Callable[[DataFrame, int], None]:
+def enrich_sink(out: str | Batches, schema: StructType) -> Callable[[DataFrame, int], None]:
     """Profiles of the batch's items that no earlier batch has; the batch's own folder is not
     looked at, so that a replay makes the same profiles again."""
     from lectern.operators.enrich import enrich
+    table = out if isinstance(out, Batches) else Batches(out, first_of("external_id"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        done = landed(batch.sparkSession, out, StructType([schema["external_id"]])).filter(F.col("batch") != batch_id)
+        done = landed(batch.sparkSession, table, StructType([schema["external_id"]])).filter(F.col("batch") != batch_id)
         todo = batch.join(done.select("external_id"), "external_id", "left_anti").dropDuplicates(["external_id"])
-        prof = enrich(todo, "external_id", F.lit("article")).drop("entities")
-        prof.write.mode("overwrite").parquet(batch_folder(out, batch_id))
+        table.write(enrich(todo, "external_id", F.lit("article")), batch_id)
     return process
 
 
 def stream_enrich(spark: SparkSession, documents_path: str, max_files: int | None = None) -> DataFrame:
     """New content files -> profiles for items without one (anti join against the
     profile table)."""
+    from lectern.operators.enrich import enrich
     d = work_dir(spark, "enrich")
     docs = file_stream(spark, documents_path, max_files)
     content = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("external_id"),
                           F.trim(F.substring("text", 1, 60)).alias("title"), F.col("text").alias("abstract"))
-    out = f"{d}/profiles"
+    out = Batches(f"{d}/profiles", first_of("external_id"))
     _run(content, enrich_sink(out, content.schema), d)
-    return spark.read.parquet(out)
+    return landed(spark, out, enrich(spark.createDataFrame([], content.schema), "external_id", F.lit("article")).schema)
 
 
 def stream_ingest(spark: SparkSession, landed_dir: str, max_files: int | None = None) -> DataFrame:
@@ -215,7 +277,12 @@ def stream_ingest(spark: SparkSession, landed_dir: str, max_files: int | None =
     raw = reader.text(landed_dir)
     items = raw.select(F.explode(F.from_json("value", OPENALEX_SCHEMA)["results"]).alias("item"))
     arts = normalize_openalex(items)
-    _run(arts, batch_sink(f"{d}/out"), d)
-    rows = landed(spark, f"{d}/out", arts.schema)
-    table, _ = upsert(spark.createDataFrame([], arts.schema), rows, ["external_id"], "batch", "not_null")
-    return table.drop("op")
+
+    def upserted(rows: DataFrame) -> DataFrame:
+        table, _ = upsert(spark.createDataFrame([], arts.schema), rows, ["external_id"], "batch", "not_null")
+        # what is merged comes before every later batch
+        return table.drop("op").withColumn("batch", F.lit(-1).cast("long"))
+
+    out = Batches(f"{d}/out", upserted)
+    _run(arts, batch_sink(out), d)
+    return upserted(landed(spark, out, arts.schema)).drop("batch")

@@ -2,8 +2,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.operators.store import read_table, write_table
 from lectern.session import AS_OF
 from lectern.streaming import streams as X
 
@@ -95,3 +97,61 @@ def test_only_a_missing_folder_counts_as_empty(spark, tmp_path):
     (tmp_path / "bad" / "batch=0" / "part-0.parquet").write_bytes(b"not parquet")
     with pytest.raises(Exception):
         X.landed(spark, str(tmp_path / "bad"), schema).count()
+
+
+def test_folders_are_merged_and_a_replay_changes_nothing(spark, tmp_path):
+    """40 batches of which every fifth reading would open 40 folders: with merging every 4, at most 5 and the merged one."""
+    def added(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"), F.max("batch").alias("batch"))
+    table = X.Batches(str(tmp_path / "t"), added, every=4)
+    sink = X.batch_sink(table)
+    batch = lambda i: spark.createDataFrame([(i % 3, 1), (7, i)], "k long, n long").coalesce(1)
+    schema = batch(0).schema
+    want = {}
+    for i in range(14):
+        sink(batch(i), i)
+        if i % 6 == 5:
+            sink(batch(i), i)  # executed again
+        for k, n in ((i % 3, 1), (7, i)):
+            want[k] = want.get(k, 0) + n
+        assert {r.k: r.n for r in added(X.landed(spark, table, schema)).collect()} == want
+        assert len(X.landed(spark, table, schema).inputFiles()) <= 2 * 5 + 1
+    now = X.read_pointer(spark, f"{table.out}/_current")
+    assert now["upto"] == 11 and table.fresh(spark, now["upto"]) == [12, 13]
+    for old in (0, 5, 11):
+        sink(batch(old), old)  # long merged
+    table.compact(spark, 12, schema)
+    sink(batch(12), 12)
+    assert {r.k: r.n for r in added(X.landed(spark, table, schema)).collect()} == want
+    assert len([f for f in X.folders(spark, table.out) if f.startswith("merged-")]) <= 2
+    # a merge that died before the switch is not seen
+    batch(0).withColumn("batch", F.lit(0)).write.parquet(f"{table.out}/merged-13-dead")
+    assert {r.k: r.n for r in added(X.landed(spark, table, schema)).collect()} == want
+
+
+def test_streams_merged_on_the_way_equal_streams_that_are_not(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    events(spark, path, files=9)
+    whole = [as_set(X.stream_library(spark, path), "user_id", "external_id", "saved_at"), as_set(X.stream_activity(spark, path), "id"),
+             as_set(X.stream_run_health(spark, path), "api_config_id", "window_start", "runs", "failed")]
+    monkeypatch.setattr(X, "EVERY", 2)
+    merged = [as_set(X.stream_library(spark, path, max_files=1), "user_id", "external_id", "saved_at"), as_set(X.stream_activity(spark, path, max_files=1), "id"),
+              as_set(X.stream_run_health(spark, path, max_files=1), "api_config_id", "window_start", "runs", "failed")]
+    assert merged == whole
+
+
+def test_a_rebuild_that_dies_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(ValueError):
+        read_table(spark, path)
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    write_table(rows(1, 2), path)
+    opened = read_table(spark, path)
+    write_table(rows(3), path)
+    assert as_set(read_table(spark, path), "id") == {(3,)} and as_set(opened, "id") == {(1,), (2,)}
+    rows(9).write.parquet(f"{path}/v3-dead")  # written, not switched to
+    with pytest.raises(Exception):
+        write_table(rows(4).selectExpr("raise_error('lost') as id"), path)
+    assert as_set(read_table(spark, path), "id") == {(3,)}
+    write_table(rows(5).withColumn("p", F.lit(1)), path, ["p"])
+    assert as_set(read_table(spark, path), "id") == {(5,)} and len(X.folders(spark, path)) == 2
