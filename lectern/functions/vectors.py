@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.session import AS_OF
@@ -74,19 +77,61 @@ def embedding_text(title: Column, abstract: Column) -> Column:
     return strip_ws(F.concat(t, F.lit(". "), t, F.lit(". "), F.coalesce(abstract, F.lit(""))))
 
 
-def fit_tfidf(df: DataFrame, text_col: str, n: int = EMBEDDING_DIM):
-    """T27 (fixed: fitted on the corpus): 1-2 gram counts limited to n features, IDF, L2.
+def grams(text: Column, stops: list[str]) -> Column:
+    """T27 terms: words of two letters or more, lower-cased, without stop words, and pairs of neighbours."""
+    from lectern.functions.text import bigrams
+    uni = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", -1),
+                   lambda w: (F.length(w) >= 2) & ~F.array_contains(F.array(*[F.lit(s) for s in stops]), w))
+    return F.concat(uni, bigrams(uni))
+
 
-    Returns a fitted pyspark.ml PipelineModel whose output column is `tfidf`.
+class Tfidf(NamedTuple):
+    """T27 (fixed: fitted on the corpus): the tier of M1 between a language model and the hash embedding.
+
+    terms: the `n` most frequent terms of the corpus (ties by name), in alphabetical order; idf: ln((1 + docs) / (1 + df)) + 1.
+    Fitted once, kept as a table, applied row by row in batches and streams alike.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import (CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer,
-                                    SQLTransformer, StopWordsRemover)
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
-    stop = StopWordsRemover(inputCol="_tok", outputCol="_uni")
-    bi = NGram(n=2, inputCol="_uni", outputCol="_bi")
-    both = SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _grams FROM __THIS__")
-    cv = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=n)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf")
-    norm = Normalizer(inputCol="_tfidf", outputCol="tfidf", p=2.0)
-    return Pipeline(stages=[tok, stop, bi, both, cv, idf, norm]).fit(df)
+
+    terms: list[str]
+    idf: list[float]
+    n: int = EMBEDDING_DIM
+
+    NAME = "tfidf-384"
+
+    @staticmethod
+    def fit(df: DataFrame, text: Column, n: int = EMBEDDING_DIM, stops: list[str] | None = None) -> Tfidf:
+        from lectern.functions.text import KEYWORD_STOPS
+        sorted_terms = df.select(F.array_sort(grams(text, KEYWORD_STOPS if stops is None else stops)).alias("t"))
+        # a document's equal terms stand together: its first one counts the document
+        shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
+        run = F.zip_with("t", shifted, lambda x, before: F.struct(x.alias("term"), (~x.eqNullSafe(before)).cast("int").alias("first")))
+        each = sorted_terms.select(F.explode(run).alias("e"))
+        top = each.where("e.term is not null").groupBy("e.term").agg(F.count("*").alias("tf"), F.sum("e.first").alias("df")).orderBy(F.col("tf").desc(), "term").limit(n)
+        rows, docs = sorted(top.collect(), key=lambda r: r["term"]), df.count()  # n rows
+        return Tfidf([r["term"] for r in rows], [math.log((1 + docs) / (1 + r["df"])) + 1 for r in rows], n)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        from lectern.operators.store import write_table
+        rows = [(k, t, w, self.n) for k, (t, w) in enumerate(zip(self.terms, self.idf))]
+        write_table(spark.createDataFrame(rows, "k int, term string, idf double, n int").coalesce(1), path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Tfidf:
+        from lectern.operators.store import read_table
+        rows = sorted(read_table(spark, path).collect(), key=lambda r: r["k"])
+        return Tfidf([r["term"] for r in rows], [r["idf"] for r in rows], rows[0]["n"] if rows else EMBEDDING_DIM)
+
+    def vectors(self, df: DataFrame, text: Column, out: str, stops: list[str] | None = None) -> DataFrame:
+        """Adds `out`: n numbers, L2-normalised; all 0 where no term of the corpus occurs.  No shuffle."""
+        from pyspark.ml.feature import CountVectorizerModel
+        from pyspark.ml.functions import vector_to_array
+        from lectern.functions.text import KEYWORD_STOPS
+        none = F.array_repeat(F.lit(0.0), self.n)
+        if not self.terms:
+            return df.withColumn(out, none)
+        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_grams", outputCol="_tf")
+        counted = counter.transform(df.withColumn("_grams", grams(text, KEYWORD_STOPS if stops is None else stops)))
+        weights = F.array(*[F.lit(w) for w in self.idf])
+        counted = counted.withColumn("_w", F.zip_with(vector_to_array("_tf"), weights, lambda c, w: c * w))
+        pad = F.slice(none, 1, self.n - len(self.terms)) if len(self.terms) < self.n else F.array().cast("array<double>")
+        return counted.withColumn(out, F.concat(l2_normalize(F.col("_w")), pad)).drop("_grams", "_tf", "_w")

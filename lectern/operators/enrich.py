@@ -3,12 +3,16 @@ explode/aggregate, organisation entities, and the per-item NLP profile."""
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import nsmallest
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lectern.functions.text import KEYWORD_STOPS, clean_text, org_entities, strip_ws, tokens, words
-from lectern.functions.vectors import embedding_text, with_hash_embedding
+from lectern.functions.vectors import Tfidf, embedding_text, with_hash_embedding
 
 MIN_KEYWORD_TEXT = 20   # fixed value: shorter stripped texts get no keywords
 MIN_ENTITY_TEXT = 10    # fixed value: shorter stripped texts get no entities
@@ -21,54 +25,43 @@ def full_text(title: Column, abstract: Column) -> Column:
         F.coalesce(title, F.lit("")))
 
 
-def keyword_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """T4 scoring of every term (unigram and bigram) of every document.
+def best_terms(toks: list[str], n: int) -> list[tuple[str, float]]:
+    """T4 for one text: the `n` best terms with their raw score, best first.
 
-    Unigram: tf * (1 + min(len/10, 1)); bigram: occurrences * 1.5 / total.  Rows:
-    (id, term, kind 0/1, first_pos, raw_score).  One shuffle on (id, term) with
-    map-side partial counts.
+    Word: tf * (1 + min(len/10, 1)); pair of neighbours: occurrences * 1.5 / total.  Ties: words before pairs, first
+    occurrence (the reference's stable sort over insertion order).
     """
-    stop = F.array(*[F.lit(s) for s in KEYWORD_STOPS])
-    # Shuffle the documents (one row each) by id once; every later grouping/window is by
-    # id too, so the token rows never cross the network (no exchange after the explode).
-    base = (df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).repartition("_id")
-            .filter(F.length(strip_ws(F.coalesce(F.col("_t"), F.lit("")))) >= MIN_KEYWORD_TEXT)
-            # explode(array(x)) is a Generate: the token array is computed once per row and
-            # the projections below refer to it instead of re-running the regex pipeline
-            .select("_id", F.explode(F.array(F.filter(words(clean_text(F.col("_t"))),
-                                                      lambda x: ~F.array_contains(stop, x)))).alias("toks")))
-    n = F.size("toks")
-    nxt = F.concat(F.slice("toks", 2, F.greatest(n, F.lit(1))), F.array(F.lit(None).cast("string")))
-    base = base.select("_id", F.greatest(n, F.lit(1)).alias("total"),
-                       F.zip_with("toks", nxt, lambda w, x: F.struct(w.alias("w"), x.alias("x"))).alias("pairs"))
-    # one row per (position, unigram) and (position, bigram): a single pass, one shuffle
-    terms = (base.select("_id", "total", F.posexplode("pairs").alias("pos", "p"))
-             .select("_id", "total", "pos", F.explode(F.array(
-                 F.struct(F.col("p.w").alias("term"), F.lit(0).alias("kind")),
-                 F.struct(F.concat(F.col("p.w"), F.lit(" "), F.col("p.x")).alias("term"), F.lit(1).alias("kind"))
-             )).alias("t"))
-             .filter(F.col("t.term").isNotNull())
-             .select("_id", "total", "pos", "t.term", "t.kind"))
-    g = terms.groupBy("_id", "term", "kind").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"),
-                                                 F.first("total").alias("total"))
-    raw = F.when(F.col("kind") == 0,
-                 F.col("cnt") / F.col("total") * (F.lit(1.0) + F.least(F.length("term") / F.lit(10.0), F.lit(1.0))))\
-        .otherwise(F.col("cnt") * F.lit(1.5) / F.col("total"))
-    return g.select(F.col("_id").alias(id_col), "term", "kind", "first_pos", raw.alias("raw"))
+    total = max(len(toks), 1)
+    scored = [(w, c / total * (1.0 + min(len(w) / 10.0, 1.0))) for w, c in Counter(toks).items()]
+    scored += [(f"{a} {b}", c * 1.5 / total) for (a, b), c in Counter(zip(toks, toks[1:])).items()]
+    return nsmallest(n, scored, key=lambda t: -t[1])
 
 
-def keywords(df: DataFrame, id_col: str, text_col: str, n: int = 10) -> DataFrame:
-    """T4: top-n terms per document, score / best score rounded to 4 dp.
+def with_keywords(df: DataFrame, text: Column, out: str, n: int = 10) -> DataFrame:
+    """Adds `out`: the `n` best terms of `text` as (keyword, score), score / best score rounded to 4 dp.
 
-    Ties: score desc, unigrams before bigrams, first occurrence (the reference's
-    stable sort over insertion order).  Output rows (id, rank, keyword, score).
+    Tokens are made in the JVM, a row's terms are counted in one Arrow-batched pass over the tokens: neither texts nor
+    terms are shuffled.  (Counting terms by exploding them needs an exchange of the texts; counting them with higher-order functions
+    takes three times as long.)
     """
-    t = keyword_terms(df, id_col, text_col)
-    w = Window.partitionBy(id_col).orderBy(F.col("raw").desc(), F.col("kind"), F.col("first_pos"))
-    top = t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-    best = Window.partitionBy(id_col)
-    return top.select(id_col, "rank", F.col("term").alias("keyword"),
-                      F.round(F.col("raw") / F.max("raw").over(best), 4).alias("score"))
+    @F.pandas_udf("keywords array<string>, raw array<double>")
+    def counted(tokens: pd.Series) -> pd.DataFrame:
+        best = [best_terms(t.tolist(), n) for t in tokens]
+        return pd.DataFrame({"keywords": [[k for k, _ in b] for b in best], "raw": [[r for _, r in b] for b in best]})
+
+    stop = F.array(*[F.lit(w) for w in KEYWORD_STOPS])
+    fits = F.length(strip_ws(F.coalesce(text, F.lit("")))) >= MIN_KEYWORD_TEXT
+    toks = F.filter(words(clean_text(text)), lambda x: ~F.array_contains(stop, x))
+    # behind a generator the counts are made once, however often they are used
+    df = df.select("*", F.explode(F.array(counted(F.when(fits, toks).otherwise(F.array().cast("array<string>"))))).alias("_kw"))
+    scores = F.zip_with("_kw.keywords", "_kw.raw", lambda k, r: F.struct(k.alias("keyword"), F.round(r / F.try_element_at("_kw.raw", F.lit(1)), 4).alias("score")))
+    return df.withColumn(out, scores).drop("_kw")
+
+
+def keywords(df: DataFrame, id_col: str, text_col: str, n: int = 10) -> DataFrame:
+    """T4: top-n terms per document, rows (id, rank, keyword, score)."""
+    found = with_keywords(df.select(id_col, text_col), F.col(text_col), "_found", n)
+    return found.select(id_col, F.posexplode("_found").alias("_pos", "k")).select(id_col, (F.col("_pos") + 1).alias("rank"), "k.keyword", "k.score")
 
 
 def merge_keyword_scores(a: DataFrame, b: DataFrame, id_col: str, wa: float = 0.6, wb: float = 0.4,
@@ -94,15 +87,17 @@ def entity_groups(ents: DataFrame, id_col: str) -> DataFrame:
 
 
 def enrich(content: DataFrame, id_col: str = "external_id", source_table: Column | None = None,
-           n_keywords: int = 10) -> DataFrame:
+           n_keywords: int = 10, model: Tfidf | None = None) -> DataFrame:
     """M10 for a whole table: text = "title. abstract"; token count (T1-T2), top
-    keywords (T4), organisation entities (T6), hash embedding (M1 fallback tier),
-    language 'en'.  One row per item (the NLP profile)."""
+    keywords (T4), organisation entities (T6), embedding (M1), language 'en'.  One row per
+    item (the NLP profile).
+
+    The embedding is the fitted TF-IDF `model`'s, or the hash embedding where there is none;
+    embedding_model names the tier."""
     base = content.select(F.col(id_col), "title", "abstract",
                           (source_table if source_table is not None else F.lit("article")).alias("source_table"),
                           full_text(F.col("title"), F.col("abstract")).alias("_text"))
-    kw = (keywords(base, id_col, "_text", n_keywords)
-          .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("rank", "keyword", "score"))).alias("_kw")))
+    base = with_keywords(base, F.col("_text"), "keywords", n_keywords)
     prof = base.select(
         id_col, "source_table",
         F.size(tokens(F.col("_text"))).alias("token_count"),
@@ -111,14 +106,9 @@ def enrich(content: DataFrame, id_col: str = "external_id", source_table: Column
                              lambda m: F.struct(m.alias("text"), F.lit("ORG").alias("label"))).alias("organizations"),
                  F.array().cast("array<struct<text:string,label:string>>").alias("locations"),
                  F.array().cast("array<struct<text:string,label:string>>").alias("misc")).alias("entities"),
-        "title", "abstract",
-        F.lit("hash-384").alias("embedding_model"),
+        "title", "abstract", "keywords",
+        F.lit(Tfidf.NAME if model else "hash-384").alias("embedding_model"),
         F.lit("en").alias("language"))
-    prof = with_hash_embedding(prof, embedding_text(F.col("title"), F.col("abstract")), "embedding") \
-        .drop("title", "abstract")
-    # the top-n list per item is at most n entries (bounded), so collect_list is safe
-    return (prof.join(kw, id_col, "left")
-            .withColumn("keywords", F.transform(F.coalesce("_kw", F.array().cast(
-                "array<struct<rank:int,keyword:string,score:double>>")),
-                lambda x: F.struct(x["keyword"].alias("keyword"), x["score"].alias("score"))))
-            .drop("_kw"))
+    text = embedding_text(F.col("title"), F.col("abstract"))
+    prof = (model.vectors(prof, text, "embedding") if model else with_hash_embedding(prof, text, "embedding")).drop("title", "abstract")
+    return prof

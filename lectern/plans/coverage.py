@@ -14,6 +14,7 @@ from lectern.operators import search as S
 from lectern.operators import store as ST
 from lectern.plans.catalog import query
 from lectern.plans.ingest import _PLAIN
+from lectern.plans.textual import duck_tfidf
 from lectern.session import AS_OF
 from lectern.functions.text import plain_text
 from lectern.sources import configured as C
@@ -205,14 +206,17 @@ def raw_ids(spark, sf_dir):
     return T.content_union(spark, sf_dir).select("id", urls.raw_id(F.col("source_name"), F.col("abstract")).alias("raw_id"))
 
 
-@query("tfidf_vectors")
+@query("tfidf_vectors", views=("content_union",), sql=f"""
+WITH {duck_tfidf("content_union", "id", "coalesce(abstract, '')")}
+SELECT id, term, round(weight, 6) AS weight FROM tfidf
+""")
 def tfidf_vectors(spark, sf_dir):
-    """TF-IDF vectors of all content, fitted on it; length and number of terms of each."""
-    from pyspark.ml.functions import vector_to_array
-    u = T.content_union(spark, sf_dir).select("id", F.coalesce("abstract", F.lit("")).alias("t"))
-    v = vectors.fit_tfidf(u, "t").transform(u).select("id", vector_to_array("tfidf").alias("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    return v.select("id", F.size(F.filter("v", lambda x: x != 0)).alias("n_terms"), F.round(F.sqrt(square), 6).alias("norm"))
+    """TF-IDF vectors of all content, fitted on it: the weight of every term of every item."""
+    u = T.content_union(spark, sf_dir).select("id", "abstract")
+    model = vectors.Tfidf.fit(u, F.col("abstract"))
+    v = model.vectors(u, F.col("abstract"), "v").select("id", F.posexplode("v").alias("k", "w")).where("w <> 0")
+    terms = F.array(*[F.lit(t) for t in model.terms])
+    return v.select("id", F.element_at(terms, F.col("k") + 1).alias("term"), F.round("w", 6).alias("weight"))
 
 
 @query("keyword_union", views=("content_union",), sql="""

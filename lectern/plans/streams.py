@@ -65,18 +65,15 @@ def stream_ingest(spark, sf_dir):
 
 
 def _enrich_sql() -> str:
-    from lectern.functions.text import TOKEN_STOPS
-    from lectern.plans.textual import duck_tokens
-    txt = ("CASE WHEN coalesce(text, '') <> '' THEN trim(substring(text, 1, 60)) || '. ' || text "
-           "ELSE trim(substring(text, 1, 60)) END")
-    return f"""
-SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS external_id, len({duck_tokens(txt, TOKEN_STOPS)}) AS token_count,
-       'en' AS language
-FROM documents
-"""
-
-
-@query("stream_enrich", sql=_enrich_sql())
+    from lectern.plans.textual import _profile_sql
+    docs = ("(SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS external_id, trim(substring(text, 1, 60)) AS title, text AS abstract, 'article' AS kind FROM documents)")
+    return f"WITH content AS {docs}, {_profile_sql('content', 'kind').strip()[5:]}"
+
+
+@query("stream_enrich", views=("content_union",), sql=_enrich_sql())
 def stream_enrich(spark, sf_dir):
-    """Incremental enrichment of landed content files (profiles for new items only)."""
-    return X.stream_enrich(spark, f"{sf_dir}/documents.parquet").select("external_id", "token_count", "language")
+    """Incremental enrichment of landed content files (profiles for new items only), with the vectors of the saved
+    TF-IDF model that the batch applies too."""
+    from lectern.plans.textual import fitted, profile_columns
+    model, path = fitted(spark, T.content_union(spark, sf_dir))
+    return profile_columns(X.stream_enrich(spark, f"{sf_dir}/documents.parquet", model_path=path), model)

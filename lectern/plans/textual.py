@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions.vectors import Tfidf, embedding_text
 from lectern.operators import enrich as E
 from lectern.operators import search as S
-from lectern.plans.catalog import query
+from lectern.operators.store import read_table, write_table
+from lectern.plans.catalog import ORACLES, query
+from lectern.session import ensure_checkpoint_dir
 from lectern.sources import tables as T
 
 
@@ -157,17 +162,76 @@ def live_clean(spark, sf_dir):
                       "n_inline_keywords")
 
 
-@query("enrich_profiles", views=("content_union",), sql=f"""
-SELECT external_id, type AS source_table, len({duck_tokens(DOC_FULL_TEXT, X.TOKEN_STOPS)}) AS token_count,
-       'en' AS language
-FROM content_union
-""")
+def duck_tfidf(source: str, key: str, text: str, n: int = 384) -> str:
+    """CTEs that end in `tfidf` (key, term, weight): T27 fitted on `source` and applied to it."""
+    stops = "[" + ", ".join(f"'{_q(w)}'" for w in X.KEYWORD_STOPS) + "]"
+    return f"""
+tf_uni AS (SELECT {key}, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'),
+                                     lambda w: length(w) >= 2 AND NOT list_contains({stops}, w)) AS uni FROM {source}),
+tf_grams AS (SELECT {key}, list_concat(uni, list_transform(range(1, len(uni)), lambda i: uni[i] || ' ' || uni[i + 1])) AS g FROM tf_uni),
+tf_each AS (SELECT {key}, unnest(g) AS term FROM tf_grams),
+tf AS (SELECT {key}, term, count(*) AS c FROM tf_each GROUP BY ALL),
+tf_vocab AS (SELECT term, sum(c) AS total, ln((1 + (SELECT count(*) FROM {source})) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term
+             ORDER BY total DESC, term LIMIT {n}),
+tf_raw AS (SELECT {key}, term, c * idf AS w FROM tf JOIN tf_vocab USING (term)),
+tfidf AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM tf_raw)"""
+
+
+_EMBED_TEXT = duck_strip("coalesce(title, '') || '. ' || coalesce(title, '') || '. ' || coalesce(abstract, '')")
+
+
+def _profile_sql(source: str, table: str) -> str:
+    """Profiles of `source` (external_id, title, abstract) in all their parts."""
+    kw = ORACLES["keywords"]
+    return f"""
+WITH {duck_tfidf(source, "external_id", _EMBED_TEXT)},
+vec AS (SELECT external_id, string_agg(term || ':' || CAST(CAST(round(weight * 10000) AS BIGINT) AS VARCHAR), '|' ORDER BY term) AS v FROM tfidf GROUP BY 1),
+kw AS (SELECT external_id, string_agg(keyword || ':' || CAST(CAST(round(score * 10000) AS BIGINT) AS VARCHAR), '|' ORDER BY rank) AS keywords FROM ({kw}) GROUP BY 1)
+SELECT c.external_id, {table} AS source_table, len({duck_tokens(DOC_FULL_TEXT, X.TOKEN_STOPS)}) AS token_count, 'en' AS language, 'tfidf-384' AS embedding_model,
+       coalesce(kw.keywords, '') AS keywords,
+       CASE WHEN length({duck_strip(DOC_FULL_TEXT)}) < 10 THEN '' ELSE array_to_string({_duck_orgs(DOC_FULL_TEXT)}, '|') END AS organizations, coalesce(vec.v, '') AS vector
+FROM {source} c LEFT JOIN kw USING (external_id) LEFT JOIN vec USING (external_id)
+"""
+
+
+def profile_columns(profiles, model):
+    """All parts of a profile as comparable columns."""
+    scaled = lambda x: F.round(x * 10000).cast("bigint").cast("string")
+    terms = F.array(*[F.lit(t) for t in model.terms])
+    weights = F.slice("embedding", 1, len(model.terms))
+    vector = F.filter(F.zip_with(terms, weights, lambda t, w: F.when(w != 0, F.concat(t, F.lit(":"), scaled(w)))), lambda x: x.isNotNull())
+    return profiles.select(
+        "external_id", "source_table", "token_count", "language", "embedding_model",
+        F.array_join(F.transform("keywords", lambda k: F.concat(k["keyword"], F.lit(":"), scaled(k["score"]))), "|").alias("keywords"),
+        F.array_join(F.transform("entities.organizations", lambda e: e["text"]), "|").alias("organizations"), F.array_join(vector, "|").alias("vector"))
+
+
+def fitted(spark, content):
+    """The TF-IDF model of all content, saved and loaded again: (model, its path)."""
+    path = f"{ensure_checkpoint_dir(spark)}/tfidf-{uuid.uuid4().hex}"
+    Tfidf.fit(content, embedding_text(F.col("title"), F.col("abstract"))).save(spark, path)
+    return Tfidf.load(spark, path), path
+
+
+@query("enrich_profiles", views=("content_union",), sql=_profile_sql("content_union", "type"))
 def enrich_profiles(spark, sf_dir):
-    """M10 for all content: token count, keywords, entities, embedding -> profile rows
-    (the scalar columns are compared; keywords/embedding are checked by their own queries)."""
+    """M10 + M1 for all content: token count, keywords, entities and the TF-IDF tier's vector, all compared."""
     u = T.content_union(spark, sf_dir)
-    p = E.enrich(u, "external_id", F.col("type"))
-    return p.select("external_id", "source_table", "token_count", "language")
+    model, _ = fitted(spark, u)
+    return profile_columns(E.enrich(u, "external_id", F.col("type"), model=model), model)
+
+
+@query("profile_rebuild", views=("content_union",), sql=_profile_sql("content_union", "type") + " WHERE abstract IS NOT NULL")
+def profile_rebuild(spark, sf_dir):
+    """A profile table made without a model (hash vectors), then rebuilt whole by the fitted model and switched to;
+    a rebuild that was written after that but never switched to is not seen."""
+    u = T.content_union(spark, sf_dir).where("abstract is not null")
+    path = f"{ensure_checkpoint_dir(spark)}/profiles-{uuid.uuid4().hex}"
+    write_table(E.enrich(u, "external_id", F.col("type")), path)
+    model, _ = fitted(spark, T.content_union(spark, sf_dir))
+    write_table(E.enrich(u, "external_id", F.col("type"), model=model), path)
+    read_table(spark, path).limit(1).write.parquet(f"{path}/v3-never-switched-to")
+    return profile_columns(read_table(spark, path), model)
 
 
 # ---------------------------------------------------------------- dates and ids

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.functions.vectors import Tfidf
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources.files import delete, folders, read_pointer, write_pointer
 
@@ -240,7 +241,7 @@ def stream_library(spark: SparkSession, events_path: str, max_files: int | None
 
 # ---------------------------------------------------------------- X2 / X6
 
-def enrich_sink(out: str | Batches, schema: StructType) -> Callable[[DataFrame, int], None]:
+def enrich_sink(out: str | Batches, schema: StructType, model: Tfidf | None = None) -> Callable[[DataFrame, int], None]:
     """Profiles of the batch's items that no earlier batch has; the batch's own folder is not
     looked at, so that a replay makes the same profiles again."""
     from lectern.operators.enrich import enrich
@@ -249,20 +250,21 @@ def enrich_sink(out: str | Batches, schema: StructType) -> Callable[[DataFrame,
     def process(batch: DataFrame, batch_id: int) -> None:
         done = landed(batch.sparkSession, table, StructType([schema["external_id"]])).filter(F.col("batch") != batch_id)
         todo = batch.join(done.select("external_id"), "external_id", "left_anti").dropDuplicates(["external_id"])
-        table.write(enrich(todo, "external_id", F.lit("article")), batch_id)
+        table.write(enrich(todo, "external_id", F.lit("article"), model=model), batch_id)
     return process
 
 
-def stream_enrich(spark: SparkSession, documents_path: str, max_files: int | None = None) -> DataFrame:
+def stream_enrich(spark: SparkSession, documents_path: str, max_files: int | None = None, model_path: str | None = None) -> DataFrame:
     """New content files -> profiles for items without one (anti join against the
-    profile table)."""
+    profile table); vectors by the saved TF-IDF model, or hashes without one (M1)."""
     from lectern.operators.enrich import enrich
     d = work_dir(spark, "enrich")
     docs = file_stream(spark, documents_path, max_files)
     content = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("external_id"),
                           F.trim(F.substring("text", 1, 60)).alias("title"), F.col("text").alias("abstract"))
     out = Batches(f"{d}/profiles", first_of("external_id"))
-    _run(content, enrich_sink(out, content.schema), d)
+    model = Tfidf.load(spark, model_path) if model_path else None
+    _run(content, enrich_sink(out, content.schema, model), d)
     return landed(spark, out, enrich(spark.createDataFrame([], content.schema), "external_id", F.lit("article")).schema)
 
 

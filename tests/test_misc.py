@@ -1,10 +1,11 @@
 """TF-IDF fit (T27), page consumption (S15), normaliser edge payloads, streaming = batch."""
+import math
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import fit_tfidf
+from lectern.functions.vectors import Tfidf
 from lectern.operators import pages as PG
 from lectern.sources import normalizers as N
 from lectern.sources import payloads as P
@@ -12,15 +13,19 @@ from lectern.sources import payloads as P
 SF = "/root/testdata/sf0.001"
 
 
-def test_tfidf_fit_is_unit_norm(spark):
-    df = spark.createDataFrame([(1, "graph neural networks for graphs"), (2, "neural machine translation"),
-                                (3, "graph theory and networks")], "id int, t string")
-    m = fit_tfidf(df, "t", n=16)
-    rows = m.transform(df).select("id", "tfidf").collect()
-    for r in rows:
-        v = r.tfidf.toArray()
-        assert abs((v ** 2).sum() - 1.0) < 1e-9
-    assert len(rows[0].tfidf) <= 16
+def test_tfidf_by_hand(spark, tmp_path):
+    """Three documents; "red fox" and its words are the most frequent terms, "the" is a stop word, "x" is too short."""
+    df = spark.createDataFrame([(1, "The red fox. RED fox x"), (2, "red fox"), (3, "blue"), (4, None), (5, "green owls")], "id long, t string")
+    Tfidf.fit(df.limit(4), F.col("t"), n=4).save(spark, str(tmp_path / "model"))
+    m = Tfidf.load(spark, str(tmp_path / "model"))
+    # counts: red 3, fox 3, "red fox" 3, blue 1, "fox red" 1; of 4 documents red, fox and the pair are in 2, blue in 1
+    assert m.terms == ["blue", "fox", "red", "red fox"] and m.n == 4
+    assert m.idf == [pytest.approx(math.log(5 / d) + 1) for d in (2, 3, 3, 3)]
+    got = {r.id: r.v for r in m.vectors(df, F.col("t"), "v").collect()}
+    assert got[1] == [0, *[pytest.approx(1 / math.sqrt(3))] * 3] and got[2] == got[1] and got[3] == [1, 0, 0, 0]
+    assert got[4] == [0] * 4 and got[5] == [0] * 4
+    none = Tfidf.fit(df.limit(0), F.col("t"), n=4)
+    assert none.vectors(df, F.col("t"), "v").first().v == [0] * 4
 
 
 def test_consume_pages_stops_and_caps(spark):
