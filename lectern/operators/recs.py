@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from lectern.functions.vectors import decay, l2_normalize
 from lectern.operators.similarity import block_top_k, top_k_per
 from lectern.operators.svd import Svd, truncated_svd
-from lectern.session import AS_OF
+from lectern.session import AS_OF, stored
 
 # ---- fixed values that must equal the reference ----
 ACTION_WEIGHTS = {"save": 3.0, "view": 1.0}
@@ -139,12 +139,12 @@ def fit_svd(matrix: DataFrame, k: int = SVD_RANK) -> Svd | None:
     Skips (returns None) with fewer than 10 non-zeros or when min(shape) - 1 < 2.  The factors are U S by user and V
     by item, so score(u, i) = uf . vf (the rank-k reconstruction).
     """
-    stats = matrix.agg(F.count(F.lit(1)).alias("nnz"), F.countDistinct("user_id").alias("nu"),
-                       F.countDistinct("external_id").alias("ni")).first()
-    rank = min(k, min(stats["nu"], stats["ni"]) - 1)
-    if stats["nnz"] < 10 or rank < 2:
+    cells = stored(matrix, "interactions")
+    nnz, nu, ni = cells.count(), cells.select("user_id").distinct().count(), cells.select("external_id").distinct().count()
+    rank = min(k, min(nu, ni) - 1)
+    if nnz < 10 or rank < 2:
         return None
-    return truncated_svd(matrix, "user_id", "external_id", rank)
+    return truncated_svd(cells, "user_id", "external_id", rank)
 
 
 def collab_recs(factors: Svd | None, activity: DataFrame, k: int) -> DataFrame:

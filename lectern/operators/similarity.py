@@ -129,15 +129,16 @@ def plan_cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: st
             for d, at in _by_length(b.column(1)):
                 cell, far = cells.assign(_rows(b.column(1), at))
                 own = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(at), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(far)],
-                                                 names=["_iid", "_vec", "_dim", "_cell", "_far"])
+                # a cell's blocks are known once its size is
+                part = own.column(2).to_numpy() % cells.parts(d)[cell] if d in cells.sizes else np.zeros(len(at))
+                cols = [own.column(0), own.column(1), *(pa.array(x.astype(np.int32)) for x in (np.full(len(at), d), cell, part)), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(cols, names=["_iid", "_vec", "_dim", "_cell", "_part", "_far"])
 
     whole = items.where(F.forall("_vec", lambda v: v.isNotNull()))
-    put = stored(whole.mapInArrow(assign, f"_iid {i_type}, _vec array<double>, _dim int, _cell int, _far double"), "cells")
-    cells.learn(put.groupBy("_dim", "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect())  # a row per cell
-    sizes = put.groupBy("_dim", "_cell").agg(F.ceil(F.count("*") / block_rows).alias("_parts"))
-    item_rows = put.join(F.broadcast(sizes), ["_dim", "_cell"]).select(  # at most MAX_CELLS rows for each length
-        "_dim", "_cell", F.pmod(F.xxhash64("_iid"), F.col("_parts")).cast("int").alias("_part"), "_iid", "_vec")
+    placed = whole.withColumn("_h", F.xxhash64("_iid"))
+    put = lambda: placed.mapInArrow(assign, f"_iid {i_type}, _vec array<double>, _dim int, _cell int, _part int, _far double")
+    cells.learn(put().groupBy("_dim", "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect())  # a row per cell
+    item_rows = put().select("_dim", "_cell", "_part", "_iid", "_vec")
     more = F.col(extra).cast("long") if extra else F.lit(0).cast("long")
 
     def deal(batches):

@@ -107,24 +107,28 @@ def _whitener(gram: np.ndarray) -> np.ndarray:
 def truncated_svd(cells: DataFrame, row: str, column: str, k: int, oversample: int = OVERSAMPLE, tol: float = TOL,
                   max_cycles: int = MAX_CYCLES) -> Svd | None:
     """The k largest singular values of `cells` (row, column, w) with their factors; cells of one place are one row.
+    They are read in every cycle: pass a stored table.
 
     None if there is no weight at all.  If `max_cycles` or rounding end it first, `residual` says how far it has come.
     """
-    cells = kept(cells.select(row, column, F.col("w").cast("double").alias("w")))
+    cells = cells.select(row, column, F.col("w").cast("double").alias("w"))
     by_column = cells.groupBy(column).agg(F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"))
     moments = by_column.agg(F.count("*").alias("n"), F.sum("s2").alias("s2"), F.sum(F.col("s1") * F.col("s1")).alias("s1")).first()
-    n_rows = cells.select(row).distinct().count()
     if not moments["n"] or not moments["s2"]:
         return None
     wide = min(k + oversample, moments["n"])
     draw = F.transform(F.sequence(F.lit(1), F.lit(wide)), lambda j: F.xxhash64(F.col(column), j).cast("double") / float(1 << 63))
-    start = kept(cells.select(column).distinct().withColumn("x", draw))
-    v = kept(_combined(start, column, _whitener(_gram(start))))
+    start = cells.select(column).distinct().withColumn("x", draw)
+    w = _whitener(_gram(start))
+    v, b = kept(_combined(start, column, w)), w.shape[1]
     y = kept(_times(cells, v, column, row))
-    b = len(v.first()["x"])
     p = yp = None
     mark, stuck = float("inf"), 0
     for cycle in range(1, max_cycles + 1):
+        if b >= moments["n"]:  # the block spans all columns: there is no residual
+            e, c = np.linalg.eigh(_gram(y))
+            top, lam, residual = c[:, ::-1][:, :k], np.maximum(e[::-1][:k], 0), 0.0
+            break
         z = _times(cells, y, row, column)
         x = kept(_beside(v, z, column) if p is None else _beside(_beside(v, z, column), p, column))
         gram = _gram(x)
@@ -138,7 +142,7 @@ def truncated_svd(cells: DataFrame, row: str, column: str, k: int, oversample: i
         residual = float((np.sqrt(np.maximum(off, 0)) / np.maximum(lam, max(1e-8 * lam[0], 1e-300))).max())
         stuck = 0 if residual < 0.5 * mark else stuck + 1
         mark = min(mark, residual) if stuck == 0 else mark
-        if residual <= tol or stuck > STUCK or b >= moments["n"] or cycle == max_cycles:
+        if residual <= tol or stuck > STUCK or cycle == max_cycles:
             break
         y2 = _times(cells, x.select(column, F.slice("x", b + 1, b).alias("x")), column, row)
         ax = kept(_beside(y, y2, row) if yp is None else _beside(_beside(y, y2, row), yp, row))
@@ -154,9 +158,10 @@ def truncated_svd(cells: DataFrame, row: str, column: str, k: int, oversample: i
         v, p, y, yp = part(x, column, 0), part(x, column, b), part(ax, row, 0), part(ax, row, b)
     keep = lam > 1e-13 * lam[0]  # the rest is rounding of the Gram matrices
     top, lam = top[:, keep], lam[keep]
-    rows, columns = kept(_combined(y, row, top)), kept(_combined(v, column, top))
-    sums = np.array(rows.agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("s")).first()["s"])
+    y = y.select(row, "x")
+    sums = y.agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("s")).first()
+    n_rows, sums = sums["n"], np.array(sums["s"]) @ top
     # variance of the factors over the rows, against that of the matrix's columns
     whole = moments["s2"] / n_rows - moments["s1"] / n_rows ** 2
     explained = float((lam / n_rows - (sums / n_rows) ** 2).sum() / whole) if whole > 0 else 0.0
-    return Svd(rows, columns, np.sqrt(lam).tolist(), explained, residual, cycle)
+    return Svd(_combined(y, row, top), _combined(v, column, top), np.sqrt(lam).tolist(), explained, residual, cycle)

@@ -161,7 +161,7 @@ FROM n
 def svd_spectrum(spark, sf_dir):
     """M5: every singular value s of the interaction matrix A, held against the traces of the powers of A'A
     (the sums of s^2, s^4 and s^6), and the explained variance of all of them together."""
-    m = R.interaction_matrix(T.user_activity(spark, sf_dir))
+    m = stored(R.interaction_matrix(T.user_activity(spark, sf_dir)), "interactions")
     n = m.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("external_id").alias("items")).first()
     svd = truncated_svd(m, "user_id", "external_id", min(n["users"], n["items"]))
     s2 = [v * v for v in svd.values]

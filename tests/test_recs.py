@@ -51,6 +51,8 @@ def test_bounds_prune_and_stay_exact(spark):
     key = ["_dim", "_cell", "_part"]
     pairs = query_rows.join(item_rows.groupBy(*key).count(), key).agg(F.sum("count")).first()[0]
     assert pairs < 0.2 * len(Q) * len(I)
+    blocks = {tuple(r[:3]): r["count"] for r in item_rows.groupBy(*key).count().collect()}
+    assert sum(blocks.values()) == len(I) + 1 and max(blocks.values()) < 90 and any(part > 0 for _, _, part in blocks)
 
 
 def test_block_top_k_of_nothing(spark):
