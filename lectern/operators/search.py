@@ -334,6 +334,44 @@ def dedupe_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return first.select(*[F.col("_row")[c].alias(c) for c in cols], "_k")
 
 
+STORED = "stored"          # the list of the platform's own matches, the first of the lists
+STORED_MATCHES = 40        # fixed value: own matches that join a live search
+DEADLINE_SECONDS = 45      # fixed value: what a live search waits for
+
+
+def live_response(results: DataFrame, outcomes: DataFrame, stored: DataFrame, order: list[tuple[str, bool]], max_results: int,
+                  deadline: int = DEADLINE_SECONDS) -> DataFrame:
+    """M12, the whole answer of a live search: own matches first, the sources that answered in time, and a report.
+
+    results: rows with `source`; outcomes: (source, seconds, error), one row for each source asked; stored: own
+    matches with the columns of `results`, the newest STORED_MATCHES of them join.  A source that took longer than
+    `deadline` is late, one with an error has failed; neither gives results.  The lists are interleaved (W1, own matches
+    first, then sources by name), de-duplicated (W3), and the first `max_results` are returned.
+
+    Rows (part, pos, external_id, source, note, total): `article` rows in order, a `late` or `failed` row for each such
+    source, and one `summary` row: total found before the limit, note `partial` if a source was late, else `complete`.
+    """
+    late = F.col("seconds") > deadline
+    state = F.when(late, "late").when(F.coalesce("error", F.lit("")) != "", "failed").otherwise("ok")
+    told = outcomes.select(F.col("source").alias("asked"), state.alias("state"), "error")
+    fine = results.join(told.where("state = 'ok'").select(F.col("asked").alias("source")), "source", "left_semi").select(*results.columns)
+    own = stored.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]).limit(STORED_MATCHES)
+    lists = fine.withColumn("_rank", F.concat(F.lit("1"), F.col("source"))).unionByName(
+        own.select(*[c for c in results.columns if c != "source"], F.lit(STORED).alias("source"), F.lit("0").alias("_rank")))
+    found = cut_lineage(dedupe_first(interleave(lists, "source", order, F.col("_rank")), dedupe_key(), [F.col("rn"), F.col("src_rank")])
+                        .select("external_id", "source", "rn", "src_rank"))
+    first = found.orderBy("rn", "src_rank").limit(max_results)  # at most max_results rows are numbered
+    pos = F.row_number().over(Window.orderBy("rn", "src_rank"))
+    none = lambda kind: F.lit(None).cast(kind)
+    articles = first.select(F.lit("article").alias("part"), pos.alias("pos"), "external_id", "source", none("string").alias("note"), none("long").alias("total"))
+    reports = told.where("state <> 'ok'").select("state", none("int"), none("string"), "asked", F.when(F.col("state") == "failed", F.col("error")), none("long"))
+    n_late = told.agg(F.count(F.when(F.col("state") == "late", 1)).alias("late")).withColumn("total", F.lit(0))
+    total = found.agg(F.count(F.lit(1)).alias("total")).withColumn("late", F.lit(0)).select("late", "total").unionAll(n_late.select("late", "total"))
+    summary = total.agg(F.sum("late").alias("late"), F.sum("total").alias("total")).select(
+        F.lit("summary"), none("int"), none("string"), none("string"), F.when(F.col("late") > 0, "partial").otherwise("complete"), F.col("total").cast("long"))
+    return articles.unionAll(reports).unionAll(summary)
+
+
 # ---------------------------------------------------------------- live result cleaning
 
 def clean_live(df: DataFrame, as_of: str = AS_OF, max_abstract: int | None = None) -> DataFrame:

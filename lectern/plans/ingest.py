@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import store as ST
@@ -210,6 +213,57 @@ def live_search(spark, sf_dir):
     return d.select("external_id", "source", "rn", F.col("_k").alias("dkey"))
 
 
+@query("live_response", views=("article",), sql=f"""
+WITH {_LIVE_SRC},
+hit AS (SELECT * FROM src
+        WHERE contains(lower(title), 'ent') OR contains(lower(abstract), 'ent')
+           OR contains(lower(array_to_string([a.name for a in authors], ' ')), 'ent')),
+own AS (SELECT external_id, title, doi, published_date FROM article
+        WHERE trim(title) <> '' AND (contains(lower(title), 'ent') OR contains(lower(abstract), 'ent')
+           OR contains(lower(array_to_string([a.name for a in authors], ' ')), 'ent'))
+        ORDER BY published_date DESC NULLS LAST, external_id LIMIT 40),
+lists AS (SELECT external_id, title, doi, published_date, source, '1' || source AS src_rank FROM hit WHERE source <> 'semantic_scholar' AND trim(title) <> ''
+          UNION ALL SELECT external_id, title, doi, published_date, 'stored', '0' FROM own),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_date DESC NULLS LAST, external_id) AS rn,
+             coalesce(nullif(doi, ''), nullif(external_id, ''), nullif(trim(title), '')) AS dkey FROM lists),
+d AS (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY rn, src_rank) AS r1 FROM c WHERE dkey IS NOT NULL),
+f AS (SELECT external_id, source, row_number() OVER (ORDER BY rn, src_rank) AS pos FROM d WHERE r1 = 1)
+SELECT 'article' AS part, CAST(pos AS INTEGER) AS pos, external_id, source, NULL AS note, NULL::BIGINT AS total FROM f WHERE pos <= 50
+UNION ALL SELECT 'late', NULL, NULL, 'semantic_scholar', NULL, NULL
+UNION ALL SELECT 'failed', NULL, NULL, 'doaj', 'HTTP 503', NULL
+UNION ALL SELECT 'summary', NULL, NULL, NULL, 'partial', count(*) FROM f
+""")
+def live_response(spark, sf_dir):
+    """M12 as answered: a search for 'ent' over own content and four sources, one of which failed and one of which is
+    late (its results come, but too late); own matches first, 50 results, and the report."""
+    from lectern.operators import search as S
+    cols = ["external_id", "title", "abstract", "authors", "published_date", "doi", "url", "keywords", "source"]
+    found = S.clean_live(_normalized_sources(spark, sf_dir).filter(S.matches_query("ent"))).select(*cols)
+    own = T.article(spark, sf_dir).withColumn("source", F.lit(S.STORED)).withColumn("keywords", F.array().cast("array<string>"))
+    own = S.clean_live(own.select(*cols).filter(S.matches_query("ent"))).select(*cols)
+    outcomes = spark.createDataFrame([("openalex", 3.0, None), ("crossref", 45.0, ""), ("semantic_scholar", 45.5, None), ("doaj", 1.0, "HTTP 503")],
+                                     "source string, seconds double, error string")
+    return S.live_response(found, outcomes, own, [("published_date", False), ("external_id", True)], 50)
+
+
+@query("normalizer_registry", views=("article",), sql="""
+SELECT 'openalex' AS source, 'openalex:W' || CAST(id AS VARCHAR) AS external_id, title FROM article
+UNION ALL SELECT 'crossref', 'crossref:' || coalesce(doi, '10.9999/x.' || CAST(id AS VARCHAR)), title FROM article
+UNION ALL SELECT 'semantic_scholar', 's2:p' || CAST(id AS VARCHAR), title FROM article
+UNION ALL SELECT 'core', 'core:c' || CAST(id AS VARCHAR), title FROM article
+""")
+def normalizer_registry(spark, sf_dir):
+    """Payloads of four sources, each normalised by what is registered under its source's name."""
+    arts = T.article(spark, sf_dir)
+    landed = {"openalex": (P.land_openalex, P.OPENALEX_SCHEMA, ["results"]), "crossref": (P.land_crossref, P.CROSSREF_SCHEMA, ["message", "items"]),
+              "semantic_scholar": (P.land_semantic_scholar, P.SEMANTIC_SCHOLAR_SCHEMA, ["data"]), "core": (P.land_core, P.CORE_SCHEMA, ["results"])}
+    parts = []
+    for name, (land, schema, path) in landed.items():
+        rows = N.normalizer(name)(P.read_json_payloads(land(arts), schema, path))
+        parts.append(rows.select(F.lit(name).alias("source"), "external_id", "title"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("source_run", views=("article",), sql="""
 WITH items AS (SELECT 'openalex:W' || CAST(id AS VARCHAR) AS external_id, source_name AS source, published_date,
                       published_date IS NULL AND id % 2 = 0 AS keyless FROM article),

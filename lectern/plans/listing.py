@@ -104,7 +104,7 @@ def interleave_sources(spark, sf_dir):
 
 
 @query("interleave_by_size", views=("content_union",), sql="""
-WITH m AS (SELECT * FROM content_union WHERE contains(lower(title), 'tion'))
+WITH m AS (SELECT * FROM content_union WHERE contains(lower(title), 'tion') OR contains(lower(abstract), 'tion'))
 SELECT id, source_name,
        row_number() OVER (PARTITION BY source_name ORDER BY id) AS rn,
        count(*) OVER (PARTITION BY source_name) AS src_size,
@@ -113,7 +113,7 @@ FROM m
 """)
 def interleave_by_size(spark, sf_dir):
     """W2 over the search result 'tion' (uneven source buckets); list order = id."""
-    m = T.content_union(spark, sf_dir).filter(S.text_match("tion", ["title"]))
+    m = T.content_union(spark, sf_dir).filter(S.text_match("tion", ["title", "abstract"]))
     return S.interleave_by_size(m, "source_name", "id").select("id", "source_name", "rn", "src_size",
                                                                 "first_pos")
 

@@ -111,9 +111,9 @@ def nlp_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
-    n = read(spark, sf_dir, "nation")  # 25 rows by definition
+    n = read(spark, sf_dir, "nation")
     empty = F.col("c_custkey") % 5 == 0
-    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left")
+    return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
             .select(F.col("c_custkey").alias("user_id"),
                     F.col("c_name").alias("name"),
                     F.when(F.col("c_acctbal") > 5000, "researcher").otherwise("student").alias("profession"),
