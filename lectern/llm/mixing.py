@@ -21,9 +21,9 @@ Finding the cut needs no global sort: ranking numbers fall into up to
 cut lies, and only that slice's documents are numbered.
 
 Defined results: null text has size 0; a source of size 0 has target 0; null is
-a source of its own, last in the order; rows with equal or null doc_id draw
-equal numbers and are ordered by text hash, those equal in text too are taken
-alike; an empty table gives no rows; only
+a source of its own, last in the order; rows with an equal doc_id draw equal
+numbers and are ordered by text hash, rows without one draw by their text; of rows that are
+equal in both as many are taken as the target leaves room for; an empty table gives no rows; only
 doc_id, text, source (and the weight column) are read.
 """
 
@@ -66,8 +66,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor:
 
 
 def uniform(key: Column, seed: int = SEED) -> Column:
-    """A number in (0, 1) from the md5 of the seed and the key as text; the same on every run."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))
+    """A number in (0, 1) from the md5 of the seed and the key (a string); the same on every run."""
+    text = F.concat_ws(":", F.lit(str(seed)), key)
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -116,7 +116,13 @@ def _with(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> DataFra
 
 def _sized(docs: DataFrame, weight: str | None) -> DataFrame:
     dw = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "source", word_count(F.col("text")).alias("size"), dw.alias("dw"))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), _draw_key(F.col("doc_id"), F.col("text")).alias("draw"), "source",
+                       word_count(F.col("text")).alias("size"), dw.alias("dw"))
+
+
+def _draw_key(doc_id: Column, text: Column) -> Column:
+    """What a document's random number is made of: its doc_id, or the text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def _ranked(sized: DataFrame, per_source: DataFrame, max_copies: int, seed: int) -> DataFrame:
@@ -127,7 +133,7 @@ def _ranked(sized: DataFrame, per_source: DataFrame, max_copies: int, seed: int)
     # q is taken relative to the source's mean odds, so that q / (1 + q) spreads over (0, 1)
     flat = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mean = F.greatest(F.least(flat - F.floor(flat), F.lit(0.999)), F.lit(0.001))
-    q = _odds(uniform(F.col("doc_id"), seed)) / _odds(F.col("p")) * _odds(mean)
+    q = _odds(uniform(F.col("draw"), seed)) / _odds(F.col("p")) * _odds(mean)
     slices = SIDE * F.least(F.ceil(F.col("n_docs") / (SIDE * 32)), F.lit(SIDE))
     draws = (F.col("p") > 1e-12) & (F.col("size") > 0)
     return rows.withColumn("rank", F.when(draws, q / (1 + q))).withColumn("slice", F.floor(F.col("rank") * slices)).drop("p")
@@ -162,12 +168,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FA
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionAll(p)
-    picked = stored(picked.distinct(), "picked")
+    picked = stored(_tallied(picked), "picked")
     # one more, the smallest left, in sources that went on
     left = _with(_copies(sized, base, picked, max_copies, seed), ended.select("source", F.col("room").alias("gap")))
     one = left.where("rank is not null and copies = whole and size < 2 * gap and k is not null") \
-        .groupBy("source").agg(F.min(F.struct("size", "rank", "doc_id", "th")).alias("m")).select("source", "m.doc_id", "m.th")
-    return base, stored(picked.unionAll(one), "picked"), sized
+        .groupBy("source").agg(F.min(F.struct("size", "rank", "doc_id", "th")).alias("m")).select("source", "m.doc_id", "m.th", F.lit(1).cast("long").alias("rows"))
+    return base, stored(_tallied(picked.unionAll(one)), "picked"), sized
+
+
+def _tallied(picked: DataFrame) -> DataFrame:
+    """(source, doc_id, th, rows): how many of the rows that are equal in these are picked."""
+    return picked.groupBy("source", "doc_id", "th").agg(F.sum("rows").alias("rows"))
 
 
 def _bounds(sums: DataFrame, left: DataFrame) -> DataFrame:
@@ -255,17 +266,24 @@ def _picked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = near.where("run > room").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FILL)
     rest = _with(rest, used, "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
     filled, later = _fill(rest)
-    return stored(head.select("source", "doc_id", "th").unionAll(filled).distinct(), "picked"), later
+    return stored(_tallied(head.select("source", "doc_id", "th").unionAll(filled).withColumn("rows", F.lit(1).cast("long"))), "picked"), later
 
 
 def _copies(sized: DataFrame, per_source: DataFrame, picked: DataFrame, max_copies: int, seed: int) -> DataFrame:
-    """Adds copies: the certain ones, and one more for what comes before the cut, is in a band or was picked at a cut."""
+    """Adds copies: the certain ones, and one more for what comes before the cut, is in a band or was picked at a cut.
+
+    Of equal rows as many as were picked get one more; only rows of keys that are picked in part are numbered.
+    """
     rows = _ranked(sized, per_source, max_copies, seed)
-    p = small(picked.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), F.col("th").alias("pt"), F.lit(True).alias("hit")), MANY_SOURCES)
+    p = small(picked.select(F.col("source").alias("ps"), F.col("doc_id").alias("pd"), F.col("th").alias("pt"), F.col("rows").alias("hits")), MANY_SOURCES)
     same = F.col("source").eqNullSafe(F.col("ps")) & F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt"))
     band = F.exists("bands", lambda b: (F.struct(*PLACE) > b["after"]) & (b["k"].isNull() | (F.col("slice") < b["k"])) & (F.col("size") <= b["most"]))
-    more = F.col("rank").isNotNull() & (F.col("k").isNull() | (F.col("slice") < F.col("k")) | F.coalesce(band, F.lit(False)) | F.coalesce("hit", F.lit(False)))
-    return rows.join(p, same, "left").drop("ps", "pd", "pt").withColumn("copies", F.col("whole") + more.cast("long"))
+    sure = F.col("rank").isNotNull() & (F.col("k").isNull() | (F.col("slice") < F.col("k")) | F.coalesce(band, F.lit(False)))
+    rows = rows.join(p, same, "left").drop("ps", "pd", "pt").withColumn("_sure", sure).withColumn("_hit", F.col("rank").isNotNull() & F.col("hits").isNotNull() & ~F.col("_sure"))
+    alone = rows.where("not _hit").withColumn("copies", F.col("whole") + F.col("_sure").cast("long"))
+    nth = F.row_number().over(Window.partitionBy("source", "doc_id", "th").orderBy("th"))
+    few = rows.where("_hit").withColumn("copies", F.col("whole") + (nth <= F.col("hits")).cast("long"))
+    return alone.unionAll(few).drop("_sure", "_hit", "hits")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, max_copies: int = MAX_COPIES,
@@ -282,7 +300,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = F
     per_source, picked, _ = plan(docs, weights, factor, max_copies, weight, seed)
     # every column of the row travels in one struct, so that no name can clash
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    parts = whole.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("th"), F.col("row.source").alias("source"),
+    parts = whole.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("th"),
+                         _draw_key(F.col("row.doc_id"), F.col("row.text")).alias("draw"), F.col("row.source").alias("source"),
                          word_count(F.col("row.text")).alias("size"), (F.col(f"row.{weight}") if weight else F.lit(1.0)).alias("dw"))
     rows = _copies(parts, per_source, picked, max_copies, seed).where("copies > 0")
     return rows.select("row", F.explode(F.expr("sequence(1, int(copies))"))).select("row.*")
@@ -295,7 +314,7 @@ def op2_mix(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (
   SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w,
@@ -312,7 +331,7 @@ expected AS (
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 drawn AS (
   SELECT *, floor(e) AS whole, e - floor(e) AS p,
-         (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u,
+         (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u,
          greatest(least(e - floor(e), 0.999::DOUBLE), 0.001::DOUBLE) AS m FROM expected),
 ranked AS (
   SELECT *, CASE WHEN p > 1e-12 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) * (m / (1 - m)) END AS q FROM drawn),
