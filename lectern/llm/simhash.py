@@ -207,26 +207,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, leaf:
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """`docs` with one document of each component: the one with the least doc_id, of several texts of that doc_id
-    the one with the least hash.
+    the one with the least hash; rows without a doc_id come after all others.
 
     A document is known by doc_id and text: other text under the same doc_id is a document of its own, and repeated
-    rows count as one.  Rows without a doc_id go if a document with one is kept for them; in a component of such rows
-    alone they cannot be named and stay.
+    rows, with a doc_id or without, count as one.
     """
-    rows = near_duplicates(docs, shingle, max_bits).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_did"), F.col("th").alias("_th"),
-                                                           F.col("doc_id").isNotNull().alias("named"), "root")
-    keys = stored(rows.groupBy("_did", "_th", "named").agg(F.count("*").alias("n"), F.min("root").alias("root")), "members")
-    best = keys.where("named").groupBy("root").agg(F.min(F.struct("_did", "_th")).alias("best"))
-    keep = F.when(F.col("named"), F.struct("_did", "_th") == F.col("best")).otherwise(F.col("best").isNull())
-    keys = stored(keys.join(best, "root", "left").select("_did", "_th", "named", "n", keep.alias("keep")).where("named and n > 1 or not keep"), "looked-at")
+    key = {"_no": F.col("doc_id").isNull(), "_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))}
+    rows = near_duplicates(docs, shingle, max_bits).withColumns(key).withColumnRenamed("th", "_th")
+    place = ["_no", "_did", "_th"]
+    keys = stored(rows.groupBy(*place).agg(F.count("*").alias("n"), F.min("root").alias("root")), "members")
+    best = keys.groupBy("root").agg(F.min(F.struct(*place)).alias("best"))
+    keys = keys.join(best, "root").withColumn("keep", F.struct(*place) == F.col("best"))
+    keys = stored(keys.select(*place, "n", "keep").where("n > 1 or not keep"), "looked-at")
     # only texts that may go, or that are there again, are shuffled
-    key = {"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_th": F.xxhash64("doc_id", "text")}
-    whole = marked(docs.withColumns(key), F.col("_th"), bitmap(keys.select(F.col("_th").alias("h")), "looked-at-bitmap"))
-    left = whole.where("_marked").join(keys.where("not keep").select("_did", "_th").hint("merge"), ["_did", "_th"], "left_anti")
-    named = left.where("doc_id is not null")
-    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy("_did", "_th").orderBy("_th"))).where("_nth = 1")
-    parts = (whole.where("not _marked"), named, left.where("doc_id is null"))
-    return parts[0].select(*docs.columns).unionAll(parts[1].select(*docs.columns)).unionAll(parts[2].select(*docs.columns))
+    whole = marked(docs.withColumns(key).withColumn("_th", F.xxhash64("doc_id", "text")), F.col("_th"), bitmap(keys.select(F.col("_th").alias("h")), "looked-at-bitmap"))
+    left = whole.where("_marked").join(keys.where("not keep").select(*place).hint("merge"), place, "left_anti")
+    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy(*place).orderBy("_th"))).where("_nth = 1")
+    return whole.where("not _marked").select(*docs.columns).unionAll(left.select(*docs.columns))
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

@@ -93,7 +93,14 @@ def test_keep_one_leaves_one_of_each_group(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [10, 12, 13]
-    assert kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id is null").count() == 1
+
+
+def test_many_copies_without_an_id_leave_one(spark):
+    rows = [(None, prose(5))] * 50 + [(None, prose(5).upper())] * 3 + [(None, None)] * 4 + [(None, prose(6)), (9, prose(6))]
+    kept = simhash.keep_one(documents(spark, rows).repartition(7)).collect()
+    assert len(kept) == 3 and sorted((r.doc_id, (r.text or "").lower()) for r in kept if r.doc_id) == [(9, prose(6))]
+    assert sorted((r.text or "").lower() for r in kept if not r.doc_id) == ["", prose(5)]
 
 
 def test_keep_one_knows_documents_by_id_and_text(spark):
