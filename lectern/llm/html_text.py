@@ -245,10 +245,10 @@ class Page:
         if words and text[-1:].isspace():
             self._add("space", " ", False)
 
-    def region(self, scores: dict[str, float]) -> tuple[int, int]:
-        """The contiguous range of tokens with the greatest score (the first, and of equals the longest)."""
+    def region(self, scores: dict[str, float], stop: int | None = None) -> tuple[int, int]:
+        """The contiguous range of tokens before `stop` with the greatest score (the first, and of equals the longest)."""
         best, found, total, start = 0.0, (0, 0), 0.0, 0
-        for i, kind in enumerate(self.kinds):
+        for i, kind in enumerate(self.kinds[:stop]):
             if total < 0:
                 total, start = 0.0, i
             total += score(kind, scores)
@@ -314,7 +314,12 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
     if not page:
         return ""
     p = Page(page)
-    return p.text(*p.region(scores))
+    if "comments" not in p.kinds:
+        return p.text(*p.region(scores))
+    # no region begins at or after a heading of comments; if the learned scores see nothing before it, the prior ones look
+    stop = p.kinds.index("comments")
+    first, end = p.region(scores, stop)
+    return p.text(*((first, end) if end else p.region({}, stop)))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

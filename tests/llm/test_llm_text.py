@@ -341,3 +341,14 @@ def test_scan_finds_the_best_region():
 @pytest.mark.parametrize("text", ["<" * 20_000, '<a "' * 20_000, "<!--" * 20_000, "<script>" * 5_000, '<div class="ad">x' * 5_000, "<p>" * 50_000, "&" * 50_000])
 def test_broken_pages_take_linear_time(text):
     html_text.extract(text, {})
+
+
+@pytest.mark.parametrize("scores", [{}, {"word:div": -1.0, "word:p": 2.0}])
+@pytest.mark.parametrize("wrap", ["div", 'section class="story"', "article"])
+def test_comments_never_are_the_article(wrap, scores):
+    article, talk = prose(1, 40), prose(2, 200)
+    end = wrap.split()[0]
+    html = f"<body><nav>a b c</nav><{wrap}>{article}</{end}><h3>Comments</h3><div>{talk}</div><div>{talk}</div></body>"
+    got = html_text.extract(html, scores)
+    assert article in got and not any(w in got for w in talk.split() if w not in article and len(w) > 5) and "Comments" not in got
+    assert html_text.extract(f"<h2>3 Comments</h2><p>{talk}</p>", scores) == ""
