@@ -42,7 +42,7 @@ class Rule(NamedTuple):
 
 
 RULES = (
-    Rule("words", "n_words", "one", 50, 100_000),
+    Rule("words", "n_words", "one", 50, None),
     Rule("word length", "word_chars", "n_words", 3.0, 10.0),
     Rule("symbols to words", "n_symbols", "n_words", None, 0.1),
     Rule("stop words to words", "n_stop", "n_words", 0.06, None),
