@@ -104,6 +104,38 @@ def test_mix_equals_sql_and_comes_near_its_targets(spark):
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {d: c for d, c in want.items() if c}
 
 
+def near_targets(docs, slack, **kw):
+    by = {}
+    for r in mixing.mix(docs, **kw).collect():
+        assert r.taken <= 2 * r["size"]
+        t = by.setdefault(r.source, [r.target, 0])
+        t[1] += r.taken
+    assert all(abs(taken - target) <= slack for target, taken in by.values()), by
+    return by
+
+
+def test_equal_rows_at_a_cut_keep_the_target(spark):
+    """3,000 equal rows without doc_id among two other sources: 13,375 words of the source's 30,000 are wanted once more."""
+    ten = " ".join(["w"] * 10)
+    rows = [(None, ten, "en", "s1")] * 3000 + sources(2, 60, "s2") + sources(3, 60, "s3") + [(7, ten, "en", "s3")] * 900
+    docs = documents(spark, rows).repartition(9)
+    by = near_targets(docs, 60)
+    assert abs(by["s1"][1] - by["s1"][0]) <= 10
+    mixed = mixing.mixed(docs).where("source = 's1'").count()
+    assert mixed * 10 == by["s1"][1]
+    near_targets(documents(spark, [(None, prose(i, 1 + i % 40), "en", "a") for i in range(900)] + sources(2, 900, "b")), 60, weights=(1, 4))
+
+
+def test_null_ids_equal_sql(spark):
+    docs = documents(spark, [(None, prose(i, 1 + i % 40), "en", "a") for i in range(200)] + sources(2, 50, "b") + [(None, None, "en", "b")])
+    got = sorted((r["size"], r.taken) for r in mixing.op2_mix(docs).collect())
+    con = duckdb.connect()
+    con.register("d", docs.select("doc_id", "text", "source").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT TRY_CAST(doc_id AS BIGINT) AS doc_id, text, source FROM d")
+    want = con.execute(f"SELECT size, sum(taken) OVER () FROM ({mixing.SQL})").fetchall()
+    assert [g[0] for g in got] == sorted(w[0] for w in want)
+
+
 def test_room_behind_a_very_long_document_is_filled(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FILL", 4)
     long = " ".join(["w"] * 6000)
@@ -147,6 +179,12 @@ def test_quality_equals_sql(spark):
     same_as_sql(spark, quality.op6_quality(docs), quality.SQL, docs)
 
 
+def test_long_texts_are_not_failed_for_their_length(spark):
+    long = "\n".join(" ".join(["the", "of", "and"][i % 3] + f" {prose(k * 97 + i, 1)}" for i in range(40)) for k in range(1500))
+    row = quality.op6_quality(documents(spark, [(1, long)])).first()
+    assert row.n_words > 100_000 and row.kept
+
+
 def test_quality_cases(spark):
     good = " ".join(["the", "of", "and"][i % 3] + " " + w for i, w in enumerate(prose(50, 60).split()))
     got = {r.doc_id: r for r in quality.op6_quality(documents(spark, [(1, good), (2, "a b c d a b c"), (3, good.replace(" ", " # "))])).collect()}

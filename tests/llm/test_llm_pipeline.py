@@ -1,6 +1,7 @@
 """The pipeline: every stage against a brute-force version of its decision."""
 
 import os
+import re
 
 import pytest
 
@@ -8,15 +9,17 @@ import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from lectern.llm import decontaminate, language, mixing, simhash
 from test_llm_native import same_as_sql
+from test_llm_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
+LOWER = {k: k + 32 for k in range(65, 91)}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
 def test_registered():
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
     assert 4 <= len(pipeline.STAGES) <= 5
@@ -39,9 +42,20 @@ def test_stages(spark):
             for r in simhash.near_duplicates(before, pipeline.SHINGLE, pipeline.MAX_BITS).collect():
                 groups.setdefault(r.component_id, []).append(r.doc_id)
             assert sorted(ids) == sorted(min(g) for g in groups.values()) and kept.count() == len(groups)
+            rows = before.select("doc_id", "text").collect()
+            root = plain_components([plain_fingerprint(r.text, pipeline.SHINGLE) for r in rows], pipeline.MAX_BITS)
+            plain = {}
+            for r, k in zip(rows, root):
+                plain[k] = min(plain.get(k, r.doc_id), r.doc_id)
+            assert sorted(ids) == sorted(plain.values())
         elif name == "benchmark decontamination":
             items = spark.read.parquet(f"{SF}/benchmark.parquet")
             assert ids == {r.doc_id for r in decontaminate.op10_decontaminate(before, items).where("not contaminated").collect()}
+            split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+            windows = {tuple(w[i:i + 10]) for r in items.collect() if (w := split(r.text)) for i in range(max(1, len(w) - 9))}
+            lengths = {len(w) for w in windows}
+            hit = lambda w: any(tuple(w[i:i + n]) in windows for n in lengths for i in range(len(w) - n + 1))
+            assert ids == {r.doc_id for r in before.collect() if not hit(split(r.text))}
         elif name == "mixing to target weights":
             same_as_sql(spark, mixing.op2_mix(before), mixing.SQL, before)
             words = lambda df: sum(len(r.text.encode().split()) for r in df.collect())
