@@ -40,6 +40,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOS = 50256
 ROW = 2048
+PER_PARTITION = 256  # shards: a task packs one after the other
 SHARD_BYTES = 1 << 20
 HEAVY = 8      # equal rows are counted and dealt copy by copy if one piece of each makes more than shard_bytes / HEAVY in all
 BLOCK = 1024   # copies of a piece made by one task at a time
@@ -185,8 +186,9 @@ def pack(docs: DataFrame, path: str = VOCABULARY, row: int = ROW, eos: int = EOS
 
     dealt = _dealt(docs, path, row, eos, shard_bytes).withColumn("shard", F.pmod(F.xxhash64("th", "piece", "copy"), F.lit(shards)))
     dealt = dealt.select("doc_id", "piece", "n", "ids", "shard")
-    # so many partitions that each holds a few shards, whatever the session's number of shuffle partitions
-    return dealt.repartition(max(1, shards // 8), "shard").groupBy("shard").applyInPandas(packed, SCHEMA)
+    # partitions of about PER_PARTITION shards; fewer shards each only as long as tasks would be left without work
+    tasks = max(shards // PER_PARTITION, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    return dealt.repartition(max(1, min(shards // 8, tasks)), "shard").groupBy("shard").applyInPandas(packed, SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
