@@ -12,7 +12,9 @@ FAST = ["article_listing", "article_search", "dedupe_first", "category_counts",
         "library_state", "recent_searches", "interaction_matrix", "interaction_tiers", "source_run_stats",
         "success_ema", "api_health", "quota_session", "quota_sliding", "tokens", "keywords", "similar_items",
         "user_vectors", "content_recs", "openalex_normalize", "upsert_articles", "page_items", "parse_dates",
-        "valid_window", "profile_flags", "truthy_upsert", "consume_pages", "alias_items", "interest_overlap", "live_search"]
+        "valid_window", "profile_flags", "truthy_upsert", "consume_pages", "alias_items", "interest_overlap", "live_search", "svd_spectrum",
+        "merged_scores", "crawl_details", "frontier_queries", "xml_sources", "entity_text", "live_response", "normalizer_registry",
+        "tfidf_vectors", "interleave_by_size", "similar_response", "enrich_profiles", "profile_rebuild", "stream_enrich"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
