@@ -98,6 +98,7 @@ def clean_text(c: Column) -> Column:
     end anyway, so the mapping does not change the result.
     """
     t = ascii_ws(F.coalesce(c, F.lit("")))
+    # ---- fixed values: the patterns must match what the reference removes ----
     t = F.regexp_replace(t, r"http\S+|www\.\S+", "")
     # same matches as \S+@\S+, anchored at token starts so the scan stays linear
     t = F.regexp_replace(t, r"(?<!\S)\S+@\S+", "")
@@ -105,6 +106,7 @@ def clean_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"\$[^$]+\$", " ")
     t = F.regexp_replace(t, r"\\[a-zA-Z]+\{[^}]*\}", "")
     t = F.regexp_replace(t, r"<[^>]+>", "")
+    # ---- end of fixed values ----
     t = F.regexp_replace(t, r"\s+", " ")
     return F.trim(t)
 

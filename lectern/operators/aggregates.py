@@ -33,3 +33,14 @@ def date_drilldown(df: DataFrame, col: str, unit: str = "month") -> DataFrame:
     return (df.filter(F.col(col).isNotNull())
             .groupBy(F.trunc(F.col(col), unit).alias("period"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def date_levels(df: DataFrame, col: str) -> DataFrame:
+    """The whole drill-down of a date column in one GROUPING SETS pass: counts per year, month and day
+    (level, period = first day of it, n); nulls skipped."""
+    first = {u: F.date_trunc(u, F.col(col)).cast("date").alias(u) for u in ("year", "month", "day")}
+    days = df.filter(F.col(col).isNotNull()).select(*first.values())
+    sets = [[F.col(u)] for u in first]
+    counted = days.groupingSets(sets, *[F.col(u) for u in first]).agg(F.count(F.lit(1)).alias("n"))
+    level = F.coalesce(*[F.when(F.col(u).isNotNull(), u) for u in first])
+    return counted.select(level.alias("level"), F.coalesce(*first).alias("period"), "n")

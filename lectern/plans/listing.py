@@ -171,6 +171,18 @@ def date_drilldown(spark, sf_dir):
     return agg.date_drilldown(T.content_union(spark, sf_dir), "published_date", "month")
 
 
+@query("date_levels", views=("content_union",), sql="""
+SELECT 'year' AS level, CAST(date_trunc('year', published_date) AS DATE) AS period, count(*) AS n FROM content_union WHERE published_date IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 'month', CAST(date_trunc('month', published_date) AS DATE), count(*) FROM content_union WHERE published_date IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 'day', published_date, count(*) FROM content_union WHERE published_date IS NOT NULL GROUP BY 2
+""")
+def date_levels(spark, sf_dir):
+    """Year, month and day drill-down of published dates in one pass."""
+    return agg.date_levels(T.content_union(spark, sf_dir), "published_date")
+
+
 @query("client_filter_page", views=("content_union",), sql="""
 WITH f AS (SELECT * FROM content_union
            WHERE list_bool_or([contains(lower(c), 'fr') OR contains(lower(c), 'de') for c in categories])
