@@ -135,7 +135,19 @@ def _battery(c: DataFrame) -> DataFrame:
     c = c.withColumn("spread", spread).withColumn("lag", lag)
     p_serial = F.when(F.col("spread") > 0, _two_sided((F.col("lag") / F.col("spread") + 1 / n) * F.sqrt(n.cast("double")))).otherwise(0.0)
     p = F.least(F.lit(1.0), 3 * F.least(_two_sided(z_chi), p_runs, p_serial))
-    return c.withColumn("p", p).drop("f", "alphabet", "v", "squares", "b", "n1", "runs", "m", "spread", "lag", "k")
+    # at the length of a long word these three see little, so tokens of letters alone also undergo a runs test by vowels:
+    # vowels and changes between vowel and consonant together, of which words have more than random letters
+    c = c.withColumn("vowel", F.transform(F.split(F.lower("token"), ""), lambda x: F.instr(F.lit("aeiou"), x).cast("boolean").cast("int")))
+    changes = F.size(F.filter("vowel", lambda x, i: (i > 0) & (F.get("vowel", i - 1) != x)))
+    seen = F.aggregate("vowel", F.lit(0), lambda x, y: x + y) + changes
+    q = 5 / 26
+    change, both = 2 * q * (1 - q), q * (1 - q)
+    # variance of the sum, per letter: of the vowels, of the changes, and twice their covariance
+    var = both + change * (1 - change) + 2 * (both - change ** 2) + 4 * (both - q * change)
+    z = (seen - q * n - change * (n - 1)) / F.sqrt(var * n)
+    p_words = F.when(z > 0, _upper_tail(z)).otherwise(1.0)
+    p = F.when(F.col("encoding").isin("lower", "UPPER", "letters"), F.least(F.lit(1.0), p * 4 / 3, 4 * p_words)).otherwise(p)
+    return c.withColumn("p", p).drop("f", "alphabet", "v", "squares", "b", "n1", "runs", "m", "spread", "lag", "k", "vowel")
 
 
 def _with_parts(tokens: DataFrame) -> DataFrame:

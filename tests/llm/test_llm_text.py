@@ -54,6 +54,22 @@ def test_battery_tells_random_from_patterned(spark):
     assert not any("random" in got[i] for i, _ in patterned)
 
 
+def test_long_words_are_no_secrets(spark):
+    words = """compartmentalization internationalization counterrevolutionaries electroencephalographically deinstitutionalization uncharacteristically
+        electroencefalografista constitucionalizaciones desproporcionadamente institucionalizaciones contrarrevolucionarios
+        anticonstitutionnellement institutionnalisation intergouvernementalisation radioelectriciennes industrialisationnelles
+        Geschwindigkeitsbegrenzung Bundesverfassungsgericht Donaudampfschifffahrtsgesellschaft Lebensversicherungsgesellschaften Arbeiterunfallversicherungsgesetz
+        getUserAccountInformation createDatabaseConnection setApplicationEnvironment initializeComponentRegistry updateCustomerPreferences""".split()
+    rows = [(i, f"one {w} two") for i, w in enumerate(w for w in words if len(w) >= 20)]
+    assert len(rows) > 20
+    got = {r.doc_id: r.spans for r in secrets.op3_secrets(documents(spark, rows)).collect()}
+    assert [rows[i][1] for i in got if got[i]] == []
+    r = random.Random(3)
+    letters = [(i, "key " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz" + ("ABCDEFGHIJKLMNOPQRSTUVWXYZ" if i % 2 else ""), k=24 + i % 17))) for i in range(200)]
+    got = secrets.op3_secrets(documents(spark, letters)).collect()
+    assert sum("random" in x.spans for x in got) >= 170
+
+
 def test_random_tokens_of_every_alphabet_are_found(spark):
     r = random.Random(8)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
