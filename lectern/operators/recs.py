@@ -1,13 +1,15 @@
 """Recommendation operators for all users at once.
 
 Every operator is a DataFrame job; only M9 (greedy MMR over the two
-engines' top-k candidates of a user) runs Python per group.
+engines' top-k candidates of a user) runs Python per user.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ MMR_LAMBDA = 0.7
 SVD_RANK = 50
 # ---- end of fixed values ----
 
+MMR_ROWS = 1 << 19   # candidates in a group of users, about
+
 
 def _interactions(activity: DataFrame) -> DataFrame:
     return activity.filter(F.col("activity_type").isin("save", "view"))
@@ -99,9 +103,9 @@ def user_vectors(activity: DataFrame, saved: DataFrame, profiles: DataFrame, as_
     weight = (F.when(F.col("activity_type") == "save", ACTION_WEIGHTS["save"]).otherwise(ACTION_WEIGHTS["view"])
               * decay(F.col("created_at"), as_of)
               * F.when(F.col("_saved"), SAVED_BOOST).otherwise(1.0))
-    j = (act.join(p, "content_id").join(s, ["user_id", "content_id"], "left")
-         .select("user_id", weight.alias("w"),
-                 array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
+    # an item's weights are added up before its vector is fetched
+    weights = act.join(s, ["user_id", "content_id"], "left").groupBy("user_id", "content_id").agg(F.sum(weight).alias("w"))
+    j = weights.join(p, "content_id").select("user_id", "w", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     summed = j.groupBy("user_id").agg(Summarizer.sum(F.col("v"), F.col("w")).alias("s"))
     return summed.select("user_id", l2_normalize(vector_to_array("s")).alias("user_vec"))
 
@@ -115,12 +119,16 @@ def seen_items(activity: DataFrame) -> DataFrame:
 def content_recs(user_vecs: DataFrame, profiles: DataFrame, activity: DataFrame,
                  k: int) -> DataFrame:
     """M4: top-k items by user_vec . embedding, items the user saw excluded (exact)."""
-    seen = seen_items(activity)
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    q = user_vecs.join(n_seen, "user_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
     items = profiles.filter(F.size("embedding") > 0).select("external_id", "embedding")
-    cands = block_top_k(q, items, k, "user_id", "external_id", "user_vec", "embedding",
-                        extra="n_seen", final=False)
+    return _unseen_top_k(user_vecs.select("user_id", "user_vec"), "user_vec", items, "embedding", activity, k)
+
+
+def _unseen_top_k(users: DataFrame, u_vec: str, items: DataFrame, i_vec: str, activity: DataFrame, k: int) -> DataFrame:
+    """The k best unseen items of every user; n_seen: how many rows of `items` the user's seen items can take."""
+    seen = stored(seen_items(activity), "seen")
+    n_seen = seen.join(items.select("external_id"), "external_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
+    q = users.join(n_seen, "user_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
+    cands = block_top_k(q, items, k, "user_id", "external_id", u_vec, i_vec, extra="n_seen", final=False)
     return top_k_per(cands.join(seen, ["user_id", "external_id"], "left_anti"), "user_id", "external_id", k)
 
 
@@ -149,15 +157,11 @@ def fit_svd(matrix: DataFrame, k: int = SVD_RANK) -> Svd | None:
 
 def collab_recs(factors: Svd | None, activity: DataFrame, k: int) -> DataFrame:
     """M6: top-k items by user factor . item factor, seen items excluded (exact)."""
-    seen = seen_items(activity)
     if factors is None:
-        return seen.limit(0).select("user_id", "external_id", F.lit(0.0).alias("score"),
-                                    F.lit(0).alias("rank"))
+        return seen_items(activity).limit(0).select("user_id", "external_id", F.lit(0.0).alias("score"),
+                                                    F.lit(0).alias("rank"))
     user_f, item_f = factors.rows.withColumnRenamed("x", "uf"), factors.columns.withColumnRenamed("x", "vf")
-    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    q = user_f.join(n_seen, "user_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
-    cands = block_top_k(q, item_f, k, "user_id", "external_id", "uf", "vf", extra="n_seen", final=False)
-    return top_k_per(cands.join(seen, ["user_id", "external_id"], "left_anti"), "user_id", "external_id", k)
+    return _unseen_top_k(user_f, "uf", item_f, "vf", activity, k)
 
 
 # ---------------------------------------------------------------- hybrid
@@ -179,51 +183,87 @@ def merge_scores(content: DataFrame, collab: DataFrame) -> DataFrame:
             .withColumn("collab", F.col("collab") / F.when(mk == 0, 1.0).otherwise(mk)))
 
 
-def _mmr_fn(lam: float, top_k: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "order_key"], ascending=[False, True], kind="mergesort")
-        n = len(pdf)
-        embs = list(pdf["embedding"])
-        have = np.array([e is not None and len(e) > 0 for e in embs])
-        if n <= top_k:
-            sel = list(range(n))
-        elif not have.any():
-            sel = list(range(top_k))
-        else:
-            # similarity of every candidate pair with equal widths, clipped at 0 (max_sim starts at 0);
-            # candidates without a vector have similarity 0 to everything
-            sim = np.zeros((n, n))
-            dims = np.array([len(e) if h else -1 for e, h in zip(embs, have)])
-            for d in set(dims[have].tolist()):
-                idx = np.nonzero(dims == d)[0]
-                m = np.stack([np.asarray(embs[i], dtype=np.float64) for i in idx])
-                sim[np.ix_(idx, idx)] = m @ m.T
-            np.maximum(sim, 0.0, out=sim)
-            rel = pdf["score"].to_numpy(dtype=np.float64)
-            remaining = np.ones(n, dtype=bool)
-            remaining[0] = False
-            sel = [0]
-            max_sim = sim[:, 0].copy()
-            while len(sel) < top_k and remaining.any():
-                mmr_v = lam * rel - (1 - lam) * max_sim
-                mmr_v[~remaining] = -np.inf
-                best = int(np.argmax(mmr_v))          # first index wins ties, as the greedy loop
-                sel.append(best)
-                remaining[best] = False
-                np.maximum(max_sim, sim[:, best], out=max_sim)
-        out = pdf.iloc[sel][["user_id", "external_id", "score"]].copy()
-        out["rank"] = np.arange(1, len(out) + 1)
-        return out
-    return fn
+def _chosen(rel: np.ndarray, embs: list, lam: float, top_k: int) -> list[int]:
+    """M9 for one user: places of the chosen candidates, which come best first; embs: a vector or None for each."""
+    n = len(rel)
+    have = np.array([e is not None and len(e) > 0 for e in embs], bool)
+    if n <= top_k:
+        return list(range(n))
+    if not have.any():
+        return list(range(top_k))
+    # similarity of every candidate pair with equal widths, clipped at 0 (max_sim starts at 0);
+    # candidates without a vector have similarity 0 to everything
+    sim = np.zeros((n, n))
+    dims = np.array([len(e) if h else -1 for e, h in zip(embs, have)])
+    for d in set(dims[have].tolist()):
+        idx = np.nonzero(dims == d)[0]
+        m = np.stack([np.asarray(embs[i], dtype=np.float64) for i in idx])
+        sim[np.ix_(idx, idx)] = m @ m.T
+    np.maximum(sim, 0.0, out=sim)
+    remaining = np.ones(n, dtype=bool)
+    remaining[0] = False
+    sel = [0]
+    max_sim = sim[:, 0].copy()
+    while len(sel) < top_k and remaining.any():
+        mmr_v = lam * rel - (1 - lam) * max_sim
+        mmr_v[~remaining] = -np.inf
+        best = int(np.argmax(mmr_v))          # first index wins ties, as the greedy loop
+        sel.append(best)
+        remaining[best] = False
+        np.maximum(max_sim, sim[:, best], out=max_sim)
+    return sel
 
 
 def mmr(cands: DataFrame, profiles: DataFrame, lam: float = MMR_LAMBDA, top_k: int = 20) -> DataFrame:
-    """M9: greedy MMR re-rank per user.  A group holds a user's candidates:
-    at most the two engines' `k` together, so it fits one task."""
-    p = profiles.select("external_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    j = cands.join(p, "external_id", "left").select("user_id", "external_id", "score", "order_key", "embedding")
-    return j.groupBy("user_id").applyInPandas(
-        _mmr_fn(lam, top_k), "user_id long, external_id string, score double, rank long")
+    """M9: greedy MMR re-rank per user.
+
+    Users are dealt to groups of about MMR_ROWS candidates (the two engines' `k` of each user).  A group is sent the vector
+    of each of its items once, not once for every candidate; then its users come by one after the other.
+    """
+    kind = dict(profiles.dtypes)["embedding"]
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = stored(cands.select("user_id", "external_id", "score", F.col("order_key").cast("long").alias("order_key")), "candidates")
+    n = rows.count()
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, math.ceil(n / MMR_ROWS), min(tasks, math.ceil(n / MMR_ROWS * 64)))
+    rows = rows.withColumn("_g", F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int"))
+    vecs = rows.select("_g", "external_id").distinct().join(profiles.select("external_id", F.col("embedding").cast(kind).alias("_vec")), "external_id")
+    none = lambda t: F.lit(None).cast(t)
+    both = (vecs.select("_g", F.lit(0).alias("_kind"), none("long").alias("user_id"), none("double").alias("score"), none("long").alias("order_key"), "external_id", "_vec")
+            .unionAll(rows.select("_g", F.lit(1), F.col("user_id").cast("long"), "score", "order_key", "external_id", none(kind))))
+    both = both.repartitionById(groups, F.col("_g")).sortWithinPartitions("_g", "_kind", "user_id", F.col("score").desc(), "order_key")
+
+    def rerank(batches):
+        vectors, at, now, users = {}, None, None, []
+
+        def done():
+            """The user's candidates; one whose item has several profiles stands for each of them."""
+            own = [(s, x, v) for s, x in users for v in vectors.get(x) or [None]]
+            sel = _chosen(np.array([s for s, _, _ in own], np.float64), [v for _, _, v in own], lam, top_k)
+            return [(now[0], own[i][1], own[i][0], rank) for rank, i in enumerate(sel, 1)]
+
+        types = (pa.int64(), pa.string(), pa.float64(), pa.int64())
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)],
+                                                       names=["user_id", "external_id", "score", "rank"])
+        for b in batches:
+            out, vec = [], b.column(6)
+            flat, ends = vec.flatten().to_numpy(zero_copy_only=False), vec.offsets.to_numpy() - vec.offsets[0].as_py()
+            for i, (g, kind, user, score, item) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 1, 2, 3, 5)))):
+                if now is not None and (g != at or (user,) != now):
+                    out += done()
+                    now, users = None, []
+                if g != at:
+                    at, vectors = g, {}
+                if kind == 0:
+                    vectors.setdefault(item, []).append(flat[ends[i]:ends[i + 1]].copy())
+                else:
+                    now = (user,)
+                    users.append((score, item))
+            yield batch(out)
+        if now is not None:
+            yield batch(done())
+
+    return both.mapInArrow(rerank, "user_id long, external_id string, score double, rank long")
 
 
 def hybrid_scores(content: DataFrame, collab: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -7,24 +7,31 @@ assigned).  A cell keeps its radius, so that by Cauchy-Schwarz no item x of it c
     q . x  <=  q . centroid + |q| * radius.
 
 A query's running threshold is the (k + extra)-th best score among the selected
-items, which are items like all others: no true candidate lies below it.  A query
-is sent only to the cells whose bound reaches its threshold; there the exact
-scores are numpy products of small blocks, and only scores that reach the threshold
-leave a task.  Where vectors are clustered most cells are never met; where they point in all
-directions alike (then no exact bound helps) every cell is, in blocks of
-`block_rows` items.  No cross join, and no rows but surviving candidates.
+items, which are items like all others, and then among all that it has met: no true candidate
+lies below it.
+
+Queries and items are dealt to a grid of `groups` x `slices` tasks.  A task holds the
+queries of its group and reads the items of its slice as a stream, cell by cell: the queries whose
+bound does not reach their threshold are left out, for the others the exact scores are one matrix
+product, and k + extra candidates of a query are kept.  Where vectors are clustered most cells are
+never met; where they point in all directions alike (then no exact bound helps) every cell is.  What is
+shuffled is `groups` copies of the items and `slices` copies of the queries and of their
+candidates; the grid with the least of it is taken.  No cross join, and memory does not depend on
+the size of the tables: the more candidates there are in all, the more groups.
 
 Exactness: a query row may carry `extra` = number of candidates a later
 filter can remove (e.g. items the user already saw); k + extra candidates are kept
-(plus score ties within 1e-9), so filtering afterwards still leaves the exact top k.
+(plus scores that tie with the last within 1e-9; of entirely equal scores those with the least ids), so filtering afterwards still leaves the exact top k.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -36,6 +43,10 @@ MAX_CELLS = 1024     # centroids held by every task
 PER_CELL = 8         # selected items for each centroid
 SELECTED = 1024      # selected items that give a query its threshold
 LLOYD = 5            # k-means steps over the selected items
+KEPT = 1 << 21       # candidates that the queries of a task keep, about
+HELD_BYTES = 1 << 26  # query vectors that a task holds, about
+SCORES = 1 << 20     # scores that are made at once
+WORK = 1 << 22       # scores below which one more task is not worth while
 
 
 def _centroids(x: np.ndarray, c: int) -> np.ndarray:
@@ -67,6 +78,8 @@ def _by_length(column: pa.Array):
 class Cells:
     """Centroids, radii and sizes of the cells of each vector length, and the selected items."""
 
+    copies = 1  # most selected items of one id
+
     def __init__(self, selected: list[list[float]], n: int, block_rows: int):
         self.block_rows = block_rows
         self.selected: dict[int, np.ndarray] = {}
@@ -103,26 +116,35 @@ class Cells:
         out = np.full(len(q), -np.inf)
         x = self.selected.get(q.shape[1])
         if x is not None and (some := np.flatnonzero(need <= len(x))).size:
-            best = np.sort(q[some] @ x.T, axis=1)
+            best = q[some] @ x.T
+            best[~np.isfinite(best)] = -np.inf  # no candidates
+            best.sort(axis=1)
             out[some] = best[np.arange(len(some)), len(x) - need[some]]
         return out
 
+    def reached(self, q: np.ndarray, tau: np.ndarray, cell: int) -> np.ndarray:
+        """Which queries must meet a cell; bounds that are no numbers exclude nothing."""
+        d = q.shape[1]
+        bound = q @ self.centroids_of(d)[cell] + np.sqrt((q * q).sum(axis=1)) * (self.radii[d][cell] * (1 + 1e-9))
+        return ~(bound < tau - TIE_EPS * (1 + np.abs(bound)))
+
     def met(self, q: np.ndarray, tau: np.ndarray) -> np.ndarray:
         """Which cells each query must meet."""
-        mu, radii = self.centroids_of(q.shape[1]), self.radii[q.shape[1]]
-        bound = q @ mu.T + np.sqrt((q * q).sum(axis=1))[:, None] * radii * (1 + 1e-9)
-        return (bound >= tau[:, None] - TIE_EPS * (1 + np.abs(bound))) & (self.sizes[q.shape[1]] > 0)
+        sizes = self.sizes[q.shape[1]]
+        return np.column_stack([self.reached(q, tau, c) if sizes[c] else np.zeros(len(q), bool) for c in range(len(sizes))])
 
 
-def plan_cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, q_vec: str, i_vec: str,
-               extra: str | None = None, exclude_same_id: bool = False, block_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(item rows, query rows), dealt to blocks (_dim, _cell, _part): what must meet for the exact top k."""
-    items = stored(items.select(F.col(i_id).alias("_iid"), F.col(i_vec).cast("array<double>").alias("_vec")), "items")
+def _cells(items: DataFrame, i_id: str, i_vec: str, block_rows: int) -> tuple[DataFrame, Cells, int]:
+    """Items (_dim, _cell, _part, _iid, _vec) in their cells, the cells, and the number of items."""
+    kind = dict(items.dtypes)[i_vec]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    items = stored(items.select(F.col(i_id).alias("_iid"), F.col(i_vec).cast(kind).alias("_vec")), "items")
     n = items.count()  # from the table's footers
     wanted = max(SELECTED, PER_CELL * min(MAX_CELLS, math.ceil(n / block_rows)))
     selected = items.orderBy(F.xxhash64("_iid"), "_iid").limit(wanted).collect()
     cells = Cells([r["_vec"] for r in selected if r["_vec"] is not None and None not in r["_vec"]], n, block_rows)
-    i_type, q_type = dict(items.dtypes)["_iid"], dict(queries.dtypes)[q_id]
+    cells.copies = max(Counter(r["_iid"] for r in selected).values(), default=1)
+    i_type = dict(items.dtypes)["_iid"]
 
     def assign(batches):
         for b in batches:
@@ -136,10 +158,21 @@ def plan_cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: st
 
     whole = items.where(F.forall("_vec", lambda v: v.isNotNull()))
     placed = whole.withColumn("_h", F.xxhash64("_iid"))
-    put = lambda: placed.mapInArrow(assign, f"_iid {i_type}, _vec array<double>, _dim int, _cell int, _part int, _far double")
+    put = lambda: placed.mapInArrow(assign, f"_iid {i_type}, _vec {kind}, _dim int, _cell int, _part int, _far double")
     cells.learn(put().groupBy("_dim", "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect())  # a row per cell
-    item_rows = put().select("_dim", "_cell", "_part", "_iid", "_vec")
+    return put().select("_dim", "_cell", "_part", "_iid", "_vec"), cells, n
+
+
+def _asked(queries: DataFrame, q_id: str, q_vec: str, extra: str | None) -> DataFrame:
     more = F.col(extra).cast("long") if extra else F.lit(0).cast("long")
+    return queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).cast("array<double>").alias("_vec"), F.greatest(more, F.lit(0)).alias("_need"))
+
+
+def plan_cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str, q_vec: str, i_vec: str,
+               extra: str | None = None, exclude_same_id: bool = False, block_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(item rows, query rows) by block (_dim, _cell, _part): what must meet for the exact top k by the first thresholds."""
+    item_rows, cells, _ = _cells(items, i_id, i_vec, block_rows)
+    q_type = dict(queries.dtypes)[q_id]
 
     def deal(batches):
         for b in batches:
@@ -148,32 +181,87 @@ def plan_cells(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: st
                     continue
                 q = _rows(b.column(1), at)
                 need = b.column(2).take(pa.array(at)).to_numpy(zero_copy_only=False) + k
-                tau = cells.thresholds(q, need + exclude_same_id)
-                row, cell = np.nonzero(cells.met(q, tau))
+                row, cell = np.nonzero(cells.met(q, cells.thresholds(q, need + exclude_same_id * cells.copies)))
                 many = cells.parts(d)[cell]
                 row, cell = np.repeat(row, many), np.repeat(cell, many)
                 part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                own = b.take(pa.array(at[row]))
-                cols = [pa.array(np.full(len(row), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), own.column(0), own.column(1),
-                        pa.array(need[row].astype(np.int64)), pa.array(tau[row])]
-                yield pa.RecordBatch.from_arrays(cols, names=["_dim", "_cell", "_part", "_qid", "_vec", "_need", "_tau"])
-
-    asked = queries.select(F.col(q_id).alias("_qid"), F.col(q_vec).cast("array<double>").alias("_vec"), F.greatest(more, F.lit(0)).alias("_need"))
-    query_rows = asked.mapInArrow(deal, f"_dim int, _cell int, _part int, _qid {q_type}, _vec array<double>, _need long, _tau double")
-    return item_rows, query_rows
-
-
-def _best(s: np.ndarray, need: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the scores that are among a row's `need` best and reach its threshold; ties included."""
-    n, rows, cols = s.shape[1], [], []
-    for r, row in enumerate(s):
-        floor = tau[r]
-        if need[r] < n:
-            floor = max(floor, np.partition(row, n - need[r])[n - need[r]])
-        sel = np.flatnonzero((row >= floor - TIE_EPS) & np.isfinite(row))
-        rows.append(np.full(len(sel), r))
-        cols.append(sel)
-    return np.concatenate(rows), np.concatenate(cols)
+                cols = [pa.array(np.full(len(row), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), b.column(0).take(pa.array(at[row]))]
+                yield pa.RecordBatch.from_arrays(cols, names=["_dim", "_cell", "_part", "_qid"])
+
+    return item_rows, _asked(queries, q_id, q_vec, extra).mapInArrow(deal, f"_dim int, _cell int, _part int, _qid {q_type}")
+
+
+def _grid(n_q: int, need: float, q_bytes: float, n_i: int, i_bytes: float, tasks: int) -> tuple[int, int]:
+    """(groups of queries, slices of items): the least that is shuffled by so many tasks of bounded memory."""
+    tasks = max(1, min(tasks, math.ceil(n_q * n_i / WORK)))
+    least = max(1, math.ceil(n_q * need / KEPT), math.ceil(n_q * q_bytes / HELD_BYTES))
+    shuffled = lambda g: g * n_i * (i_bytes + 40) + math.ceil(tasks / g) * n_q * (q_bytes + 40 + 40 * need)
+    g = min(range(least, max(least, tasks) + 1), key=shuffled)
+    return g, math.ceil(tasks / g)
+
+
+class _Best:
+    """The best candidates of a group's queries, all of one length, as items come by."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, need: np.ndarray, tau: np.ndarray):
+        self.ids, self.q, self.need, self.tau = ids, q, need, tau
+        self.items, self.n = [], 0                  # ids met
+        self.found: list[tuple] = []                # (row, item, score)
+        self.held, self.limit = 0, KEPT
+
+    def meet(self, x: np.ndarray, ids: pa.Array, cells: Cells, cell: int, exclude_same_id: bool) -> None:
+        rows = np.flatnonzero(cells.reached(self.q, self.tau, cell))
+        step = max(1, SCORES // len(x))
+        for at in range(0, len(rows), step):
+            some = rows[at:at + step]
+            s = self.q[some] @ x.T
+            r, c = np.nonzero(s >= (self.tau[some] - TIE_EPS)[:, None])
+            score, r = s[r, c], some[r]
+            fine = np.isfinite(score)
+            if exclude_same_id and len(r):
+                fine &= ~pc.fill_null(pc.equal(self.ids.take(pa.array(r)), ids.take(pa.array(c))), False).to_numpy(zero_copy_only=False)
+            self.found.append((r[fine].astype(np.int32), (c[fine] + self.n).astype(np.int32), score[fine]))
+            self.held += int(fine.sum())
+            if self.held > self.limit:
+                self.items.append(ids)
+                self.shrink()
+                self.items.pop()
+        self.items.append(ids)
+        self.n += len(x)
+
+    def shrink(self) -> None:
+        """Keeps what can be among the `need` best of a query; raises the thresholds."""
+        r, c, s = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((-s, r))
+        r, c, s = r[order], c[order], s[order]
+        first = np.searchsorted(r, np.arange(len(self.q) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.need)
+        self.tau[full] = np.maximum(self.tau[full], s[first[full] + self.need[full] - 1])
+        keep = s >= self.tau[r] - TIE_EPS
+        r, c, s = r[keep], c[keep], s[keep]
+        starts = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(s) != 0)]) if len(r) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[starts, len(r)])
+        many = np.repeat(size, size) > self.need[r]  # equal scores of a query, more than it needs
+        if many.any():
+            at = np.flatnonzero(many)
+            by_id = pc.rank(pa.chunked_array(self.items).take(pa.array(c[at])), sort_keys="ascending", tiebreaker="dense", null_placement="at_start").to_numpy()
+            run = np.repeat(starts, size)[at]
+            order = np.lexsort((by_id, run))
+            at, run = at[order], run[order]
+            place = np.arange(len(at)) - np.searchsorted(run, run)
+            keep = np.ones(len(r), bool)
+            keep[at[place >= self.need[r[at]]]] = False
+            r, c, s = r[keep], c[keep], s[keep]
+        self.found, self.held = [(r, c, s)], len(r)
+        self.limit = max(KEPT, 2 * self.held)
+
+    def result(self, names: list[str]):
+        if self.found:
+            self.shrink()
+            (r, c, s), items = self.found[0], pa.chunked_array(self.items)
+            for at in range(0, len(r), 1 << 16):
+                own = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(r[own])), items.take(pa.array(c[own])).combine_chunks(), pa.array(s[own])], names=names)
 
 
 def block_top_k(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: str,
@@ -182,41 +270,51 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, q_id: str, i_id: s
     """Top-k items per query by dot product (exact).
 
     Returns (q_id, i_id, score) - when `final`, only the k best per query (rank by
-    score rounded to 9 dp desc, then item id); otherwise the per-block candidates
+    score rounded to 9 dp desc, then item id); otherwise the candidates of each slice
     (a superset that a caller filters before ranking).
     Vectors of unequal length never meet.
     """
-    item_rows, query_rows = plan_cells(queries, items, k, q_id, i_id, q_vec, i_vec, extra, exclude_same_id, block_rows)
+    item_rows, cells, n = _cells(items, i_id, i_vec, block_rows)
     i_type, q_type = dict(items.dtypes)[i_id], dict(queries.dtypes)[q_id]
-    key = ["_dim", "_cell", "_part"]
+    asked = stored(_asked(queries, q_id, q_vec, extra), "asked")
+    told = asked.agg(F.count("*").alias("n"), F.avg("_need").alias("need"), F.avg(F.size("_vec")).alias("dim")).first()
+    i_kind, dim = dict(item_rows.dtypes)["_vec"], max(told["dim"] or 0, 0)
+    groups, slices = _grid(told["n"], k + (told["need"] or 0), 8 * dim, n, (4 if i_kind == "array<float>" else 8) * dim, 4 * asked.sparkSession.sparkContext.defaultParallelism)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda kind: F.lit(None).cast(kind)
-    both = item_rows.select(*key, F.lit(0).alias("_kind"), "_iid", none(q_type).alias("_qid"), "_vec", none("long").alias("_need"), none("double").alias("_tau")) \
-        .unionAll(query_rows.select(*key, F.lit(1), none(i_type), "_qid", "_vec", "_need", "_tau"))
-    # a task reads a block's items, then its queries as a stream: memory does not depend on their number
-    both = both.repartition(*key).sortWithinPartitions(*key, "_kind")
+    part = (F.col("_g") * slices + F.col("_s")).alias("_at")
+    q = asked.select("*", own("_qid", groups).alias("_g"), every(slices).alias("_s")).select(
+        part, F.lit(0).alias("_kind"), F.size("_vec").alias("_dim"), F.lit(0).alias("_cell"), "_qid", F.col("_vec").alias("_q"), "_need", none(i_type).alias("_iid"), none(i_kind).alias("_x"))
+    x = item_rows.select("*", own("_iid", slices).alias("_s"), every(groups).alias("_g")).select(
+        part, F.lit(1), "_dim", "_cell", none(q_type), none("array<double>"), none("long"), "_iid", F.col("_vec"))
+    both = q.where("_dim > 0").unionAll(x).repartitionById(groups * slices, F.col("_at")).sortWithinPartitions("_at", "_kind", "_dim", "_cell")
+    names = [q_id, i_id, "score"]
 
     def score(batches):
-        block, ids, at = [], [], None
+        at, best, queries = None, {}, {}
         for b in batches:
             keys = np.column_stack([b.column(j).to_numpy() for j in range(4)])
             edge = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             for lo, hi in zip([0, *edge], [*edge, len(keys)]):
                 if hi == lo:
                     continue
-                part, rows = b.slice(lo, hi - lo), np.arange(hi - lo)
-                if tuple(keys[lo, :3]) != at:
-                    block, ids, at = [], [], tuple(keys[lo, :3])
-                x = _rows(part.column(6), rows)
-                if keys[lo, 3] == 0:
-                    block.append(x)
-                    ids.append(part.column(4))
-                elif block:
-                    own = pa.concat_arrays(ids)
-                    s = x @ np.concatenate(block).T
-                    if exclude_same_id:
-                        s[np.array(part.column(5).to_pylist(), object)[:, None] == np.array(own.to_pylist(), object)[None, :]] = -np.inf
-                    r, c = _best(s, part.column(7).to_numpy(), part.column(8).to_numpy())
-                    yield pa.RecordBatch.from_arrays([part.column(5).take(pa.array(r)), own.take(pa.array(c)), pa.array(s[r, c])], names=[q_id, i_id, "score"])
+                (here, kind, d, cell), run, rows = keys[lo].tolist(), b.slice(lo, hi - lo), np.arange(hi - lo)
+                if here != at:
+                    for found in best.values():
+                        yield from found.result(names)
+                    at, best, queries = here, {}, {}
+                if kind == 0:
+                    queries.setdefault(d, []).append((run.column(4), _rows(run.column(5), rows), run.column(6).to_numpy()))
+                elif d in queries or d in best:
+                    if d not in best:
+                        ids, vecs, need = zip(*queries.pop(d))
+                        vecs, need = np.concatenate(vecs), np.concatenate(need) + k
+                        tau = np.concatenate([cells.thresholds(vecs[i:i + 1024], need[i:i + 1024] + exclude_same_id * cells.copies) for i in range(0, len(vecs), 1024)])
+                        best[d] = _Best(pa.concat_arrays(ids), vecs, need, tau)
+                    best[d].meet(_rows(run.column(8), rows).astype(np.float64), run.column(7), cells, cell, exclude_same_id)
+        for found in best.values():
+            yield from found.result(names)
 
     cands = both.mapInArrow(score, f"`{q_id}` {q_type}, `{i_id}` {i_type}, score double")
     return top_k_per(cands, q_id, i_id, k) if final else cands

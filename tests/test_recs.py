@@ -229,3 +229,47 @@ def test_quota_sliding_buckets_are_exact(spark):
     for i, s, t in rows:
         want = sum(1 for _, s2, t2 in rows if s2 == s and t - dt.timedelta(seconds=60) < t2 <= t)
         assert got[i] == want
+
+
+def test_candidates_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """Few selected items make weak thresholds: still a query keeps `k` + extra candidates in all, not in each of 40 blocks,
+    and of 200 equal scores those with the least ids."""
+    from lectern.operators import similarity
+    monkeypatch.setattr(similarity, "SELECTED", 8)
+    monkeypatch.setattr(similarity, "PER_CELL", 1)
+    rng = np.random.default_rng(3)
+    I, Q = rng.normal(size=(400, 8)), rng.normal(size=(30, 8))
+    I[100:300] = Q[0] * 9
+    it = spark.createDataFrame([(f"i{j:03d}", I[j].tolist()) for j in range(400)], "iid string, iv array<double>").repartition(7)
+    q = spark.createDataFrame([(i, Q[i].tolist(), i % 3) for i in range(30)], "qid long, qv array<double>, extra long")
+    rows = block_top_k(q, it, 5, "qid", "iid", "qv", "iv", extra="extra", block_rows=10, final=False).collect()
+    S = Q @ I.T
+    for i in range(30):
+        best = sorted(range(400), key=lambda j: (-round(S[i, j], 9), j))[:5 + i % 3]
+        mine = {r.iid for r in rows if r.qid == i}
+        assert {f"i{j:03d}" for j in best} <= mine and len(mine) <= 3 * len(best)
+    assert {f"i{100 + j}" for j in range(5)} <= {r.iid for r in rows if r.qid == 0}
+
+
+def test_grid_shuffles_in_proportion():
+    """Ten times the queries and items: groups grow by their memory alone, far below the hundredfold of all pairs."""
+    from lectern.operators.similarity import KEPT, _grid
+
+    def copies(n_q, n_i):
+        g, s = _grid(n_q, 140, 512, n_i, 256, 48)
+        assert n_q * 140 / g <= KEPT
+        return g * n_i * 300 + s * n_q * 6000
+    assert copies(540_000, 600_000) < 10 * copies(90_000, 100_000) < 100e9
+    assert _grid(125, 20, 3072, 500_000, 3072, 48)[0] == 1  # few queries: the items travel once
+
+
+def test_mmr_sends_a_vector_once_to_a_group(spark):
+    """Vectors are joined to the distinct items of a group of users; two profiles of an item stand for a candidate each."""
+    cands = spark.createDataFrame([(u, f"i{j}", 1.0 - j / 100, j) for u in range(50) for j in range(30)], "user_id long, external_id string, score double, order_key long")
+    prof = spark.createDataFrame([(f"i{j}", [float(j % 3), 1.0]) for j in [*range(30), 0]], "external_id string, embedding array<double>")
+    out = R.mmr(cands, prof, 0.7, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Aggregate [_g" in plan
+    rows = out.collect()
+    assert len(rows) == 150 and {r.external_id for r in rows if r["rank"] == 1} == {"i0"}
+    assert len({tuple(sorted((x["rank"], x.external_id) for x in rows if x.user_id == u)) for u in range(50)}) == 1
