@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions.text import bare_doi, plain_text
 
@@ -31,18 +33,40 @@ def normalizer(name: str) -> Callable[[DataFrame], DataFrame]:
 
 # ---------------------------------------------------------------- column helpers
 
+@F.arrow_udf(StringType())
+def _rebuilt(index: pa.Array) -> pa.Array:
+    """The words of each map in the order of their positions; a missing position adds a space, a word without one is left out
+    and so is what follows it."""
+    out = []
+    for entries in index.to_pylist():
+        if not entries or any(at is None for _, at in entries):
+            out.append(None if entries else "")
+            continue
+        n = sum(len(at) for _, at in entries)
+        words: list = [None] * n
+        try:
+            for w, at in entries:
+                for p in at:
+                    words[p if p >= 0 else n] = w
+        except (IndexError, TypeError):
+            words = [None]
+        if None in words:  # gaps, repeats or nulls
+            pairs = sorted(((p is not None, p or 0, w) for w, at in entries for p in at))
+            words, before = [], -1
+            for there, p, w in pairs:
+                if there and before is not None:
+                    words.append(" " * (p - before) + w)
+                before = p if there else None
+            out.append("".join(words)[1:])
+        else:
+            out.append(" ".join(words))
+    return pa.array(out, pa.string())
+
+
 def from_inverted_index(m: Column) -> Column:
     """Word -> positions map back to text; missing positions are empty words
-    joined by single spaces.  No per-element lookups: gaps become runs of spaces."""
-    pairs = F.array_sort(F.flatten(F.transform(
-        F.map_entries(m), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("w"))))))
-    pos = F.transform(pairs, lambda x: x["pos"])
-    prev = F.slice(F.concat(F.array(F.lit(-1)), pos), 1, F.greatest(F.size(pos), F.lit(1)))
-    gaps = F.zip_with(pos, prev, lambda p, q: p - q)
-    pieces = F.zip_with(F.transform(pairs, lambda x: x["w"]), gaps,
-                        lambda w, d: F.concat(F.repeat(F.lit(" "), d), w))
-    text = F.substring(F.array_join(pieces, ""), 2, 1 << 30)
-    return F.when(m.isNull() | (F.size(F.map_keys(m)) == 0), F.lit("")).otherwise(text)
+    joined by single spaces."""
+    return _rebuilt(m)
 
 
 def ensure_list(c: Column) -> Column:

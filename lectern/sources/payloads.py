@@ -12,6 +12,9 @@ items, whatever the size of a source.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,19 +30,36 @@ def _landed(items: DataFrame, payload: Column, fetched_at: str = "2024-01-30 12:
                         F.lit(fetched_at).cast("timestamp").alias("fetched_at"), payload.alias("payload"))
 
 
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def _positions(texts: pa.Array) -> pa.Array:
+    """word -> rising positions over the texts of each row; null without texts."""
+    ends, keys, sizes, flat = [0], [], [], []
+    for own in texts.to_pylist():
+        at: dict[str, list[int]] = {}
+        for text in own:
+            for i, w in enumerate(text.split(" ")):
+                at.setdefault(w, []).append(i)
+        for w, places in at.items():
+            keys.append(w)
+            sizes.append(len(places))
+            flat += places if len(own) == 1 else sorted(places)
+        ends.append(len(keys))
+    items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+    out = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), items)
+    return pc.if_else(pa.array(np.diff(ends) > 0), out, pa.scalar(None, out.type))
+
+
 def inverted_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """word -> positions map of a text split on single spaces (OpenAlex abstract form).
-    Grouped per document: a group is one document's words."""
-    w = df.select(id_col, F.posexplode(F.split(F.col(text_col), " ", -1)).alias("pos", "word"))
-    per_word = w.groupBy(id_col, "word").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    return per_word.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "p"))).alias("aii"))
+    Texts, not words, are grouped by id: the texts of one id (usually one) make one map."""
+    return df.groupBy(id_col).agg(F.collect_list(text_col).alias("texts")).select(id_col, _positions("texts").alias("aii"))
 
 
 # ---------------------------------------------------------------- builders
 
 def land_openalex(articles: DataFrame) -> DataFrame:
     idx = inverted_index(articles, "id", "abstract")
-    a = articles.join(idx, "id", "left")
+    a = articles.drop("abstract").join(idx, "id", "left")
     item = F.struct(
         F.concat(F.lit("https://openalex.org/W"), F.col("id").cast("string")).alias("id"),
         F.col("title").alias("title"),
