@@ -1,10 +1,14 @@
-"""Vector column functions (T24-T27).  Pure Catalyst except the TF-IDF fit (Spark ML)."""
+"""Vector column functions (T24-T27).  Catalyst; hash chains and term counts in Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from lectern.session import AS_OF
 
 EMBEDDING_DIM = 384  # fixed value: embedding width of the reference's encoders
 HALF_LIFE_DAYS = 30  # fixed value: activity decay half-life
+TERMS_HELD = 1 << 18  # terms that a task of the TF-IDF fit counts before it gives them out
 
 
 def decay(ts: Column, as_of: str = AS_OF, half_life: int = HALF_LIFE_DAYS) -> Column:
@@ -55,19 +60,34 @@ def hash_embedding(text: Column, dim: int = EMBEDDING_DIM) -> Column:
 
 
 def with_hash_embedding(df: DataFrame, text: Column, out_col: str, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """T26 as staged projections: the text and each digest of the chain are columns of
-    their own, so the (regex-cleaned) text is hashed once and each digest once, instead
-    of once per use inside one nested expression."""
-    blocks = (dim + 31) // 32
-    out = df.withColumn("_he_t", text).withColumn("_he_h0", F.sha2(F.col("_he_t"), 256))
-    for i in range(1, blocks):
-        out = out.withColumn(f"_he_h{i}", F.sha2(F.col(f"_he_h{i - 1}"), 256))
-    pairs = F.regexp_extract_all(F.concat(*[F.col(f"_he_h{i}") for i in range(blocks)]),
-                                 F.lit("[0-9a-f]{2}"), 0)
-    out = out.withColumn("_he_v", F.transform(F.slice(pairs, 1, dim),
-                                              lambda x: F.conv(x, 16, 10).cast("double") / 255.0 - 0.5))
-    out = out.withColumn(out_col, l2_normalize(F.col("_he_v")))
-    return out.drop("_he_t", "_he_v", *[f"_he_h{i}" for i in range(blocks)])
+    """T26 with the text hashed in the JVM, once; from its digest the chain and the numbers are made in Arrow batches."""
+    return df.withColumn("_he_h", F.sha2(text, 256)).withColumn(out_col, _chained(dim)(F.col("_he_h"))).drop("_he_h")
+
+
+def _chained(dim: int):
+    """Vectors of first hex digests; the norm is a sequential sum, as in `l2_normalize`."""
+    @F.arrow_udf("array<double>")
+    def chained(first: pa.Array) -> pa.Array:
+        digests = []
+        for h in first.drop_null().to_pylist():
+            whole = [h]
+            for _ in range((dim + 31) // 32 - 1):
+                whole.append(h := hashlib.sha256(h.encode()).hexdigest())
+            digests.append(bytes.fromhex("".join(whole))[:dim])
+        v = np.frombuffer(b"".join(digests), np.uint8).reshape(len(digests), dim) / 255.0 - 0.5
+        return lists(_normalized(v), first.is_valid().to_numpy(zero_copy_only=False))
+    return chained
+
+
+def _normalized(v: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+    return v / np.where(norm > 0, norm, 1.0)
+
+
+def lists(v: np.ndarray, there: np.ndarray) -> pa.Array:
+    """The rows of `v` as lists, null where nothing is there."""
+    ends = np.concatenate([[0], np.cumsum(there) * v.shape[1]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()), mask=pa.array(~there) if not there.all() else None)
 
 
 def embedding_text(title: Column, abstract: Column) -> Column:
@@ -77,12 +97,15 @@ def embedding_text(title: Column, abstract: Column) -> Column:
     return strip_ws(F.concat(t, F.lit(". "), t, F.lit(". "), F.coalesce(abstract, F.lit(""))))
 
 
-def grams(text: Column, stops: list[str]) -> Column:
-    """T27 terms: words of two letters or more, lower-cased, without stop words, and pairs of neighbours."""
-    from lectern.functions.text import bigrams
-    uni = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", -1),
-                   lambda w: (F.length(w) >= 2) & ~F.array_contains(F.array(*[F.lit(s) for s in stops]), w))
-    return F.concat(uni, bigrams(uni))
+def parts(text: Column) -> Column:
+    """The lower-cased words of a text, of any length."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", -1)
+
+
+def grams(words: list[str], stops: set[str]) -> list[str]:
+    """T27 terms: words of two letters or more without stop words, and pairs of neighbours."""
+    own = [w for w in words if len(w) >= 2 and w not in stops]
+    return own + [f"{a} {b}" for a, b in zip(own, own[1:])]
 
 
 class Tfidf(NamedTuple):
@@ -101,12 +124,28 @@ class Tfidf(NamedTuple):
     @staticmethod
     def fit(df: DataFrame, text: Column, n: int = EMBEDDING_DIM, stops: list[str] | None = None) -> Tfidf:
         from lectern.functions.text import KEYWORD_STOPS
-        sorted_terms = df.select(F.array_sort(grams(text, KEYWORD_STOPS if stops is None else stops)).alias("t"))
-        # a document's equal terms stand together: its first one counts the document
-        shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))))
-        run = F.zip_with("t", shifted, lambda x, before: F.struct(x.alias("term"), (~x.eqNullSafe(before)).cast("int").alias("first")))
-        each = sorted_terms.select(F.explode(run).alias("e"))
-        top = each.where("e.term is not null").groupBy("e.term").agg(F.count("*").alias("tf"), F.sum("e.first").alias("df")).orderBy(F.col("tf").desc(), "term").limit(n)
+        stop = set(KEYWORD_STOPS if stops is None else stops)
+
+        def counted(batches):
+            """(term, tf, df) of a task's documents, given out whenever there are many terms."""
+            tf, own = Counter(), Counter()
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64()), pa.array([own[t] for t in tf], pa.int64())], names=["term", "tf", "df"])
+
+            for b in batches:
+                for words in b.column(0).to_pylist():
+                    terms = grams(words, stop)
+                    tf.update(terms)
+                    own.update(set(terms))
+                    if len(tf) > TERMS_HELD:
+                        yield out()
+                        tf.clear()
+                        own.clear()
+            yield out()
+
+        each = df.select(parts(text).alias("words")).mapInArrow(counted, "term string, tf long, df long")
+        top = each.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).orderBy(F.col("tf").desc(), "term").limit(n)
         rows, docs = sorted(top.collect(), key=lambda r: r["term"]), df.count()  # n rows
         return Tfidf([r["term"] for r in rows], [math.log((1 + docs) / (1 + r["df"])) + 1 for r in rows], n)
 
@@ -123,15 +162,18 @@ class Tfidf(NamedTuple):
 
     def vectors(self, df: DataFrame, text: Column, out: str, stops: list[str] | None = None) -> DataFrame:
         """Adds `out`: n numbers, L2-normalised; all 0 where no term of the corpus occurs.  No shuffle."""
-        from pyspark.ml.feature import CountVectorizerModel
-        from pyspark.ml.functions import vector_to_array
         from lectern.functions.text import KEYWORD_STOPS
-        none = F.array_repeat(F.lit(0.0), self.n)
         if not self.terms:
-            return df.withColumn(out, none)
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_grams", outputCol="_tf")
-        counted = counter.transform(df.withColumn("_grams", grams(text, KEYWORD_STOPS if stops is None else stops)))
-        weights = F.array(*[F.lit(w) for w in self.idf])
-        counted = counted.withColumn("_w", F.zip_with(vector_to_array("_tf"), weights, lambda c, w: c * w))
-        pad = F.slice(none, 1, self.n - len(self.terms)) if len(self.terms) < self.n else F.array().cast("array<double>")
-        return counted.withColumn(out, F.concat(l2_normalize(F.col("_w")), pad)).drop("_grams", "_tf", "_w")
+            return df.withColumn(out, F.array_repeat(F.lit(0.0), self.n))
+        stop, at, n, weights = set(KEYWORD_STOPS if stops is None else stops), {t: k for k, t in enumerate(self.terms)}, self.n, np.array(self.idf)
+
+        @F.arrow_udf("array<double>")
+        def weighed(words: pa.Array) -> pa.Array:
+            v = np.zeros((len(words), n))
+            for i, own in enumerate(words.to_pylist()):
+                for t, c in Counter(t for t in grams(own, stop) if t in at).items():
+                    v[i, at[t]] = c
+            v[:, :len(weights)] *= weights
+            return lists(_normalized(v), np.ones(len(words), bool))
+
+        return df.withColumn("_words", parts(text)).withColumn(out, weighed(F.col("_words"))).drop("_words")
