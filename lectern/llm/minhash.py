@@ -18,11 +18,14 @@ last row.  Texts are shuffled once, compressed.
 that share a band are joined in Spark, first to one of them, its leader.  Bands whose texts
 are not of one class after that are put in the order of the places that follow the
 band, where like texts stand together, and each text is paired with the next
-`NEXT`.  Pairs whose signatures agree in far too few places are dropped
+`NEXT`.  What is then left is compared whole: in bands that still hold several classes every two
+texts of different classes meet, on a grid of tasks that hold two bounded blocks of a band
+(`BLOCK` signatures, then `SET_BYTES` of the shingle sets of texts that may link).
+Pairs whose signatures agree in far too few places are dropped
 (`SLACK` below the threshold: over five standard deviations); the others are
 verified by the exact Jaccard similarity of their shingle sets (at least `THRESHOLD`),
-and verified links are closed to classes.  The number of pairs grows with the texts, however many
-share a band; recall against brute force is measured in the tests.
+and verified links are closed to classes.  So no link of texts that share a band is left out of the classes;
+the first two steps only spare comparisons.  Recall against brute force is measured in the tests.
 
 Defined results: null text is empty; texts without words have equal
 fingerprints, like each other entirely, and form a class of equal texts only;
@@ -42,7 +45,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -55,6 +58,8 @@ BANDS, ROWS = 20, 5
 THRESHOLD = 0.8
 SLACK = 0.22               # of the signatures' likeness below the threshold
 NEXT = 2
+BLOCK = 1 << 12            # signatures of a band's texts that one side of a task holds
+SET_BYTES = 16 << 20       # shingle sets that one side of a task holds, about
 SEED = 42
 WORDS_KEPT = 1 << 18       # word hashes that a task remembers
 AT_ONCE = 1 << 12          # shingles that are permuted together
@@ -238,11 +243,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shared_bands(texts: DataFrame) -> DataFrame:
-    """(band, th, after) of the bands that two of `texts` (th, sig) or more share; after: the places that follow the band; stored."""
+    """(band, at, th, after) of the bands that two of `texts` (th, sig) or more share; after: the places that follow the band; stored."""
     wide = 2 * ROWS
     at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("at")
     bands = texts.select("th", "sig", at).select(
-        F.xxhash64("at", F.expr(f"substring(sig, at * {wide} + 1, {wide})")).alias("band"), "th",
+        F.xxhash64("at", F.expr(f"substring(sig, at * {wide} + 1, {wide})")).alias("band"), "at", "th",
         F.expr(f"substring(concat(sig, sig), (at + 1) * {wide} + 1, {2 * wide})").alias("after"))
     met = bands.groupBy("band").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("band")
     met = stored(met, "met")
@@ -258,15 +263,16 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((read(a) == read(b)).mean(axis=1) if len(a) else [], dtype="float64")
 
 
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingle hashes."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
 @F.pandas_udf(DoubleType())
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two sets of shingle hashes, each sorted."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / (len(x) + len(y) - both))
-    return pd.Series(out, dtype="float64")
+    return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -301,6 +307,98 @@ def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: flo
     return stored(beside(likely, shingle_sets(docs, stored(wanted, "wanted")), "own").where(jaccard("_a", "_b") >= threshold).select("u", "v"), "links")
 
 
+def tiles(rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """`rows` (band, th, ...) dealt to tasks: the rows of a band go to blocks x of about `most` weight, and each row to
+    every pair of blocks i <= j that has its own.  Sorted, so that a tile (band, i, j) is read as a stream."""
+    blocks = rows.groupBy("band").agg(F.ceil(F.sum(weight) / most).alias("blocks"))
+    dealt = rows.join(blocks, "band").withColumn("x", F.pmod(F.xxhash64("th"), F.col("blocks")))
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x",
+                         *[c for c in rows.columns if c != "band"])
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "x")
+
+
+def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The columns of every tile."""
+    now, rows = None, []
+    for batch in batches:
+        names = batch.schema.names
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != now:
+                if rows:
+                    yield dict(zip(names, zip(*rows)))
+                now, rows = row[:3], []
+            rows.append(row)
+    if rows:
+        yield dict(zip(names, zip(*rows)))
+
+
+def contested(tile: dict[str, list], least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(p, qs): texts of a tile of different roots whose signatures agree in at least the share `least`.  Texts that share
+    several bands count in the first of them; it too holds both roots, so it is compared."""
+    n, x, at = len(tile["th"]), np.array(tile["x"]), tile["at"][0]
+    sigs, root = np.frombuffer(b"".join(tile["sig"]), np.uint16).reshape(n, -1), np.array(tile["root"])
+    bands = sigs.reshape(n, BANDS, ROWS)
+    one = tile["i"][0] == tile["j"][0]
+    ours = n if one else int(np.searchsorted(x, tile["j"][0]))
+    for p in range(ours):
+        start = p + 1 if one else ours
+        qs = start + np.flatnonzero(root[start:] != root[p])
+        qs = qs[(sigs[qs] == sigs[p]).sum(axis=1) / PERMUTATIONS >= least]
+        if len(qs):
+            shared = (bands[qs] == bands[p]).all(axis=2)
+            qs = qs[shared[:, at] & ~shared[:, :at].any(axis=1)]
+        if len(qs):
+            yield p, qs
+
+
+def remaining_links(docs: DataFrame, texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that join all classes of `members` (band, at, th, root) that some link of texts of one band joins; stored."""
+    least = threshold - SLACK
+
+    def open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in tiled(batches):
+            found = sorted({int(k) for p, qs in contested(tile, least) for k in (p, *qs)})
+            if found:
+                cols = {c: pa.array([tile[c][k] for k in found], t) for c, t in (("band", pa.int64()), ("at", pa.int32()), ("th", pa.int64()), ("root", pa.int64()))}
+                yield pa.RecordBatch.from_pydict(cols)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in tiled(batches):
+            up, out = {}, []
+
+            def top(r: int) -> int:
+                while r in up:
+                    r = up[r]
+                return r
+
+            own, root, th = tile["own"], tile["root"], tile["th"]
+            for p, qs in contested(tile, least):
+                for q in qs.tolist():
+                    a, b = top(root[p]), top(root[q])
+                    sizes = len(own[p]), len(own[q])
+                    if a != b and min(sizes) / max(sizes) >= threshold and resemblance(own[p], own[q]) >= threshold:
+                        up[max(a, b)] = min(a, b)
+                        out.append((th[p], th[q]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+
+    rows = members.select("band", "at", "th", "root").join(texts, "th")
+    found = tiles(rows, F.lit(1), BLOCK).mapInArrow(open_texts, "band long, at int, th long, root long")
+    found = stored(found.distinct(), "open")
+    sets = shingle_sets(docs, stored(found.select("th").distinct(), "wanted"))
+    rows = found.join(texts, "th").join(sets, "th")
+    return stored(tiles(rows, F.octet_length("own"), SET_BYTES).mapInArrow(links, "u long, v long"), "links")
+
+
+def unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(th, root) of the texts that `links` join, and the rows of bands whose texts are not of one class, with root; stored."""
+    roots = stored(components(links).withColumnRenamed("node", "th"), "roots")
+    members = members.drop("root").join(roots, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    several = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
+    return roots, stored(members.join(several, "band", "left_semi"), "unsettled")
+
+
 def near_links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(th, root) of the texts that verified links join; root is the least text hash of the class."""
     texts = stored(signed.where("sig is not null").groupBy("th").agg(F.first("sig").alias("sig")), "texts")
@@ -309,16 +407,17 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD)
     led = members.groupBy("band").agg(F.min("th").alias("leader"))
     pairs = members.join(led, "band").where("th <> leader").select(F.col("th").alias("u"), F.col("leader").alias("v")).distinct()
     links = verified(docs, some, stored(pairs, "led"), threshold)
-    roots = stored(components(links).withColumnRenamed("node", "th"), "roots")
-    members = members.join(roots, "th", "left").withColumn("root", F.coalesce("root", "th"))
-    unsettled = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
-    members = stored(members.join(unsettled, "band", "left_semi"), "unsettled")
+    roots, members = unsettled(members, links)
     order = Window.partitionBy("band").orderBy("after", "th")
     nexts = F.array(*[F.lead(F.struct("th", "root"), k).over(order) for k in range(1, NEXT + 1)])
     pairs = members.withColumn("nexts", nexts).select("th", "root", F.explode("nexts").alias("n")).where("root <> n.root")
     pairs = stored(pairs.select(F.least("th", F.col("n.th")).alias("u"), F.greatest("th", F.col("n.th")).alias("v")).distinct(), "neighbours")
     more = verified(docs, some, pairs, threshold)
-    return stored(components(links.unionAll(more)).withColumnRenamed("node", "th"), "roots") if more.take(1) else roots
+    if more.take(1):
+        links = links.unionAll(more)
+        roots, members = unsettled(members, links)
+    rest = remaining_links(docs, some, members, threshold)
+    return stored(components(links.unionAll(rest)).withColumnRenamed("node", "th"), "roots") if rest.take(1) else roots
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -122,6 +122,28 @@ def test_classes_equal_brute_force(spark):
     assert links > 100 and got == want
 
 
+def chained(n, size):
+    """Families without their origin, two words changed: texts link only where changes stand near each other, so each is
+    like few of the many that it shares bands with."""
+    return [(f * 1000 + k, variant(7 * f + 1000 * k, prose(2000 + f, 150), 0.014)) for f in range(n) for k in range(size)]
+
+
+@pytest.mark.parametrize("block,set_bytes", [(1 << 12, 16 << 20), (7, 4000)])
+def test_every_link_in_a_band_counts(spark, monkeypatch, block, set_bytes):
+    """Also links to texts that are neither a band's least nor among the next in its order."""
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(minhash, "SET_BYTES", set_bytes, raising=False)
+    rows = chained(6, 40)
+    class_of = {i: i for i, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if b < a and class_of[a] != class_of[b] and similarity(x, y) >= 0.8:
+                old, new = sorted((class_of[a], class_of[b]), reverse=True)
+                class_of = {i: new if c == old else c for i, c in class_of.items()}
+    assert len(set(class_of.values())) == 11
+    assert {r.doc_id: r.class_id for r in minhash.op13_fingerprints(documents(spark, rows)).collect()} == class_of
+
+
 def test_no_link_below_the_threshold(spark):
     base = prose(77, 150)
     rows = [(1, base), (2, variant(5, base, 0.2))]
