@@ -68,19 +68,36 @@ def hydrate(scored: DataFrame, articles: DataFrame, scraped: DataFrame, max_abst
             keep: tuple[str, ...] = ()) -> DataFrame:
     """Ids found in articles, the rest from scraped content; abstract whole, or its first `max_abstract` characters;
     default source 'Unknown' / 'Scraper'.  `keep` names further columns of `scored` to return."""
-    def shape(df, default):
-        abstract = F.coalesce("abstract", F.lit(""))
-        return df.select("external_id", "title",
-                         (abstract if max_abstract is None else F.substring(abstract, 1, max_abstract)).alias("abstract"),
-                         F.coalesce(F.col("published_date").cast("string"), F.lit("")).alias("published_date"),
-                         F.coalesce("source_name", F.lit(default)).alias("source"))
-    a = scored.join(shape(articles, "Unknown"), "external_id")
+    a = scored.join(_shape(articles, "Unknown", max_abstract), "external_id")
     rest = scored.join(articles.select("external_id"), "external_id", "left_anti")
-    s = rest.join(shape(scraped, "Scraper"), "external_id")
+    s = rest.join(_shape(scraped, "Scraper", max_abstract), "external_id")
     cols = [*keep, "external_id", "title", "abstract", "published_date", "source", "score"]
     return a.select(*cols).unionByName(s.select(*cols))
 
 
+def _shape(df: DataFrame, default: str, max_abstract: int | None) -> DataFrame:
+    abstract = F.coalesce("abstract", F.lit(""))
+    return df.select("external_id", "title",
+                     (abstract if max_abstract is None else F.substring(abstract, 1, max_abstract)).alias("abstract"),
+                     F.coalesce(F.col("published_date").cast("string"), F.lit("")).alias("published_date"),
+                     F.coalesce("source_name", F.lit(default)).alias("source"))
+
+
+def located(scored: DataFrame, articles: DataFrame, scraped: DataFrame) -> DataFrame:
+    """J2 by ids alone: the rows whose item is known, `_side` 0 (articles) or 1 (the rest, in scraped content)."""
+    ids = articles.select("external_id", F.lit(0).alias("_side")).unionByName(scraped.select("external_id", F.lit(1).alias("_side")))
+    return scored.join(ids.groupBy("external_id").agg(F.min("_side").alias("_side")), "external_id")
+
+
+def with_content(rows: DataFrame, articles: DataFrame, scraped: DataFrame, max_abstract: int | None = None) -> DataFrame:
+    """J2 for rows that `located` has seen, in whatever has been made of them since: each item's content is fetched once, by
+    the last join, so that no later shuffle carries texts.  Rows without an item keep nulls and are dealt by `user_id`."""
+    content = (_shape(articles, "Unknown", max_abstract).withColumn("_side", F.lit(0))
+               .unionByName(_shape(scraped, "Scraper", max_abstract).withColumn("_side", F.lit(1))))
+    dealt = F.coalesce("_side", -1 - F.pmod(F.xxhash64("user_id"), F.lit(1 << 20)).cast("int"))
+    return rows.withColumn("_side", dealt).join(content, ["external_id", "_side"], "left").drop("_side")
+
+
 # ---------------------------------------------------------------- content-based
 
 def user_vectors(activity: DataFrame, saved: DataFrame, profiles: DataFrame, as_of: str = AS_OF,

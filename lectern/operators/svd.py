@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import stored
+from lectern.session import stored_at
+from lectern.sources.files import delete
 
 OVERSAMPLE = 50
 TOL = 1e-7
@@ -48,8 +49,22 @@ class Svd:
     cycles: int
 
 
-def kept(df: DataFrame) -> DataFrame:
-    return stored(df, "svd")
+class _Kept:
+    """Stored blocks.  Those of a cycle are deleted once the next one's are written: what is on disk does not grow with the cycles."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out, path = stored_at(df, "svd")
+        self.paths.append(path)
+        return out
+
+    def only(self, last: int) -> None:
+        """Deletes all but the `last` blocks."""
+        for path in self.paths[:-last]:
+            delete(self.spark, path)
+        self.paths = self.paths[-last:]
 
 
 def _times(cells: DataFrame, vectors: DataFrame, on: str, to: str) -> DataFrame:
@@ -120,6 +135,7 @@ def truncated_svd(cells: DataFrame, row: str, column: str, k: int, oversample: i
     draw = F.transform(F.sequence(F.lit(1), F.lit(wide)), lambda j: F.xxhash64(F.col(column), j).cast("double") / float(1 << 63))
     start = cells.select(column).distinct().withColumn("x", draw)
     w = _whitener(_gram(start))
+    kept = _Kept(cells.sparkSession)
     v, b = kept(_combined(start, column, w)), w.shape[1]
     y = kept(_times(cells, v, column, row))
     p = yp = None
@@ -154,6 +170,7 @@ def truncated_svd(cells: DataFrame, row: str, column: str, k: int, oversample: i
         both = np.hstack((c, change))
         b = c.shape[1]
         x, ax = kept(_combined(x, column, both)), kept(_combined(ax, row, both))
+        kept.only(2)
         part = lambda d, key, at: d.select(key, F.slice("x", at + 1, b).alias("x"))  # noqa: E731,B023
         v, p, y, yp = part(x, column, 0), part(x, column, b), part(ax, row, 0), part(ax, row, b)
     keep = lam > 1e-13 * lam[0]  # the rest is rounding of the Gram matrices

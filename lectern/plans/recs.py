@@ -274,14 +274,16 @@ def hybrid_recs(spark, sf_dir):
 
 def respond(spark, sf_dir, recs):
     """Hydrated recommendations (title, abstract, date, source) with each user's strategy; a user without any has one row
-    of strategy no_data."""
+    of strategy no_data.  Users meet ids; texts are fetched last."""
+    articles, scraped = T.article(spark, sf_dir), T.scraped_content(spark, sf_dir)
     users = T.user_profile(spark, sf_dir).select("user_id", (F.size("interests") + F.size("research_areas") > 0).alias("told"))
     tiers = R.interaction_tiers(T.user_activity(spark, sf_dir), T.user_profile(spark, sf_dir))
-    found = R.hydrate(recs, T.article(spark, sf_dir), T.scraped_content(spark, sf_dir), keep=("user_id", "rank"))
+    found = R.located(recs.select("user_id", "external_id", "rank", "score"), articles, scraped)
     s = tiers.select("user_id", "tier").join(users, "user_id", "left").join(found, "user_id", "left")
     strategy = (F.when(F.col("external_id").isNull(), "no_data").when(F.col("tier") != "cold", "hybrid")
                 .when(F.col("told"), "cold_start").otherwise("popular"))
-    return s.select("user_id", strategy.alias("strategy"), "rank", "external_id", "title", "abstract", "published_date", "source", "score")
+    s = R.with_content(s.withColumn("strategy", strategy), articles, scraped)
+    return s.select("user_id", "strategy", "rank", "external_id", "title", "abstract", "published_date", "source", "score")
 
 
 @query("similar_response", views=("nlp_profile", "article", "scraped_content"), sql="""

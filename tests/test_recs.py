@@ -273,3 +273,47 @@ def test_mmr_sends_a_vector_once_to_a_group(spark):
     rows = out.collect()
     assert len(rows) == 150 and {r.external_id for r in rows if r["rank"] == 1} == {"i0"}
     assert len({tuple(sorted((x["rank"], x.external_id) for x in rows if x.user_id == u)) for u in range(50)}) == 1
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_response_fetches_texts_last(spark, monkeypatch):
+    """Nothing below the last join holds a text but the content itself; an item of both tables is answered from articles, one
+    of neither is left out, and a user without any has one row."""
+    from lectern.plans import recs as P
+    content = "external_id string, title string, abstract string, published_date date, source_name string"
+    tables = {
+        "article": spark.createDataFrame([("a", "A", "text a", dt.date(2024, 1, 2), None), ("b", "B", None, None, "src1"), ("b", "B2", "x", None, "src2")], content),
+        "scraped_content": spark.createDataFrame([("a", "other", "other", None, "src11"), ("c", "C", "text c", None, None), (None, "N", "n", None, "src12")], content),
+        "user_profile": spark.createDataFrame([(1, ["x"], []), (2, [], []), (3, ["y"], ["z"])], "user_id long, interests array<string>, research_areas array<string>"),
+        "user_activity": spark.createDataFrame([(i, 4, "view", "a", dt.datetime(2024, 1, 1)) for i in range(3)], "id long, user_id long, activity_type string, content_id string, created_at timestamp"),
+    }
+    for name, df in tables.items():
+        monkeypatch.setattr(P.T, name, lambda *a, df=df: df)
+    recs = spark.createDataFrame([(1, "a", 0.9, 1), (1, "gone", 0.8, 2), (2, "c", 4.0, 1), (2, "b", 3.0, 2), (3, None, 0.5, 1), (4, "a", 0.7, 1)],
+                                 "user_id long, external_id string, score double, rank int")
+    out = P.respond(spark, None, recs)
+    joins = [n for n in _nodes(out._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    assert not any("abstract" in j.output().toString() for j in joins[1:])
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (1, "cold_start", 1, "a", "A", "text a", "2024-01-02", "Unknown", 0.9),
+        (2, "popular", 1, "c", "C", "text c", "", "Scraper", 4.0),
+        (2, "popular", 2, "b", "B", "", "", "src1", 3.0), (2, "popular", 2, "b", "B2", "x", "", "src2", 3.0),
+        (3, "no_data", None, None, None, None, None, None, None),
+        (4, "hybrid", 1, "a", "A", "text a", "2024-01-02", "Unknown", 0.7)]
+
+
+def test_svd_keeps_the_blocks_of_one_cycle(spark):
+    from lectern.session import ensure_checkpoint_dir
+    from lectern.sources.files import folders
+    rng = np.random.default_rng(12)
+    m = spark.createDataFrame([(u, f"i{j}", float(rng.random() ** 4)) for u in range(60) for j in range(50)], "user_id long, external_id string, w double")
+    count = lambda: sum(f.startswith("svd-") for f in folders(spark, ensure_checkpoint_dir(spark)))
+    before = count()
+    got = truncated_svd(m, "user_id", "external_id", 4, oversample=3)
+    assert got.cycles > 3 and count() - before <= 4
+    assert got.rows.count() == 60 and got.columns.count() == 50
