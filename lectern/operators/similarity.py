@@ -80,14 +80,14 @@ class Cells:
 
     copies = 1  # most selected items of one id
 
-    def __init__(self, selected: list[list[float]], n: int, block_rows: int):
+    def __init__(self, selected: pa.Array, n: int, block_rows: int):
         self.block_rows = block_rows
         self.selected: dict[int, np.ndarray] = {}
         self.centroids: dict[int, np.ndarray] = {}
         self.sizes: dict[int, np.ndarray] = {}
         self.radii: dict[int, np.ndarray] = {}
-        for d in {len(v) for v in selected if v}:
-            x = np.array([v for v in selected if len(v) == d])
+        for d, at in _by_length(selected):
+            x = _rows(selected, at).astype(np.float64)
             c = max(1, min(MAX_CELLS, len(x), math.ceil(n * len(x) / len(selected) / block_rows)))
             self.centroids[d], self.selected[d] = _centroids(x, c), x[:SELECTED]
 
@@ -134,6 +134,22 @@ class Cells:
         return np.column_stack([self.reached(q, tau, c) if sizes[c] else np.zeros(len(q), bool) for c in range(len(sizes))])
 
 
+def _whole():
+    return F.forall("_vec", lambda v: v.isNotNull())
+
+
+def _selected(items: DataFrame, n: int, wanted: int) -> pa.Table:
+    """The `wanted` rows (_iid, _vec, _whole) with the least hashes of ids, or about so many where ids are repeated.
+
+    Only rows below a cut of the hash, about 2 * `wanted`, are sorted, and tasks do it: were every partition's best sent to
+    the driver, that would be `wanted` vectors for each of them.
+    """
+    h = F.xxhash64("_iid")
+    share = 2 * wanted / max(n, 1)
+    few = items if share >= 1 else items.where(h < int(-(1 << 63) + share * (1 << 64)))
+    return stored(few.select("_iid", "_vec", F.coalesce(_whole(), F.lit(False)).alias("_whole")).orderBy(h, "_iid").limit(wanted), "selected").toArrow()
+
+
 def _cells(items: DataFrame, i_id: str, i_vec: str, block_rows: int) -> tuple[DataFrame, Cells, int]:
     """Items (_dim, _cell, _part, _iid, _vec) in their cells, the cells, and the number of items."""
     kind = dict(items.dtypes)[i_vec]
@@ -141,9 +157,9 @@ def _cells(items: DataFrame, i_id: str, i_vec: str, block_rows: int) -> tuple[Da
     items = stored(items.select(F.col(i_id).alias("_iid"), F.col(i_vec).cast(kind).alias("_vec")), "items")
     n = items.count()  # from the table's footers
     wanted = max(SELECTED, PER_CELL * min(MAX_CELLS, math.ceil(n / block_rows)))
-    selected = items.orderBy(F.xxhash64("_iid"), "_iid").limit(wanted).collect()
-    cells = Cells([r["_vec"] for r in selected if r["_vec"] is not None and None not in r["_vec"]], n, block_rows)
-    cells.copies = max(Counter(r["_iid"] for r in selected).values(), default=1)
+    selected = _selected(items, n, wanted)
+    cells = Cells(selected.filter(pc.field("_whole")).column("_vec").combine_chunks(), n, block_rows)
+    cells.copies = max(Counter(selected.column("_iid").to_pylist()).values(), default=1)
     i_type = dict(items.dtypes)["_iid"]
 
     def assign(batches):
@@ -156,7 +172,7 @@ def _cells(items: DataFrame, i_id: str, i_vec: str, block_rows: int) -> tuple[Da
                 cols = [own.column(0), own.column(1), *(pa.array(x.astype(np.int32)) for x in (np.full(len(at), d), cell, part)), pa.array(far)]
                 yield pa.RecordBatch.from_arrays(cols, names=["_iid", "_vec", "_dim", "_cell", "_part", "_far"])
 
-    whole = items.where(F.forall("_vec", lambda v: v.isNotNull()))
+    whole = items.where(_whole())
     placed = whole.withColumn("_h", F.xxhash64("_iid"))
     put = lambda: placed.mapInArrow(assign, f"_iid {i_type}, _vec {kind}, _dim int, _cell int, _part int, _far double")
     cells.learn(put().groupBy("_dim", "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("radius")).collect())  # a row per cell

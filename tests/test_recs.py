@@ -317,3 +317,23 @@ def test_svd_keeps_the_blocks_of_one_cycle(spark):
     got = truncated_svd(m, "user_id", "external_id", 4, oversample=3)
     assert got.cycles > 3 and count() - before <= 4
     assert got.rows.count() == 60 and got.columns.count() == 50
+
+
+def test_selected_items_reach_the_driver_once(spark, monkeypatch):
+    """The selection is sorted by tasks and read back; it never comes to the driver as every partition's best.  It is the rows with the
+    least hashes, and no more than wanted of an id that all rows bear."""
+    from lectern.operators import similarity as S
+    monkeypatch.setattr(S, "SELECTED", 50)
+    monkeypatch.setattr(S, "PER_CELL", 1)
+    it = spark.range(3000).selectExpr("concat('i', id) as iid", "array(cast(id as double), null, 1.0d) as iv").repartition(30)
+    it = it.withColumn("iv", F.when(F.col("iid").endswith("7"), F.col("iv")).otherwise(F.array(F.lit(1.0), F.lit(2.0))))
+    collected, collect = [], type(it).collect
+    monkeypatch.setattr(type(it), "collect", lambda df: collected.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    _, cells, n = S._cells(it, "iid", "iv", 2048)
+    assert n == 3000 and collected and not any("TakeOrdered" in p for p in collected)
+    chosen = S._selected(it.select(F.col("iid").alias("_iid"), F.col("iv").alias("_vec")), n, 50)
+    least = [r.iid for r in collect(it.orderBy(F.xxhash64("iid")).limit(50))]
+    assert chosen.column("_iid").to_pylist() == least and cells.copies == 1
+    assert [x.shape for x in cells.selected.values()] == [(sum(not i.endswith("7") for i in least), 2)]
+    same = it.select(F.lit("one").alias("_iid"), F.col("iv").alias("_vec"))
+    assert S._selected(same, 3000, 50).num_rows in (0, 50)
