@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import AS_OF
+from lectern.functions import words as W
+from lectern.session import AS_OF, stored
 
 EMBEDDING_DIM = 384  # fixed value: embedding width of the reference's encoders
 HALF_LIFE_DAYS = 30  # fixed value: activity decay half-life
 TERMS_HELD = 1 << 18  # terms that a task of the TF-IDF fit counts before it gives them out
+CHOSEN = 1 << 14      # words whose pairs the TF-IDF fit counts alone
 
 
 def decay(ts: Column, as_of: str = AS_OF, half_life: int = HALF_LIFE_DAYS) -> Column:
@@ -97,17 +99,6 @@ def embedding_text(title: Column, abstract: Column) -> Column:
     return strip_ws(F.concat(t, F.lit(". "), t, F.lit(". "), F.coalesce(abstract, F.lit(""))))
 
 
-def parts(text: Column) -> Column:
-    """The lower-cased words of a text, of any length."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", -1)
-
-
-def grams(words: list[str], stops: set[str]) -> list[str]:
-    """T27 terms: words of two letters or more without stop words, and pairs of neighbours."""
-    own = [w for w in words if len(w) >= 2 and w not in stops]
-    return own + [f"{a} {b}" for a, b in zip(own, own[1:])]
-
-
 class Tfidf(NamedTuple):
     """T27 (fixed: fitted on the corpus): the tier of M1 between a language model and the hash embedding.
 
@@ -123,30 +114,41 @@ class Tfidf(NamedTuple):
 
     @staticmethod
     def fit(df: DataFrame, text: Column, n: int = EMBEDDING_DIM, stops: list[str] | None = None) -> Tfidf:
+        """The `n` most frequent terms without counting every pair of neighbours: a pair occurs no more often than either of its words, so
+        one that can be among them has two words as frequent as the n-th word (all pairs are counted where those are
+        more than CHOSEN)."""
         from lectern.functions.text import KEYWORD_STOPS
-        stop = set(KEYWORD_STOPS if stops is None else stops)
-
-        def counted(batches):
-            """(term, tf, df) of a task's documents, given out whenever there are many terms."""
-            tf, own = Counter(), Counter()
-
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64()), pa.array([own[t] for t in tf], pa.int64())], names=["term", "tf", "df"])
-
-            for b in batches:
-                for words in b.column(0).to_pylist():
-                    terms = grams(words, stop)
-                    tf.update(terms)
-                    own.update(set(terms))
-                    if len(tf) > TERMS_HELD:
-                        yield out()
-                        tf.clear()
-                        own.clear()
-            yield out()
-
-        each = df.select(parts(text).alias("words")).mapInArrow(counted, "term string, tf long, df long")
-        top = each.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).orderBy(F.col("tf").desc(), "term").limit(n)
-        rows, docs = sorted(top.collect(), key=lambda r: r["term"]), df.count()  # n rows
+        stop = sorted(set(KEYWORD_STOPS if stops is None else stops))
+        texts = df.select(F.coalesce(text, F.lit("")).alias("text"))
+
+        def counted(chosen: list[str] | None, pairs: bool) -> DataFrame:
+            def count(batches):
+                """(term, tf, df) of a task's documents, given out whenever there are many terms."""
+                held, n_held, two = [], 0, None if chosen is None else pa.array(chosen, pa.string())
+                for b in batches:
+                    for piece in W.pieces(b.column(0)):
+                        held.append(W.term_counts(W.term_words(W.split(W.lowered(piece.to_pylist())), stop), two, pairs))
+                        n_held += held[-1].num_rows
+                        if n_held > TERMS_HELD:
+                            held = [W.added(held)]
+                            n_held = held[0].num_rows
+                            if n_held > TERMS_HELD // 2:
+                                yield from held[0].to_batches(max_chunksize=1 << 16)
+                                held, n_held = [], 0
+                if held:
+                    yield from W.added(held).to_batches(max_chunksize=1 << 16)
+
+            each = texts.mapInArrow(count, "term string, tf long, df long")
+            return each.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+        best = lambda counts: counts.orderBy(F.col("tf").desc(), "term").limit(n).collect()  # noqa: E731  (n rows)
+        words = stored(counted(None, False), "terms")
+        top, docs, chosen = best(words), df.count(), None
+        if len(top) == n:
+            chosen = [r["term"] for r in words.where(F.col("tf") >= top[-1]["tf"]).select("term").limit(CHOSEN + 1).collect()]
+            chosen = chosen if len(chosen) <= CHOSEN else None
+        top = sorted(top + best(counted(chosen, True)), key=lambda r: (-r["tf"], r["term"]))[:n]
+        rows = sorted(top, key=lambda r: r["term"])
         return Tfidf([r["term"] for r in rows], [math.log((1 + docs) / (1 + r["df"])) + 1 for r in rows], n)
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -165,15 +167,28 @@ class Tfidf(NamedTuple):
         from lectern.functions.text import KEYWORD_STOPS
         if not self.terms:
             return df.withColumn(out, F.array_repeat(F.lit(0.0), self.n))
-        stop, at, n, weights = set(KEYWORD_STOPS if stops is None else stops), {t: k for k, t in enumerate(self.terms)}, self.n, np.array(self.idf)
+        stop, n, weights = sorted(set(KEYWORD_STOPS if stops is None else stops)), self.n, np.array(self.idf)
+        own = sorted({w for t in self.terms for w in t.split(" ")})
+        number = {w: i for i, w in enumerate(own)}
+        places = [[number[w] for w in t.split(" ")] for t in self.terms]
 
         @F.arrow_udf("array<double>")
-        def weighed(words: pa.Array) -> pa.Array:
-            v = np.zeros((len(words), n))
-            for i, own in enumerate(words.to_pylist()):
-                for t, c in Counter(t for t in grams(own, stop) if t in at).items():
-                    v[i, at[t]] = c
-            v[:, :len(weights)] *= weights
-            return lists(_normalized(v), np.ones(len(words), bool))
-
-        return df.withColumn("_words", parts(text)).withColumn(out, weighed(F.col("_words"))).drop("_words")
+        def weighed(texts: pa.Array) -> pa.Array:
+            known, one, two = pa.array(own, pa.string()), np.full(len(own) + 1, -1), np.full((len(own) + 1, len(own) + 1), -1)
+            for k, p in enumerate(places):
+                if len(p) == 1:
+                    one[p[0]] = k
+                elif len(p) == 2:
+                    two[p[0], p[1]] = k
+            out = []
+            for piece in W.pieces(texts):
+                w = W.term_words(W.split(W.lowered([t or "" for t in piece.to_pylist()])), stop)
+                at = pc.fill_null(pc.index_in(w.words, known), len(own)).to_numpy(zero_copy_only=False)
+                a, b, doc, _ = w.pairs()
+                term, doc = np.r_[one[at[w.code]], two[at[a], at[b]]], np.r_[w.doc, doc]
+                v = np.bincount(doc[term >= 0] * n + term[term >= 0], minlength=w.n * n).astype(np.float64).reshape(w.n, n)
+                v[:, :len(weights)] *= weights
+                out.append(lists(_normalized(v), np.ones(w.n, bool)))
+            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
+
+        return df.withColumn(out, weighed(F.coalesce(text, F.lit(""))))

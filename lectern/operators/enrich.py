@@ -3,15 +3,14 @@ explode/aggregate, organisation entities, and the per-item NLP profile."""
 
 from __future__ import annotations
 
-from collections import Counter
-from heapq import nsmallest
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lectern.functions.text import KEYWORD_STOPS, clean_text, org_entities, strip_ws, tokens, words
+from lectern.functions import words as W
+from lectern.functions.text import KEYWORD_STOPS, TOKEN_STOPS
 from lectern.functions.vectors import Tfidf, embedding_text, with_hash_embedding
 
 MIN_KEYWORD_TEXT = 20   # fixed value: shorter stripped texts get no keywords
@@ -25,37 +24,44 @@ def full_text(title: Column, abstract: Column) -> Column:
         F.coalesce(title, F.lit("")))
 
 
-def best_terms(toks: list[str], n: int) -> list[tuple[str, float]]:
-    """T4 for one text: the `n` best terms with their raw score, best first.
+def _enriched(n: int):
+    """T2, T4 and T6 of a batch: number of tokens, the `n` best terms with their raw scores, organisations."""
+    kind = pa.struct([("tokens", pa.int32()), ("keywords", pa.list_(pa.string())), ("raw", pa.list_(pa.float64())), ("organizations", pa.list_(pa.string()))])
 
-    Word: tf * (1 + min(len/10, 1)); pair of neighbours: occurrences * 1.5 / total.  Ties: words before pairs, first
-    occurrence (the reference's stable sort over insertion order).
-    """
-    total = max(len(toks), 1)
-    scored = [(w, c / total * (1.0 + min(len(w) / 10.0, 1.0))) for w, c in Counter(toks).items()]
-    scored += [(f"{a} {b}", c * 1.5 / total) for (a, b), c in Counter(zip(toks, toks[1:])).items()]
-    return nsmallest(n, scored, key=lambda t: -t[1])
+    @F.arrow_udf("tokens int, keywords array<string>, raw array<double>, organizations array<string>")
+    def enriched(texts: pa.Array) -> pa.Array:
+        out = []
+        for piece in W.pieces(texts):
+            own = [t or "" for t in piece.to_pylist()]
+            words = W.letter_words(W.split(W.lowered([W.cleaned(t) for t in own])))
+            tokens = words.where(W.not_in(words.words, TOKEN_STOPS))
+            terms = words.where(W.not_in(words.words, KEYWORD_STOPS))
+            fits = np.array([len(t.strip()) >= MIN_KEYWORD_TEXT for t in own], bool)
+            keep = fits[terms.doc]
+            many, term, raw = W.best_terms(W.Words(terms.code[keep], terms.doc[keep], terms.words, terms.n), n)
+            ends = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+            out.append(pa.StructArray.from_arrays([
+                pa.array(np.bincount(tokens.doc, minlength=len(own)).astype(np.int32)), pa.ListArray.from_arrays(ends, term),
+                pa.ListArray.from_arrays(ends, pa.array(raw, pa.float64())), pa.array([W.organisations(t) for t in own], pa.list_(pa.string()))], fields=list(kind)))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
+    return enriched
 
-def with_keywords(df: DataFrame, text: Column, out: str, n: int = 10) -> DataFrame:
-    """Adds `out`: the `n` best terms of `text` as (keyword, score), score / best score rounded to 4 dp.
 
-    Tokens are made in the JVM, a row's terms are counted in one Arrow-batched pass over the tokens: neither texts nor
-    terms are shuffled.  (Counting terms by exploding them needs an exchange of the texts; counting them with higher-order functions
-    takes three times as long.)
+def with_terms(df: DataFrame, text: Column, out: str, n: int = 10) -> DataFrame:
+    """Adds `out`: the `n` best terms of `text` as (keyword, score), score / best score rounded to 4 dp; `_kw`: tokens and organizations.
+
+    All of it is one pass over Arrow batches (`functions.words`): neither texts nor terms are shuffled, and a text is cleaned and split once.
     """
-    @F.pandas_udf("keywords array<string>, raw array<double>")
-    def counted(tokens: pd.Series) -> pd.DataFrame:
-        best = [best_terms(t.tolist(), n) for t in tokens]
-        return pd.DataFrame({"keywords": [[k for k, _ in b] for b in best], "raw": [[r for _, r in b] for b in best]})
-
-    stop = F.array(*[F.lit(w) for w in KEYWORD_STOPS])
-    fits = F.length(strip_ws(F.coalesce(text, F.lit("")))) >= MIN_KEYWORD_TEXT
-    toks = F.filter(words(clean_text(text)), lambda x: ~F.array_contains(stop, x))
     # behind a generator the counts are made once, however often they are used
-    df = df.select("*", F.explode(F.array(counted(F.when(fits, toks).otherwise(F.array().cast("array<string>"))))).alias("_kw"))
+    df = df.select("*", F.explode(F.array(_enriched(n)(F.coalesce(text, F.lit(""))))).alias("_kw"))
     scores = F.zip_with("_kw.keywords", "_kw.raw", lambda k, r: F.struct(k.alias("keyword"), F.round(r / F.try_element_at("_kw.raw", F.lit(1)), 4).alias("score")))
-    return df.withColumn(out, scores).drop("_kw")
+    return df.withColumn(out, scores)
+
+
+def with_keywords(df: DataFrame, text: Column, out: str, n: int = 10) -> DataFrame:
+    """`with_terms` without tokens and organizations."""
+    return with_terms(df, text, out, n).drop("_kw")
 
 
 def keywords(df: DataFrame, id_col: str, text_col: str, n: int = 10) -> DataFrame:
@@ -97,12 +103,12 @@ def enrich(content: DataFrame, id_col: str = "external_id", source_table: Column
     base = content.select(F.col(id_col), "title", "abstract",
                           (source_table if source_table is not None else F.lit("article")).alias("source_table"),
                           full_text(F.col("title"), F.col("abstract")).alias("_text"))
-    base = with_keywords(base, F.col("_text"), "keywords", n_keywords)
+    base = with_terms(base, F.col("_text"), "keywords", n_keywords)
     prof = base.select(
         id_col, "source_table",
-        F.size(tokens(F.col("_text"))).alias("token_count"),
+        F.col("_kw.tokens").alias("token_count"),
         F.struct(F.array().cast("array<struct<text:string,label:string>>").alias("persons"),
-                 F.transform(org_entities(F.col("_text")),
+                 F.transform(F.col("_kw.organizations"),
                              lambda m: F.struct(m.alias("text"), F.lit("ORG").alias("label"))).alias("organizations"),
                  F.array().cast("array<struct<text:string,label:string>>").alias("locations"),
                  F.array().cast("array<struct<text:string,label:string>>").alias("misc")).alias("entities"),
