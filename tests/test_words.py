@@ -91,3 +91,16 @@ def test_pairs_of_other_words_are_not_counted():
     t = W.term_counts(w, pa.array(["big", "data"]), True)
     assert sorted(zip(*t.to_pydict().values())) == [("big data", 2, 1), ("data big", 1, 1)]
     assert W.term_counts(w, None, True).num_rows == 9002
+
+
+def test_a_rebuilt_profile_splits_a_text_once(spark):
+    """Both tiers of a rebuild: no regular expression runs over texts in the JVM, word by word; one function of a batch gives tokens, keywords and organisations."""
+    df = spark.createDataFrame([("a", "Acme University", "graph theory for graph people"), ("b", None, None)], "external_id string, title string, abstract string")
+    model = vectors.Tfidf(["graph", "graph theory"], [1.0, 2.0], 4)
+    for m in (None, model):
+        out = E.enrich(df, "external_id", F.lit("article"), model=m)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan and "split(" not in plan and plan.count("[enriched(") == 1
+    rows = {r.external_id: r for r in out.collect()}
+    assert rows["a"].token_count == 5 + 1 and rows["a"].keywords[0].keyword == "graph" and [o.text for o in rows["a"].entities.organizations] == ["Acme University"]
+    assert rows["a"].embedding == [pytest.approx(2 / 8 ** 0.5), pytest.approx(2 / 8 ** 0.5), 0, 0] and rows["b"].embedding == [0] * 4 and rows["b"].keywords == []
