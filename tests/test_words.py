@@ -104,3 +104,25 @@ def test_a_rebuilt_profile_splits_a_text_once(spark):
     rows = {r.external_id: r for r in out.collect()}
     assert rows["a"].token_count == 5 + 1 and rows["a"].keywords[0].keyword == "graph" and [o.text for o in rows["a"].entities.organizations] == ["Acme University"]
     assert rows["a"].embedding == [pytest.approx(2 / 8 ** 0.5), pytest.approx(2 / 8 ** 0.5), 0, 0] and rows["b"].embedding == [0] * 4 and rows["b"].keywords == []
+
+
+def test_a_streamed_batch_splits_a_text_once(spark):
+    """What the sink of X2 writes is made by the same pass: one row an id, and no item that an earlier batch has."""
+    from lectern.streaming import streams as S
+    written = []
+
+    class Table(S.Batches):
+        def write(self, df, batch_id):
+            written.append(df)
+            super().write(df, batch_id)
+
+    schema = "external_id string, title string, abstract string"
+    table = Table(S.work_dir(spark, "words"), S.first_of("external_id"))
+    sink = S.enrich_sink(table, spark.createDataFrame([], schema).schema, vectors.Tfidf(["graph"], [1.0], 2))
+    sink(spark.createDataFrame([("a", "t", "graph words graph"), ("a", "t", "graph words graph")], schema), 0)
+    sink(spark.createDataFrame([("a", "t", "other words"), ("b", "t", None)], schema), 1)
+    for df in written:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan and "split(" not in plan and plan.count("[enriched(") == 1
+    rows = {r.external_id: r for r in S.landed(spark, table, written[0].schema).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].token_count == 3 and rows["a"].embedding == [1, 0] and rows["b"].batch == 1
